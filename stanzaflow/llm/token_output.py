@@ -39,6 +39,11 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 
 # ---------------------------------------------------------------- encoding texts
 
+def id_kind(vocabulary: int) -> str:
+    """Width of the ids on their way to the files: 16 bits where the vocabulary allows it."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each word.
 
@@ -52,6 +57,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = self._borders(self.tokenizer.to_str())
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -68,15 +74,15 @@ class TextEncoder:
             and split.get("type") == "Split"
             and split.get("behavior") == "Removed"
             and split.get("invert") is True
-            and "[^\\s" in str(split.get("pattern"))
+            and "[^\\s" in split.get("pattern", {}).get("Regex", "")
             and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])
         )
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned ids of each text, ``self.kind`` wide."""
         if not self.by_word:
             return self._ids([t or "" for t in texts])
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
@@ -106,11 +112,11 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` (binary, unsigned 32-bit little-endian, the end id last) of each row."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """``doc_id, ids`` (binary, unsigned little-endian in the encoder's width, the end id last) of each row."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
+        end = np.asarray([end_id], encoder.kind).tobytes()
         for whole in batches:
             for batch in _slices(whole, 256):
                 ids = [x + end for x in encoder.encode(batch.column(1).cast(pa.string()).to_pylist())]
@@ -143,14 +149,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- files
 
-def _histogram(encoded: DataFrame) -> DataFrame:
+def _histogram(encoded: DataFrame, kind: str) -> DataFrame:
     """``id, n`` over all documents; each task adds up its own counts before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_py(), "<u4"))
+                n = np.bincount(np.frombuffer(x.as_py(), kind))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -162,7 +168,7 @@ def _histogram(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(ordered: DataFrame) -> DataFrame:
+def _blocks(ordered: DataFrame, width: int) -> DataFrame:
     """Consecutive documents of each range partition in blocks, with the ids before them there."""
     schema = "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, ids binary"
     names = ["part", "block", "before", "n_ids", "doc_ids", "lengths", "ids"]
@@ -171,7 +177,7 @@ def _blocks(ordered: DataFrame) -> DataFrame:
         block, before, docs, ids, held = 0, 0, [], [], 0
 
         def full(part: int) -> pa.RecordBatch:
-            row = [part, block, before, held, docs, [len(x) // 4 for x in ids], b"".join(ids)]
+            row = [part, block, before, held, docs, [len(x) // width for x in ids], b"".join(ids)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
@@ -181,7 +187,7 @@ def _blocks(ordered: DataFrame) -> DataFrame:
                 part = p
                 docs.append(d)
                 ids.append(x)
-                held += len(x) // 4
+                held += len(x) // width
                 if held >= BLOCK_IDS:
                     yield full(part)
                     block, before, docs, ids, held = block + 1, before + held, [], [], 0
@@ -199,10 +205,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     (at most the vocabulary's size) and those sums (one for each partition).
     """
     spark = docs.sparkSession
+    kind = _encoder(tokenizer).kind
     encoded = Stored(encode_documents(docs, tokenizer, end_id), "token-ids")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = Stored(_blocks(encoded.df.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")), "token-blocks")
-    by_rank = _histogram(encoded.df).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    raw = Stored(_blocks(encoded.df.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids"), int(kind[-1])), "token-blocks")
+    by_rank = _histogram(encoded.df, kind).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ids = by_rank["id"].to_numpy(np.int64)
     spark.createDataFrame(
         [(int(r), int(i), int(c)) for r, (i, c) in enumerate(zip(ids, by_rank["n"]))], "rank bigint, id bigint, n bigint"
@@ -222,7 +229,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
         for whole in batches:
             for row in _slices(whole, 1):
                 r = row.to_pylist()[0]
-                control, data = pack(rank_of[np.frombuffer(r["ids"], "<u4")])
+                control, data = pack(rank_of[np.frombuffer(r["ids"], kind)])
                 at = pa.array([first[r["part"]] + r["before"]], pa.int64())
                 columns = [row.column(0), row.column(1), at, row.column(4), row.column(5), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "block", "first", "doc_ids", "lengths", "control", "data"])
