@@ -1,13 +1,14 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length coding.
 
-File format.  A token file set is a folder of two tables that Spark's committer writes, so a task
+File format.  A token file set is a folder of three tables that Spark's committer writes, so a task
 that is lost and run again leaves no half-written file:
 
 * ``ranks``: ``rank, id, n`` - the ids by falling frequency (ties: the smaller id first).
 * ``blocks``: one row per run of consecutive documents in doc_id order:
-  ``part, block`` (their place in the order), ``first`` (ids before the block),
+  ``part, block`` (their place in the order), ``before`` (ids of the part before the block), ``n_ids``,
   ``doc_ids array<bigint>``, ``lengths array<int>`` (ids of each document),
   ``control binary`` and ``data binary``.
+* ``parts``: ``part, first`` - the ids before each part.
 
 Coding of a block: each id is replaced by its rank, and a rank takes 1 to 4 little-endian bytes in
 ``data``.  ``control`` holds two bits per id (bytes taken, less one), four ids to a byte, the first in
@@ -21,6 +22,7 @@ an empty file set.  No document is split over blocks.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +61,7 @@ class TextEncoder:
         self.by_word = self._borders(self.tokenizer.to_str())
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.memo: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     @staticmethod
     def _borders(description: str) -> bool:
@@ -71,6 +74,7 @@ class TextEncoder:
         split = pre[0] if pre else {}
         return (
             set(kinds) <= {"NFC", "Lowercase", "Replace"}
+            and "Lowercase" in kinds
             and split.get("type") == "Split"
             and split.get("behavior") == "Removed"
             and split.get("invert") is True
@@ -79,7 +83,8 @@ class TextEncoder:
         )
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind == "<u2" else "I"  # little-endian machines, as Spark's Arrow exchange assumes
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned ids of each text, ``self.kind`` wide."""
@@ -88,11 +93,25 @@ class TextEncoder:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) >= MEMO_SIZE:
             self.memo.clear()
-        memo = self.memo
-        new = list({w for ws in words for w in set(ws).difference(memo)})
-        memo.update(zip(new, self._ids(new)))
+            self.stems.clear()
+        memo, stems = self.memo, self.stems
+        new = {w for ws in words for w in set(ws).difference(memo)}
+        parts = {w: self._stem(w) for w in new}
+        unseen = list({stem for stem, _ in parts.values()}.union(".,").difference(stems))
+        stems.update(zip(unseen, self._ids(unseen)))
+        memo.update((w, stems[stem] + stems[mark] if mark else stems[stem]) for w, (stem, mark) in parts.items())
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        """A word without a final stop or comma, if that mark is a token of its own; ASCII letters lower-cased, as the normaliser does."""
+        mark = word[-1:]
+        if mark in (".", ",") and word[-2:-1].isalnum() and word[-2] <= "\xff":  # Latin-1 letters stay one letter when normalised
+            word = word[:-1]
+        else:
+            mark = ""
+        return (word.lower() if word.isascii() and word.isalpha() else word), mark
+
 
 _encoders: dict[str, TextEncoder] = {}
 
@@ -168,32 +187,35 @@ def _histogram(encoded: DataFrame, kind: str) -> DataFrame:
     return encoded.select("ids").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _blocks(ordered: DataFrame, width: int) -> DataFrame:
-    """Consecutive documents of each range partition in blocks, with the ids before them there."""
-    schema = "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, lengths array<int>, ids binary"
-    names = ["part", "block", "before", "n_ids", "doc_ids", "lengths", "ids"]
+def _blocks(ordered: DataFrame, kind: str, shared) -> DataFrame:
+    """Consecutive documents of each range partition in coded blocks, with the ids before them there."""
+    width = int(kind[-1])
+    fields = [
+        ("part", pa.int32(), "int"), ("block", pa.int32(), "int"), ("before", pa.int64(), "bigint"), ("n_ids", pa.int64(), "bigint"),
+        ("doc_ids", pa.list_(pa.int64()), "array<bigint>"), ("lengths", pa.list_(pa.int32()), "array<int>"), ("control", pa.binary(), "binary"), ("data", pa.binary(), "binary"),
+    ]
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, before, docs, ids, held = 0, 0, [], [], 0
+        rank_of = shared.value
+        part, block, before, docs, ids, held = 0, 0, 0, [], [], 0
 
-        def full(part: int) -> pa.RecordBatch:
-            row = [part, block, before, held, docs, [len(x) // width for x in ids], b"".join(ids)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
+        def full() -> pa.RecordBatch:
+            control, data = pack(rank_of[np.frombuffer(b"".join(ids), kind)])
+            row = [part, block, before, held, docs, [len(x) // width for x in ids], control, data]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k, _) in zip(row, fields)], [f[0] for f in fields])
 
-        part = 0
         for batch in batches:
-            for p, d, x in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                part = p
+            for part, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 docs.append(d)
-                ids.append(x)
-                held += len(x) // width
+                ids.append(x.as_py())
+                held += len(ids[-1]) // width
                 if held >= BLOCK_IDS:
-                    yield full(part)
+                    yield full()
                     block, before, docs, ids, held = block + 1, before + held, [], [], 0
         if docs:
-            yield full(part)
+            yield full()
 
+    schema = ", ".join(f"{name} {sql}" for name, _, sql in fields)
     return ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(grouped, schema)
 
 
@@ -207,53 +229,42 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     spark = docs.sparkSession
     kind = _encoder(tokenizer).kind
     encoded = Stored(encode_documents(docs, tokenizer, end_id), "token-ids")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = Stored(_blocks(encoded.df.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids"), int(kind[-1])), "token-blocks")
     by_rank = _histogram(encoded.df, kind).toPandas().sort_values(["n", "id"], ascending=[False, True])
     ids = by_rank["id"].to_numpy(np.int64)
-    spark.createDataFrame(
-        [(int(r), int(i), int(c)) for r, (i, c) in enumerate(zip(ids, by_rank["n"]))], "rank bigint, id bigint, n bigint"
-    ).coalesce(1).write.parquet(f"{path}/ranks")
-    encoded.drop()
-
-    first, at = {}, 0
-    for row in raw.df.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
-        first[row["part"]], at = at, at + row["n"]
+    ranks = [(r, int(i), int(c)) for r, (i, c) in enumerate(zip(ids, by_rank["n"]))]
+    spark.createDataFrame(ranks, "rank bigint, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.uint32)
     rank_of[ids] = np.arange(len(ids))
-    shared = spark.sparkContext.broadcast((rank_of, first))
-    schema = "part int, block int, first bigint, doc_ids array<bigint>, lengths array<int>, control binary, data binary"
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of, first = shared.value
-        for whole in batches:
-            for row in _slices(whole, 1):
-                r = row.to_pylist()[0]
-                control, data = pack(rank_of[np.frombuffer(r["ids"], kind)])
-                at = pa.array([first[r["part"]] + r["before"]], pa.int64())
-                columns = [row.column(0), row.column(1), at, row.column(4), row.column(5), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "first", "doc_ids", "lengths", "control", "data"])
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = encoded.df.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
+    _blocks(ordered, kind, spark.sparkContext.broadcast(rank_of)).write.option("compression", "none").parquet(f"{path}/blocks")
+    encoded.drop()
 
-    raw.df.mapInArrow(packed, schema).write.option("compression", "none").parquet(f"{path}/blocks")
-    raw.drop()
+    parts, at = [], 0
+    for row in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        parts.append((row["part"], at))
+        at += row["n"]
+    spark.createDataFrame(parts, "part int, first bigint").coalesce(1).write.parquet(f"{path}/parts")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, ids`` (binary, unsigned 32-bit little-endian) of each document in the files."""
     ids = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
-    shared = spark.sparkContext.broadcast(ids)
+    first = {r["part"]: r["first"] for r in spark.read.parquet(f"{path}/parts").collect()}
+    shared = spark.sparkContext.broadcast((ids, first))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_of = shared.value
+        id_of, first = shared.value
         for whole in batches:
             for row in _slices(whole, 1):
                 r = row.to_pylist()[0]
                 lengths = np.array(r["lengths"], np.int64)
-                values = id_of[unpack(r["control"], r["data"], int(lengths.sum()))].astype("<u4")
+                values = id_of[unpack(r["control"], r["data"], r["n_ids"])].astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 cells = [values[a:b].tobytes() for a, b in zip(starts, ends)]
-                columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["first"], pa.int64()), pa.array(cells, pa.binary())]
+                columns = [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["before"] + first[r["part"]], pa.int64()), pa.array(cells, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids"])
 
     return spark.read.parquet(f"{path}/blocks").mapInArrow(decoded, "doc_id bigint, start bigint, ids binary")
