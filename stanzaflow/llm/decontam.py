@@ -241,45 +241,40 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     blocks = _blocks(benchmark)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[Windows] = []
+        for shard, texts, items, spans in _searched(batches, 1, blocks, width):
+            columns = [
+                shard.column(0),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+                pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], _SPANS),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "items", "spans"])
 
-        def shard(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(searched, SCHEMA)
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text: int, blocks: list, width: int) -> Iterator[tuple]:
+    """Shards of whole documents with their words, the items found in each, and the merged spans."""
+    known: list[Windows] = []
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            texts, size, start = [], 0, at
+            while at < batch.num_rows and size < SHARD_BYTES:
+                cell = batch.column(text)[at].as_py()
+                texts.append(words_of(cell))
+                size += len(cell or "")
+                at += 1
             items: list[set[str]] = [set() for _ in texts]
             spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for k, block in enumerate(blocks):
-                if len(blocks) == 1 and known:
-                    windows = known[0]
-                else:
-                    windows = Windows(block.value, width)
-                    known[:] = [windows]
-                for d, (s, i) in enumerate(_shard_hits(texts, windows)):
+            for block in blocks:  # one block's windows are held at a time
+                if len(blocks) > 1 or not known:
+                    known[:] = [Windows(block.value, width)]
+                for d, (s, i) in enumerate(_shard_hits(texts, known[0])):
                     if i:
                         items[d] |= i
                         spans[d] = _merged(spans[d] + s)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([sorted(i) for i in items], pa.list_(pa.string())),
-                    pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], _SPANS),
-                ],
-                ["doc_id", "n_words", "items", "spans"],
-            )
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for d, t in zip(batch.column(0), batch.column(1)):
-                text = t.as_py()
-                ids.append(d.as_py())
-                texts.append(words_of(text))
-                size += len(text or "")
-                if size >= SHARD_BYTES:
-                    yield shard(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield shard(ids, texts)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(searched, SCHEMA)
+            yield batch.slice(start, at - start), texts, items, spans
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -296,9 +291,15 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their columns unchanged."""
-    hit = find_contamination(docs, benchmark, width).filter(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The rows of ``docs`` that hold no benchmark window, with their columns unchanged; no shuffle."""
+    blocks = _blocks(benchmark)
+    text = docs.columns.index("text")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _, items, _ in _searched(batches, text, blocks, width):
+            yield shard.filter(pa.array([not i for i in items], pa.bool_()))
+
+    return docs.mapInArrow(cleaned, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

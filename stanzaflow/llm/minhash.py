@@ -209,5 +209,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with its columns unchanged; of rows equal in id and text, one stays."""
-    copies = near_duplicates(docs, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    found = cut(near_duplicates(docs, percent).select("doc_id", "kept"))
+    copies = cut(found.filter("not kept").select("doc_id").distinct())
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    alone = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().filter("count > 1").take(1):
+        alone = alone.dropDuplicates(["doc_id", "text"])
+    return alone

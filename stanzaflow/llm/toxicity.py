@@ -189,6 +189,14 @@ def grade_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with their columns unchanged."""
-    bad = grade_documents(docs, model).filter("toxic").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that aren't toxic, with their columns unchanged; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            toxic = [any(p >= 0.5 for p in model.exceedance(t.as_py())) for t in batch.column(text)]
+            yield batch.filter(pa.array([not t for t in toxic], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)
