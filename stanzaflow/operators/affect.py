@@ -81,16 +81,26 @@ def clue_score(x, terms: dict[str, int]) -> Column:
 
 
 def detect_season(docs: DataFrame, seasons: dict[str, dict[str, int]], title_col: str, body_col: str, id_col: str = "doc_id", title_weight: int = 3) -> DataFrame:
-    """``id, season, score``: the season with the highest score; ties go to the clue met last, then to season order."""
-    offset = F.length(text_of(title_col)) + 1
+    """``id, season, score, tied``: the season with the highest score; ties go to the clue met last, then to season order.
+
+    ``tied`` counts the seasons that share the highest score.  Each clue score is a column of its own first, so that it
+    is worked out once.
+    """
+    names = list(seasons)
+    scored = docs.select(
+        F.col(id_col),
+        (F.length(text_of(title_col)) + 1).alias("_offset"),
+        *[clue_score(title_col, terms).alias(f"_t{k}") for k, terms in enumerate(seasons.values())],
+        *[clue_score(body_col, terms).alias(f"_b{k}") for k, terms in enumerate(seasons.values())],
+    )
     entries = []
-    for order, (name, terms) in enumerate(seasons.items()):
-        title, body = clue_score(title_col, terms), clue_score(body_col, terms)
-        score = title["score"] * title_weight + body["score"]
-        latest = F.greatest(title["latest"], F.when(body["latest"] >= 0, offset + body["latest"]).otherwise(F.lit(-1)))
-        entries.append(F.struct(score.alias("score"), latest.alias("latest"), F.lit(-order).alias("early"), F.lit(name).alias("season")))
-    best = F.array_max(F.filter(F.array(*entries), lambda e: e["score"] > 0))
-    return docs.select(F.col(id_col), best.alias("_b")).select(id_col, F.col("_b.season").alias("season"), F.coalesce("_b.score", F.lit(0)).alias("score"))
+    for k, name in enumerate(names):
+        score = F.col(f"_t{k}.score") * title_weight + F.col(f"_b{k}.score")
+        latest = F.greatest(F.col(f"_t{k}.latest"), F.when(F.col(f"_b{k}.latest") >= 0, F.col("_offset") + F.col(f"_b{k}.latest")).otherwise(F.lit(-1)))
+        entries.append(F.struct(score.alias("score"), latest.alias("latest"), F.lit(-k).alias("early"), F.lit(name).alias("season")))
+    found = scored.select(id_col, F.array(*entries).alias("_all")).withColumn("_best", F.array_max(F.filter("_all", lambda e: e["score"] > 0)))
+    tied = F.size(F.filter("_all", lambda e: e["score"] == F.col("_best.score")))
+    return found.select(id_col, F.col("_best.season").alias("season"), F.coalesce("_best.score", F.lit(0)).alias("score"), tied.alias("tied"))
 
 
 def confidence_for(grade, match, agreeing, conflict, bases: dict[str, float]) -> Column:

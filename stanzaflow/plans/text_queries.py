@@ -303,11 +303,9 @@ def _season_sql() -> str:
 
 @query(_season_sql())
 def season_detect(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    alone = affect.detect_season(docs.withColumn("title", F.lit("")), L.SEASONS, "title", "text")
-    scores = [affect.clue_score("text", t)["score"] for t in L.SEASONS.values()]
-    ties = docs.select("doc_id", F.size(F.filter(F.array(*scores), lambda s: s == F.array_max(F.array(*scores)))).alias("ties"))
-    return alone.join(ties, "doc_id").select("doc_id", "score", F.when(F.col("ties") == 1, F.col("season")).alias("sure_season"))
+    docs = _t(spark, sf_dir, "documents").withColumn("title", F.lit(""))
+    found = affect.detect_season(docs, L.SEASONS, "title", "text")
+    return found.select("doc_id", "score", F.when(F.col("tied") == 1, F.col("season")).alias("sure_season"))
 
 
 @query()
