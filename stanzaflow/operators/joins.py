@@ -57,32 +57,29 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 def within_km(points: DataFrame, id_col: str, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``id, n_near``: how many other points lie within a distance.
 
-    Points go to cells of latitude bands and of longitude steps as wide as the distance is at the band's far edge;
-    only neighbouring cells meet.  Points nearer to a pole than the distance are compared along their whole bands.
+    The globe is cut into latitude bands as high as the distance, and each band into cells at least as wide as
+    the distance is anywhere in the band or its neighbours (next to a pole a band is one cell).  A point meets the
+    points of its own and the neighbouring cells only, by an equality join.
     """
     step = km / KM_PER_DEGREE
-    bands = int(-(-180 // step))
-    band = F.floor((F.col(lat) + 90) / step)
-    edge = F.greatest(F.abs(band * step - 90), F.abs((band + 1) * step - 90)) + step
-    width = F.when(edge < 89, step / F.cos(F.radians(F.least(edge, F.lit(89.0))))).otherwise(360.0)
-    cells = F.greatest(F.floor(F.lit(360.0) / width), F.lit(1)).cast("int")
-    here = points.select(F.col(id_col), F.col(lon).alias("_x"), F.col(lat).alias("_y"), band.cast("int").alias("_band"))
-    width_of = lambda b: F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90)) + step
-
-    def cell_of(x, b):
-        w = F.when(width_of(b) < 89, step / F.cos(F.radians(F.least(width_of(b), F.lit(89.0))))).otherwise(360.0)
-        n = F.greatest(F.floor(F.lit(360.0) / w), F.lit(1))
-        return F.least(F.floor((x + 180) / (360.0 / n)), n - 1).cast("int"), n.cast("int")
-
-    home_cell, _ = cell_of(F.col("_x"), F.col("_band"))
-    right = here.select(F.col(id_col).alias("_other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.col("_band"), home_cell.alias("_cell"))
-    to_bands = here.withColumn("_to", F.explode(F.sequence(F.greatest(F.col("_band") - 1, F.lit(0)), F.least(F.col("_band") + 1, F.lit(bands)))))
-    mid, n = cell_of(F.col("_x"), F.col("_to"))
-    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(mid + d, n)))
-    left = to_bands.withColumn("_cell", F.explode(around)).drop("_band").withColumnRenamed("_to", "_band")
+    last = int(180 // step)
+
+    def n_cells(band):
+        edge = F.greatest(F.abs(band * step - 90), F.abs((band + 1) * step - 90)) + step
+        width = step / F.cos(F.radians(F.least(edge, F.lit(89.0))))
+        return F.when(edge < 89, F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))).otherwise(F.lit(1)).cast("int")
+
+    def cell(x, band):
+        return F.least(F.floor((x + 180) / (F.lit(360.0) / n_cells(band))).cast("int"), n_cells(band) - 1)
+
+    band = F.floor((F.col(lat) + 90) / step).cast("int")
+    here = points.select(F.col(id_col), F.col(lon).alias("_x"), F.col(lat).alias("_y"), band.alias("_band"))
+    right = here.select(F.col(id_col).alias("_other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), "_band", cell(F.col("_x"), F.col("_band")).alias("_cell"))
+    bands = here.withColumn("_band", F.explode(F.sequence(F.greatest(F.col("_band") - 1, F.lit(0)), F.least(F.col("_band") + 1, F.lit(last)))))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(F.col("_x"), F.col("_band")) + d, n_cells(F.col("_band")))))
+    left = bands.withColumn("_cell", F.explode(around))
     near = left.join(right, ["_band", "_cell"]).filter((F.col(id_col) != F.col("_other")) & (haversine_km("_x", "_y", "_ox", "_oy") <= km))
     counts = near.groupBy(id_col).agg(F.count("*").alias("n_near"))
-    _ = cells
     return points.select(id_col).join(counts, id_col, "left").select(id_col, F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))
 
 
