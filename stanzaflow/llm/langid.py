@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut
+
 PROFILE = 300  # n-grams in a profile
 SAMPLE_DOCS = 1000  # labelled documents that a language's profile is learned from, at most
+BROADCAST_IDS = 200_000  # sampled ids up to which they are broadcast to filter the documents
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -71,6 +74,9 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE, sample: int = SAMPL
     known = labelled.filter("text is not null and lang is not null").select("doc_id", "lang")
     first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= sample).select("doc_id", "lang")
+    chosen = cut(chosen)
+    if chosen.count() <= BROADCAST_IDS:  # so the texts aren't shuffled for the sake of a few
+        chosen = F.broadcast(chosen)
     texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
