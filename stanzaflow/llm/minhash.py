@@ -8,9 +8,13 @@ threshold 0.85 shares no bucket with a probability of about 1e-8.
 
 Documents with equal shingle sets are first folded into their smallest id.  Within a bucket no list
 of pairs is made: a pivot (the member met most often over all buckets) is compared with every member,
-and a bucket whose members are then all in one component is done.  What is left of small buckets is
-compared in pairs across components; larger ones go on with more pivots each round until they are done,
-so that no pair that shares a bucket and isn't yet connected is left out.
+and a bucket whose members are then all in one component is done.
+
+In the buckets left over, heavily edited copies meet that hardly ever link.  There a bound that no link
+escapes decides which members of different components are compared: a link needs
+common >= t / (1 + t) * (|x| + |y|), and x can share no shingle that no other member of an open bucket has.
+So with c(x) = shingles of x that some other open document has, min(c(x), c(y), |x|, |y|) must reach that
+size.  Documents with c(x) < t * |x| leave first.  A pair is made once, in the first bucket it shares.
 
 Links are confirmed on the full sets of 64-bit shingle hashes.
 
@@ -37,7 +41,7 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 5
 RING = 1 << 20
-SMALL_BUCKET = 48  # members up to which a bucket's open pairs are listed; each row then meets so many at most
+TRIMS = 2  # times the open documents that can't link are dropped before pairs are made
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) up to which they are broadcast to filter the documents
 MEMO_SIZE = 700_000
 
@@ -147,6 +151,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compared, "u bigint, v bigint")
 
 
+def _shared_shingles(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rep, c``: how many shingles of each chosen document some other chosen document has too."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["rep", "tokens"])
+
+    own = sets.join(chosen.select("rep"), "rep", "left_semi").select("rep", "shingles")
+    tokens = own.mapInArrow(listed, "rep bigint, tokens array<bigint>").select("rep", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1").select("token")
+    return tokens.join(common, "token").groupBy("rep").agg(F.count("*").alias("c"))
+
+
+def _open_pairs(member: DataFrame, pivot: DataFrame, comp: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs ``u, v`` of different components that share a bucket, could link, and weren't compared with its pivot."""
+    at = member.join(comp, member["rep"] == comp["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    at = at.join(pivot.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+
+    def still_open(df: DataFrame) -> DataFrame:
+        mixed = df.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        return cut(df.join(mixed.select("bucket"), "bucket", "left_semi"))
+
+    left = still_open(at.select("bucket", "band", "rep", "n", "component"))
+    for _ in range(TRIMS):
+        if not left.take(1):
+            return None
+        c = _shared_shingles(sets, left.select("rep").distinct())
+        left = still_open(left.drop("c").join(c, "rep").filter(100 * F.col("c") >= percent * F.col("n")))
+    bands = rows.select("rep", "bands")
+    x = left.join(bands, "rep")
+    y = x.select("bucket", *[F.col(k).alias(f"{k}_y") for k in ("rep", "n", "c", "component", "bands")])
+    enough = (100 + percent) * F.least("c", "c_y", "n", "n_y") >= percent * (F.col("n") + F.col("n_y"))
+    first = F.array_position(F.zip_with("bands", "bands_y", lambda a, b: a == b), True) == F.col("band") + 1
+    met = x.join(y, "bucket").filter((F.col("rep") < F.col("rep_y")) & (F.col("component") != F.col("component_y")) & enough & first)
+    return cut(met.select(F.col("rep_y").alias("u"), F.col("rep").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
     found = Stored(sketch(docs), "sketches")
@@ -155,54 +197,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = Stored(classes, "classes")
 
     # the members of buckets that have more than one
-    spread = rows.df.select("rep", "n", F.explode("bands").alias("bucket"))
+    spread = rows.df.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     member = Stored(spread.join(shared, "bucket"), "buckets")
     hub = cut(member.df.groupBy("rep").agg(F.sum("size").alias("met")))
     sets = Stored(_sets(docs, hub), "shingle-sets")
-    open_ = cut(member.df.drop("size").join(hub, "rep"))
-    member.drop()
-
-    links, tested, comp = None, None, None
-    slots = 1
-    while open_.take(1):
-        # a pivot for each bucket, later for each of several slots of a bucket, summed up before the shuffle
-        slot = F.pmod(F.xxhash64("rep"), F.lit(slots)).cast("int") if slots > 1 else F.lit(0)
-        chosen = open_.withColumn("slot", slot).groupBy("bucket", "slot").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("_p"))
-        pivot = chosen.select("bucket", (-F.col("_p.col2")).alias("pivot"), F.col("_p.n").alias("pn"))
-        count = open_.groupBy("bucket").agg(F.count("*").alias("size"))
-        if slots > 1:
-            pivot = pivot.join(count.filter(F.col("size") > SMALL_BUCKET).select("bucket"), "bucket")
-        meet = open_.join(pivot, "bucket").filter("rep <> pivot").select("rep", "n", "pivot", "pn")
-        if slots > 1:
-            few = open_.join(count.filter(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
-            other = few.select("bucket", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            listed = few.join(other, "bucket").filter("rep < pivot and component <> pc").select("rep", "n", "pivot", "pn")
-            meet = meet.unionByName(listed)
-        near = meet.filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        pairs = near.select(F.least("rep", "pivot").alias("v"), F.greatest("rep", "pivot").alias("u")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        new = cut(_confirmed(pairs, sets.df, percent))
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        links = new if links is None else links.unionByName(new)
-        comp = cut(components(links))
-        links = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v")
-        # compared pivots leave; so do buckets that lie in one component, and small ones whose pairs were listed
-        at = open_.drop("component").join(comp, open_["rep"] == comp["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-        rest = at.join(pivot.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        state = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        undone = state.filter((F.col("lo") < F.col("hi")) & ((F.col("size") > SMALL_BUCKET) if slots > 1 else F.lit(True)))
-        open_ = cut(rest.join(undone.select("bucket"), "bucket"))
-        slots *= 8
+
+    # one pivot for each bucket, found by an aggregate that is summed up before the shuffle
+    known = member.df.join(hub, "rep")
+    best = known.groupBy("bucket").agg(F.max(F.struct("met", -F.col("rep"), "n")).alias("_p"))
+    pivot = cut(best.select("bucket", (-F.col("_p.col2")).alias("pivot"), F.col("_p.n").alias("pn")))
+    meet = member.df.join(pivot, "bucket").filter("rep <> pivot").filter(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    pairs = meet.select(F.least("rep", "pivot").alias("v"), F.greatest("rep", "pivot").alias("u")).distinct()
+    links = cut(_confirmed(pairs, sets.df, percent))
+    comp = cut(components(links))
+
+    rest = _open_pairs(member.df, pivot, comp, sets.df, rows.df, percent)
+    if rest is not None:
+        more = cut(_confirmed(rest, sets.df, percent))
+        if more.take(1):
+            hung = comp.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v")
+            comp = cut(components(hung.unionByName(more)))
 
     own = rows.df.select("fingerprint", "rep")
     whole = found.df.select("doc_id", "n_shingles", "fingerprint").join(own, "fingerprint", "left")
-    if comp is not None:
-        whole = whole.join(comp, whole["rep"] == comp["node"], "left")
-    else:
-        whole = whole.withColumn("component", F.lit(None).cast("bigint"))
+    whole = whole.join(comp, whole["rep"] == comp["node"], "left")
     component = F.coalesce("component", "rep", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
