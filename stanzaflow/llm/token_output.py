@@ -36,6 +36,9 @@ from .token_count import tokenizer_path
 END_ID = 2
 BLOCK_IDS = 262_144  # a block is closed once it holds so many ids
 MEMO_SIZE = 700_000  # words whose ids a worker keeps before it starts afresh
+#: Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)  # of a control byte's four ids
 
 
@@ -75,7 +78,8 @@ class TextEncoder:
         return (
             set(kinds) <= {"NFC", "Lowercase", "Replace"}
             and "Lowercase" in kinds
-            and split.get("type") == "Split"
+            and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+            and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
             and split.get("behavior") == "Removed"
             and split.get("invert") is True
             and "[^\\s" in split.get("pattern", {}).get("Regex", "")
@@ -86,6 +90,16 @@ class TextEncoder:
         code = "H" if self.kind == "<u2" else "I"  # little-endian machines, as Spark's Arrow exchange assumes
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stem_ids(self, stems: list[str]) -> dict[str, bytes]:
+        """Ids of stems; a plain word of Latin-1 letters goes straight to the library's merges, spelled as its byte-level alphabet spells it."""
+        code = "H" if self.kind == "<u2" else "I"
+        plain = [s for s in stems if s.isalpha() and max(s) <= "\xff"]
+        tokenize = self.tokenizer.model.tokenize
+        found = {s: array(code, [t.id for t in tokenize(s.lower().encode().decode("latin-1").translate(BYTE_ALPHABET))]).tobytes() for s in plain}
+        rest = [s for s in stems if s not in found]
+        found.update(zip(rest, self._ids(rest)))
+        return found
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned ids of each text, ``self.kind`` wide."""
         if not self.by_word:
@@ -98,7 +112,7 @@ class TextEncoder:
         new = {w for ws in words for w in set(ws).difference(memo)}
         parts = {w: self._stem(w) for w in new}
         unseen = list({stem for stem, _ in parts.values()}.union(".,").difference(stems))
-        stems.update(zip(unseen, self._ids(unseen)))
+        stems.update(self._stem_ids(unseen))
         memo.update((w, stems[stem] + stems[mark] if mark else stems[stem]) for w, (stem, mark) in parts.items())
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
