@@ -30,11 +30,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 PHRASE = "with the"
 
-_TRI = """g AS (SELECT doc_id, substring(t, i, 3) AS token FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, greatest(length(text) - 1, 1))) AS i FROM documents)),
+_TRI = """c AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS token FROM c),
   p AS (SELECT token, doc_id, count(*) AS tf FROM g WHERE token IN ('wit', 'ith', 'th ', 'h t', ' th', 'the') GROUP BY ALL),
-  l AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len FROM documents), a AS (SELECT count(*) AS N, avg(len) AS avg FROM l),
-  n AS (SELECT token, count(*) AS n FROM p GROUP BY token),
-  s AS (SELECT doc_id, sum(ln(1 + (N - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS score, count(*) AS found FROM p JOIN n USING (token) JOIN l USING (doc_id), a GROUP BY doc_id),
+  l AS (SELECT doc_id, greatest(length(text) - 2, 0) AS len FROM documents), a AS (SELECT count(*) AS n_all, avg(len) AS avg FROM l),
+  n AS (SELECT token, count(*) AS n_tok FROM p GROUP BY token),
+  s AS (SELECT doc_id, sum(ln(1 + (n_all - n_tok + 0.5::DOUBLE) / (n_tok + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS score, count(*) AS found FROM p JOIN n USING (token) JOIN l USING (doc_id), a GROUP BY doc_id),
   bm AS (SELECT doc_id, round(score, 6) AS score FROM s JOIN documents USING (doc_id) WHERE found = 6 AND contains(lower(text), 'with the'))"""
 
 
