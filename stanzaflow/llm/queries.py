@@ -64,4 +64,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": """
+WITH s AS (SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes FROM documents GROUP BY source),
+t AS (SELECT sum(n_bytes)::DOUBLE AS all_bytes, sum(pow(n_bytes::DOUBLE, 0.5::DOUBLE)) AS all_weight FROM s),
+r AS (SELECT source, CASE WHEN n_bytes > 0 AND all_weight > 0 THEN round(pow(n_bytes::DOUBLE, 0.5::DOUBLE) / all_weight * all_bytes / n_bytes, 9) ELSE 1.0::DOUBLE END AS rate FROM s, t),
+p AS (SELECT source, rate, CAST(greatest(ceil(rate / 8), 1) AS BIGINT) AS parts, rate / greatest(ceil(rate / 8), 1) AS mean FROM r),
+c AS (SELECT source, k, sum(exp(-mean) * pow(mean, k) / gamma(k + 1)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p, (SELECT unnest(range(0, 65)) AS k)),
+u AS (SELECT doc_id, source, j, CAST(('0x' || left(md5('mix-1:' || doc_id || ':' || j), 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM documents JOIN p USING (source), LATERAL (SELECT unnest(range(1, parts + 1)) AS j)),
+n AS (SELECT doc_id, CAST(count(k) AS INTEGER) AS n_copies FROM u LEFT JOIN c ON u.source = c.source AND cdf <= u GROUP BY doc_id),
+x AS (SELECT d.doc_id, d.source, d.text, rate, n_copies, CAST(unnest(range(0, n_copies)) AS INTEGER) AS copy FROM documents d JOIN p USING (source) JOIN n USING (doc_id))
+SELECT *, CAST(('0x' || left(md5('mix-1:' || doc_id || ':copy:' || copy), 15)) AS BIGINT) AS shuffle_key FROM x""",
+}
