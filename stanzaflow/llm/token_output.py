@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from .token_count import tokenizer_path
 
 END_ID = 2
 BLOCK_IDS = 262_144  # a block is closed once it holds so many ids
-MEMO_SIZE = 700_000  # words whose ids a worker keeps before it starts afresh
+MEMO_SIZE = 1_500_000  # words (about 200 bytes each) whose ids a worker keeps before it starts afresh
 #: Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -64,7 +65,6 @@ class TextEncoder:
         self.by_word = self._borders(self.tokenizer.to_str())
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
 
     @staticmethod
     def _borders(description: str) -> bool:
@@ -100,21 +100,38 @@ class TextEncoder:
         found.update(zip(rest, self._ids(rest)))
         return found
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned ids of each text, ``self.kind`` wide."""
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned ids of each text, ``self.kind`` wide.
+
+        Arrow cuts the texts into words and numbers the distinct ones; those are looked up or learned, and
+        numpy puts their ids together for all texts at once.
+        """
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self._ids([t or "" for t in texts])
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
+            return self._ids(texts.to_pylist())
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        cells = self._learned(coded.dictionary.to_pylist())
+        width = int(self.kind[-1])
+        size = np.fromiter(map(len, cells), np.int64, len(cells)) // width
+        first = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(cells), self.kind)[place]
+        borders = ends[words.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
+
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from memory where they have been met before."""
         if len(self.memo) >= MEMO_SIZE:
             self.memo.clear()
-            self.stems.clear()
-        memo, stems = self.memo, self.stems
-        new = {w for ws in words for w in set(ws).difference(memo)}
-        parts = {w: self._stem(w) for w in new}
-        unseen = list({stem for stem, _ in parts.values()}.union(".,").difference(stems))
-        stems.update(self._stem_ids(unseen))
-        memo.update((w, stems[stem] + stems[mark] if mark else stems[stem]) for w, (stem, mark) in parts.items())
-        return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+        memo = self.memo
+        parts = {w: self._stem(w) for w in words if w not in memo}
+        memo.update(self._stem_ids(list({stem for stem, _ in parts.values()}.union(".,").difference(memo))))
+        memo.update((w, memo[stem] + memo[mark] if mark else memo[stem]) for w, (stem, mark) in parts.items())
+        return [memo[w] for w in words]
 
     @staticmethod
     def _stem(word: str) -> tuple[str, str]:
@@ -151,8 +168,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> D
         encoder = _encoder(tokenizer)
         end = np.asarray([end_id], encoder.kind).tobytes()
         for whole in batches:
-            for batch in _slices(whole, 256):
-                ids = [x + end for x in encoder.encode(batch.column(1).cast(pa.string()).to_pylist())]
+            for batch in _slices(whole, 512):
+                ids = [x + end for x in encoder.encode(batch.column(1).cast(pa.string()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
