@@ -40,6 +40,11 @@ MEMO_SIZE = 1_500_000  # words (about 200 bytes each) whose ids a worker keeps b
 #: Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Texts with these may change their words when ASCII letters are lower-cased before the normaliser, or are cut before marks: a
+#: letter beyond Latin-1, a sign between U+0080 and U+00BF, or the start of a special token.
+UNUSUAL = r"[^\x00-\x7F\x{C0}-\x{FF}]|<\|"
+#: A run of signs in other texts; the tokenizer always cuts before one.
+MARKS = r"[^\s0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)  # of a control byte's four ids
 
 
@@ -90,13 +95,20 @@ class TextEncoder:
         code = "H" if self.kind == "<u2" else "I"  # little-endian machines, as Spark's Arrow exchange assumes
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stem_ids(self, stems: list[str]) -> dict[str, bytes]:
-        """Ids of stems; a plain word of Latin-1 letters goes straight to the library's merges, spelled as its byte-level alphabet spells it."""
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words; a plain word goes straight to the library's merges, spelled as its byte-level alphabet spells it."""
         code = "H" if self.kind == "<u2" else "I"
-        plain = [s for s in stems if s.isalpha() and max(s) <= "\xff"]
         tokenize = self.tokenizer.model.tokenize
-        found = {s: array(code, [t.id for t in tokenize(s.lower().encode().decode("latin-1").translate(BYTE_ALPHABET))]).tobytes() for s in plain}
-        rest = [s for s in stems if s not in found]
+        found, rest = {}, []
+        for w in words:
+            if not w.isalpha():
+                rest.append(w)
+            elif w.isascii():
+                found[w] = array(code, [t.id for t in tokenize(w.lower())]).tobytes()
+            elif max(w) <= "\xff":
+                found[w] = array(code, [t.id for t in tokenize(w.lower().encode().decode("latin-1").translate(BYTE_ALPHABET))]).tobytes()
+            else:
+                rest.append(w)
         found.update(zip(rest, self._ids(rest)))
         return found
 
@@ -109,6 +121,9 @@ class TextEncoder:
         texts = pc.fill_null(texts, "")
         if not self.by_word:
             return self._ids(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        usual = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r" \0")
+        texts = pc.if_else(odd, texts, usual)
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         cells = self._learned(coded.dictionary.to_pylist())
@@ -128,21 +143,9 @@ class TextEncoder:
         if len(self.memo) >= MEMO_SIZE:
             self.memo.clear()
         memo = self.memo
-        parts = {w: self._stem(w) for w in words if w not in memo}
-        memo.update(self._stem_ids(list({stem for stem, _ in parts.values()}.union(".,").difference(memo))))
-        memo.update((w, memo[stem] + memo[mark] if mark else memo[stem]) for w, (stem, mark) in parts.items())
+        memo.update(self._word_ids([w for w in words if w not in memo]))
         return [memo[w] for w in words]
 
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        """A word without a final stop or comma, if that mark is a token of its own; ASCII letters lower-cased, as the normaliser does."""
-        mark = word[-1:]
-        if mark in (".", ",") and word[-2:-1].isalnum() and word[-2] <= "\xff":  # Latin-1 letters stay one letter when normalised
-            word = word[:-1]
-        else:
-            mark = ""
-        return (word.lower() if word.isascii() and word.isalpha() else word), mark
-
 
 _encoders: dict[str, TextEncoder] = {}
 
