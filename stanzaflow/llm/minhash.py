@@ -76,6 +76,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(total)
 
 
+def _forget() -> None:
+    """Give a finished task's memory back: the worker goes on to serve other operators."""
+    _word_hash.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _windows() -> np.ndarray:
     """The shifted permutation: row p holds the table values p, p + 1, ... places round the ring."""
     if not _table:
@@ -112,6 +118,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 bands.append(band_hashes(s) if len(s) else None)
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fingerprint", "bands"])
+        _forget()
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return slim.mapInArrow(sketched, "doc_id bigint, n_shingles bigint, fingerprint binary, bands array<bigint>")
@@ -128,6 +135,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["rep", "shingles"])
+        _forget()
 
     return chosen.mapInArrow(made, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
