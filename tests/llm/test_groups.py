@@ -153,6 +153,38 @@ def test_shards_are_even_gapless_and_together(spark, docs_of):
     assert len(few) == 5 and all(x["slot"] == 0 for x in few) and sharding.assign_shards(docs_of([])).count() == 0
 
 
+def shards_of_groups(got, quota):
+    """For each group of several rows: the shards it is in, and the fewest its size needs."""
+    groups = {}
+    for x in got:
+        groups.setdefault(x["grp"], []).append(x["shard"])
+    return [(len(set(v)), -(-len(v) // quota)) for v in groups.values() if len(v) > 1]
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+@pytest.mark.parametrize("copies", ["pairs", "nearly a shard", "over a shard", "many sizes"])
+def test_shards_cut_no_group_that_fits(spark, monkeypatch, few, copies):
+    monkeypatch.setattr(sharding, "FEW", few, raising=False)
+    texts = {
+        "pairs": [f"p{i // 2}" for i in range(3200)],
+        "nearly a shard": [f"b{i // 78}" for i in range(3120)] + [f"s{i}" for i in range(80)],
+        "over a shard": [f"b{i // 155}" for i in range(3100)] + [f"s{i}" for i in range(100)],
+        "many sizes": [f"g{i * i % 977}" for i in range(2800)] + [f"s{i}" for i in range(400)],
+    }[copies]
+    got = sharding.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(3200))
+    assert sorted((x["shard"], x["slot"]) for x in got) == [(t, k) for t in range(40) for k in range(80)]
+    assert all(there == fewest for there, fewest in shards_of_groups(got, 80))
+
+
+def test_shards_settle_many_small_groups_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FEW", 50, raising=False)
+    texts = [f"p{i // 2}" for i in range(6000)] + [f"t{i // 3}" for i in range(6000)]
+    got = sharding.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert sorted((x["shard"], x["slot"]) for x in got) == [(t, k) for t in range(40) for k in range(300)]
+    assert sum(there > fewest for there, fewest in shards_of_groups(got, 300)) <= 39  # a shard filled to the last row for each cut
+
+
 def test_sharded_texts_are_whole(spark, docs_of):
     got = sharding.shard_documents(docs_of(AWKWARD))
     assert got.columns == [*docs_of(AWKWARD).columns, "shard", "slot"]
