@@ -18,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (operator 4)."""
-    return minhash.drop_near_duplicates(docs, 85)
+    """Keep one document of each group of near duplicates of 80 per cent or more (operator 4, whose own query takes 85)."""
+    return minhash.drop_near_duplicates(docs, 80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

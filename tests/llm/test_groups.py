@@ -271,3 +271,15 @@ def test_pipeline_stages(spark, sf_dir):
     first = p.STAGES[0][1](spark, docs, sf_dir)
     assert first.join(toxic, "doc_id").count() == 0 and sizes[0] >= 0.8 * docs.count()
     assert sizes[4] == sizes[3] and p.run(spark, sf_dir).count() == sizes[4]
+
+
+def test_pipeline_drops_pairs_from_80_per_cent(spark, docs_of, sf_dir):
+    import corpus_pipeline as p
+
+    def pair(i, n):  # one word of n + 4 is changed: 5 of n shingles differ on each side
+        words = [f"w{i}_{k}" for k in range(n + 4)]
+        return [(i, " ".join(words), "en", "s"), (i + 1, " ".join([*words[:20], "other", *words[21:]]), "en", "s")]
+
+    rows = pair(10, 45) + pair(20, 50) + pair(30, 60) + pair(40, 40)  # Jaccard 0.800, 0.818, 0.846, 0.778
+    kept = dict(p.STAGES)["near_duplicates"](spark, docs_of(rows), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10, 20, 30, 40, 41]
