@@ -6,8 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+HOT_KEYS = 4096  # a key is hot if it holds more than this part of all rows, so there are no more hot keys than that
+HOT_ROWS = 512  # and no key with fewer rows is hot
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; the path may be in any store Spark can read."""
@@ -17,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a temporary folder made.
+    Only where the setting is absent on a single machine is a temporary folder made; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="stanzaflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -50,11 +56,46 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have in any case: ``name``, with lines added behind it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns whose names (in any case) the operator is about to write."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def text_or_empty(df: DataFrame, column: str = "text"):
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+def join_hot(left: DataFrame, right: DataFrame, key: list[str], by: str, sizes: DataFrame, total: int, size: str = "size") -> DataFrame:
+    """Inner join on ``key`` in which hot keys of ``left`` don't land in one task.
+
+    ``sizes`` tells by key, in the column ``size``, how many of the ``total`` left rows have it.  A key with more than 1 / ``HOT_KEYS`` of
+    them is dealt over several tasks by a hash of the column ``by``, and its right rows are sent to each.  The table of hot
+    keys is broadcast; it has ``HOT_KEYS`` rows at most, whatever the input.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    parts = cut(sizes.filter(F.col(size) > bound).select(*key, F.ceil(F.col(size) / bound).cast("int").alias("_parts")))
+    if not parts.take(1):
+        return left.join(right, key)
+    number = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(F.broadcast(parts), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), number).cast("int")).drop("_parts")
+    copies = right.join(F.broadcast(parts), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
+    return dealt.join(copies, [*key, "_part"]).drop("_part")
+
+
+def first_by_hash(rows: DataFrame, group: str, n: int, by: str = "doc_id") -> DataFrame:
+    """The ``n`` rows of each group with the smallest hash of ``by``, as ``by, group``.
+
+    Groups are counted first, and only rows whose hash is small enough to be among one and a half times as many go on,
+    so no task gets more than that of a group, however large it is.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(1.5 * n) / F.col("_n"))
+    small = F.col("_hash") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+    near = rows.select(by, group, F.xxhash64(by).alias("_hash")).join(F.broadcast(counts), group).filter(small)
+    place = F.row_number().over(W.partitionBy(group).orderBy("_hash", by))
+    return near.withColumn("_place", place).filter(F.col("_place") <= n).select(by, group)
