@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+# every alternative ends at the end of the page at the latest, so no reading starts twice at one place
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)")
+_VALUE = re.compile(r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*))")
+_TAG_END = re.compile(r"[\s/]*(?:>|\Z)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # fixed values of the HTML standard
@@ -61,13 +63,14 @@ N_FEATURES = len(TAG_GROUPS) + len(TOKEN_GROUPS) + 22
 class Node:
     """A block element, or a run of text beside block elements (tag ``#text``)."""
 
-    __slots__ = ("tag", "tokens", "parent", "children", "depth", "runs", "link", "truth", "order", "controls", "length", "link_length", "paragraphs", "items", "stops")
+    __slots__ = ("tag", "tokens", "parent", "children", "depth", "runs", "link", "truth", "order", "controls", "length", "link_length", "paragraphs", "items", "stops", "place", "alike")
 
     def __init__(self, tag: str, tokens: frozenset[int], parent: Node | None, truth: int | None = None):
         self.tag, self.tokens, self.parent, self.truth = tag, tokens, parent, truth
         self.children: list[Node] = []
         self.runs: list[str] = []
-        self.link = self.controls = 0
+        self.link = self.controls = self.place = 0
+        self.alike = 1
         self.depth = parent.depth + 1 if parent else 0
         if parent:
             parent.children.append(self)
@@ -76,29 +79,61 @@ class Node:
         return " ".join("".join(self.runs).split())
 
 
-def _attributes(raw: str) -> tuple[frozenset[int], int | None]:
-    found, truth = set(), None
-    if raw and not raw.isspace():
-        for name, a, b, c in _ATTR.findall(raw):
-            key = name.lower()
-            if key in ("class", "id", "role", "itemprop", "aria-label"):
-                for w in _WORD.findall(a or b or c):
-                    k = _TOKENS_OF.get(w.lower())
-                    if k is not None:
-                        found.add(k)
-            elif key == "data-truth":
-                truth = int(a or b or c)
-    return frozenset(found), truth
+_NO_TOKENS: frozenset[int] = frozenset()
 
 
-_NO_TOKENS: frozenset[int] = frozenset()
+def _attributes(html: str, at: int) -> tuple[int, frozenset[int], str | None, bool]:
+    """What follows a tag's name: the place behind the tag, the groups of its tokens, its truth, and whether ``/`` ends it.
+
+    A value in quotes may hold ``>``; a quote that is never closed is an ordinary character.
+    """
+    found, truth = _NO_TOKENS, None
+    while not (done := _TAG_END.match(html, at)):
+        m = _NAME.match(html, at)
+        key, at = m[1].lower(), m.end()
+        m = _VALUE.match(html, at)
+        value = ""
+        if m:
+            value, at = m[1] or m[2] or m[3] or "", m.end()
+        if key in ("class", "id", "role", "itemprop", "aria-label"):
+            found |= {_TOKENS_OF[w] for w in map(str.lower, _WORD.findall(value)) if w in _TOKENS_OF}
+        elif key == "data-truth":
+            truth = value
+    return done.end(), found, truth, html[done.start() : done.end()].rstrip(">").endswith("/")
+
+
+class _Open:
+    """The open elements: (tag, node that holds their text, hidden, link), found by tag without a search."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node, bool, bool]] = [("html", root, False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, tag: str, node: Node, hidden: bool, link: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node, hidden, link))
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these kinds, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_to(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > max(1, place):
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
 
 
 def parse(html: str) -> Node:
-    """The tree of block elements of a page; text lies in leaves."""
+    """The tree of block elements of a page; text lies in leaves.  Time is linear in the page, whatever its markup."""
     root = Node("html", _NO_TOKENS, None)
-    # open elements: (tag, node that holds their text, hidden, link)
-    stack: list[tuple[str, Node, bool, bool]] = [("html", root, False, False)]
+    opened = _Open(root)
+    stack = opened.stack
     text_at: dict[int, Node] = {}
     at, end = 0, len(html)
 
@@ -119,7 +154,7 @@ def parse(html: str) -> Node:
         if link:
             node.link += len(run.strip())
 
-    def open_block(tag: str, attrs: str, hidden: bool) -> Node:
+    def open_block(tag: str, tokens: frozenset[int], truth: str | None) -> Node:
         holder = stack[-1][1]
         if holder.runs:  # the text so far stands beside a block now
             moved = Node("#text", _NO_TOKENS, holder)
@@ -127,11 +162,7 @@ def parse(html: str) -> Node:
             if not "".join(moved.runs).strip():
                 holder.children.pop()
         text_at.pop(id(holder), None)
-        tokens, truth = _attributes(attrs)
-        return Node(tag, tokens, holder, truth)
-
-    def close_to(depth: int) -> None:
-        del stack[max(1, depth) :]
+        return Node(tag, tokens, holder, {"0": 0, "1": 1}.get(truth))
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -145,35 +176,25 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        at, tokens, truth, closed = _attributes(html, at)
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    holder = stack[depth - 1][1]
-                    close_to(depth)
-                    if tag in BLOCK:
-                        text_at.pop(id(holder), None)
-                    break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break  # an inline end tag doesn't end blocks
+            place = opened.last(tag)
+            if place and (tag in BLOCK or place > opened.blocks[-1]):  # an inline end tag doesn't end blocks
+                holder = stack[place - 1][1]
+                opened.close_to(place)
+                if tag in BLOCK:
+                    text_at.pop(id(holder), None)
             continue
-        if tag in ("html", "body") and any(s[0] == tag for s in stack[1:]) or tag == "html":
+        if tag == "html" or tag == "body" and opened.last("body"):
             continue
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    close_to(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
+        if tag in CLOSES_P and stack[opened.blocks[-1]][0] == "p":
+            opened.close_to(opened.blocks[-1])
         if tag in ENDS:
             kinds, borders = ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in kinds:
-                    close_to(depth)
-                    break
-                if stack[depth][0] in borders:
-                    break
-        top, node, hidden, link = stack[-1]
+            place = opened.last(*kinds)
+            if place > opened.last(*borders):
+                opened.close_to(place)
+        _, node, hidden, link = stack[-1]
         if tag in CONTROLS:
             node.controls += 1
         if tag in VOID:
@@ -182,20 +203,18 @@ def parse(html: str) -> Node:
                 if tag == "hr":
                     text_at.pop(id(node), None)
             continue
-        closed = m["attrs"].endswith("/") and tag not in BLOCK
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
             if tag == "textarea":
                 node.controls += 1
-            at = stop.end()
+            at = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(html, at).end()
             continue
-        if closed:
+        if closed and tag not in BLOCK:
             continue
         hide = hidden or tag in HIDDEN
         if tag in BLOCK and not hide:
-            stack.append((tag, open_block(tag, m["attrs"], hide), hide, link))
+            opened.push(tag, open_block(tag, tokens, truth), hide, link)
         else:
-            stack.append((tag, node, hide, link or tag == "a"))
+            opened.push(tag, node, hide, link or tag == "a")
     return root
 
 
@@ -208,6 +227,9 @@ def annotate(root: Node) -> list[Node]:
         node.order = len(nodes)
         nodes.append(node)
         todo.extend(reversed(node.children))
+        kinds = Counter(c.tag for c in node.children)
+        for k, c in enumerate(node.children):
+            c.place, c.alike = k, kinds[c.tag]
     for node in reversed(nodes):
         own = "".join(node.runs)
         node.length, node.link_length, node.stops = len(own.strip()), node.link, own.count(".") + own.count(",") + own.count("!") + own.count("?")
@@ -222,10 +244,9 @@ def annotate(root: Node) -> list[Node]:
     return nodes
 
 
-def features(nodes: list[Node]) -> list[list[float]]:
+def features(nodes: list[Node]) -> Iterator[list[float]]:
     """One row for each node: kind, attribute tokens, subtree density, depth and sibling statistics."""
-    total = max(1, nodes[0].length)
-    rows: list[list[float]] = []
+    total = max(1, nodes[0].length) if nodes else 1
     context: list[tuple[int, int, int, int]] = []  # article, boilerplate tag, content tokens, boilerplate tokens above
     width = len(TAG_GROUPS)
     log = math.log1p
@@ -247,9 +268,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
                 d or int(bool(parent.tokens & _BOILER_TOKENS)),
             )
         context.append(up)
-        siblings = parent.children if parent else [node]
-        n = len(siblings)
-        place = siblings.index(node) if n < 64 else min(63, node.order - siblings[0].order)
+        n = len(parent.children) if parent else 1
         length, links = node.length, min(node.link_length, node.length)
         i = width + len(TOKEN_GROUPS)
         row[i : i + 22] = [
@@ -263,9 +282,9 @@ def features(nodes: list[Node]) -> list[list[float]]:
             float(min(node.depth, 20)),
             log(len(node.children)),
             log(n),
-            place / n,
-            float(place == 0),
-            sum(s.tag == node.tag for s in siblings[:64]) / min(n, 64),
+            node.place / n,
+            float(node.place == 0),
+            node.alike / n,
             log(node.paragraphs),
             log(node.items),
             log(node.controls),
@@ -273,5 +292,4 @@ def features(nodes: list[Node]) -> list[list[float]]:
             log(parent.paragraphs if parent else node.paragraphs),
             float(length == 0),
         ]
-        rows.append(row)
-    return rows
+        yield row

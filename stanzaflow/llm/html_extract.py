@@ -13,12 +13,16 @@ Text of a kept leaf: character references decoded, white space turned into singl
 are joined by a line end in page order.
 
 Defined cases: null and empty pages give an empty text; pages without markup are one block of text; broken
-and unclosed markup is read as browsers do in the usual cases; scripts, styles, forms' controls, comments
-of the markup and head elements never give text; equal pages give equal texts; extra columns aren't read.
+and unclosed markup is read as browsers do in the usual cases, in time linear in the page; attributes may be
+malformed or repeated, a quote that is never closed is an ordinary character, and a tag that is open at the end
+of the page is dropped; scripts, styles, forms' controls, comments of the markup and head elements never give text; equal
+pages and repeated rows give equal texts; ids may be null; pages of any length are read whole; an empty table
+gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +35,31 @@ from .html_pages import generated_pages
 
 TRAIN_PAGES = 1200
 PAGES_AT_ONCE = 64
+CHARS_AT_ONCE = 2_000_000
+NODES_AT_ONCE = 8192
 LIMIT = 8.0  # bound of a node's log odds, so that one node can't outweigh a whole branch
 
 _trained: list[boost.BoostedTrees] = []
 
 
+def wanted_nodes(nodes: list[dom.Node]) -> list[int]:
+    """For each node of a generated page: does its subtree hold wanted text?"""
+    truth = [0] * len(nodes)
+    for n in nodes:
+        truth[n.order] = n.truth if n.truth is not None else truth[n.parent.order] if n.parent else 0
+    for n in reversed(nodes):
+        own = bool(n.runs) and n.length > 0
+        truth[n.order] = int((truth[n.order] and (own or not n.children)) or any(truth[c.order] for c in n.children))
+    return truth
+
+
 def labelled_nodes(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and targets of all nodes of generated pages: does the subtree hold wanted text?"""
+    """Features and targets of all nodes of generated pages."""
     rows, wanted = [], []
     for html in pages:
         nodes = dom.annotate(dom.parse(html))
-        truth = [0] * len(nodes)
-        for n in nodes:
-            truth[n.order] = n.truth if n.truth is not None else truth[n.parent.order] if n.parent else 0
-        for n in reversed(nodes):
-            own = bool(n.runs) and n.length > 0
-            truth[n.order] = int((truth[n.order] and (own or not n.children)) or any(truth[c.order] for c in n.children))
         rows += dom.features(nodes)
-        wanted += truth
+        wanted += wanted_nodes(nodes)
     return np.array(rows), np.array(wanted, float)
 
 
@@ -76,11 +87,27 @@ def kept_blocks(nodes: list[dom.Node], odds: np.ndarray) -> list[str]:
     return out
 
 
+def node_odds(pages: list[list[dom.Node]], trees: boost.BoostedTrees) -> np.ndarray:
+    """Log odds of the nodes of all pages, one page after the other; features are held for ``NODES_AT_ONCE`` nodes at a time."""
+    out, flat = [], array("d")
+
+    def flush() -> None:
+        out.append(trees.log_odds(np.frombuffer(flat.tobytes()).reshape(-1, dom.N_FEATURES)))
+        del flat[:]
+
+    for nodes in pages:
+        for row in dom.features(nodes):
+            flat.extend(row)
+            if len(flat) >= NODES_AT_ONCE * dom.N_FEATURES:
+                flush()
+    flush()
+    return np.concatenate(out)
+
+
 def main_texts(pages: list[str | None], trees: boost.BoostedTrees) -> list[str]:
     """The main text of each page."""
     parsed = [dom.annotate(dom.parse(html)) if html else [] for html in pages]
-    rows = [r for nodes in parsed for r in dom.features(nodes)] if any(parsed) else []
-    odds = trees.log_odds(np.array(rows)) if rows else np.zeros(0)
+    odds = node_odds(parsed, trees)
     out, at = [], 0
     for nodes in parsed:
         out.append("\n".join(kept_blocks(nodes, odds[at : at + len(nodes)])) if nodes else "")
@@ -88,6 +115,19 @@ def main_texts(pages: list[str | None], trees: boost.BoostedTrees) -> list[str]:
     return out
 
 
+def _in_parts(cells: pa.Array) -> Iterator[list[str | None]]:
+    """The pages of a batch, some at a time: up to ``PAGES_AT_ONCE``, fewer if they are long."""
+    held, size = [], 0
+    for cell in cells:
+        held.append(cell.as_py())
+        size += len(held[-1] or "")
+        if len(held) == PAGES_AT_ONCE or size >= CHARS_AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def extract_text(pages: DataFrame, trees: boost.BoostedTrees | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``; one narrow pass."""
     shared = pages.sparkSession.sparkContext.broadcast(trees or model())
@@ -96,10 +136,11 @@ def extract_text(pages: DataFrame, trees: boost.BoostedTrees | None = None) -> D
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for whole in batches:
-            for i in range(0, whole.num_rows, PAGES_AT_ONCE):
-                batch = whole.slice(i, PAGES_AT_ONCE)
-                texts = main_texts(batch.column(2).to_pylist(), trees)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            at = 0
+            for part in _in_parts(whole.column(2)):
+                batch = whole.slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(main_texts(part, trees), pa.string())], ["page_id", "url", "text"])
 
     found = pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(extracted, schema)
     return found.withColumn("n_chars", F.char_length("text").cast("bigint"))

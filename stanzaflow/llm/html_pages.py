@@ -112,7 +112,7 @@ class _Writer:
         elif roll < 0.3:
             heading = ""
         parts.append(heading)
-        for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 14, 25])):
+        for _ in range(self.r.choice([1, 1, 2, 3, 5, 8, 14, 25]) if self.r.random() < 0.97 else self.r.randint(65, 160)):
             roll = self.r.random()
             if roll < 0.82:
                 parts.append(self.paragraph())
