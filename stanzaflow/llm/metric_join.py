@@ -11,12 +11,16 @@ Large cells are cut into blocks of home vectors by blocks of all vectors, a task
 so no task holds a whole cell.  A task returns a link count for each home vector and a spanning forest
 of the links, never the list of pairs.  Equal vectors of a label are folded into one with a weight first.
 
-At most ``MAX_PIVOTS`` pivots a label are chosen by a hash of the id, so the broadcast is bounded; with
-more vectors the cells grow and are cut into more blocks.
+At most ``MAX_PIVOTS`` pivots a label and ``ALL_PIVOTS`` of all labels are chosen by a hash of the id, so the broadcast is
+bounded; with more vectors the cells grow and are cut into more blocks.
+
+Vectors are first multiplied by a power of two that brings their largest component near 1.  That changes no cosine, and no
+finite vector is so large or small that its length overflows or vanishes.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those
-without a label, link with nothing; vectors of different lengths link with nothing; repeated rows
-link with each other; an empty table gives an empty result; extra columns aren't read.
+without a label or a vec_id, link with nothing; vectors of different lengths link with nothing; repeated rows
+link with each other; rows that share a vec_id but not their vector are linked each by its own vector, and a component's id
+is its smallest vec_id; an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, cut, join_hot
 from .graph import components
 
 COSINE = 0.98
 CELL = 2048  # vectors of a label for each pivot
 MAX_PIVOTS = 256  # of a label and length
+ALL_PIVOTS = 16_384
 BLOCK = 2048
 STRIP = 256
 MARGIN = 1e-9  # added to the bound for rounding
@@ -49,7 +54,8 @@ def _valid(vectors: DataFrame) -> DataFrame:
             for label, vec in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ok = label is not None and vec and None not in vec
                 v = np.array(vec, np.float64) if ok else np.zeros(0)
-                cells.append((v + 0.0).tobytes() if ok and np.isfinite(v).all() and v.any() else None)
+                ok = ok and bool(np.isfinite(v).all() and v.any())
+                cells.append((np.ldexp(v, -np.frexp(np.abs(v).max())[1]) + 0.0).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["vec_id", "label", "vec"])
 
     slim = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>"))
@@ -68,7 +74,10 @@ def _pivots(folded: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Unit pivots by label and length; a label with few vectors has none and is one cell."""
     size = F.octet_length("vec")
     counts = folded.groupBy("label", size.alias("size")).agg(F.count("*").alias("n")).withColumn("wanted", F.least(F.floor(F.col("n") / CELL), F.lit(MAX_PIVOTS)))
-    counts = counts.filter("wanted > 1").withColumnsRenamed({"label": "_label", "size": "_size"})
+    counts = cut(counts.filter("wanted > 1").withColumnsRenamed({"label": "_label", "size": "_size"}))  # a row for each CELL vectors at most
+    every = counts.agg(F.sum("wanted")).first()[0] or 0
+    if every > ALL_PIVOTS:
+        counts = counts.withColumn("wanted", F.floor(F.col("wanted") * ALL_PIVOTS / every)).filter("wanted > 1")
     near = (F.col("label") == F.col("_label")) & (size == F.col("_size"))
     chance = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < F.col("wanted") / F.col("n") * F.lit(float(1 << 30))
     found: dict[tuple[str, int], list[bytes]] = {}
@@ -158,14 +167,23 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
     rows = Stored(_valid(vectors), "vectors")
     good = rows.df.filter("vec is not null and vec_id is not null")
-    folded = Stored(good.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "folded")
+    classes = good.groupBy("label", "vec").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    repeated = bool(good.groupBy("vec_id").count().filter("count > 1").take(1))
+    if repeated:  # the smallest id doesn't tell classes apart: they are numbered in its order
+        order = ["first", "label", "vec"]
+        parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        classes = classes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id())
+    else:
+        classes = classes.withColumn("rep", F.col("first"))
+    folded = Stored(classes, "folded")
     cells = Stored(_placed(folded.df, _pivots(folded.df), reach), "cells")
 
     key = ["label", "size", "cell"]
-    blocks = cells.df.groupBy(*key).agg(
-        F.greatest(F.ceil(F.count_if("home") / BLOCK), F.lit(1)).cast("int").alias("home_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks")
+    sizes = cut(cells.df.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count("*").alias("n")))
+    blocks = sizes.select(
+        *key, F.greatest(F.ceil(F.col("homes") / BLOCK), F.lit(1)).cast("int").alias("home_blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks")
     )
-    dealt = cells.df.join(blocks, key)
+    dealt = join_hot(cells.df, blocks, key, "rep", sizes, cells.df.count(), "n")
     number = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.filter("home").withColumn("i", number("home_blocks", 1)).withColumn("j", up_to("all_blocks")).withColumn("side", F.lit(0))
@@ -175,13 +193,16 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     joined = Stored(both.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _join_blocks(pdf, cosine), "rep bigint, n bigint, to bigint"), "links")
 
     degree = joined.df.groupBy("rep").agg(F.sum("n").alias("n"))
-    comp = components(joined.df.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v")))
+    comp = cut(components(joined.df.filter("to is not null").select(F.col("rep").alias("u"), F.col("to").alias("v"))))
+    if repeated:
+        comp = comp.join(folded.df.select(F.col("rep").alias("component"), "first"), "component").select("node", F.col("first").alias("component"))
+    cells.drop()
     found = (
         folded.df.join(degree, "rep", "left")
         .join(comp, F.col("rep") == F.col("node"), "left")
         .select(
             F.col("label").alias("_label"), F.col("vec").alias("_vec"),
-            (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"),
+            (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "first").alias("component"),
         )
     )
     whole = rows.df.join(found, (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")) & F.col("vec_id").isNotNull(), "left")
