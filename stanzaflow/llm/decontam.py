@@ -7,12 +7,14 @@ array, its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix pos
 of the benchmark are searched backwards at once; occurrences are located by stepping to sampled
 positions, and overlapping occurrences are merged into removal spans.
 
-The benchmark is held in blocks of bounded size, broadcast one by one, so its size isn't limited.
+The benchmark is held in blocks of bounded size.  Each has a pass of its own over the documents, whose hits are stored, so
+its size isn't limited and a worker holds one block.
 
 Defined cases: a null or wordless document has no words and is clean; a null or wordless item has no
 window; items with equal ids count as one; windows shared by items count for each; a document is
-searched whole whatever its length; an empty benchmark leaves all documents clean; extra columns of
-either table are not read.
+searched whole whatever its length; repeated rows and repeated ids are searched each, and a null doc_id is kept; an empty
+benchmark leaves all documents clean; an empty table gives an empty result; extra columns of either table are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stored
+
 WINDOW = 10
 SHARD_BYTES = 8 << 20  # text of a shard; a longer document is a shard of its own
 SAMPLE = 8  # every so many-th text position is kept with its suffix
@@ -42,28 +46,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 # ---------------------------------------------------------------- the index
 
+class Bits:
+    """A packed row of bits with the ones before each word of 64, to count ones before many places at once."""
+
+    def __init__(self, bits: np.ndarray):
+        self.n = len(bits)
+        packed = np.packbits(bits.astype(bool), bitorder="little")
+        self.words = np.zeros(self.n // 64 + 1, "<u8")
+        self.words.view(np.uint8)[: len(packed)] = packed
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.before = (np.cumsum(ones) - ones).astype(np.int32 if self.n < 1 << 31 else np.int64)
+        self.total = int(ones.sum())
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        low = self.words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+        return self.before[word].astype(np.int64) + np.bitwise_count(low)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """Is the bit at each place set?"""
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, for many queries at once."""
+    """Ranks of symbols in a sequence, for many queries at once; one row of packed bits for each bit of the symbols."""
 
     def __init__(self, symbols: np.ndarray, sigma: int):
         self.n = len(symbols)
         self.bits = max(1, int(sigma - 1).bit_length())
-        self.ones, self.zeros = [], []
+        self.levels: list[tuple[Bits, int]] = []  # with the number of zeros
         seq = symbols
         for level in range(self.bits - 1, -1, -1):
             bit = (seq >> level) & 1
-            before = np.zeros(self.n + 1, np.int32)
-            np.cumsum(bit, out=before[1:])
-            self.ones.append(before)
-            self.zeros.append(self.n - int(before[-1]))
+            row = Bits(bit)
+            self.levels.append((row, self.n - row.total))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before the given place."""
         lo, hi = np.zeros_like(at), at.copy()
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros)):
+        for k, (row, zeros) in enumerate(self.levels):
             bit = (symbol >> (self.bits - 1 - k)) & 1 == 1
-            a, b = ones[lo], ones[hi]
+            a, b = row.ones(lo), row.ones(hi)
             lo = np.where(bit, zeros + a, lo - a)
             hi = np.where(bit, zeros + b, hi - b)
         return hi - lo
@@ -71,9 +96,8 @@ class WaveletMatrix:
     def symbol_and_rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each place, and how often it stands before it."""
         lo, place, symbol = np.zeros_like(at), at.copy(), np.zeros_like(at)
-        for ones, zeros in zip(self.ones, self.zeros):
-            a, b = ones[lo], ones[place]
-            bit = ones[place + 1] > b
+        for row, zeros in self.levels:
+            a, b, bit = row.ones(lo), row.ones(place), row.get(place)
             symbol = symbol * 2 + bit
             lo = np.where(bit, zeros + a, lo - a)
             place = np.where(bit, zeros + b, place - b)
@@ -112,7 +136,8 @@ class FMIndex:
         self.matrix = WaveletMatrix(symbols[order - 1], sigma)
         # positions are kept at every SAMPLE-th place and at each start of a stretch, so that no step crosses a border
         kept = (order % SAMPLE == 0) | (symbols[order - 1] == 0)
-        self.at = np.where(kept, order, -1)
+        self.kept = Bits(kept)
+        self.at = order[kept].astype(np.int32 if n < 1 << 31 else np.int64)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of patterns (a row each, all of one length), by backward search."""
@@ -133,9 +158,9 @@ class FMIndex:
         place, steps = np.empty(len(rows), np.int64), np.zeros(len(rows), np.int64)
         todo, rows = np.arange(len(rows)), rows.copy()
         while len(todo):
-            at = self.at[rows[todo]]
-            found = at >= 0
-            place[todo[found]] = at[found] + steps[todo[found]]
+            found = self.kept.get(rows[todo])
+            done = todo[found]
+            place[done] = self.at[self.kept.ones(rows[done])] + steps[done]
             todo = todo[~found]
             symbol, rank = self.matrix.symbol_and_rank(rows[todo])
             rows[todo] = self.before[symbol] + rank
@@ -235,13 +260,27 @@ def _blocks(benchmark: DataFrame) -> list:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, items, spans`` for each row of ``docs(doc_id, text)``.
 
-    ``spans`` are merged ranges of word positions (first, and one past the last).  One narrow pass:
-    the documents aren't shuffled.
+    ``spans`` are merged ranges of word positions (first, and one past the last).  A narrow pass for each block of the
+    benchmark, most often one: the documents aren't shuffled.  The index of a shard stands over the stretches of words
+    that some benchmark item has; no window can lie outside them.
     """
     blocks = _blocks(benchmark)
+    first = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_search(blocks[0], width), SCHEMA)
+    if len(blocks) == 1:
+        return first
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    hits = _hits(own, blocks, width).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "items", "spans")
+    counted = own.mapInArrow(_counted, "doc_id bigint, content bigint, n_words bigint")
+    found = counted.join(hits, counted["doc_id"].eqNullSafe(hits["_id"]) & (F.col("content") == F.col("_content")), "left")
+    empty = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("items", "spans")]
+    return found.select("doc_id", "n_words", *empty)
+
+
+def _search(block, width: int):
+    """A function of Arrow batches ``doc_id, text`` that finds a block's windows."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, texts, items, spans in _searched(batches, 1, blocks, width):
+        for shard, texts, items, spans in _searched(batches, 1, block, width):
             columns = [
                 shard.column(0),
                 pa.array([len(t) for t in texts], pa.int64()),
@@ -250,12 +289,49 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "items", "spans"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(searched, SCHEMA)
+    return searched
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = pa.array([len(words_of(t.as_py())) for t in batch.column(2)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "content", "n_words"])
 
 
-def _searched(batches: Iterator[pa.RecordBatch], text: int, blocks: list, width: int) -> Iterator[tuple]:
+def _hits(docs: DataFrame, blocks: list, width: int) -> DataFrame:
+    """``doc_id, content, items, spans`` of the distinct documents that hold windows, over all blocks.
+
+    A pass of its own for each block, whose hits are stored, so a worker holds one block at a time.
+    """
+    passes = []
+    for block in blocks:
+
+        def hit(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for shard, _, items, spans in _searched(batches, 2, block, width):
+                rows = [k for k, i in enumerate(items) if i]
+                part = shard.take(pa.array(rows, pa.int64()))
+                lists = [pa.array([sorted(items[k]) for k in rows], pa.list_(pa.string())), pa.array([[{"first": a, "last": b} for a, b in spans[k]] for k in rows], _SPANS)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "content", "items", "spans"])
+
+        passes.append(Stored(docs.mapInArrow(hit, "doc_id bigint, content bigint, items array<string>, spans array<struct<first:bigint,last:bigint>>").distinct(), "benchmark-hits").df)
+        block.unpersist(True)
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    both = every.groupBy("doc_id", "content").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    start = F.slice("spans", 1, 1)
+
+    def merged(acc, s):
+        last = F.element_at(acc, -1)
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))))
+        return F.when(s["first"] <= last["last"], grown).otherwise(F.concat(acc, F.array(s)))
+
+    return both.withColumn("spans", F.aggregate("spans", start, merged))
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text: int, block, width: int) -> Iterator[tuple]:
     """Shards of whole documents with their words, the items found in each, and the merged spans."""
-    known: list[Windows] = []
+    windows = Windows(block.value, width)
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -265,16 +341,8 @@ def _searched(batches: Iterator[pa.RecordBatch], text: int, blocks: list, width:
                 texts.append(words_of(cell))
                 size += len(cell or "")
                 at += 1
-            items: list[set[str]] = [set() for _ in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-            for block in blocks:  # one block's windows are held at a time
-                if len(blocks) > 1 or not known:
-                    known[:] = [Windows(block.value, width)]
-                for d, (s, i) in enumerate(_shard_hits(texts, known[0])):
-                    if i:
-                        items[d] |= i
-                        spans[d] = _merged(spans[d] + s)
-            yield batch.slice(start, at - start), texts, items, spans
+            found = _shard_hits(texts, windows)
+            yield batch.slice(start, at - start), texts, [i for _, i in found], [_merged(s) for s, _ in found]
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -291,15 +359,19 @@ def contamination_digest(found: DataFrame) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their columns unchanged; no shuffle."""
-    blocks = _blocks(benchmark)
+    """The rows of ``docs`` that hold no benchmark window, with their columns unchanged; a narrow pass for each block of the benchmark."""
     text = docs.columns.index("text")
+    blocks = _blocks(benchmark)
+    for k, block in enumerate(blocks):
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, _, items, _ in _searched(batches, text, blocks, width):
-            yield shard.filter(pa.array([not i for i in items], pa.bool_()))
+        def cleaned(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for shard, _, items, _ in _searched(batches, text, block, width):
+                yield shard.filter(pa.array([not i for i in items], pa.bool_()))
 
-    return docs.mapInArrow(cleaned, docs.schema)
+        docs = docs.mapInArrow(cleaned, docs.schema)
+        if k + 1 < len(blocks):  # the next block starts from stored rows, so a worker holds one block at a time
+            docs = Stored(docs, "clean-documents").df
+    return docs
 
 
 def items_digest(items: list[str]) -> str:
