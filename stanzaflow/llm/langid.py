@@ -11,7 +11,9 @@ those with the smallest hash of their id).  Prediction reads the text alone.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; without any labelled
 text all are ``und``; ties go to the language first in order of name; n-grams with equal counts are
-ordered by their code points; the length of a text isn't limited.
+ordered by their code points; the length of a text isn't limited; repeated rows are predicted each, and rows that share a
+doc_id are learned from or held out together; a row without a doc_id isn't held out; an empty table gives an empty
+result; extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, first_by_hash
 
 PROFILE = 300  # n-grams in a profile
 SAMPLE_DOCS = 1000  # labelled documents that a language's profile is learned from, at most
@@ -72,9 +74,7 @@ def learn_profiles(labelled: DataFrame, size: int = PROFILE, sample: int = SAMPL
     finished profiles (``size`` n-grams a language) come to the driver.
     """
     known = labelled.filter("text is not null and lang is not null").select("doc_id", "lang")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= sample).select("doc_id", "lang")
-    chosen = cut(chosen)
+    chosen = cut(first_by_hash(known, "lang", sample))
     if chosen.count() <= BROADCAST_IDS:  # so the texts aren't shuffled for the sake of a few
         chosen = F.broadcast(chosen)
     texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")

@@ -16,9 +16,9 @@ the smallest hash of their id).  Counting features and extracting them run on Sp
 fits the weights on the resulting bounded matrix.
 
 Defined cases: null and empty texts have no features and get the base severity; labels that are null
-or without a document are not used; a document with several labels is used with each; without
-labels of both classes every severity is 0 and nothing is toxic; scores don't depend on other rows;
-extra columns are kept by ``reject_toxic`` and not read.
+or without a document are not used; a document with several labels is used with each; repeated rows are graded each;
+without labels of both classes every severity is 0 and nothing is toxic; scores don't depend on other rows; a text's
+length isn't limited; an empty table gives an empty result; extra columns are kept by ``reject_toxic`` and not read.
 """
 
 from __future__ import annotations
@@ -29,15 +29,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
 from .decontam import words_of
 
 GRADES = 3
 FEATURES = 2000
 SAMPLE_DOCS = 4000  # of each class
-SAMPLE_PARTS = 4  # the sample is the first SAMPLE_DOCS / SAMPLE_PARTS of so many hash parts
 MIN_DOCS = 5  # documents of the sample that must hold a feature
 MARKER_ODDS = 3.0  # log odds from which a feature marks toxic text
 ROUNDS, RATE, RIDGE = 400, 0.05, 1e-3
@@ -108,14 +107,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, n_features:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter("toxic is not null and doc_id is not null").select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(SAMPLE_PARTS))
-    first = W.partitionBy("toxic", "_part").orderBy("_hash", "doc_id")
-    chosen = (
-        known.select("doc_id", "toxic", part.alias("_part"), F.xxhash64("doc_id").alias("_hash"))
-        .withColumn("_place", F.row_number().over(first))
-        .filter(F.col("_place") <= SAMPLE_DOCS // SAMPLE_PARTS)
-        .select("doc_id", "toxic")
-    )
+    chosen = first_by_hash(known, "toxic", SAMPLE_DOCS)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # 2 * SAMPLE_DOCS rows at most
 
 
