@@ -7,8 +7,9 @@ Two symbols can merge only if a piece holds their touching characters side by si
 therefore cut wherever no piece has the two neighbouring characters next to each other, and
 each part is merged alone with the same outcome; parts and words already seen are looked up.
 
-Defined cases: null and empty texts have 0 tokens; any length of text is counted whole; repeated
-rows are counted each; an empty table gives an empty result.
+Defined cases: null and empty texts have 0 tokens; any length of text is counted whole; pairs of equal rank merge
+from left to right; repeated rows are counted each, and a null doc_id is kept; an empty table gives an empty result;
+extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # stands for a blank inside pieces
-MEMO_SIZE = 700_000  # entries a worker keeps of words, and of parts, before it starts afresh
+MEMO_BYTES = 48 << 20  # of words, and of parts, that a worker keeps before it starts afresh
+ENTRY_BYTES = 120  # what an entry takes beside its characters
+LONGEST_KEPT = 64  # characters; longer words are counted each time they are met
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -71,16 +74,21 @@ def merge_count(symbols: str, rank: dict[str, float], single_cost) -> int:
 
 
 class _Memo(dict):
-    """Results by key, computed on the first use; forgets everything when it is full."""
+    """Results by key, computed on the first use; bounded in bytes, it forgets everything when it is full."""
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.held = 0
 
     def __missing__(self, key):
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONGEST_KEPT:
+            self.held += ENTRY_BYTES + len(key)
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = ENTRY_BYTES + len(key)
+            self[key] = value
         return value
 
 

@@ -17,7 +17,8 @@ byte up in a table of 256 rows to get four lengths at once.
 
 Defined cases: a null or empty text holds the end id alone; documents with the same doc_id are kept
 and stand next to each other, ordered by their ids; a null doc_id comes first; an empty table gives
-an empty file set.  No document is split over blocks.
+an empty file set; repeated rows are written each; ids of equal count are ranked by their number; extra columns aren't
+read, whatever their names.  No document is split over blocks.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from .token_count import tokenizer_path
 
 END_ID = 2
 BLOCK_IDS = 262_144  # a block is closed once it holds so many ids
-MEMO_SIZE = 1_500_000  # words (about 200 bytes each) whose ids a worker keeps before it starts afresh
+MEMO_BYTES = 160 << 20  # of words whose ids a worker keeps before it starts afresh
+ENTRY_BYTES = 180  # what a word takes beside its characters
+LONGEST_KEPT = 64  # characters; longer words are encoded each time they are met
 #: Characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -70,6 +73,7 @@ class TextEncoder:
         self.by_word = self._borders(self.tokenizer.to_str())
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _borders(description: str) -> bool:
@@ -139,12 +143,16 @@ class TextEncoder:
         return [ids[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:])]
 
     def _learned(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, from memory where they have been met before."""
-        if len(self.memo) >= MEMO_SIZE:
+        """Ids of distinct words, from memory where they have been met before; the memory is bounded in bytes."""
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         memo = self.memo
-        memo.update(self._word_ids([w for w in words if w not in memo]))
-        return [memo[w] for w in words]
+        found = self._word_ids([w for w in words if w not in memo])
+        kept = {w: ids for w, ids in found.items() if len(w) <= LONGEST_KEPT}
+        self.held += sum(map(len, kept)) + ENTRY_BYTES * len(kept)
+        memo.update(kept)
+        return [memo[w] if w in memo else found[w] for w in words]
 
 
 _encoders: dict[str, TextEncoder] = {}
