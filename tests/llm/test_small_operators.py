@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stanzaflow.llm import decontam, langid, token_count, token_output
+from stanzaflow.llm.common import first_by_hash
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -139,6 +140,52 @@ def test_profiles_by_hand():
     assert table.langs == ["x", "y"]
 
 
+def plain_distance(text, profiles, size):
+    """The nearest profile and the score, straight from the definition."""
+    c = "".join(x if x.isalpha() else " " for x in f" {text} ".lower())
+    c = re.sub(" +", " ", c)
+    grams = [c[i : i + n] for n in (1, 2, 3) for i in range(len(c) - n + 1)]
+    grams = [g for g in grams if g != " " and not (len(g) == 3 and g[1] == " ")]
+    number = lambda g: int("".join(f"{ord(x):021b}" for x in g), 2)
+    own = sorted(set(grams), key=lambda g: (-grams.count(g), number(g)))[:size]
+    off = {lang: sum(min(abs(p.index(g) - i), size) if g in p else size for i, g in enumerate(own)) for lang, p in profiles.items()}
+    best = min(sorted(off), key=off.get)
+    return best, 1 - off[best] / (size * len(own))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcé X.1", max_size=30), min_size=2, max_size=2), st.text("abcé X.1", max_size=40))
+def test_out_of_place_distance(learned, text):
+    size = 12
+    names = [langid.top(*langid.ngrams(t), size) for t in learned]
+    text_of = lambda g: "".join(chr((int(g) >> s) & 0x1FFFFF) for s in (42, 21, 0) if (int(g) >> s) & 0x1FFFFF)
+    table = langid.Profiles({f"l{k}": n for k, n in enumerate(names)}, size)
+    got = table.predict(text)
+    if not any(c.isalpha() for c in text):
+        assert got == ("und", 0.0)
+    else:
+        want = plain_distance(text, {f"l{k}": [text_of(g) for g in n] for k, n in enumerate(names)}, size)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-12
+
+
+def test_the_sample_is_the_first_by_hash(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(3000)] + [(-1, "c")], "doc_id bigint, g string")
+    got = {g: {r["doc_id"] for r in first_by_hash(rows, "g", 100).filter(F.col("g") == g).collect()} for g in "abc"}
+    hashed = rows.select("doc_id", "g", F.xxhash64("doc_id").alias("h")).collect()
+    assert got == {g: {r["doc_id"] for r in sorted((r for r in hashed if r["g"] == g), key=lambda r: r["h"])[:100]} for g in "abc"}
+
+
+def test_memos_are_bounded_in_bytes(monkeypatch, pieces, encoder):
+    monkeypatch.setattr(token_count, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(token_output, "MEMO_BYTES", 2000)
+    text = " ".join(f"w{i}" for i in range(300)) + " " + "z" * 500
+    counter, writer = token_count.PieceCounter(MODEL), token_output.TextEncoder(WORDS)
+    assert counter.count(text) == len(pieces[1].encode(text)) and counter.words.held <= 2000 and max(map(len, counter.words)) <= 64
+    for _ in range(2):
+        assert np.frombuffer(writer.encode(pa.array([text]))[0], writer.kind).tolist() == encoder[1].encode(text, add_special_tokens=False).ids
+    assert max(map(len, writer.memo)) <= 64
+
+
 def test_language_table(spark, docs_of):
     rows = [(i, ("the and of with that this " if i % 2 else "der und die nicht durch ein ") * 5, "en" if i % 2 else "de", "s") for i in range(100, 160)]
     got = {r["doc_id"]: r for r in langid.identify(docs_of([*rows, *AWKWARD, (7, "1234 !!", "en", "a")])).collect()}
