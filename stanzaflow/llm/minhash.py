@@ -14,7 +14,10 @@ In the buckets left over, heavily edited copies meet that hardly ever link.  The
 escapes decides which members of different components are compared: a link needs
 common >= t / (1 + t) * (|x| + |y|), and x can share no shingle that no other member of an open bucket has.
 So with c(x) = shingles of x that some other open document has, min(c(x), c(y), |x|, |y|) must reach that
-size.  Documents with c(x) < t * |x| leave first.  Members of a large bucket meet in blocks, a task for each pair of blocks.
+size.  Documents with c(x) < t * |x| leave first.  Of the others the parities of ``PARITY`` parts of their sets are compared: each
+part whose parities differ holds a shingle that only one of the two has, and a link allows no more than
+(1 - t) / (1 + t) * (|x| + |y|) of those.  That tells apart the copies of one text that were edited at different places.
+Members of a large bucket meet in blocks, a task for each pair of blocks.
 
 Links are confirmed on the full sets of 64-bit shingle hashes.  Hot buckets, shingles and pivots are dealt over several tasks.
 
@@ -43,6 +46,7 @@ PERCENT = 85
 BANDS, ROWS = 32, 5
 RING = 1 << 20
 TRIMS = 2  # times the open documents that can't link are dropped before pairs are made
+PARITY = 1024  # bits, a multiple of 64
 BLOCK = 256  # members of an open bucket that a task compares with as many others
 BROADCAST_IDS = 1_000_000  # classes (32 bytes each) up to which they are broadcast to filter the documents
 PIECE = 1 << 17  # bytes of text that are hashed at once
@@ -234,6 +238,24 @@ def _shared_shingles(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     return out
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each part of the hash space: is the number of the set's shingles in it odd?  Packed in words of 64 bits."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _with_parities(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds ``odd``, the parities of each document's set."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = [parities(np.frombuffer(x.as_py(), np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], ["rep", "odd"])
+
+    own = sets.join(left.select("rep").distinct(), "rep", "left_semi").select("rep", "shingles")
+    return left.join(cut(own.mapInArrow(made, "rep bigint, odd array<bigint>")), "rep")
+
+
 def _open_pairs(member: DataFrame, pivot: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame | None:
     """Pairs ``u, v`` of different components that share a bucket, could link, and weren't compared with its pivot."""
     at = member.join(comp, member["rep"] == comp["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
@@ -250,12 +272,15 @@ def _open_pairs(member: DataFrame, pivot: DataFrame, comp: DataFrame, sets: Data
             return None
         c = _shared_shingles(sets, left.select("rep", "n").distinct())
         left = still_open(left.drop("c", "size").join(c, "rep").filter(100 * F.col("c") >= percent * F.col("n")))
+    left = _with_parities(left, sets)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own, each = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-    x = left.select("bucket", "rep", "n", "c", "component", own.alias("i"), each.alias("j"))
-    y = left.select("bucket", *[F.col(k).alias(f"{k}_y") for k in ("rep", "n", "c", "component")], own.alias("j"), each.alias("i"))
+    x = left.select("bucket", "rep", "n", "c", "component", "odd", own.alias("i"), each.alias("j"))
+    y = left.select("bucket", *[F.col(k).alias(f"{k}_y") for k in ("rep", "n", "c", "component", "odd")], own.alias("j"), each.alias("i"))
     enough = (100 + percent) * F.least("c", "c_y", "n", "n_y") >= percent * (F.col("n") + F.col("n_y"))
-    met = x.join(y, ["bucket", "i", "j"]).filter((F.col("rep") < F.col("rep_y")) & (F.col("component") != F.col("component_y")) & enough)
+    differ = sum((F.bit_count(F.get("odd", F.lit(k)).bitwiseXOR(F.get("odd_y", F.lit(k)))) for k in range(PARITY // 64)), F.lit(0))
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_y"))
+    met = x.join(y, ["bucket", "i", "j"]).filter((F.col("rep") < F.col("rep_y")) & (F.col("component") != F.col("component_y")) & enough & alike)
     return cut(met.select(F.col("rep_y").alias("u"), F.col("rep").alias("v")).distinct())
 
 

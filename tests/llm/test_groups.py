@@ -101,6 +101,16 @@ def test_shingles_are_those_of_the_words(texts, piece):
             assert len(np.intersect1d(a, b)) == len(p & q)
 
 
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 1 << 62, r.integers(1, 400)).astype(np.uint64)) for _ in range(2))
+        a, b = np.union1d(a, b[: r.integers(0, 300)]), np.union1d(b, a[: r.integers(0, 300)])
+        differ = int(np.bitwise_count((minhash.parities(a) ^ minhash.parities(b)).view(np.uint64)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+    assert not (minhash.parities(a) ^ minhash.parities(a)).any()
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b, c = ("one two three four five six " + x for x in ("apple", "pear", "fig"))
     df = spark.createDataFrame([(7, a), (7, b), (3, b), (9, a.upper()), (7, a), (4, c), (4, c.upper()), (None, a), (None, a), (8, ""), (8, None)], "doc_id bigint, text string")
