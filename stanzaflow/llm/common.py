@@ -87,15 +87,20 @@ def join_hot(left: DataFrame, right: DataFrame, key: list[str], by: str, sizes:
     return dealt.join(copies, [*key, "_part"]).drop("_part")
 
 
+SAMPLE_PARTS = 16  # hash parts that a sample is taken from, so that no task sorts all of it
+
+
 def first_by_hash(rows: DataFrame, group: str, n: int, by: str = "doc_id") -> DataFrame:
-    """The ``n`` rows of each group with the smallest hash of ``by``, as ``by, group``.
+    """At most ``n`` rows of each group, those with the smallest hashes of ``by`` in each of ``SAMPLE_PARTS`` parts, as ``by, group``.
 
     Groups are counted first, and only rows whose hash is small enough to be among one and a half times as many go on,
     so no task gets more than that of a group, however large it is.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))  # a row for each group: classes or languages
     share = F.least(F.lit(1.0), F.lit(1.5 * n) / F.col("_n"))
     small = F.col("_hash") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
-    near = rows.select(by, group, F.xxhash64(by).alias("_hash")).join(F.broadcast(counts), group).filter(small)
-    place = F.row_number().over(W.partitionBy(group).orderBy("_hash", by))
-    return near.withColumn("_place", place).filter(F.col("_place") <= n).select(by, group)
+    part = F.pmod(F.xxhash64(by, F.lit("part")), F.lit(SAMPLE_PARTS))
+    near = rows.select(by, group, F.xxhash64(by).alias("_hash"), part.alias("_part")).join(F.broadcast(counts), group).filter(small)
+    place = F.row_number().over(W.partitionBy(group, "_part").orderBy("_hash", by))
+    each = F.when(F.col("_n") <= n, F.lit(n)).otherwise(F.lit(n // SAMPLE_PARTS))  # a small group is taken whole
+    return near.withColumn("_place", place).filter(F.col("_place") <= each).select(by, group)
