@@ -53,8 +53,11 @@ def excerpt(x, limit: int = 160) -> Column:
 
 
 def snippet(x, query: str, radius: int = 54) -> Column:
-    """The first hit with ``radius`` characters on each side, ellipses where text is left out; the start if no hit."""
-    text = text_of(x)
+    """The first hit with ``radius`` characters on each side, ellipses where text is left out; the start if no hit.
+
+    Runs of white space count as one blank.
+    """
+    text = F.trim(F.regexp_replace(text_of(x), r"(?U)\s+", " "))
     at = F.instr(F.lower(text), F.lit(query.lower()))
     start = F.greatest(at - 1 - radius, F.lit(0))
     end = F.least(F.when(at > 0, at - 1 + len(query) + radius).otherwise(F.lit(2 * radius)), F.length(text))

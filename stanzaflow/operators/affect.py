@@ -3,80 +3,154 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import lexicon
 from .lexicon import MASK, by_length
+from ..functions.arrays import let
 from ..functions.text import text_of
 
 TITLE_SHARE = 0.55  # weight of a hit in the title against one in the body
 POWER = 1.12
 
 
-def emotion_scores(body_hits: DataFrame, title_hits: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """``id, label, score, rule_hits`` from hits ``(id, label, weight)``; title hits aren't counted as rule hits."""
+# fixed values: the record of a document without a signal
+NO_SIGNAL = {"valence": 0.0, "arousal": 0.35, "dominance": 0.0, "confidence": 0.12}
+
+
+def emotion_scores(body_hits: DataFrame, title_hits: DataFrame | None = None, cluster_hits: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``id, label, score, rule_hits`` from hits ``(id, label, weight)``.
+
+    A title hit counts ``TITLE_SHARE`` of its weight, a hit of a fall-back cluster ``(id, label, weight, hits)`` its weight as
+    often as it was met; neither counts as a rule hit.
+    """
     both = body_hits.select(id_col, "label", F.col("weight").alias("w"), F.lit(1).alias("h"))
     if title_hits is not None:
         both = both.unionByName(title_hits.select(id_col, "label", (F.col("weight") * TITLE_SHARE).alias("w"), F.lit(0).alias("h")))
+    if cluster_hits is not None:
+        both = both.unionByName(cluster_hits.select(id_col, "label", (F.col("weight") * F.col("hits")).alias("w"), F.lit(0).alias("h")))
     return both.groupBy(id_col, "label").agg(F.sum("w").alias("score"), F.sum("h").alias("rule_hits")).filter("score > 0")
 
 
-def emotion_profile(scores: DataFrame, dimensions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each document with scores: dimensions, primary label, mixture and confidence.
+def document_scores(docs: DataFrame, terms: dict[str, list[tuple[str, float]]], clusters: dict[str, tuple[str, float]], title_col: str, body_col: str, id_col: str = "doc_id", excluded=(), negators=(), single=None, keep: list[str] | None = None) -> DataFrame:
+    """``id, scores``, and the columns ``keep``: ``array<struct<label, score, rule_hits>>`` of each document, worked out within its row.
 
-    ``dimensions(label, valence, arousal, dominance)`` is a small table.  The first eight labels by score
-    carry the dimensions, weighted by score to the power 1.12; the first three are listed.
+    ``terms`` by label are matched by intervals in body and title; ``clusters`` gives the label and weight of fall-back words,
+    counted in the body by masking.
     """
-    order = W.partitionBy(id_col).orderBy(F.desc("score"), "label")
-    whole = W.partitionBy(id_col)
-    ranked = (
-        scores.join(F.broadcast(dimensions), "label")
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("total", F.sum("score").over(whole))
-        .withColumn("all_hits", F.sum("rule_hits").over(whole))
-    )
-    top8 = F.col("place") <= 8
-    weight = F.when(top8, F.pow("score", F.lit(POWER)))
-    share = F.col("score") / F.col("total")
-
-    def mean(dim: str) -> Column:
-        return F.round(F.sum(weight * F.col(dim)) / F.sum(weight), 3).alias(dim)
-
-    first = F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "label", F.round("score", 4).alias("score"), F.round(share, 4).alias("share")))))
-    rows = ranked.groupBy(id_col).agg(
-        mean("valence"), mean("arousal"), mean("dominance"),
-        first.alias("labels"),
-        F.max(F.when(F.col("place") == 1, F.col("label"))).alias("primary"),
-        F.max("score").alias("_top"), F.max("total").alias("_total"), F.max("all_hits").alias("_hits"),
-        F.coalesce(F.sum(F.when(F.col("valence") > 0.2, share)), F.lit(0.0)).alias("_pos"),
-        F.coalesce(F.sum(F.when(F.col("valence") < -0.2, share)), F.lit(0.0)).alias("_neg"),
+    keep = keep or []
+    whole = docs.select(
+        F.col(id_col), *keep,
+        *[lexicon.accepted_hits(body_col, t, excluded, negators, single).alias(f"_b{k}") for k, t in enumerate(terms.values())],
+        *[lexicon.accepted_hits(title_col, t, excluded, negators, single).alias(f"_t{k}") for k, t in enumerate(terms.values())],
+        lexicon.masked_counts(body_col, clusters).alias("_c"),
     )
-    signal = 1 - F.exp(-F.col("_total") / 4.2)
-    confidence = F.least(F.lit(0.96), 0.18 + 0.38 * signal + 0.24 * F.col("_top") / F.col("_total") + 0.16 * F.least(F.lit(1.0), F.col("_hits") / 5.0))
-    return rows.select(
-        id_col, "primary", "valence", "arousal", "dominance", "labels",
-        ((F.col("_pos") >= 0.22) & (F.col("_neg") >= 0.22)).alias("mixed"),
-        F.round(confidence, 3).alias("confidence"),
-        F.when(confidence >= 0.72, "high").when(confidence >= 0.48, "medium").otherwise("low").alias("confidence_label"),
+    weights = lambda hits: F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["weight"])
+    entries = []
+    for k, label in enumerate(terms):
+        words = {w: weight for w, (to, weight) in clusters.items() if to == label}
+        score = weights(F.col(f"_b{k}")) + weights(F.col(f"_t{k}")) * TITLE_SHARE
+        if words:
+            table = F.create_map(*[F.lit(v) for w, weight in words.items() for v in (w, float(weight))])
+            score += F.aggregate("_c", F.lit(0.0), lambda a, h: a + F.coalesce(F.element_at(table, h["word"]), F.lit(0.0)) * h["hits"])
+        entries.append(F.struct(F.lit(label).alias("label"), F.round(score, 9).alias("score"), F.size(f"_b{k}").cast("bigint").alias("rule_hits")))
+    return whole.select(id_col, *keep, F.filter(F.array(*entries), lambda e: e["score"] > 0).alias("scores"))
+
+
+def profile_of(scores, dimensions: list[tuple[str, float, float, float]]) -> Column:
+    """A document's profile from its ``array<struct<label, score, rule_hits>>``, by the rules of ``emotion_profile``."""
+    kind = "array<struct<down:double,label:string,score:double,hits:bigint,valence:double,arousal:double,dominance:double,power:double>>"
+    signed = {d: F.create_map(*[F.lit(v) for row in dimensions for v in (row[0], float(row[1 + k]))]) for k, d in enumerate(("valence", "arousal", "dominance"))}
+
+    def entry(e: Column) -> Column:
+        own = [F.element_at(t, e["label"]).alias(d) for d, t in signed.items()]
+        return F.struct((-e["score"]).alias("down"), e["label"].alias("label"), e["score"].alias("score"), e["rule_hits"].alias("hits"), *own, F.pow(e["score"], F.lit(POWER)).alias("power"))
+
+    def summed(xs: Column, f) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda a, e: a + f(e))
+
+    def record(ranked: Column) -> Column:
+        first = F.slice(ranked, 1, 8)
+        sums = F.struct(
+            summed(ranked, lambda e: e["score"]).alias("total"),
+            F.get(ranked, F.lit(0))["score"].alias("top"),
+            F.aggregate(ranked, F.lit(0).cast("bigint"), lambda a, e: a + e["hits"]).alias("hits"),
+            summed(F.filter(ranked, lambda e: e["valence"] > 0.2), lambda e: e["score"]).alias("positive"),
+            summed(F.filter(ranked, lambda e: e["valence"] < -0.2), lambda e: e["score"]).alias("negative"),
+            summed(first, lambda e: e["power"]).alias("power"),
+            *[summed(first, lambda e: e["power"] * e[d]).alias(d) for d in signed],
+        )
+        return let(sums, lambda s: let(F.least(F.lit(0.96), 0.18 + 0.38 * (1 - F.exp(-s["total"] / 4.2)) + 0.24 * s["top"] / s["total"] + 0.16 * F.least(F.lit(1.0), s["hits"] / 5.0)), lambda c: fields(ranked, s, c)))
+
+    def fields(ranked: Column, s: Column, confidence: Column) -> Column:
+        some = s["total"] > 0
+        listed = F.transform(F.slice(ranked, 1, 3), lambda e: F.struct(e["label"].alias("label"), F.round(e["score"], 4).alias("score"), F.round(e["score"] / s["total"], 4).alias("share")))
+        return F.struct(
+            F.get(ranked, F.lit(0))["label"].alias("primary"),
+            *[F.when(some, F.round(s[d] / s["power"], 3)).otherwise(F.lit(NO_SIGNAL[d])).alias(d) for d in signed],
+            listed.alias("labels"),
+            F.when(some, (s["positive"] / s["total"] >= 0.22) & (s["negative"] / s["total"] >= 0.22)).otherwise(F.lit(False)).alias("mixed"),
+            F.when(some, F.round(confidence, 3)).otherwise(F.lit(NO_SIGNAL["confidence"])).alias("confidence"),
+            F.when(some & (confidence >= 0.72), "high").when(some & (confidence >= 0.48), "medium").otherwise("low").alias("confidence_label"),
+            s["hits"].alias("rule_hits"),
+        )
+
+    ranked = F.array_sort(F.coalesce(F.transform(scores, entry), F.array()).cast(kind))
+    return let(ranked, record)
+
+
+def emotion_profile(scores: DataFrame, dimensions: list[tuple[str, float, float, float]], id_col: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
+    """One row for each document: primary label, dimensions, mixture and confidence.
+
+    ``dimensions(label, valence, arousal, dominance)`` is a lexicon.  The first eight labels by score carry the dimensions,
+    weighted by score to the power 1.12; the first three are listed.  With ``docs``, documents without scores get the fixed
+    record of no signal.
+    """
+    known = F.col("label").isin([d[0] for d in dimensions])
+    own = scores.filter(known).groupBy(id_col).agg(F.collect_list(F.struct("label", "score", "rule_hits")).alias("_s"))  # a row for each label at most
+    whole = own if docs is None else docs.select(id_col).join(own, id_col, "left")
+    return whole.select(id_col, profile_of(F.col("_s"), dimensions).alias("p")).select(id_col, "p.*")
+
+
+def label_distribution(profiles: DataFrame, owner: str) -> DataFrame:
+    """``kind, owner, label, n``: documents by primary label, by owner and primary label (both without undecided ones), and by confidence."""
+    decided = profiles.filter("primary is not null")
+    none = F.lit(None).cast("string")
+    return (
+        decided.groupBy(F.lit("label").alias("kind"), none.alias(owner), F.col("primary").alias("label")).agg(F.count("*").alias("n"))
+        .unionByName(decided.groupBy(F.lit("owner").alias("kind"), F.col(owner).cast("string").alias(owner), F.col("primary").alias("label")).agg(F.count("*").alias("n")))
+        .unionByName(profiles.groupBy(F.lit("confidence").alias("kind"), none.alias(owner), F.col("confidence_label").alias("label")).agg(F.count("*").alias("n")))
     )
 
 
+def percent_of(value, signed: bool = True) -> Column:
+    """A dimension as 0 to 100: from -1 to 1 if it has a sign, else from 0 to 1; halves go to the even number."""
+    low = F.lit(-1.0 if signed else 0.0)
+    inside = F.greatest(low, F.least(F.lit(1.0), F.col(value) if isinstance(value, str) else value))
+    return F.bround((inside + 1) * 50 if signed else inside * 100, 0).cast("int")
+
+
 def clue_score(x, terms: dict[str, int]) -> Column:
-    """``struct<score, latest>`` of weighted words, longest first with masking; ``latest`` is the last hit's 0-based place or -1."""
-    lexicon = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(terms[w]).alias("p")) for w in by_length(terms)])
-    start = F.struct(text_of(x).alias("t"), F.lit(0).alias("score"), F.lit(-1).alias("latest"))
+    """``struct<score, latest>`` of weighted words, longest first with masking; ``latest`` is the last hit's 0-based place or -1.
+
+    Only words that occur at all are walked through.
+    """
+    text = text_of(x)
+    entries = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(terms[w]).alias("p"), F.lit(MASK * len(w)).alias("mask"), F.lit(lexicon.quoted([w])).alias("q")) for w in by_length(terms)])
+    start = F.struct(text.alias("t"), F.lit(0).alias("score"), F.lit(-1).alias("latest"))
 
     def step(acc, e):
-        gone = F.length(acc["t"]) - F.length(F.replace(acc["t"], e["w"], F.lit("")))
-        hits = (gone / F.length(e["w"])).cast("int")
-        last = F.when(hits > 0, F.length(F.call_function("substring_index", acc["t"], e["w"], hits))).otherwise(F.lit(-1))
+        gone = F.octet_length(acc["t"]) - F.octet_length(F.replace(acc["t"], e["w"], F.lit("")))
+        hits = (gone / F.octet_length(e["w"])).cast("int")
+        behind = F.element_at(F.split(acc["t"], e["q"], F.lit(-1)), -1)  # the text behind the last hit
+        last = F.when(hits > 0, F.length(acc["t"]) - F.length(behind) - F.length(e["w"])).otherwise(F.lit(-1))
         return F.struct(
-            F.replace(acc["t"], e["w"], F.repeat(F.lit(MASK), F.length(e["w"]))).alias("t"),
+            F.replace(acc["t"], e["w"], e["mask"]).alias("t"),
             (acc["score"] + hits * e["p"]).alias("score"),
             F.greatest(acc["latest"], last).alias("latest"),
         )
 
-    done = F.aggregate(lexicon, start, step)
+    done = F.aggregate(F.filter(entries, lambda e: F.contains(text, e["w"])), start, step)
     return F.struct(done["score"].alias("score"), done["latest"].alias("latest"))
 
 

@@ -62,3 +62,9 @@ def imagined_rate(rows: DataFrame, key: str, dreamed: Column, composed: Column,
     g = rows.groupBy(key).agg(F.count_if(dreamed).alias("dreamed"), F.count_if(composed).alias("composed"))
     n = F.col("dreamed") + F.col("composed")
     return g.withColumn("imagined_rate", F.when(n >= least, F.round(F.col("dreamed") / n, 4)))
+
+
+def joined_texts(rows: DataFrame, group: str, order: list[str], text: str, between: str) -> DataFrame:
+    """``group, joined``: the texts of each group in order; groups must be of bounded size, as the turns of a conversation are."""
+    own = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    return rows.groupBy(group).agg(F.array_join(F.transform(own, lambda x: x["_text"]), between).alias("joined"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEGREE, haversine_km, overlaps
+from ..functions.geo import EARTH_KM, KM_PER_DEGREE, haversine_km, overlaps
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, width: int) -> DataFrame:
@@ -35,13 +37,36 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str
     return both.filter(overlaps(*a, *b) & (F.col("_bin") == first)).drop("_bin")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, distance: Column, ties: list, width: int | None = None) -> DataFrame:
-    """For each left row the right row of the same key with the smallest (distance, ties...)."""
-    pairs = left.join(right, key).withColumn("distance", distance)
-    if width is not None:
-        pairs = pairs.filter(F.col("distance") <= width)
-    order = F.row_number().over(W.partitionBy(left_id).orderBy("distance", *ties))
-    return pairs.withColumn("_n", order).filter("_n = 1").drop("_n")
+def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_value: str, right_value: str, right_id: str, width: int | None = None) -> DataFrame:
+    """For each left row the right row of its key whose value is nearest; ties go to the smallest right value's id.
+
+    The candidates are the last right row that isn't behind and the first that isn't before, found by running values over
+    the union of both sides: no pairs are made.  Only ids of right rows with the same value are compared with each other.
+    With ``width``, rows further off are no candidates.
+    """
+    best = right.groupBy(key, F.col(right_value).alias("_t")).agg(F.min(right_id).alias("_id"))
+    both = left.select(key, left_id, F.col(left_value).alias("_t"), F.lit(1).alias("_side")).unionByName(
+        best.select(key, "_t", F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True
+    )
+    up = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(key).orderBy(F.desc("_t"), "_side").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("_a", F.last("_v", ignorenulls=True).over(up)).withColumn("_b", F.last("_v", ignorenulls=True).over(down)).filter("_side = 1")
+    entry = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_t")).alias("distance"), F.col(f"{c}.id").alias("id")))
+    one = found.select(left_id, F.array_min(F.array_compact(F.array(entry("_a"), entry("_b")))).alias("_n"))
+    out = one.filter("_n is not null").select(left_id, F.col("_n.id").alias(right_id), F.col("_n.distance").alias("distance"))
+    return out if width is None else out.filter(F.col("distance") <= width)
+
+
+def nearest_interval(rows: DataFrame, spans: DataFrame, key: str, row_id: str, value: str, span: tuple[str, str], span_id: str) -> DataFrame:
+    """For each row the interval of its key that holds its value, else the one least far off; ties go to the smallest id.
+
+    ``row_id, span_id, inside, distance``.  Intervals are a gazetteer, of which a key has few.
+    """
+    pairs = rows.join(spans, key)
+    inside = F.col(value).between(F.col(span[0]), F.col(span[1]))
+    off = F.greatest(F.col(span[0]) - F.col(value), F.col(value) - F.col(span[1]), F.lit(0))
+    best = pairs.groupBy(row_id).agg(F.min(F.struct((~inside).alias("outside"), off.alias("distance"), F.col(span_id).alias("id"))).alias("b"))
+    return best.select(row_id, F.col("b.id").alias(span_id), (~F.col("b.outside")).alias("inside"), "b.distance")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -84,12 +109,29 @@ def within_km(points: DataFrame, id_col: str, km: float, lon: str = "lon", lat:
 
 
 def cluster_diameter(points: DataFrame, group: str, id_col: str, lon: str, lat: str) -> DataFrame:
-    """Largest distance between two points of each group (0 for one point); groups must be small."""
-    other = points.select(group, F.col(id_col).alias("_id"), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
-    pairs = points.join(other, group).filter(F.col(id_col) < F.col("_id"))
-    far = pairs.groupBy(group).agg(F.max(haversine_km(lon, lat, "_x", "_y")).alias("diameter"))
+    """``group, n, diameter``: the largest distance between two points of each group (0 for one point).
+
+    Points of one place count once.  The outermost points in six directions give a lower bound.  A point at the angle r from
+    the group's middle is no further than r + R from any other, R being the largest angle; where that is below the bound
+    the point can't be an end of the diameter, so only points near the rim are compared with each other.
+    """
+    x, y = F.radians("_x"), F.radians("_y")
+    own = points.select(group, F.col(lon).alias("_x"), F.col(lat).alias("_y")).distinct()
+    vec = own.select(group, "_x", "_y", (F.cos(y) * F.cos(x)).alias("_a"), (F.cos(y) * F.sin(x)).alias("_b"), F.sin(y).alias("_c"))
+    place = F.struct("_x", "_y")
+    outer = vec.groupBy(group).agg(F.array(*[f(place, k) for f in (F.max_by, F.min_by) for k in ("_a", "_b", "_c")]).alias("_o"), *[F.avg(k).alias(f"_m{k}") for k in ("_a", "_b", "_c")])
+    apart = F.flatten(F.transform("_o", lambda p: F.transform("_o", lambda q: haversine_km(p["_x"], p["_y"], q["_x"], q["_y"]))))
+    mid = outer.select(group, F.array_max(apart).alias("_low"), "_m_a", "_m_b", "_m_c")
+    norm = F.sqrt(F.col("_m_a") * F.col("_m_a") + F.col("_m_b") * F.col("_m_b") + F.col("_m_c") * F.col("_m_c"))
+    cosine = (F.col("_a") * F.col("_m_a") + F.col("_b") * F.col("_m_b") + F.col("_c") * F.col("_m_c")) / norm
+    angle = F.when(norm > 1e-9, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).otherwise(F.lit(math.pi))
+    placed = vec.join(mid, group).select(group, "_x", "_y", "_low", angle.alias("_r"))
+    far = placed.groupBy(group).agg(F.max("_r").alias("_far"))
+    rim = placed.join(far, group).filter((F.col("_r") + F.col("_far")) * EARTH_KM >= F.col("_low") - 0.001)
+    pairs = rim.select(group, "_x", "_y").join(rim.select(group, F.col("_x").alias("_ox"), F.col("_y").alias("_oy")), group)
+    wide = pairs.groupBy(group).agg(F.max(haversine_km("_x", "_y", "_ox", "_oy")).alias("diameter"))
     sizes = points.groupBy(group).agg(F.count("*").alias("n"))
-    return sizes.join(far, group, "left").withColumn("diameter", F.round(F.coalesce("diameter", F.lit(0.0)), 3))
+    return sizes.join(wide, group, "left").withColumn("diameter", F.round(F.coalesce("diameter", F.lit(0.0)), 3))
 
 
 def first_available(requests: DataFrame, sources: list[DataFrame], keys: list[str], values: list[str]) -> DataFrame:

@@ -14,12 +14,10 @@ documents are scanned once, without a join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import literal, places_of, running_sums
 from ..functions.text import text_of
 
 MASK = "\x00"
@@ -30,8 +28,9 @@ def by_length(words) -> list[str]:
     return sorted(set(words), key=lambda w: (-len(w), w))
 
 
-def _quoted(words) -> str:
-    return "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in by_length(words))
+def quoted(words) -> str:
+    """A pattern of any of the words, the longest first."""
+    return "|".join(map(literal, by_length(words)))
 
 
 def mask(x, words) -> Column:
@@ -43,43 +42,52 @@ def mask(x, words) -> Column:
 
 
 def masked_counts(x, words, excluded=()) -> Column:
-    """``array<struct<word, hits>>`` of the words that occur, masking as it goes, in lexicon order."""
-    lexicon = F.array(*[F.lit(w) for w in by_length(words)])
-    start = F.struct(mask(x, excluded).alias("t"), F.array().cast("array<struct<word:string,hits:int>>").alias("found"))
+    """``array<struct<word, hits>>`` of the words that occur, masking as it goes, in lexicon order.
+
+    Only the words that occur at all are walked through: masking can take hits away but never make one.  A hit is overwritten
+    by one placeholder, so the text's loss of bytes tells how many there were.
+    """
+    text = mask(x, excluded)
+    present = F.filter(F.array(*[F.lit(w) for w in by_length(words)]), lambda w: F.contains(text, w))
+    start = F.struct(text.alias("t"), F.array().cast("array<struct<word:string,hits:int>>").alias("found"))
 
     def step(acc, w):
-        rest = F.replace(acc["t"], w, F.repeat(F.lit(MASK), F.length(w)))
-        gone = F.length(acc["t"]) - F.length(F.replace(acc["t"], w, F.lit("")))
-        hits = (gone / F.length(w)).cast("int")
-        entry = F.array(F.struct(w.alias("word"), hits.alias("hits")))
-        return F.struct(rest.alias("t"), F.when(hits > 0, F.concat(acc["found"], entry)).otherwise(acc["found"]).alias("found"))
+        rest = F.replace(acc["t"], w, F.lit(MASK))
+        shorter = F.octet_length(w) > 1
+        gone = F.when(shorter, F.octet_length(acc["t"]) - F.octet_length(rest)).otherwise(F.octet_length(acc["t"]) - F.octet_length(F.replace(acc["t"], w, F.lit(""))))
+        hits = (gone / F.when(shorter, F.octet_length(w) - 1).otherwise(F.lit(1))).cast("int")
+        return F.struct(rest.alias("t"), F.when(hits > 0, F.array_append(acc["found"], F.struct(w.alias("word"), hits.alias("hits")))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(lexicon, start, step)["found"]
+    return F.aggregate(present, start, step)["found"]
 
 
 def leftmost_matches(x, words) -> Column:
     """``array<string>`` of matches from left to right: leftmost, then longest."""
-    return F.regexp_extract_all(text_of(x), F.lit(f"({_quoted(words)})"), F.lit(1))
+    return F.regexp_extract_all(text_of(x), F.lit(f"({quoted(words)})"), F.lit(1))
 
 
-def leftmost_spans(docs: DataFrame, words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leftmost_spans(docs: DataFrame, words, id_col: str = "doc_id", text_col: str = "text", context: int | None = None) -> DataFrame:
     """``id, match_no, word, start_offset, end_offset`` of the left-to-right matches.
 
-    The gaps between matches and the matches alternate, so running lengths give the offsets.
+    The gaps between matches and the matches alternate, so running lengths give the offsets.  With ``context`` the columns
+    ``left`` and ``right`` hold so many characters on both sides.
     """
     text = text_of(text_col)
-    found = F.regexp_extract_all(text, F.lit(f"({_quoted(words)})"), F.lit(1))
-    gaps = F.split(text, f"(?:{_quoted(words)})", -1)
-    spans = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<n:int,word:string,a:int>>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.element_at(gaps, i)) + F.length(F.element_at(found, i))).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(i.alias("n"), F.element_at(found, i).alias("word"), (acc["at"] + F.length(F.element_at(gaps, i))).alias("a")))).alias("out"),
-        ),
-    )["out"]
-    rows = docs.filter(F.size(found) > 0).select(F.col(id_col), F.explode(spans).alias("s"))
-    return rows.select(id_col, F.col("s.n").alias("match_no"), F.col("s.word").alias("word"), F.col("s.a").alias("start_offset"), (F.col("s.a") + F.length("s.word")).alias("end_offset"))
+    found = F.regexp_extract_all(text, F.lit(f"({quoted(words)})"), F.lit(1))
+    gaps = F.split(text, f"(?:{quoted(words)})", -1)
+    cut = docs.filter(text.rlike(quoted(words))).select(F.col(id_col), text.alias("_text"), found.alias("_found"), gaps.alias("_gaps"))
+    at = running_sums(F.transform("_found", lambda w, i: F.length(F.get("_gaps", i)) + F.length(w)))
+    cut = cut.select(id_col, "_text", "_found", F.zip_with(at, F.slice("_gaps", F.lit(1), F.size("_found")), lambda a, g: a + F.length(g)).alias("_at"))
+
+    def span(w: Column, a: Column) -> Column:
+        sides = []
+        if context is not None:
+            first = F.greatest(a - context, F.lit(0))
+            sides = [F.substring("_text", first + 1, a - first).alias("left"), F.substring("_text", a + F.length(w) + 1, F.lit(context)).alias("right")]
+        return F.struct(w.alias("word"), a.alias("start_offset"), (a + F.length(w)).alias("end_offset"), *sides)
+
+    rows = cut.select(id_col, F.posexplode(F.zip_with("_found", "_at", span)).alias("_n", "s"))
+    return rows.select(id_col, (F.col("_n") + 1).alias("match_no"), "s.*")
 
 
 def contained(x, words) -> Column:
@@ -100,55 +108,114 @@ def longest_contained(x, words) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, 1))
 
 
-def interval_hits(source: str, terms: list[tuple[str, float]], excluded=(), negators=(), single=None) -> list[tuple[int, str, float]]:
-    """``(start, term, weight)`` of one label's accepted hits in one text.
+def _candidates(text: Column, terms: list[tuple[str, float]], excluded, negators, single) -> Column:
+    """The occurrences of one label's terms that nothing blocks, best first.
 
-    Every occurrence is a candidate unless it lies in an excluded phrase or right behind a negator.
-    Candidates are taken greedily, longest first, then heaviest, then leftmost, without overlap.
-    Terms of one character count only if they are in ``single`` (if given).
+    A term of one character counts only if it is in ``single`` (if given).  An occurrence is blocked right behind a negator,
+    and where an excluded phrase covers it; of each phrase only the first one near the occurrence is looked at.
     """
-    candidates = []
-    reach = max(map(len, negators), default=0)
+    kind = "array<struct<shorter:int,lighter:double,start:int,term:string>>"
+    found = F.array().cast(kind)
     for term, weight in terms:
-        if len(term) == 1 and single is not None and term not in single:
-            continue
-        at = source.find(term)
-        while at >= 0:
-            end = at + len(term)
-            blocked = any(source[max(0, at - reach) : at].endswith(n) for n in negators)
-            for phrase in excluded:
-                left = max(0, at - len(phrase))
-                first = source.find(phrase, left, end + len(phrase))
-                blocked |= 0 <= first <= at and end <= first + len(phrase)
-            if not blocked:
-                candidates.append((-len(term), -weight, at, term))
-            at = source.find(term, at + max(1, len(term)))
-    taken: list[tuple[int, int]] = []
-    out = []
-    for _, weight, at, term in sorted(candidates):
-        end = at + len(term)
-        if all(end <= a or b <= at for a, b in taken):
-            taken.append((at, end))
-            out.append((at, term, -weight))
-    return sorted(out)
+        if len(term) > 1 or single is None or term in single:
+            entry = [F.lit(-len(term)).alias("shorter"), F.lit(-float(weight)).alias("lighter")]
+            found = F.concat(found, F.transform(places_of(text, term), lambda at: F.struct(*entry, at.alias("start"), F.lit(term).alias("term"))))  # noqa: B023
+
+    def free(c: Column) -> Column:
+        ok = F.lit(True)
+        for n in negators:
+            ok &= ~((c["start"] >= len(n)) & (F.substring(text, c["start"] - len(n) + 1, F.lit(len(n))) == n))
+        for p in excluded:
+            first = F.greatest(c["start"] - len(p), F.lit(0))
+            end = c["start"] - c["shorter"]
+            at = first + F.instr(F.substring(text, first + 1, end + len(p) - first), F.lit(p)) - 1
+            ok &= ~((at >= first) & (at <= c["start"]) & (end <= at + len(p)))
+        return ok
+
+    return F.array_sort(F.filter(found, free))
+
+
+def accepted_hits(x, terms: list[tuple[str, float]], excluded=(), negators=(), single=None) -> Column:
+    """``array<struct<start, term, weight>>`` of one label in a text, by place.
+
+    Candidates are taken one by one, the longest first, then the heaviest, then the leftmost, if they overlap none taken before.
+    """
+    none = F.array().cast("array<struct<start:int,term:string,weight:double>>")
+
+    def take(taken: Column, c: Column) -> Column:
+        clash = F.exists(taken, lambda t: (t["start"] < c["start"] - c["shorter"]) & (c["start"] < t["start"] + F.length(t["term"])))
+        return F.when(clash, taken).otherwise(F.array_append(taken, F.struct(c["start"].alias("start"), c["term"].alias("term"), (-c["lighter"]).alias("weight"))))
+
+    return F.array_sort(F.aggregate(_candidates(text_of(x), terms, excluded, negators, single), none, take))
 
 
 def interval_matches(docs: DataFrame, labelled_terms: dict[str, list[tuple[str, float]]], id_col: str = "doc_id", text_col: str = "text", excluded=(), negators=(), single=None) -> DataFrame:
-    """``id, label, term, weight, start`` for each accepted hit of each label.
+    """``id, label, term, weight, start`` for each accepted hit of each label; built-in functions only, no shuffle."""
+    by_label = [F.transform(accepted_hits(text_col, terms, excluded, negators, single), lambda h: F.struct(F.lit(label).alias("label"), h["term"].alias("term"), h["weight"].alias("weight"), h["start"].alias("start"))) for label, terms in labelled_terms.items()]
+    return docs.select(F.col(id_col), F.explode(F.concat(*by_label)).alias("h")).select(id_col, "h.label", "h.term", "h.weight", "h.start")
 
-    Whether a hit is taken depends on those taken before, so a small Python loop goes through each text.
+
+def matches_outside(docs: DataFrame, words, barred: dict[str, tuple[str | None, str | None]], id_col: str = "doc_id", text_col: str = "text", reach: int = 8) -> DataFrame:
+    """``leftmost_spans`` without the matches whose surroundings rule them out.
+
+    ``barred`` gives for a word a pattern of the ``reach`` characters before it and one of those behind it (either may be
+    none).  A match that is ruled out has still used up its text: no shorter word is looked for inside it.
+    """
+    text = text_of(text_col)
+    rows = leftmost_spans(docs.select(id_col, text_col), words, id_col, text_col, context=reach)
+    ok = F.lit(True)
+    for word, (before, behind) in barred.items():
+        hit = F.lit(False)
+        if before is not None:
+            hit |= F.col("left").rlike(f"(?:{before})$")
+        if behind is not None:
+            hit |= F.col("right").rlike(f"^(?:{behind})")
+        ok &= ~((F.col("word") == word) & hit)
+    return rows.filter(ok).drop("left", "right")
+
+
+def companions(x, rules: dict[str, list[str]], but: str | None = None) -> Column:
+    """``array<string>`` of the names one of whose aliases occurs, each once, by name."""
+    text = text_of(x)
+    names = [(n, sorted(set(a))) for n, a in sorted(rules.items()) if n != but]
+    found = [F.when(F.exists(F.array(*[F.lit(a) for a in aliases]), lambda a: F.contains(text, a)), F.lit(n)) for n, aliases in names]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def context_labels(x, rules: dict[str, list[str]], excluded=(), negators=(), negated_up_to: int = 2) -> Column:
+    """``array<struct<label, words>>``: the keywords of each label that stand somewhere free, longest first.
+
+    A place isn't free inside an excluded phrase (the last one that ends by the keyword's end), or, for words of at most
+    ``negated_up_to`` characters, right behind a negator.  Words inside a longer kept word of the label are dropped.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (i, label, term, weight, at)
-                for i, text in zip(pdf[id_col], pdf[text_col])
-                if text
-                for label, terms in labelled_terms.items()
-                for at, term, weight in interval_hits(text, terms, excluded, negators, single)
-            ]
-            yield pd.DataFrame(rows, columns=[id_col, "label", "term", "weight", "start"])
-
-    return docs.select(id_col, text_col).mapInPandas(matched, f"{id_col} {kind}, label string, term string, weight double, start int")
+    text = text_of(x)
+
+    def free(word: str) -> Column:
+        places = places_of(text, word, overlapping=True)
+
+        def ok(at: Column) -> Column:
+            good = F.lit(True)
+            for p in excluded:
+                before = F.substring(text, F.lit(1), at + len(word))
+                last = F.length(before) - F.length(F.element_at(F.split(F.reverse(before), quoted([p[::-1]]), 2), 1)) - len(p)
+                good &= ~(F.contains(before, F.lit(p)) & (last <= at) & (at + len(word) <= last + len(p)))
+            if len(word) <= negated_up_to:
+                for n in negators:
+                    good &= ~((at >= len(n)) & (F.substring(text, at - len(n) + 1, F.lit(len(n))) == n))
+            return good
+
+        return F.exists(places, ok)
+
+    out = []
+    for label, words in rules.items():
+        kept = F.array_compact(F.array(*[F.when(free(w), F.lit(w)) for w in by_length(words)]))
+        longest = F.filter(kept, lambda w: ~F.exists(kept, lambda o: (o != w) & F.contains(o, w)))
+        out.append(F.struct(F.lit(label).alias("label"), longest.alias("words")))
+    return F.filter(F.array(*out), lambda e: F.size(e["words"]) > 0)
+
+
+def merged_labels(rows: DataFrame, id_col: str, labels: str) -> DataFrame:
+    """``id, label, words``: the words of all contexts of a document by label, longest first."""
+    words = rows.select(id_col, F.explode(labels).alias("l")).select(id_col, "l.label", F.explode("l.words").alias("w")).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct((-F.length("w")).alias("n"), "w")))  # words of a lexicon
+    return words.groupBy(id_col, "label").agg(F.transform(ordered, lambda s: s["w"]).alias("words"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import interval_join
 from .stylometry import first_k
 
 
@@ -37,10 +38,14 @@ def overlap_years(low1, high1, low2, high2) -> Column:
     return F.greatest(F.least(c(high1), c(high2)) - F.greatest(c(low1), c(low2)) + 1, F.lit(0))
 
 
-def link_scores(local: DataFrame, other: DataFrame, name: str, score: Column, credible: Column, local_id: str, other_id: str) -> DataFrame:
-    """``local_id, match, score, state``: candidates share a name; the best credible one wins if it is alone at the top."""
-    pairs = local.join(other, name).withColumn("_s", score).filter(credible)
-    tops = pairs.groupBy(local_id, "_s").agg(F.count("*").alias("ties"), F.min(other_id).alias("_o"))
+def link_scores(local: DataFrame, other: DataFrame, name: str, score: Column, credible: Column, local_id: str, other_id: str, spans: tuple[tuple[str, str], tuple[str, str]] | None = None, bin_size: int = 20) -> DataFrame:
+    """``local_id, match, score, state``: candidates share a name; the best credible one wins if it is alone at the top.
+
+    With ``spans``, the year columns of both sides, only rows whose years overlap are candidates: they meet in bins of years,
+    so a common name isn't one task.
+    """
+    pairs = local.join(other, name) if spans is None else interval_join(local, other, name, *spans, bin_size)
+    tops = pairs.withColumn("_s", score).filter(credible).groupBy(local_id, "_s").agg(F.count("*").alias("ties"), F.min(other_id).alias("_o"))
     best = tops.groupBy(local_id).agg(F.max(F.struct("_s", "ties", "_o")).alias("b"))
     out = local.select(local_id).join(best, local_id, "left")
     state = F.when(F.col("b").isNull(), "unmatched").when(F.col("b.ties") > 1, "ambiguous").otherwise("matched")
@@ -63,17 +68,23 @@ def quoted_evidence(claims: DataFrame, docs: DataFrame, key: str, quote: str, te
     return joined.withColumn("literal", ok).drop(text)
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``_n``, the place of each row from 0 in a total order: one range sort, and the row counts of its partitions."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each partition
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return ranged.join(F.broadcast(before), "_part").withColumn("_n", F.col("_before") + F.col("_seq")).drop("_part", "_seq", "_before")
+
+
 def interleave(main: DataFrame, second: DataFrame, order: str, every: int = 6) -> DataFrame:
     """``slot`` for the rows of both lists: after every ``every - 1`` rows of the first comes one of the second, then what is left."""
-    place = F.row_number().over(W.orderBy(order)) - 1  # lists of a bank, short by nature
-    a = main.withColumn("_n", place)
-    b = second.withColumn("_n", place)
-    n_main = a.count()
-    full = n_main // (every - 1)
     step = every - 1
-    slot_a = F.col("_n") + F.least(F.floor(F.col("_n") / step), F.lit(second.count()))
-    slot_b = F.when(F.col("_n") < full, (F.col("_n") + 1) * every - 1).otherwise(n_main + F.col("_n"))
-    return a.withColumn("slot", slot_a.cast("int")).unionByName(b.withColumn("slot", slot_b.cast("int"))).drop("_n")
+    sizes = main.agg(F.count("*").alias("_main")).crossJoin(second.agg(F.count("*").alias("_second")))  # one row
+    slot_a = F.col("_n") + F.least(F.floor(F.col("_n") / step), F.col("_second"))
+    slot_b = F.when(F.col("_n") < F.floor(F.col("_main") / step), (F.col("_n") + 1) * every - 1).otherwise(F.col("_main") + F.col("_n"))
+    a = numbered(main, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_a.cast("int"))
+    b = numbered(second, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_b.cast("int"))
+    return a.unionByName(b).drop("_n", "_main", "_second")
 
 
 def replace_assets(old: DataFrame, new: DataFrame, done: DataFrame, asset: str, key: str, order: str) -> DataFrame:

@@ -76,3 +76,18 @@ def dense_index_check(rows: DataFrame, index: str) -> DataFrame:
     """Whether an index is the dense range 0 to n - 1."""
     counts = rows.agg(F.count("*").alias("n"), F.countDistinct(index).alias("n_distinct"), F.min(index).alias("low"), F.max(index).alias("high"))
     return counts.withColumn("dense", (F.col("n") == F.col("n_distinct")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1))
+
+
+def dense_by_group(rows: DataFrame, group: str, index: str) -> DataFrame:
+    """``group, dense``: whether each group's indexes go up by one without a gap or a repeat; no window, partial sums only."""
+    g = rows.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(index).alias("d"), F.min(index).alias("low"), F.max(index).alias("high"))
+    return g.select(group, ((F.col("n") == F.col("d")) & (F.col("high") - F.col("low") == F.col("n") - 1)).alias("dense"))
+
+
+def collapse_versions(rows: DataFrame, key: list[str], source_id: str, body_hash: str, order: list) -> DataFrame:
+    """One row for each (key, source id), or each (key, body hash) where the source id is missing: the last in order, and ``collapsed``, how many went."""
+    ident = F.coalesce(F.concat(F.lit("id:"), F.nullif(F.trim(F.col(source_id).cast("string")), F.lit(""))), F.concat(F.lit("body:"), F.col(body_hash)))
+    by = W.partitionBy(*key, "_ident")
+    place = F.row_number().over(by.orderBy(*order))
+    marked = rows.withColumn("_ident", ident).withColumn("_n", place).withColumn("collapsed", F.count("*").over(by) - 1)
+    return marked.filter("_n = 1").drop("_n", "_ident")

@@ -37,14 +37,25 @@ def route(query: str) -> str:
     return "short" if query.isalnum() else "like"
 
 
-def trigram_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``token, id, tf``."""
-    return docs.select(F.explode(trigrams(text_col)).alias("token"), id_col).groupBy("token", id_col).agg(F.count("*").cast("int").alias("tf"))
+def trigram_postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """``token, id, tf``, of some tokens only if they are given."""
+    grams = trigrams(text_col)
+    grams = grams if only is None else F.filter(grams, lambda g: g.isin(only))
+    return docs.select(F.explode(grams).alias("token"), id_col).groupBy("token", id_col).agg(F.count("*").cast("int").alias("tf"))
+
+
+def trigram_length(text_col: str) -> Column:
+    return F.greatest(F.length(F.lower(text_of(text_col))) - 2, F.lit(0))
 
 
 def document_lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, length`` in trigrams."""
-    return docs.select(F.col(id_col), F.size(trigrams(text_col)).alias("length"))
+    return docs.select(F.col(id_col), trigram_length(text_col).alias("length"))
+
+
+def query_trigrams(query: str) -> list[str]:
+    q = query.lower()
+    return sorted({q[i : i + 3] for i in range(len(q) - 2)})
 
 
 def short_postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +78,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, docs: DataFrame, query: str, i
     Each distinct trigram adds idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)), idf = ln(1 + (N - n + 0.5) / (n + 0.5)).
     """
     q = query.lower()
-    grams = sorted({q[i : i + 3] for i in range(len(q) - 2)})
+    grams = query_trigrams(query)
     hit = postings.filter(F.col("token").isin(grams))
     n_docs = lengths.agg(F.count("*").alias("n_all"), F.avg("length").alias("avg"))  # one row
     df = hit.groupBy("token").agg(F.count("*").alias("n_token"))  # a row for each trigram of the query
@@ -79,6 +90,24 @@ def bm25(postings: DataFrame, lengths: DataFrame, docs: DataFrame, query: str, i
     return sums.join(verified, id_col, "left_semi").select(id_col, F.round("score", 6).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``bm25`` gives, without an index: two scans and no shuffle of rows.
+
+    The first counts the documents with each trigram of the query, their number and mean length; the second scores the
+    documents that hold the query.
+    """
+    q, grams = query.lower(), query_trigrams(query)
+    text = F.lower(text_of(text_col))
+    stats = docs.agg(F.count("*").alias("n_all"), F.avg(trigram_length(text_col)).alias("avg"), *[F.count_if(F.contains(text, F.lit(g))).alias(f"n{k}") for k, g in enumerate(grams)])  # one row
+    held = docs.filter(F.contains(text, F.lit(q))).select(id_col, trigram_length(text_col).alias("length"), F.filter(trigrams(text_col), lambda g: g.isin(grams)).alias("_g"))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("avg"))
+    score = F.lit(0.0)
+    for k, g in enumerate(grams):
+        tf = F.size(F.filter("_g", lambda x: x == g))
+        score += F.log(1 + (F.col("n_all") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5)) * tf * (K1 + 1) / (tf + norm)
+    return held.crossJoin(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("score"))
+
+
 def facets(docs: DataFrame, equal: dict[str, str | None], tags: DataFrame | None = None, tag: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Rows with the given column values, and with a tag in ``tags(id, tag, label)`` as its tag or label."""
     out = docs
@@ -125,12 +154,11 @@ def reciprocal_rank_fusion(lists: list[DataFrame], id_col: str, place_col: str =
     return both.groupBy(id_col).agg(F.round(F.sum("s") * (k + 1) / len(lists), 6).alias("relevance"))
 
 
-def weighted_mean_vectors(chunks: DataFrame, owner: str, weight: str, vec: str) -> DataFrame:
-    """``owner, vector``: the weighted mean of an owner's chunk vectors, made a unit vector."""
-    dims = chunks.select(owner, weight, F.posexplode(vec).alias("i", "x"))
-    means = dims.groupBy(owner, "i").agg((F.sum(F.col("x") * F.col(weight)) / F.sum(weight)).alias("m"))
-    whole = means.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    return whole.select(owner, unit(F.col("v")).alias("vector"))
+def weighted_mean_vectors(chunks: DataFrame, owner: str, weight: str, vec: str, size: int) -> DataFrame:
+    """``owner, vector``: the weighted mean of an owner's chunk vectors of ``size`` numbers, made a unit vector; one sum for each place."""
+    sums = chunks.groupBy(owner).agg(F.sum(weight).alias("_w"), *[F.sum(F.get(vec, F.lit(i)) * F.col(weight)).alias(f"_{i}") for i in range(size)])
+    mean = F.array(*[F.col(f"_{i}") / F.col("_w") for i in range(size)])
+    return sums.select(owner, mean.alias("v")).select(owner, unit(F.col("v")).alias("vector"))
 
 
 def gloss(selection: DataFrame, entries: DataFrame, text: str = "selected", forms: str = "forms") -> DataFrame:

@@ -1,14 +1,20 @@
-"""Cutting documents into lines, clauses and windows, with exact offsets."""
+"""Cutting documents into lines, clauses and windows, with exact offsets.
+
+A document is cut within its row and exploded at the end, so texts aren't shuffled.
+"""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running_sums
 from ..functions.text import LATIN_SENTENCE_END, content_hash, text_of
 
 
@@ -18,42 +24,48 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line ends after a sentence end or before a line end (``\\r\\n`` is one).  Offsets are 0-based and half
     open, in characters.  Two blank segments or more between lines start a new stanza.
     The pieces, blank ones included, come from one regular expression; their running lengths are the
-    offsets, so nothing is looked up again in the text.
+    offsets, so nothing is looked up again in the text.  Null and empty texts have no line.
     """
     pattern = f"([^{ends}\r\n]*[{ends}]|[^{ends}\r\n]*(?:\r\n|\r|\n)|[^{ends}\r\n]+)"
-    pieces = F.regexp_extract_all(text_of(text_col), F.lit(pattern), F.lit(1))
-    cut = docs.select(F.col(id_col), F.posexplode(pieces).alias("pos", "raw"))
-    before = W.partitionBy(id_col).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(id_col).orderBy("pos")
-    text = F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
-    placed = (
-        cut.withColumn("_at", F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)))
-        .withColumn("line", text)
-        .withColumn("_lead", lead)
-        .withColumn("_blank", (F.col("line") == "").cast("int"))
-        .withColumn("_blanks", F.sum("_blank").over(upto))
-        .filter("line <> ''")
-    )
-    order = W.partitionBy(id_col).orderBy("pos")
-    gap = F.col("_blanks") - F.coalesce(F.lag("_blanks").over(order), F.col("_blanks"))
-    numbered = placed.withColumn("line_no", F.row_number().over(order)).withColumn("_new", (gap >= 2).cast("int"))
-    start = (F.col("_at") + F.col("_lead")).cast("int")
-    return numbered.select(
+    cut = docs.select(F.col(id_col), F.regexp_extract_all(text_of(text_col), F.lit(pattern), F.lit(1)).alias("_raw"))
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    placed = cut.withColumn("_at", running_sums(F.transform("_raw", lambda x: F.length(x))))
+    pieces = F.zip_with("_raw", "_at", lambda x, at: F.struct(trimmed(x).alias("line"), (at + F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))).alias("start")))
+    placed = placed.select(id_col, pieces.alias("_p"))
+    placed = placed.select(id_col, "_p", running_sums(F.transform("_p", lambda p: (p["line"] == "").cast("int"))).alias("_blanks"))
+    kept = F.filter(F.arrays_zip("_p", "_blanks"), lambda p: p["_p"]["line"] != "")
+    lines = placed.select(id_col, kept.alias("_l"))
+    new = F.transform("_l", lambda x, i: F.when((i > 0) & (x["_blanks"] - F.get("_l", i - 1)["_blanks"] >= 2), 1).otherwise(0))
+    lines = lines.select(id_col, "_l", new.alias("_new")).select(id_col, "_l", "_new", running_sums("_new").alias("_stanza"))
+    rows = lines.select(id_col, F.posexplode(F.arrays_zip("_l", "_new", "_stanza")).alias("_n", "x"))
+    line, start = F.col("x._l._p.line"), F.col("x._l._p.start")
+    return rows.select(
         F.col(id_col),
-        "line_no",
-        (F.sum("_new").over(order) + 1).cast("int").alias("stanza_no"),
-        F.col("line").alias("text"),
+        (F.col("_n") + 1).alias("line_no"),
+        (F.col("x._stanza") + F.col("x._new") + 1).alias("stanza_no"),
+        line.alias("text"),
         start.alias("start_offset"),
-        (start + F.length("line")).alias("end_offset"),
-        content_hash("line").alias("line_hash"),
+        (start + F.length(line)).alias("end_offset"),
+        content_hash(line).alias("line_hash"),
     )
 
 
+def _clauses(text_col: str, ends: str) -> Column:
+    return F.filter(F.transform(F.split(text_of(text_col), f"(?<=[{ends}])\n?|\n"), lambda c: F.trim(c)), lambda c: c != "")
+
+
 def split_clauses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: str = LATIN_SENTENCE_END) -> DataFrame:
     """``id, clause_no, clause``: non-blank clauses that keep their end mark, numbered from 1."""
-    cut = F.filter(F.transform(F.split(text_of(text_col), f"(?<=[{ends}])\n?|\n"), lambda c: F.trim(c)), lambda c: c != "")
-    return docs.select(F.col(id_col), F.posexplode(cut).alias("_n", "clause")).select(id_col, (F.col("_n") + 1).alias("clause_no"), "clause")
+    return docs.select(F.col(id_col), F.posexplode(_clauses(text_col, ends)).alias("_n", "clause")).select(id_col, (F.col("_n") + 1).alias("clause_no"), "clause")
+
+
+def clauses_in_context(docs: DataFrame, word: str, id_col: str = "doc_id", text_col: str = "text", ends: str = LATIN_SENTENCE_END, reach: int = 1) -> DataFrame:
+    """``id, clause_no, context``: the clauses that hold a word, each with its neighbours up to ``reach`` on both sides."""
+    cut = docs.select(F.col(id_col), _clauses(text_col, ends).alias("_c")).filter(F.exists("_c", lambda c: F.contains(c, F.lit(word))))
+    first = lambda i: F.greatest(i - reach, F.lit(0))
+    near = F.transform("_c", lambda c, i: F.struct(c.alias("clause"), (i + 1).alias("clause_no"), F.array_join(F.slice("_c", first(i) + 1, i + reach + 1 - first(i)), "").alias("context")))
+    hits = cut.select(id_col, F.explode(F.filter(near, lambda x: F.contains(x["clause"], F.lit(word)))).alias("x"))
+    return hits.select(id_col, "x.clause_no", "x.context")
 
 
 def clean_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiters: str = ",.!?;:\n", low: int = 5, high: int = 16, letters: str = r"\p{L} ") -> DataFrame:
@@ -64,34 +76,41 @@ def clean_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def neighbour_context(clauses: DataFrame, id_col: str, order_col: str, text_col: str, reach: int = 1) -> DataFrame:
-    """Adds ``context``: each clause with its neighbours up to ``reach`` on both sides."""
+    """Adds ``context`` to a table of clauses: each with its neighbours up to ``reach`` on both sides."""
     around = W.partitionBy(id_col).orderBy(order_col).rowsBetween(-reach, reach)
     return clauses.withColumn("context", F.array_join(F.collect_list(text_col).over(around), ""))
 
 
-def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 7000, marks: str = "\n。！？；") -> DataFrame:
-    """``id, chunk_no, chunk``: pieces of at most ``limit`` characters that end at a mark in the last fifth if there is one.
+# fixed values
+CHUNK_LIMIT = 7000
+CHUNK_MARKS = "\n。！？；"
+
+
+def chunk_borders(text: str, limit: int, marks: str) -> list[int]:
+    """Where a text is cut so that no piece is longer than ``limit``: behind the last mark in a piece's last fifth, if there is one."""
+    stops = [m.end() for m in re.finditer(f"[{re.escape(marks)}]", text)]
+    borders = [0]
+    while len(text) - borders[-1] > limit:
+        furthest = borders[-1] + limit
+        before = bisect_right(stops, furthest)
+        stop = stops[before - 1] if before else 0
+        borders.append(stop if stop > furthest - limit + limit * 4 // 5 else furthest)
+    return [*borders, len(text)]
+
+
+def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = CHUNK_LIMIT, marks: str = CHUNK_MARKS) -> DataFrame:
+    """``id, chunk_no, chunk``: the trimmed pieces between ``chunk_borders``; blank pieces and null texts give none.
 
-    Where a piece ends depends on the pieces before, so a small Python loop cuts each text; texts come in Arrow batches.
+    Where a piece ends depends on the piece before it, so the borders are found in Python, texts coming in Arrow batches.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def pieces(text: str) -> Iterator[str]:
-        text, start = text.strip(), 0
-        while start < len(text):
-            end = min(len(text), start + limit)
-            if end < len(text):
-                floor = start + limit * 4 // 5
-                natural = max(text.rfind(m, floor, end) + 1 for m in marks)
-                end = natural if natural > floor else end
-            piece = text[start:end].strip()
-            if piece:
-                yield piece
-            start = end
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, n, p) for i, t in zip(pdf[id_col], pdf[text_col]) if t for n, p in enumerate(pieces(t))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_no", "chunk"])
+            texts = [(t or "").strip() for t in pdf[text_col]]
+            cuts = [chunk_borders(t, limit, marks) for t in texts]
+            pieces = [[p for p in (t[a:b].strip() for a, b in zip(c, c[1:])) if p] for t, c in zip(texts, cuts)]
+            whole = pd.DataFrame({id_col: pdf[id_col], "chunk": pieces}).explode("chunk").dropna(subset="chunk")
+            yield whole.assign(chunk_no=whole.groupby(level=0).cumcount().astype("int32"))[[id_col, "chunk_no", "chunk"]]
 
-    return docs.select(id_col, text_col).mapInPandas(cut, f"{id_col} {kind}, chunk_no int, chunk string")
+    return docs.select(id_col, text_col).mapInPandas(chunked, f"{id_col} {kind}, chunk_no int, chunk string")

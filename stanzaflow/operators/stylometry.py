@@ -42,7 +42,7 @@ def signature(word_hits: DataFrame, group: str, word: str, hits: str, k: int = 6
     sums = word_hits.groupBy(group, word).agg(F.sum(hits).alias("n"))
     of_group = F.sum("n").over(W.partitionBy(group))
     of_word = F.sum("n").over(W.partitionBy(word))
-    total = word_hits.agg(F.sum(hits).alias("_all"))  # one row
+    total = sums.agg(F.sum("n").alias("_all"))  # one row, from the same shuffle as the sums
     scored = sums.withColumn("_g", of_group).withColumn("_w", of_word).crossJoin(F.broadcast(total))
     lift = (F.col("n") / F.col("_g")) / (F.col("_w") / F.col("_all"))
     scored = scored.withColumn("lift", F.round(lift, 6)).withColumn("_first", (F.col("n") < least).cast("int"))
@@ -81,19 +81,29 @@ def lift_matrix(pairs: DataFrame, docs: DataFrame, item: str, label: str, least_
     return first_k(good, item, [F.desc("lift"), F.desc("n_cell"), label], k).select(item, label, "n_item", "n_cell", "lift", "place")
 
 
-def conditional_lift(pairs: DataFrame, docs: DataFrame, item: str, label: str, group: str) -> DataFrame:
-    """P(label | item, group), P(label | group) and their ratio, null where the baseline is 0.
+def conditional_lift(docs: DataFrame, group: str, items: str, labels: str) -> DataFrame:
+    """``group, item, label, p_item, p_base, lift``: P(label | item, group), P(label | group) and their ratio, null where the baseline is 0.
 
-    ``pairs(id, item, label, group)`` and ``docs(id, label, group)``; each document counts once for each label.
+    ``items`` and ``labels`` are arrays of distinct values of a document.  P(label | item) is over the documents with the item
+    that have a label.  Each document is counted once for each cell, in one pass and one shuffle.
     """
-    size = docs.groupBy(group).agg(F.countDistinct("id").alias("n_group"))
-    base = docs.groupBy(group, label).agg(F.countDistinct("id").alias("n_base"))
-    n_item = pairs.groupBy(group, item).agg(F.countDistinct("id").alias("n_item"))
-    cell = pairs.groupBy(group, item, label).agg(F.countDistinct("id").alias("n_cell"))
-    out = cell.join(n_item, [group, item]).join(base, [group, label]).join(size, group)
-    p_item = F.col("n_cell") / F.col("n_item")
+    none = F.lit(None).cast("string")
+    pair = lambda i, la: F.struct(i.alias("item"), la.alias("label"))
+    with_labels = F.when(F.size(labels) > 0, F.transform(items, lambda i: pair(i, none))).otherwise(F.array().cast("array<struct<item:string,label:string>>"))
+    cells = F.concat(
+        F.array(pair(none, none)),
+        F.transform(labels, lambda la: pair(none, la)),
+        with_labels,
+        F.flatten(F.transform(items, lambda i: F.transform(labels, lambda la: pair(i, la)))),
+    )
+    counts = docs.select(F.col(group), F.explode(cells).alias("c")).groupBy(group, "c.item", "c.label").agg(F.count("*").alias("n"))
+    size = counts.filter("item is null and label is null").select(group, F.col("n").alias("n_group"))
+    base = counts.filter("item is null and label is not null").select(group, "label", F.col("n").alias("n_base"))
+    n_item = counts.filter("item is not null and label is null").select(group, "item", F.col("n").alias("n_item"))
+    out = counts.filter("item is not null and label is not null").join(n_item, [group, "item"]).join(base, [group, "label"]).join(size, group)
+    p_item = F.col("n") / F.col("n_item")
     p_base = F.col("n_base") / F.col("n_group")
-    return out.select(group, item, label, F.round(p_item, 6).alias("p_item"), F.round(p_base, 6).alias("p_base"), F.round(p_item / F.nullif(p_base, F.lit(0.0)), 6).alias("lift"))
+    return out.select(group, "item", "label", F.round(p_item, 6).alias("p_item"), F.round(p_base, 6).alias("p_base"), F.round(p_item / F.nullif(p_base, F.lit(0.0)), 6).alias("lift"))
 
 
 def dominant_label(hits: DataFrame, id_col: str, label: str, position: str) -> DataFrame:
@@ -113,3 +123,41 @@ def rate_contrast(hits: DataFrame, sizes: DataFrame, word: str, side: str, left:
     )
     delta = wide.select(word, F.round("left_rate", 4).alias("left_rate"), F.round("right_rate", 4).alias("right_rate"), F.round(F.col("right_rate") - F.col("left_rate"), 4).alias("delta"))
     return delta.orderBy(F.desc(F.abs("delta")), word).limit(k)
+
+
+def palette(word_hits: DataFrame, group: str, shade: str, hits: str, k: int = 8) -> DataFrame:
+    """``group, shade, n, place``: the ``k`` shades a group uses most, ties by name."""
+    sums = word_hits.groupBy(group, shade).agg(F.sum(hits).alias("n"))
+    return first_k(sums, group, [F.desc("n"), shade], k)
+
+
+def headline(groups: DataFrame, group: str, docs: str, hits: str, sides: dict[str, list[str]], least_docs: int = 10, least_hits: int = 40) -> DataFrame:
+    """``group, side, share, corpus_share, ratio``: the group whose share of a side lies furthest above the corpus, one row.
+
+    ``groups`` has a row for each group with its documents, hits and hits by family; ``sides`` lists the families of each side.
+    The corpus share weighs groups by hits; groups with few documents or hits can't win; ties go by side and group.
+    """
+    total = groups.agg(F.sum(hits).alias("_all"), *[F.sum(sum((F.col(f) for f in fams), F.lit(0))).alias(f"_{s}") for s, fams in sides.items()])  # one row
+    fit = groups.filter((F.col(docs) >= least_docs) & (F.col(hits) >= least_hits)).crossJoin(F.broadcast(total))
+    own = [F.struct(F.lit(s).alias("side"), (sum((F.col(f) for f in fams), F.lit(0)) / F.col(hits)).alias("share"), (F.col(f"_{s}") / F.col("_all")).alias("corpus_share")) for s, fams in sides.items()]
+    rows = fit.select(group, F.explode(F.array(*own)).alias("s")).select(group, "s.*").filter("corpus_share > 0")
+    ratio = F.round(F.col("share") / F.col("corpus_share"), 6)
+    out = rows.select(group, "side", F.round("share", 6).alias("share"), F.round("corpus_share", 6).alias("corpus_share"), ratio.alias("ratio"))
+    return out.orderBy(F.desc("ratio"), "side", group).limit(1)
+
+
+def number_kinds(matches: DataFrame, group: str, kind: str, size: str, apart: tuple[str, ...] = ("weak", "ordinal"), huge: float = 3.0) -> DataFrame:
+    """``group, counted, weak, ordinal, mean_size, huge``: number words of a group, the kinds ``apart`` counted beside the others."""
+    counted = ~F.col(kind).isin(*apart)
+    return matches.groupBy(group).agg(
+        F.count_if(counted).alias("counted"),
+        *[F.count_if(F.col(kind) == a).alias(a) for a in apart],
+        F.round(F.avg(F.when(counted, F.col(size))), 6).alias("mean_size"),
+        F.count_if(counted & (F.col(size) >= huge)).alias("huge"),
+    )
+
+
+def top_expressions(matches: DataFrame, group: str, size: str, word: str, line: str, k: int = 5) -> DataFrame:
+    """The ``k`` largest expressions of a group, each line once, with its largest word."""
+    best = matches.groupBy(group, line).agg(F.max(F.struct(F.col(size).alias("size"), F.col(word).alias("word"))).alias("b"))
+    return first_k(best.select(group, line, "b.size", "b.word"), group, [F.desc("size"), "word", line], k)

@@ -115,7 +115,7 @@ def nearest_anchor(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     p = e.filter("event_type = 'purchase'").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     v = e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("anchor_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
-    return joins.nearest(p, v, "user_id", "event_id", F.abs(F.col("t") - F.col("u")), ["anchor_id"]).select("event_id", "anchor_id")
+    return joins.nearest(p, v, "user_id", "event_id", "t", "u", "anchor_id").select("event_id", "anchor_id")
 
 
 @query("""SELECT p.event_id, v.event_id AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id, ts) v ON p.user_id = v.user_id AND p.ts >= v.ts""")
@@ -130,11 +130,8 @@ def as_of_last_view(spark, sf_dir):
   SELECT p_partkey, s_suppkey, inside FROM j QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY inside DESC, dist, s_suppkey) = 1""")
 def nearest_interval_pick(spark, sf_dir):
     g = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 7).alias("m"), (F.col("s_nationkey") * 5).alias("lo"), (F.col("s_nationkey") * 5 + 20).alias("hi"))
-    j = _t(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 7).alias("m")).join(g, "m")
-    inside = F.col("p_size").between(F.col("lo"), F.col("hi"))
-    dist = F.greatest(F.col("lo") - F.col("p_size"), F.col("p_size") - F.col("hi"), F.lit(0))
-    best = j.groupBy("p_partkey").agg(F.max(F.struct(inside.alias("inside"), (-dist).alias("d"), (-F.col("s_suppkey")).alias("s"))).alias("b"))
-    return best.select("p_partkey", (-F.col("b.s")).alias("s_suppkey"), "b.inside")
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 7).alias("m"))
+    return joins.nearest_interval(rows, g, "m", "p_partkey", "p_size", ("lo", "hi"), "s_suppkey").select("p_partkey", "s_suppkey", "inside")
 
 
 # ---------------------------------------------------------------- places
@@ -193,9 +190,7 @@ def adjacent_transitions(spark, sf_dir):
 
 @query("""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) SELECT conv_id, bool_and(turn = n - 1 + first) AS dense FROM s GROUP BY conv_id""")
 def dense_sequence_check(spark, sf_dir):
-    by = W.partitionBy("conv_id")
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(by.orderBy("turn")).alias("n"), F.min("turn").over(by).alias("first"))
-    return rows.groupBy("conv_id").agg(F.bool_and(F.col("turn") == F.col("n") - 1 + F.col("first")).alias("dense"))
+    return merge.dense_by_group(_t(spark, sf_dir, "conversations"), "conv_id", "turn")
 
 
 @query("""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
@@ -216,12 +211,10 @@ def greedy_cap_pick(spark, sf_dir):
     return top.select("p_partkey", "p_brand", F.row_number().over(W.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("place"))  # 24 rows
 
 
-@query("""SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id || ':' || doc_id), doc_id) AS INTEGER) AS place FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40 QUALIFY place <= 4""")
+@query("""WITH r AS (SELECT doc_id, source, md5('shuffle:' || doc_id) AS h FROM documents) SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS INTEGER) AS place FROM r QUALIFY place <= 4""")
 def hash_order_shuffle(spark, sf_dir):
-    b = _t(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("m"))
-    d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("m"))
-    key = F.md5(F.concat_ws(":", "item_id", "doc_id"))
-    return stylometry.first_k(b.join(d, "m").withColumn("h", key), "item_id", ["h", "doc_id"], 4).select("item_id", "doc_id", "place")
+    d = _t(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.concat(F.lit("shuffle:"), "doc_id")).alias("h"))
+    return stylometry.first_k(d, "source", ["h", "doc_id"], 4).select("source", "doc_id", "place")
 
 
 @query("""WITH d AS (SELECT n_nationkey AS k, 'direct' AS v FROM nation WHERE n_nationkey % 3 = 0), s AS (SELECT n_nationkey AS k, 'visual' AS v FROM nation WHERE n_nationkey % 2 = 0)
@@ -315,11 +308,11 @@ def cross_batch_reuse(spark, sf_dir):
     return evidence.cross_reuse(_t(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS g, left(c_mktsegment, 6) AS t FROM customer WHERE c_custkey % 40 = 0), z AS (SELECT g, count(*) AS n, min(length(t)) AS lo, max(length(t)) AS hi FROM s GROUP BY g),
-  c AS (SELECT g, i, substring(t, i, 1) AS ch, n, lo FROM s JOIN z USING (g), (SELECT unnest(range(1, 7)) AS i) WHERE lo = hi AND i <= lo), v AS (SELECT g, i, ch, count(*) AS v, any_value(n) AS n, any_value(lo) AS lo FROM c GROUP BY ALL HAVING count(*) >= any_value(n) // 2 + 1),
+@query("""WITH s AS (SELECT c_nationkey || ':' || length(c_mktsegment) AS g, c_mktsegment AS t FROM customer), z AS (SELECT g, count(*) AS n, min(length(t)) AS lo, max(length(t)) AS hi FROM s GROUP BY g),
+  c AS (SELECT g, i, substring(t, i, 1) AS ch, n, lo FROM s JOIN z USING (g), (SELECT unnest(range(1, 40)) AS i) WHERE lo = hi AND i <= lo), v AS (SELECT g, i, ch, count(*) AS v, any_value(n) AS n, any_value(lo) AS lo FROM c GROUP BY ALL HAVING count(*) >= any_value(n) // 2 + 1),
   w AS (SELECT g, CASE WHEN count(*) = any_value(lo) THEN string_agg(ch, '' ORDER BY i) END AS consensus FROM v GROUP BY g) SELECT DISTINCT s.g, consensus FROM s LEFT JOIN w USING (g)""")
 def char_consensus(spark, sf_dir):
-    s = _t(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("g"), F.left("c_mktsegment", F.lit(6)).alias("t"))
+    s = _t(spark, sf_dir, "customer").select(F.concat_ws(":", "c_nationkey", F.length("c_mktsegment")).alias("g"), F.col("c_mktsegment").alias("t"))
     return evidence.character_consensus(s, "g", "t")
 
 
@@ -440,7 +433,6 @@ def imagined_rate(spark, sf_dir):
     return coverage.imagined_rate(_t(spark, sf_dir, "events"), "user_id", F.col("event_type") == "view", F.col("event_type") == "purchase")
 
 
-@query("""SELECT item_id % 5 AS bucket, string_agg(left(text, 12), '|' ORDER BY item_id) AS joined FROM benchmark GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(text, '|' ORDER BY turn, role, text) AS joined FROM conversations GROUP BY conv_id""")
 def listagg_ordered(spark, sf_dir):
-    b = _t(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("bucket"), "item_id", F.left("text", F.lit(12)).alias("t"))
-    return b.groupBy("bucket").agg(F.expr("listagg(t, '|') WITHIN GROUP (ORDER BY item_id)").alias("joined"))
+    return coverage.joined_texts(_t(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text", "|")

@@ -20,3 +20,8 @@ SEASONS = {
     "spring": {"ontion": 8, "tion": 3, "eau": 6}, "summer": {"ing": 3, "inging": 8, "elle": 6},
     "autumn": {"then": 6, "hent": 8, "ent": 3}, "winter": {"erst": 8, "sch": 3, "ción": 6},
 }
+CLUSTERS = {"ation": ("grief", 0.36), "elle": ("joy", 0.3), "hent": ("fear", 0.25)}
+NUMBERS = {  # word: (kind, size)
+    "ontion": ("single", 1.0), "schaft": ("hundred", 2.0), "ción": ("thousand", 3.0), "eau": ("myriad", 4.0), "ing": ("weak", 0.0), "ent": ("ordinal", 0.0),
+}
+COMPANIONS = {"moon": ["ontion", "eau"], "wind": ["schaft"], "rain": ["ción", "inging"]}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
-from ..sources import readers
+from ..sources import readers, writers
 from ..streaming import quota
 
 QUERIES: dict = {}
@@ -39,8 +39,14 @@ _TRI = """c AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
+    return search.bm25_scan(_t(spark, sf_dir, "documents").select("doc_id", "text"), PHRASE)
+
+
+@query(f"WITH {_TRI} SELECT * FROM bm")
+def search_trigram_index(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.bm25(search.trigram_postings(docs, "doc_id", "text"), search.document_lengths(docs, "doc_id", "text"), docs, PHRASE)
+    postings = search.trigram_postings(docs, "doc_id", "text", search.query_trigrams(PHRASE))
+    return search.bm25(postings, search.document_lengths(docs, "doc_id", "text"), docs, PHRASE)
 
 
 @query(f"WITH {_TRI} SELECT * FROM bm")
@@ -96,7 +102,7 @@ def hybrid_rrf(spark, sf_dir):
   SELECT label, CAST(i - 1 AS INTEGER) AS i, round(m / n, 6) AS x FROM m JOIN n USING (label)""")
 def weighted_mean_vectors(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").withColumn("w", (F.col("vec_id") % 5 + 1).cast("double"))
-    out = search.weighted_mean_vectors(e, "label", "w", "embedding")
+    out = search.weighted_mean_vectors(e, "label", "w", "embedding", 64)
     return out.select("label", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -105,7 +111,7 @@ def vector_norms(spark, sf_dir):
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
 
 
-@query("""WITH h AS (SELECT item_id, text, strpos(lower(text), 'that') AS p, length(text) AS n FROM benchmark WHERE contains(lower(text), 'that')), b AS (SELECT *, greatest(p - 1 - 20, 0) AS a, least(p - 1 + 4 + 20, n) AS z FROM h)
+@query(r"""WITH t AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM benchmark), h AS (SELECT item_id, text, strpos(lower(text), 'that') AS p, length(text) AS n FROM t WHERE contains(lower(text), 'that')), b AS (SELECT *, greatest(p - 1 - 20, 0) AS a, least(p - 1 + 4 + 20, n) AS z FROM h)
   SELECT item_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || substring(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) || (CASE WHEN z < n THEN '…' ELSE '' END) AS snippet FROM b""")
 def search_snippets(spark, sf_dir):
     hits = _t(spark, sf_dir, "benchmark").filter(F.contains(F.lower("text"), F.lit("that")))
@@ -127,22 +133,24 @@ def json_payload_rows(spark, sf_dir):
     return readers.payload_events(_t(spark, sf_dir, "events"), "event_id", "props").select("event_id", "key", F.col("value").cast("bigint").alias("v"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www[0-9]*\\.', '') AS host FROM pages""")
+@query("""WITH h AS (SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1), '^www[0-9]*\\.', '') AS host FROM pages)
+  SELECT page_id, CASE host WHEN 'site1.example' THEN 'one' WHEN 'site2.example' THEN 'two' WHEN 'news.example.com' THEN 'news' ELSE host END AS host FROM h""")
 def host_families(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", T.host_family("url", {}).alias("host"))
+    aliases = {"site1.example": "one", "site2.example": "two", "news.example.com": "news"}
+    return _t(spark, sf_dir, "pages").select("page_id", T.host_family("url", aliases).alias("host"))
 
 
-@query("""WITH p AS (SELECT doc_id % 50 AS page, doc_id, source, lang FROM documents WHERE doc_id < 400), f AS (SELECT page, string_agg(source || lang, ',' ORDER BY source, lang) AS c FROM p GROUP BY page)
+@query("""WITH p AS (SELECT doc_id // 8 AS page, doc_id, source, lang FROM documents), f AS (SELECT page, string_agg(source || lang, ',' ORDER BY source, lang) AS c FROM p GROUP BY page)
   SELECT page, row_number() OVER (PARTITION BY c ORDER BY page) > 1 AS repeated FROM f""")
 def page_fingerprints(spark, sf_dir):
-    p = _t(spark, sf_dir, "documents").filter("doc_id < 400").select((F.col("doc_id") % 50).alias("page"), "source", "lang")
+    p = _t(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 8).alias("page"), "source", "lang")
     return readers.page_fingerprint(p, "page", ["source", "lang"]).select("page", "repeated")
 
 
-@query("""WITH m AS (SELECT l_partkey AS k, l_orderkey AS line, l_linenumber AS pos, l_shipmode AS ev FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem WHERE l_partkey <= 60))
+@query("""WITH m AS (SELECT l_partkey AS k, l_orderkey AS line, l_linenumber AS pos, l_returnflag AS ev FROM lineitem)
   SELECT k, CASE WHEN count(DISTINCT line) = 1 THEN min(line) END AS line, count(*) AS n, array_to_string(list_sort(list(pos)), ',') AS places, array_to_string(list_sort(list_distinct(list(ev))), ',') AS evidence FROM m GROUP BY k""")
 def mention_merge(spark, sf_dir):
-    m = _t(spark, sf_dir, "lineitem").filter("l_partkey <= 60").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("ev"))
+    m = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("ev"))
     out = search.merge_mentions(m, ["k"], ["line", "pos"], "line", "pos", "ev")
     return out.withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ",")).withColumn("evidence", F.array_join("evidence", ","))
 
@@ -153,7 +161,10 @@ def selection_gloss(spark, sf_dir):
     return search.gloss(spark.createDataFrame([("The",), ("AND",), ("of",)], "selected string"), entries).select("selected", "term_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT user_id, event_id, n, TRUE AS allowed, [t] AS kept FROM e WHERE n = 1 UNION ALL
+    SELECT user_id, event_id, n, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.kept, lambda x: x > e.t - 604800) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+  SELECT user_id, event_id, allowed FROM r""")
 def quota_sliding_window(spark, sf_dir):
     return quota.quota_decisions(_t(spark, sf_dir, "events"), limit=3, span=7 * 86400.0)
 
@@ -164,7 +175,9 @@ def ext_tumbling_counts(spark, sf_dir):
     return e.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT sha256(string_agg(h, ',' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT sha256(item_id || chr(31) || text) AS h FROM benchmark)""")
+@query("""WITH h AS (SELECT sha256(doc_id || chr(31) || text) AS h FROM documents)
+  SELECT count(*) AS n, """ + ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4)) + """ FROM h""")
 def manifest_hash(spark, sf_dir):
-    rows = _t(spark, sf_dir, "benchmark").select(T.content_hash("item_id", "text").alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"), F.count("*").alias("n"))
+    row = T.content_hash("doc_id", "text")
+    sums = writers.digest_sums(_t(spark, sf_dir, "documents").select(row.alias("h")), F.col("h"))
+    return sums.select("n", *[F.col(f"s{i}").cast("string").alias(f"s{i}") for i in range(4)])

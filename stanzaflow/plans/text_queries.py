@@ -54,7 +54,7 @@ def excerpt_160(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
 
 
-@query("""WITH h AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS p, length(text) AS n FROM documents),
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents), h AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS p, length(text) AS n FROM t),
   b AS (SELECT *, greatest(p - 1 - 54, 0) AS a, least(CASE WHEN p > 0 THEN p - 1 + 4 + 54 ELSE 108 END, n) AS z FROM h)
   SELECT doc_id, (CASE WHEN a > 0 THEN '…' ELSE '' END) || substring(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) || (CASE WHEN z < n THEN '…' ELSE '' END) AS snippet FROM b""")
 def snippet_first_hit(spark, sf_dir):
@@ -96,8 +96,14 @@ def clause_split(spark, sf_dir):
 @query(f"""WITH {_CLAUSES}, w AS (SELECT doc_id, clause_no, clause, string_agg(clause, '') OVER (PARTITION BY doc_id ORDER BY clause_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM c)
   SELECT doc_id, CAST(clause_no AS INTEGER) AS clause_no, context FROM w WHERE contains(clause, 'ontion')""")
 def neighbor_context(spark, sf_dir):
+    return segment.clauses_in_context(_t(spark, sf_dir, "documents"), "ontion")
+
+
+@query(f"""WITH {_CLAUSES}, w AS (SELECT doc_id, clause_no, string_agg(clause, '') OVER (PARTITION BY doc_id ORDER BY clause_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM c)
+  SELECT doc_id, count(*) AS clauses, CAST(sum(length(context)) AS BIGINT) AS chars FROM w GROUP BY doc_id""")
+def context_windows(spark, sf_dir):
     near = segment.neighbour_context(segment.split_clauses(_t(spark, sf_dir, "documents")), "doc_id", "clause_no", "clause")
-    return near.filter(F.contains("clause", F.lit("ontion"))).select("doc_id", "clause_no", "context")
+    return near.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.length("context")).alias("chars"))
 
 
 @query(r"""WITH p AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[,.!?;:\n]'))) AS phrase FROM documents)
@@ -253,10 +259,8 @@ def dominant_family(spark, sf_dir):
   x AS (SELECT *, n_cell::DOUBLE / n_item AS pi, n_base::DOUBLE / n_group AS pb FROM nc JOIN ni USING (grp, item) JOIN nb USING (grp, label) JOIN g USING (grp))
   SELECT grp, item, label, round(pi, 6) AS p_item, round(pb, 6) AS p_base, round(pi / pb, 6) AS lift FROM x""")
 def cond_prob_lift(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), lexicon.contained("text", L.TAGS).alias("items"), lexicon.contained("text", L.WORDS).alias("labels"))
-    labels = docs.select("id", "grp", "items", F.explode_outer("labels").alias("label"))
-    pairs = labels.filter("label is not null").select("id", "grp", "label", F.explode("items").alias("item"))
-    return stylometry.conditional_lift(pairs, labels.select("id", "grp", "label"), "item", "label", "grp")
+    docs = _t(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), lexicon.contained("text", L.TAGS).alias("items"), lexicon.contained("text", L.WORDS).alias("labels"))
+    return stylometry.conditional_lift(docs, "grp", "items", "labels")
 
 
 @query(f"""WITH {_MASKED}, c AS (SELECT lang, sum(n_chars) AS chars FROM documents GROUP BY lang), r AS (SELECT word, lang, sum(hits)::DOUBLE * 10000 / any_value(chars)::DOUBLE AS rate FROM hits JOIN c USING (lang) WHERE hits > 0 GROUP BY ALL),
@@ -267,47 +271,169 @@ def rate_per_10k_contrast(spark, sf_dir):
     return stylometry.rate_contrast(_masked(spark, sf_dir), sizes, "word", "lang", "en", "de", 8)
 
 
-@query()
+def _accepted_sql(name: str, source: str, field: str) -> str:
+    """CTEs that end in ``name(doc_id, label, term, weight, start)``: hits of ``field`` in ``source``, longest terms first.
+
+    Terms of a label that have one length can't overlap here, so it is enough that a hit overlaps none of a longer term.
+    """
+    parts, n = [], 0
+    for label, terms in L.EMOTIONS.items():
+        lengths = sorted({len(t) for t, _ in terms}, reverse=True)
+        for term, weight in terms:
+            parts.append(
+                f"SELECT doc_id, x, '{label}' AS label, '{term}' AS term, {weight}::DOUBLE AS weight, {len(term)} AS n, {lengths.index(len(term)) + 1} AS tier, start FROM (SELECT doc_id, x, i, many, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {len(term)} AS start "
+                f"FROM (SELECT doc_id, {field} AS x, unnest(string_split({field}, '{term}')) AS part, generate_subscripts(string_split({field}, '{term}'), 1) AS i, len(string_split({field}, '{term}')) AS many FROM {source})) WHERE i < many"
+            )
+            n = max(n, len(lengths))
+    free = " AND ".join(
+        [f"NOT (start >= {len(x)} AND substring(x, CAST(start - {len(x) - 1} AS BIGINT), {len(x)}) = '{x}')" for x in L.NEGATORS]
+        + [f"NOT coalesce((SELECT f > 0 AND lo + f - 1 <= start AND start + n <= lo + f - 1 + {len(p)} FROM (SELECT greatest(start - {len(p)}, 0) AS lo, strpos(substring(x, CAST(greatest(start - {len(p)}, 0) + 1 AS BIGINT), CAST(start + n + {len(p)} - greatest(start - {len(p)}, 0) AS BIGINT)), '{p}') AS f)), false)" for p in L.EXCLUDED]
+    )
+    out = [f"{name}_o AS ({' UNION ALL '.join(parts)})", f"{name}_f AS (SELECT doc_id, label, term, weight, n, tier, start FROM {name}_o WHERE {free})", f"{name}_1 AS (SELECT * FROM {name}_f WHERE tier = 1)"]
+    for k in range(2, n + 1):
+        out.append(
+            f"{name}_{k} AS (SELECT * FROM {name}_{k - 1} UNION ALL SELECT * FROM {name}_f f WHERE tier = {k} AND NOT EXISTS (SELECT 1 FROM {name}_{k - 1} a WHERE a.doc_id = f.doc_id AND a.label = f.label AND a.start < f.start + f.n AND f.start < a.start + a.n))"
+        )
+    return ", ".join([*out, f"{name} AS (SELECT doc_id, label, term, weight, start FROM {name}_{n})"])
+
+
+@query(f"WITH {_accepted_sql('h', 'documents', 'text')} SELECT doc_id, label, term, weight, CAST(start AS INTEGER) AS start FROM h")
 def emotion_hits(spark, sf_dir):
     return lexicon.interval_matches(_t(spark, sf_dir, "documents"), L.EMOTIONS, excluded=L.EXCLUDED, negators=L.NEGATORS)
 
 
-@query(f"""WITH {_MASKED}, f AS (SELECT doc_id, family AS label, CASE family WHEN 'a' THEN 1.8::DOUBLE WHEN 'b' THEN 1.0::DOUBLE ELSE 0.48::DOUBLE END * hits AS s, hits FROM hits WHERE hits > 0),
-  g AS (SELECT doc_id, label, sum(s) AS score, sum(hits) AS rule_hits FROM f GROUP BY ALL),
-  dim(label, v, a, d) AS (VALUES ('a', 0.5::DOUBLE, 0.2::DOUBLE, 0.6::DOUBLE), ('b', -0.7, 0.4, 0.3), ('c', 0.8, 0.6, 0.7), ('d', -0.6, 0.8, 0.2), ('e', 0.1, 0.5, 0.5)),
-  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS place, sum(score) OVER (PARTITION BY doc_id) AS total FROM g JOIN dim USING (label)),
+_TITLE = r"regexp_extract(trim(text), '^[^.!?;\n]*', 0)"
+_PROFILE = f"""s0 AS (SELECT doc_id, source, text, {_TITLE} AS title FROM documents), {_accepted_sql('b', 's0', 'text')}, {_accepted_sql('t', 's0', 'title')},
+  parts AS (SELECT doc_id, label, weight AS w, 1 AS hits FROM b UNION ALL SELECT doc_id, label, weight * 0.55::DOUBLE, 0 FROM t
+    {" ".join(f"UNION ALL SELECT doc_id, '{label}', {weight}::DOUBLE * ((length(text) - length(replace(text, '{w}', ''))) // {len(w)}), 0 FROM s0 WHERE contains(text, '{w}')" for w, (label, weight) in L.CLUSTERS.items())}),
+  g AS (SELECT doc_id, label, round(sum(w), 9) AS score, sum(hits) AS rule_hits FROM parts GROUP BY ALL),
+  dim(label, v, a, d) AS (VALUES {", ".join(f"('{n}', {v}::DOUBLE, {a}::DOUBLE, {d}::DOUBLE)" for n, v, a, d in L.DIMENSIONS)}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS place, sum(score) OVER (PARTITION BY doc_id) AS total FROM g JOIN dim USING (label) WHERE score > 0),
   x AS (SELECT doc_id, sum(pow(score, 1.12) * v) / sum(pow(score, 1.12)) AS valence, sum(pow(score, 1.12) * a) / sum(pow(score, 1.12)) AS arousal, sum(pow(score, 1.12) * d) / sum(pow(score, 1.12)) AS dominance,
-    max(CASE WHEN place = 1 THEN label END) AS primary_label, max(score) AS top, max(total) AS total, sum(rule_hits) AS hits, coalesce(sum(CASE WHEN v > 0.2 THEN score / total END), 0) AS pos, coalesce(sum(CASE WHEN v < -0.2 THEN score / total END), 0) AS neg FROM r GROUP BY doc_id)
-  SELECT doc_id, primary_label, round(valence, 3) AS valence, round(arousal, 3) AS arousal, round(dominance, 3) AS dominance, pos >= 0.22 AND neg >= 0.22 AS mixed,
-    round(least(0.96, 0.18 + 0.38 * (1 - exp(-total / 4.2)) + 0.24 * top / total + 0.16 * least(1.0, hits / 5.0))::DOUBLE, 3) AS confidence FROM x""")
+    max(CASE WHEN place = 1 THEN label END) AS primary_label, string_agg(label, ',' ORDER BY place) FILTER (WHERE place <= 3) AS labels, max(score) AS top, max(total) AS total, CAST(sum(rule_hits) AS BIGINT) AS hits, coalesce(sum(CASE WHEN v > 0.2 THEN score / total END), 0) AS pos, coalesce(sum(CASE WHEN v < -0.2 THEN score / total END), 0) AS neg FROM r GROUP BY doc_id),
+  y AS (SELECT s0.doc_id, source, primary_label, labels, valence, arousal, dominance, pos, neg, hits, (0.18 + 0.38 * (1 - exp(-total / 4.2)) + 0.24 * top / total + 0.16 * least(1.0, hits / 5.0))::DOUBLE AS c FROM s0 LEFT JOIN x ON x.doc_id = s0.doc_id),
+  profile AS (SELECT doc_id, source, primary_label, coalesce(labels, '') AS labels, coalesce(round(valence, 3), 0.0) AS valence, coalesce(round(arousal, 3), 0.35) AS arousal, coalesce(round(dominance, 3), 0.0) AS dominance, coalesce(pos >= 0.22 AND neg >= 0.22, false) AS mixed,
+    CASE WHEN c IS NULL THEN 0.12::DOUBLE ELSE round(least(0.96::DOUBLE, c), 3) END AS confidence, CASE WHEN c >= 0.72 THEN 'high' WHEN c >= 0.48 THEN 'medium' ELSE 'low' END AS confidence_label, coalesce(hits, 0) AS rule_hits FROM y)"""
+
+
+def _profiles(spark, sf_dir) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text", T.first_sentence("text").alias("title"))
+    scored = affect.document_scores(docs, L.EMOTIONS, L.CLUSTERS, "title", "text", "doc_id", L.EXCLUDED, L.NEGATORS, keep=["source"])
+    return scored.select("doc_id", "source", affect.profile_of(F.col("scores"), L.DIMENSIONS).alias("p")).select("doc_id", "source", "p.*")
+
+
+@query(f"""WITH {_PROFILE} SELECT doc_id, primary_label, labels, valence, arousal, dominance, mixed, confidence, confidence_label, rule_hits, CAST(round_even((valence + 1) * 50, 0) AS INTEGER) AS valence_percent FROM profile""")
 def emotion_profile(spark, sf_dir):
-    weight = F.when(F.col("family") == "a", 1.8).when(F.col("family") == "b", 1.0).otherwise(0.48) * F.col("hits")
-    scores = _masked(spark, sf_dir).groupBy("doc_id", F.col("family").alias("label")).agg(F.sum(weight).alias("score"), F.sum("hits").alias("rule_hits"))
-    rows = [("a", 0.5, 0.2, 0.6), ("b", -0.7, 0.4, 0.3), ("c", 0.8, 0.6, 0.7), ("d", -0.6, 0.8, 0.2), ("e", 0.1, 0.5, 0.5)]
-    out = affect.emotion_profile(scores, spark.createDataFrame(rows, "label string, valence double, arousal double, dominance double"))
-    return out.select("doc_id", F.col("primary").alias("primary_label"), "valence", "arousal", "dominance", "mixed", "confidence")
+    labels = F.array_join(F.transform("labels", lambda x: x["label"]), ",")
+    out = _profiles(spark, sf_dir).withColumn("labels", labels).withColumn("valence_percent", affect.percent_of("valence"))
+    return out.drop("source").withColumnRenamed("primary", "primary_label")
+
+
+@query(f"""WITH {_PROFILE} SELECT 'label' AS kind, NULL::VARCHAR AS source, primary_label AS label, count(*) AS n FROM profile WHERE primary_label IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'owner', source, primary_label, count(*) FROM profile WHERE primary_label IS NOT NULL GROUP BY ALL UNION ALL SELECT 'confidence', NULL, confidence_label, count(*) FROM profile GROUP BY ALL""")
+def emotion_distribution(spark, sf_dir):
+    return affect.label_distribution(_profiles(spark, sf_dir), "source")
+
+
+@query(f"""WITH {_MASKED}, f AS (SELECT doc_id, family AS label, CASE family WHEN 'a' THEN 1.8::DOUBLE WHEN 'b' THEN 1.0::DOUBLE ELSE 0.48::DOUBLE END * hits AS s, hits FROM hits WHERE hits > 0)
+  SELECT doc_id, label, round(sum(s), 6) AS score, CAST(sum(hits) AS BIGINT) AS rule_hits FROM f GROUP BY ALL""")
+def emotion_scores_of_hits(spark, sf_dir):
+    weight = F.when(F.col("family") == "a", 1.8).when(F.col("family") == "b", 1.0).otherwise(0.48)
+    hits = _masked(spark, sf_dir).select("doc_id", F.col("family").alias("label"), weight.alias("weight"), F.explode(F.sequence(F.lit(1), F.col("hits"))).alias("n"))
+    return affect.emotion_scores(hits).withColumn("score", F.round("score", 6))
 
 
 def _season_sql() -> str:
-    parts, picks = [], []
+    picks = []
     for k, (name, terms) in enumerate(L.SEASONS.items()):
-        prev, score = "text", []
-        for i, w in enumerate(lexicon.by_length(terms)):
-            parts.append(f"(length({prev}) - length(replace({prev}, '{w}', ''))) // {len(w)} * {terms[w]}")
-            score.append(parts.pop())
-            prev = f"replace({prev}, '{w}', repeat('#', {len(w)}))"
-        picks.append(f"SELECT doc_id, '{name}' AS season, {-k} AS early, {' + '.join(score)} AS score FROM (SELECT doc_id, text FROM documents)")
-    return f"""WITH s AS ({" UNION ALL ".join(picks)}), t AS (SELECT doc_id, max(score) AS score, count(*) FILTER (WHERE score = m) AS ties, arg_max(season, score) AS season FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM s) GROUP BY doc_id)
-      SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN score > 0 AND ties = 1 THEN season END AS sure_season FROM t"""
+        fields = {}
+        for field in ("title", "text"):
+            now, score, last = field, [], []
+            for w in lexicon.by_length(terms):
+                score.append(f"(length({now}) - length(replace({now}, '{w}', ''))) // {len(w)} * {terms[w]}")
+                last.append(f"CASE WHEN contains({now}, '{w}') THEN length({now}) - length(string_split({now}, '{w}')[-1]) - {len(w)} ELSE -1 END")
+                now = f"replace({now}, '{w}', repeat('#', {len(w)}))"
+            fields[field] = (" + ".join(score), f"greatest({', '.join(last)})")
+        (ts, tl), (bs, bl) = fields["title"], fields["text"]
+        picks.append(f"SELECT doc_id, '{name}' AS season, {k} AS nr, 3 * ({ts}) + {bs} AS score, greatest({tl}, CASE WHEN {bl} >= 0 THEN length(title) + 1 + {bl} ELSE -1 END) AS latest FROM d")
+    return f"""WITH d AS (SELECT doc_id, text, {_TITLE} AS title FROM documents), s AS ({" UNION ALL ".join(picks)}),
+      b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, score) AS ties FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, latest DESC, nr) = 1)
+      SELECT doc_id, CASE WHEN score > 0 THEN season END AS season, CAST(score AS INTEGER) AS score, CAST(CASE WHEN score > 0 THEN ties ELSE 0 END AS INTEGER) AS tied FROM b"""
 
 
 @query(_season_sql())
 def season_detect(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").withColumn("title", F.lit(""))
-    found = affect.detect_season(docs, L.SEASONS, "title", "text")
-    return found.select("doc_id", "score", F.when(F.col("tied") == 1, F.col("season")).alias("sure_season"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", T.first_sentence("text").alias("title"))
+    return affect.detect_season(docs, L.SEASONS, "title", "text").withColumn("tied", F.when(F.col("season").isNull(), 0).otherwise(F.col("tied")))
 
 
-@query()
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+  c AS (SELECT doc_id, t, 0 AS a, 0 AS z, 0 AS k FROM t UNION ALL
+    SELECT doc_id, t, z, CASE WHEN length(t) - z <= 2000 THEN length(t) ELSE z + CASE WHEN m > 0 THEN 1600 + m ELSE 2000 END END, k + 1 FROM (SELECT *, length(regexp_extract(substring(t, z + 1601, 400), '(?s)^.*[\n.]', 0)) AS m FROM c) WHERE z < length(t)),
+  p AS (SELECT doc_id, k, regexp_replace(substring(t, a + 1, z - a), '^\s+|\s+$', '', 'g') AS chunk FROM c WHERE k > 0)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, CAST(length(chunk) AS INTEGER) AS n_chars FROM p WHERE chunk <> ''""")
 def chunk_long_texts(spark, sf_dir):
     return segment.chunk_text(_t(spark, sf_dir, "documents"), limit=2000, marks="\n.").select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"))
+
+
+# ---------------------------------------------------------------- numbers, contexts, companions
+
+_NUMBERS = f"""e AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{_q(lexicon.by_length(L.NUMBERS))}')) AS word FROM documents),
+  num(word, kind, size) AS (VALUES {", ".join(f"('{w}', '{k}', {v}::DOUBLE)" for w, (k, v) in L.NUMBERS.items())})"""
+
+
+def _numbers(spark, sf_dir, ids: list[str]) -> DataFrame:
+    table = F.create_map(*[v for w, (k, size) in L.NUMBERS.items() for v in (F.lit(w), F.struct(F.lit(k).alias("kind"), F.lit(size).alias("size")))])
+    found = _t(spark, sf_dir, "documents").select(*ids, F.explode(lexicon.leftmost_matches("text", L.NUMBERS)).alias("word"))
+    return found.select(*ids, "word", table[F.col("word")].alias("n")).select(*ids, "word", "n.kind", "n.size")
+
+
+@query(f"""WITH {_NUMBERS} SELECT source, count(*) FILTER (WHERE kind NOT IN ('weak', 'ordinal')) AS counted, count(*) FILTER (WHERE kind = 'weak') AS weak, count(*) FILTER (WHERE kind = 'ordinal') AS ordinal,
+  round(avg(size) FILTER (WHERE kind NOT IN ('weak', 'ordinal')), 6) AS mean_size, count(*) FILTER (WHERE kind NOT IN ('weak', 'ordinal') AND size >= 3) AS huge FROM e JOIN num USING (word) GROUP BY source""")
+def number_kinds(spark, sf_dir):
+    return stylometry.number_kinds(_numbers(spark, sf_dir, ["source"]), "source", "kind", "size")
+
+
+@query(f"""WITH {_CLAUSES}, e AS (SELECT source, clause, unnest(regexp_extract_all(clause, '{_q(lexicon.by_length(L.NUMBERS))}')) AS word FROM c JOIN documents USING (doc_id)),
+  num(word, kind, size) AS (VALUES {", ".join(f"('{w}', '{k}', {v}::DOUBLE)" for w, (k, v) in L.NUMBERS.items())}), b AS (SELECT source, clause AS line, max({{'size': size, 'word': word}}) AS b FROM e JOIN num USING (word) WHERE kind NOT IN ('weak', 'ordinal') GROUP BY ALL)
+  SELECT source, line, b.size AS size, b.word AS word, CAST(row_number() OVER (PARTITION BY source ORDER BY b.size DESC, b.word, line) AS INTEGER) AS place FROM b QUALIFY place <= 5""")
+def number_top_expressions(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("_id", F.struct("doc_id", "source"))
+    lines = segment.split_clauses(docs, "_id").select(F.col("_id.source").alias("source"), F.col("clause").alias("line"))
+    table = F.create_map(*[v for w, (k, size) in L.NUMBERS.items() for v in (F.lit(w), F.struct(F.lit(k).alias("kind"), F.lit(size).alias("size")))])
+    hits = lines.select("source", "line", F.explode(lexicon.leftmost_matches("line", L.NUMBERS)).alias("word")).withColumn("n", table[F.col("word")])
+    counted = hits.filter(~F.col("n.kind").isin("weak", "ordinal")).select("source", "line", "word", "n.size")
+    return stylometry.top_expressions(counted, "source", "size", "word", "line").select("source", "line", "size", "word", "place")
+
+
+@query(rf"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_q(L.WORDS)}')) AS word, generate_subscripts(regexp_extract_all(text, '{_q(L.WORDS)}'), 1) AS n, unnest(string_split_regex(text, '{_q(L.WORDS)}')[1:len(regexp_extract_all(text, '{_q(L.WORDS)}'))]) AS gap FROM documents),
+  o AS (SELECT doc_id, n, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY n) - length(word) AS BIGINT) AS a FROM e),
+  s AS (SELECT o.*, substring(text, greatest(a - 8, 0) + 1, a - greatest(a - 8, 0)) AS l, substring(text, a + length(word) + 1, 8) AS r FROM o JOIN documents USING (doc_id))
+  SELECT doc_id, CAST(n AS INTEGER) AS match_no, word, CAST(a AS INTEGER) AS start_offset FROM s WHERE NOT (word = 'tion' AND (regexp_matches(l, '(?:[aou])$') OR regexp_matches(r, '^(?:s|\s)'))) AND NOT (word = 'then' AND regexp_matches(l, '(?:[Aa]nd )$'))""")
+def lexicon_outside_context(spark, sf_dir):
+    barred = {"tion": ("[aou]", r"s|\s"), "then": ("[Aa]nd ", None)}
+    return lexicon.matches_outside(_t(spark, sf_dir, "documents"), L.WORDS, barred).drop("end_offset")
+
+
+@query("WITH " + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS companion FROM documents WHERE {' OR '.join(f"contains(text, '{a}')" for a in aliases)}" for n, aliases in L.COMPANIONS.items()).join(["f AS (", ")"]) + " SELECT companion, count(*) AS docs FROM f GROUP BY companion")
+def companion_counts(spark, sf_dir):
+    found = _t(spark, sf_dir, "documents").select(F.explode(lexicon.companions("text", L.COMPANIONS)).alias("companion"))
+    return found.groupBy("companion").agg(F.count("*").alias("docs"))
+
+
+@query(f"""WITH {_MASKED}, s AS (SELECT source, word AS shade, CAST(sum(hits) AS BIGINT) AS n FROM hits WHERE hits > 0 GROUP BY ALL) SELECT source, shade, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, shade) AS INTEGER) AS place FROM s QUALIFY place <= 8""")
+def palette_top8(spark, sf_dir):
+    return stylometry.palette(_masked(spark, sf_dir).withColumnRenamed("word", "shade"), "source", "shade", "hits")
+
+
+_FAMS = sorted(set(L.FAMILIES.values()))
+_BY_FAMILY = "w AS (SELECT source, count(DISTINCT doc_id) AS docs, CAST(sum(hits) AS BIGINT) AS hits, " + ", ".join(f"CAST(coalesce(sum(hits) FILTER (WHERE family = '{f}'), 0) AS BIGINT) AS {f}" for f in _FAMS) + " FROM hits WHERE hits > 0 GROUP BY source)"
+
+
+@query(f"""WITH {_MASKED}, {_BY_FAMILY}, t AS (SELECT sum(hits)::DOUBLE AS n, sum(a + b)::DOUBLE AS warm, sum(c + d)::DOUBLE AS cold FROM w),
+  r AS (SELECT source, 'warm' AS side, (a + b) / w.hits::DOUBLE AS share, t.warm / n AS corpus_share FROM w, t WHERE docs >= 10 AND hits >= 40 UNION ALL SELECT source, 'cold', (c + d) / w.hits::DOUBLE, t.cold / n FROM w, t WHERE docs >= 10 AND hits >= 40)
+  SELECT source, side, round(share, 6) AS share, round(corpus_share, 6) AS corpus_share, round(share / corpus_share, 6) AS ratio FROM r ORDER BY ratio DESC, side, source LIMIT 1""")
+def headline_deviation(spark, sf_dir):
+    hits = _masked(spark, sf_dir)
+    groups = hits.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.sum("hits").alias("hits"), *[F.coalesce(F.sum(F.when(F.col("family") == f, F.col("hits"))), F.lit(0)).alias(f) for f in _FAMS])
+    return stylometry.headline(groups, "source", "docs", "hits", {"warm": ["a", "b"], "cold": ["c", "d"]})

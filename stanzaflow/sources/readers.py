@@ -36,7 +36,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
     """The published version of a versioned table (see ``writers.publish``)."""
-    version = spark.read.json(f"{root}/manifest").orderBy(F.desc("published_no")).first()["version"]
+    version = spark.read.option("recursiveFileLookup", "true").json(f"{root}/manifest").orderBy(F.desc("published_no")).first()["version"]
     return spark.read.parquet(f"{root}/{version}")
 
 
@@ -78,6 +78,26 @@ def outline_records(lines: DataFrame, file_col: str, line_no: str, text_col: str
     return seen.filter(~F.col(text_col).rlike(r"^\*+ ") & (F.trim(text_col) != "")).select(file_col, "heading", line_no, F.col(text_col).alias("text"))
 
 
+def payload_tree(payloads: DataFrame, id_col: str, json_col: str, marker: str, depth: int = 6) -> DataFrame:
+    """``id, path, value`` of the scalars below a JSON text, down to ``depth`` levels, and ``block``: the nearest member above that has ``marker``.
+
+    Each level is one explode; objects and arrays are opened, texts that aren't JSON give none.
+    """
+    level = payloads.select(F.col(id_col), F.lit("$").alias("path"), F.try_parse_json(F.col(json_col)).alias("v"), F.lit(None).cast("string").alias("block")).filter("v is not null")
+    out = None
+    for _ in range(depth):
+        kind = F.schema_of_variant("v")
+        opened = level.withColumn("kind", kind).withColumn("block", F.coalesce(F.try_variant_get("v", f"$.{marker}", "string"), "block"))
+        leaf = opened.filter(~F.col("kind").startswith("OBJECT") & ~F.col("kind").startswith("ARRAY")).select(id_col, "path", F.try_variant_get("v", "$", "string").alias("value"), "block")
+        out = leaf if out is None else out.unionByName(leaf)
+        members = F.try_variant_get("v", "$", "map<string,variant>")
+        entries = F.try_variant_get("v", "$", "array<variant>")
+        objects = opened.filter(F.col("kind").startswith("OBJECT")).select(id_col, "path", "block", F.explode(members).alias("k", "v")).select(id_col, F.concat_ws(".", "path", "k").alias("path"), "v", "block")
+        arrays = opened.filter(F.col("kind").startswith("ARRAY")).select(id_col, "path", "block", F.posexplode(entries).alias("i", "v")).select(id_col, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "v", "block")
+        level = objects.unionByName(arrays)
+    return out
+
+
 def payload_events(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """``id, key, value`` of a JSON object's members as text; texts that aren't objects give none."""
     members = F.from_json(json_col, "map<string,string>")

@@ -29,8 +29,8 @@ def quota_decisions(calls: DataFrame, client: str = "user_id", event: str = "eve
     """``client, event, allowed`` of a batch of calls, by client in time order.
 
     Whether a call counts depends on the decisions before it, so no window aggregate can express it.  A client's calls
-    are cut where a pause is longer than the span: nothing is remembered over it, so the pieces are decided on their own and a
-    busy client doesn't land in one task.
+    are cut where a pause is as long as the span: nothing is remembered over it, so the pieces are decided on their own.
+    The pauses are found by a window over slim rows of a client, and a client without a pause is one piece.
     """
     from pyspark.sql import Window as W
 

@@ -56,7 +56,7 @@ def test_search_arguments():
 
 def test_chunk_weighted_vectors(spark):
     rows = spark.createDataFrame([("a", 2.0, [3.0, 0.0]), ("a", 1.0, [0.0, 6.0])], "o string, w double, v array<double>")
-    v = search.weighted_mean_vectors(rows, "o", "w", "v").first()["vector"]
+    v = search.weighted_mean_vectors(rows, "o", "w", "v", 2).first()["vector"]
     assert v == pytest.approx([2**-0.5, 2**-0.5])
 
 
