@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,14 +42,24 @@ def literal(word: str) -> str:
     return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def places_of(text, word: str, overlapping: bool = False) -> Column:
-    """0-based places of a literal word in a text, from left to right, without overlap unless it is asked for, as ``array<int>``."""
+def table_of(rows, kind: str) -> Column:
+    """A small lexicon as a constant of the plan: one literal, whatever its size."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
+
+
+def places_of(text, word, overlapping: bool = False, pattern: Column | None = None) -> Column:
+    """0-based places of a literal word in a text, from left to right without overlap unless it is asked for, as ``array<int>``.
+
+    The word may be a column if its ``literal`` pattern is given too.
+    """
     text = F.col(text) if isinstance(text, str) else text
+    pattern = F.lit(literal(word)) if pattern is None else pattern
+    word = F.lit(word) if isinstance(word, str) else word
     none = F.array().cast("array<int>")
     if overlapping:  # cut before each place: the pieces start there, but for the first
-        starts = running_sums(F.transform(F.split(text, f"(?={literal(word)})", -1), lambda g: F.length(g)))
-        places = F.filter(starts, lambda x, i: (i > 0) | F.startswith(text, F.lit(word)))
+        starts = running_sums(F.transform(F.split(text, F.concat(F.lit("(?="), pattern, F.lit(")")), F.lit(-1)), lambda g: F.length(g)))
+        places = F.filter(starts, lambda x, i: (i > 0) | F.startswith(text, word))
     else:  # the running lengths of gaps and hits are the ends of the hits
-        ends = running_sums(F.transform(F.split(text, literal(word), -1), lambda g: F.length(g) + len(word)))
-        places = F.transform(F.filter(ends, lambda _, i: i > 0), lambda e: e - len(word))
-    return F.when(F.contains(text, F.lit(word)), places).otherwise(none)
+        ends = running_sums(F.transform(F.split(text, pattern, F.lit(-1)), lambda g: F.length(g) + F.length(word)))
+        places = F.transform(F.filter(ends, lambda _, i: i > 0), lambda e: e - F.length(word))
+    return F.when(F.contains(text, word), places).otherwise(none)

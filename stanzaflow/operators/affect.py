@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 from .lexicon import MASK, by_length
-from ..functions.arrays import let
+from ..functions.arrays import let, literal, table_of
 from ..functions.text import text_of
 
 TITLE_SHARE = 0.55  # weight of a hit in the title against one in the body
@@ -41,20 +41,23 @@ def document_scores(docs: DataFrame, terms: dict[str, list[tuple[str, float]]],
     keep = keep or []
     whole = docs.select(
         F.col(id_col), *keep,
-        *[lexicon.accepted_hits(body_col, t, excluded, negators, single).alias(f"_b{k}") for k, t in enumerate(terms.values())],
-        *[lexicon.accepted_hits(title_col, t, excluded, negators, single).alias(f"_t{k}") for k, t in enumerate(terms.values())],
+        lexicon.accepted_by_label(body_col, terms, excluded, negators, single).alias("_body"),
+        lexicon.accepted_by_label(title_col, terms, excluded, negators, single).alias("_title"),
         lexicon.masked_counts(body_col, clusters).alias("_c"),
     )
+    table = table_of({w: {"label": label, "weight": float(weight)} for w, (label, weight) in clusters.items()}, "map<string,struct<label:string,weight:double>>")
     weights = lambda hits: F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["weight"])
-    entries = []
-    for k, label in enumerate(terms):
-        words = {w: weight for w, (to, weight) in clusters.items() if to == label}
-        score = weights(F.col(f"_b{k}")) + weights(F.col(f"_t{k}")) * TITLE_SHARE
-        if words:
-            table = F.create_map(*[F.lit(v) for w, weight in words.items() for v in (w, float(weight))])
-            score += F.aggregate("_c", F.lit(0.0), lambda a, h: a + F.coalesce(F.element_at(table, h["word"]), F.lit(0.0)) * h["hits"])
-        entries.append(F.struct(F.lit(label).alias("label"), F.round(score, 9).alias("score"), F.size(f"_b{k}").cast("bigint").alias("rule_hits")))
-    return whole.select(id_col, *keep, F.filter(F.array(*entries), lambda e: e["score"] > 0).alias("scores"))
+
+    def cluster(label: Column) -> Column:
+        own = lambda h: F.element_at(table, h["word"])
+        return F.aggregate("_c", F.lit(0.0), lambda a, h: a + F.when(own(h)["label"] == label, own(h)["weight"] * h["hits"]).otherwise(F.lit(0.0)))
+
+    def entry(b: Column, t: Column) -> Column:
+        score = weights(b["hits"]) + weights(t["hits"]) * TITLE_SHARE
+        score = score + cluster(b["label"]) if clusters else score
+        return F.struct(b["label"].alias("label"), F.round(score, 9).alias("score"), F.size(b["hits"]).cast("bigint").alias("rule_hits"))
+
+    return whole.select(id_col, *keep, F.filter(F.zip_with("_body", "_title", entry), lambda e: e["score"] > 0).alias("scores"))
 
 
 def profile_of(scores, dimensions: list[tuple[str, float, float, float]]) -> Column:
@@ -130,49 +133,56 @@ def percent_of(value, signed: bool = True) -> Column:
     return F.bround((inside + 1) * 50 if signed else inside * 100, 0).cast("int")
 
 
-def clue_score(x, terms: dict[str, int]) -> Column:
-    """``struct<score, latest>`` of weighted words, longest first with masking; ``latest`` is the last hit's 0-based place or -1.
+_TERMS = "array<struct<word:string,points:int,mask:string,pattern:string>>"
 
-    Only words that occur at all are walked through.
-    """
-    text = text_of(x)
-    entries = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(terms[w]).alias("p"), F.lit(MASK * len(w)).alias("mask"), F.lit(lexicon.quoted([w])).alias("q")) for w in by_length(terms)])
+
+def _clue_rows(terms: dict[str, int]) -> list[dict]:
+    return [{"word": w, "points": terms[w], "mask": MASK * len(w), "pattern": literal(w)} for w in by_length(terms)]
+
+
+def _clues(text: Column, terms: Column) -> Column:
     start = F.struct(text.alias("t"), F.lit(0).alias("score"), F.lit(-1).alias("latest"))
 
-    def step(acc, e):
-        gone = F.octet_length(acc["t"]) - F.octet_length(F.replace(acc["t"], e["w"], F.lit("")))
-        hits = (gone / F.octet_length(e["w"])).cast("int")
-        behind = F.element_at(F.split(acc["t"], e["q"], F.lit(-1)), -1)  # the text behind the last hit
-        last = F.when(hits > 0, F.length(acc["t"]) - F.length(behind) - F.length(e["w"])).otherwise(F.lit(-1))
+    def step(acc: Column, e: Column) -> Column:
+        gone = F.octet_length(acc["t"]) - F.octet_length(F.replace(acc["t"], e["word"], F.lit("")))
+        hits = (gone / F.octet_length(e["word"])).cast("int")
+        behind = F.element_at(F.split(acc["t"], e["pattern"], F.lit(-1)), -1)  # the text behind the last hit
+        last = F.when(hits > 0, F.length(acc["t"]) - F.length(behind) - F.length(e["word"])).otherwise(F.lit(-1))
         return F.struct(
-            F.replace(acc["t"], e["w"], e["mask"]).alias("t"),
-            (acc["score"] + hits * e["p"]).alias("score"),
+            F.replace(acc["t"], e["word"], e["mask"]).alias("t"),
+            (acc["score"] + hits * e["points"]).alias("score"),
             F.greatest(acc["latest"], last).alias("latest"),
         )
 
-    done = F.aggregate(F.filter(entries, lambda e: F.contains(text, e["w"])), start, step)
-    return F.struct(done["score"].alias("score"), done["latest"].alias("latest"))
+    done = F.aggregate(F.filter(terms, lambda e: F.contains(text, e["word"])), start, step)
+    return let(done, lambda d: F.struct(d["score"].alias("score"), d["latest"].alias("latest")))
+
+
+def clue_score(x, terms: dict[str, int]) -> Column:
+    """``struct<score, latest>`` of weighted words, longest first with masking; ``latest`` is the last hit's 0-based place or -1.
+
+    Only words that occur at all are walked through.
+    """
+    return let(text_of(x), lambda t: _clues(t, table_of(_clue_rows(terms), _TERMS)))
 
 
 def detect_season(docs: DataFrame, seasons: dict[str, dict[str, int]], title_col: str, body_col: str, id_col: str = "doc_id", title_weight: int = 3) -> DataFrame:
     """``id, season, score, tied``: the season with the highest score; ties go to the clue met last, then to season order.
 
-    ``tied`` counts the seasons that share the highest score.  Each clue score is a column of its own first, so that it
-    is worked out once.
+    ``tied`` counts the seasons that share the highest score, 0 without any clue.
     """
-    names = list(seasons)
-    scored = docs.select(
-        F.col(id_col),
-        (F.length(text_of(title_col)) + 1).alias("_offset"),
-        *[clue_score(title_col, terms).alias(f"_t{k}") for k, terms in enumerate(seasons.values())],
-        *[clue_score(body_col, terms).alias(f"_b{k}") for k, terms in enumerate(seasons.values())],
-    )
-    entries = []
-    for k, name in enumerate(names):
-        score = F.col(f"_t{k}.score") * title_weight + F.col(f"_b{k}.score")
-        latest = F.greatest(F.col(f"_t{k}.latest"), F.when(F.col(f"_b{k}.latest") >= 0, F.col("_offset") + F.col(f"_b{k}.latest")).otherwise(F.lit(-1)))
-        entries.append(F.struct(score.alias("score"), latest.alias("latest"), F.lit(-k).alias("early"), F.lit(name).alias("season")))
-    found = scored.select(id_col, F.array(*entries).alias("_all")).withColumn("_best", F.array_max(F.filter("_all", lambda e: e["score"] > 0)))
+    rows = [{"season": name, "early": -k, "terms": _clue_rows(terms)} for k, (name, terms) in enumerate(seasons.items())]
+    table = table_of(rows, f"array<struct<season:string,early:int,terms:{_TERMS}>>")
+
+    def entry(title: Column, body: Column, s: Column) -> Column:
+        def joined(t: Column, b: Column) -> Column:
+            latest = F.greatest(t["latest"], F.when(b["latest"] >= 0, F.length(title) + 1 + b["latest"]).otherwise(F.lit(-1)))
+            return F.struct((t["score"] * title_weight + b["score"]).alias("score"), latest.alias("latest"), s["early"].alias("early"), s["season"].alias("season"))
+
+        return let(_clues(title, s["terms"]), lambda t: let(_clues(body, s["terms"]), lambda b: joined(t, b)))
+
+    scored = let(text_of(title_col), lambda title: let(text_of(body_col), lambda body: F.filter(F.transform(table, lambda s: entry(title, body, s)), lambda e: e["score"] > 0)))
+    found = docs.select(F.col(id_col), scored.alias("_all")).withColumn("_best", F.array_max("_all"))
     tied = F.size(F.filter("_all", lambda e: e["score"] == F.col("_best.score")))
     return found.select(id_col, F.col("_best.season").alias("season"), F.coalesce("_best.score", F.lit(0)).alias("score"), tied.alias("tied"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import literal, places_of, running_sums
+from ..functions.arrays import let, literal, places_of, running_sums, table_of
 from ..functions.text import text_of
 
 MASK = "\x00"
@@ -108,51 +108,99 @@ def longest_contained(x, words) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, 1))
 
 
-def _candidates(text: Column, terms: list[tuple[str, float]], excluded, negators, single) -> Column:
-    """The occurrences of one label's terms that nothing blocks, best first.
+def _candidates(text: Column, terms: Column, excluded: list[str], negators: list[str]) -> Column:
+    """The occurrences of one label's ``terms`` that nothing blocks, by place, as ``struct<start, shorter, lighter, term>``.
 
-    A term of one character counts only if it is in ``single`` (if given).  An occurrence is blocked right behind a negator,
-    and where an excluded phrase covers it; of each phrase only the first one near the occurrence is looked at.
+    An occurrence is blocked right behind a negator, and where an excluded phrase covers it; of each phrase only the first one
+    near the occurrence is looked at.  What is near is cut out of the text once for each occurrence.
     """
-    kind = "array<struct<shorter:int,lighter:double,start:int,term:string>>"
-    found = F.array().cast(kind)
-    for term, weight in terms:
-        if len(term) > 1 or single is None or term in single:
-            entry = [F.lit(-len(term)).alias("shorter"), F.lit(-float(weight)).alias("lighter")]
-            found = F.concat(found, F.transform(places_of(text, term), lambda at: F.struct(*entry, at.alias("start"), F.lit(term).alias("term"))))  # noqa: B023
-
-    def free(c: Column) -> Column:
-        ok = F.lit(True)
-        for n in negators:
-            ok &= ~((c["start"] >= len(n)) & (F.substring(text, c["start"] - len(n) + 1, F.lit(len(n))) == n))
-        for p in excluded:
-            first = F.greatest(c["start"] - len(p), F.lit(0))
-            end = c["start"] - c["shorter"]
-            at = first + F.instr(F.substring(text, first + 1, end + len(p) - first), F.lit(p)) - 1
-            ok &= ~((at >= first) & (at <= c["start"]) & (end <= at + len(p)))
-        return ok
-
-    return F.array_sort(F.filter(found, free))
+    reach = max(map(len, [*excluded, *negators]), default=0)
 
+    def found(t: Column) -> Column:
+        return F.transform(places_of(text, t["term"], pattern=t["pattern"]), lambda at: F.struct(at.alias("start"), (-F.length(t["term"])).alias("shorter"), (-t["weight"]).alias("lighter"), t["term"].alias("term")))
+
+    def covered(near: Column, before: Column, n: Column, p: Column) -> Column:
+        # places within ``near``, where the occurrence starts at ``before``
+        first = F.greatest(before - F.length(p), F.lit(0))
+        at = F.instr(F.substring(near, first + 1, before + n + F.length(p) - first), p)
+        return (at > 0) & (first + at - 1 <= before) & (before + n <= first + at - 1 + F.length(p))
+
+    def free(c: Column, phrases: Column) -> Column:
+        before = F.least(c["start"], F.lit(reach))
+        near = F.substring(text, c["start"] - before + 1, before - c["shorter"] + reach)
+
+        def judged(x: Column) -> Column:
+            bad = F.exists(phrases, lambda p: covered(x, before, -c["shorter"], p))
+            return ~(bad | F.exists(F.lit(negators), lambda n: F.endswith(F.substring(x, F.lit(1), before), n))) if negators else ~bad
+
+        return let(near, judged)
+
+    every = F.flatten(F.transform(F.filter(terms, lambda t: F.contains(text, t["term"])), found))
+    if excluded or negators:
+        phrases = F.filter(F.lit(excluded), lambda p: F.contains(text, p)) if excluded else F.array().cast("array<string>")
+        every = let(phrases, lambda ps: F.filter(every, lambda c: free(c, ps)))
+    return F.array_sort(every)
 
-def accepted_hits(x, terms: list[tuple[str, float]], excluded=(), negators=(), single=None) -> Column:
-    """``array<struct<start, term, weight>>`` of one label in a text, by place.
 
-    Candidates are taken one by one, the longest first, then the heaviest, then the leftmost, if they overlap none taken before.
+def _without_overlap(candidates: Column) -> Column:
+    """``array<struct<start, term, weight>>``: the candidates taken one by one, the longest first, then the heaviest, then the leftmost.
+
+    Candidates by place fall into runs that overlap none of another run; only within a run do they have to be compared.
     """
+    kind = "array<struct<start:int,shorter:int,lighter:double,term:string>>"
     none = F.array().cast("array<struct<start:int,term:string,weight:double>>")
 
+    def gather(acc: Column, c: Column) -> Column:
+        end = c["start"] - c["shorter"]
+        joins = c["start"] < acc["end"]
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(F.array_append(acc["done"], acc["run"])).alias("done"),
+            F.when(joins, F.array_append(acc["run"], c)).otherwise(F.array(c)).alias("run"),
+            F.greatest(acc["end"], end).alias("end"),
+        )
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("run"), F.lit(-1).alias("end"))
+    runs = F.aggregate(candidates, start, gather, lambda acc: F.array_append(acc["done"], acc["run"]))
+    hit = lambda c: F.struct(c["start"].alias("start"), c["term"].alias("term"), (-c["lighter"]).alias("weight"))
+
     def take(taken: Column, c: Column) -> Column:
         clash = F.exists(taken, lambda t: (t["start"] < c["start"] - c["shorter"]) & (c["start"] < t["start"] + F.length(t["term"])))
-        return F.when(clash, taken).otherwise(F.array_append(taken, F.struct(c["start"].alias("start"), c["term"].alias("term"), (-c["lighter"]).alias("weight"))))
+        return F.when(clash, taken).otherwise(F.array_append(taken, hit(c)))
+
+    def settled(run: Column) -> Column:
+        ranked = F.array_sort(F.transform(run, lambda c: F.struct(c["shorter"].alias("shorter"), c["lighter"].alias("lighter"), c["start"].alias("start"), c["term"].alias("term"))))
+        return F.when(F.size(run) <= 1, F.transform(run, hit)).otherwise(F.aggregate(ranked, none, take))
+
+    return F.array_sort(F.flatten(F.transform(runs, settled)))
+
 
-    return F.array_sort(F.aggregate(_candidates(text_of(x), terms, excluded, negators, single), none, take))
+def accepted_by_label(x, labelled_terms: dict[str, list[tuple[str, float]]], excluded=(), negators=(), single=None) -> Column:
+    """``array<struct<label, hits: array<struct<start, term, weight>>>>``: each label's hits in a text, by place.
+
+    A term of one character counts only if it is in ``single`` (if given).  Candidates are taken one by one, the longest first,
+    then the heaviest, then the leftmost, if they overlap none of the label taken before.
+    """
+    rows = [
+        {"label": label, "terms": [{"term": t, "weight": float(w), "pattern": literal(t)} for t, w in terms if len(t) > 1 or single is None or t in single]}
+        for label, terms in labelled_terms.items()
+    ]
+    labels = table_of(rows, "array<struct<label:string,terms:array<struct<term:string,weight:double,pattern:string>>>>")
+
+    def hits(text: Column) -> Column:
+        return F.transform(labels, lambda la: F.struct(la["label"].alias("label"), _without_overlap(_candidates(text, la["terms"], list(excluded), list(negators))).alias("hits")))
+
+    return let(text_of(x), hits)
+
+
+def accepted_hits(x, terms: list[tuple[str, float]], excluded=(), negators=(), single=None) -> Column:
+    """``array<struct<start, term, weight>>`` of the terms of one label."""
+    return F.get(accepted_by_label(x, {"": terms}, excluded, negators, single), F.lit(0))["hits"]
 
 
 def interval_matches(docs: DataFrame, labelled_terms: dict[str, list[tuple[str, float]]], id_col: str = "doc_id", text_col: str = "text", excluded=(), negators=(), single=None) -> DataFrame:
     """``id, label, term, weight, start`` for each accepted hit of each label; built-in functions only, no shuffle."""
-    by_label = [F.transform(accepted_hits(text_col, terms, excluded, negators, single), lambda h: F.struct(F.lit(label).alias("label"), h["term"].alias("term"), h["weight"].alias("weight"), h["start"].alias("start"))) for label, terms in labelled_terms.items()]
-    return docs.select(F.col(id_col), F.explode(F.concat(*by_label)).alias("h")).select(id_col, "h.label", "h.term", "h.weight", "h.start")
+    found = docs.select(F.col(id_col), F.explode(accepted_by_label(text_col, labelled_terms, excluded, negators, single)).alias("l"))
+    return found.select(id_col, "l.label", F.explode("l.hits").alias("h")).select(id_col, "label", "h.term", "h.weight", "h.start")
 
 
 def matches_outside(docs: DataFrame, words, barred: dict[str, tuple[str | None, str | None]], id_col: str = "doc_id", text_col: str = "text", reach: int = 8) -> DataFrame:
@@ -188,30 +236,29 @@ def context_labels(x, rules: dict[str, list[str]], excluded=(), negators=(), neg
     A place isn't free inside an excluded phrase (the last one that ends by the keyword's end), or, for words of at most
     ``negated_up_to`` characters, right behind a negator.  Words inside a longer kept word of the label are dropped.
     """
-    text = text_of(x)
+    rows = [{"label": label, "words": [{"word": w, "pattern": literal(w)} for w in by_length(words)]} for label, words in rules.items()]
+    labels = table_of(rows, "array<struct<label:string,words:array<struct<word:string,pattern:string>>>>")
+    barred = table_of([{"phrase": p, "back": literal(p[::-1])} for p in excluded], "array<struct<phrase:string,back:string>>")
+
+    def in_phrase(text: Column, at: Column, w: Column, p: Column) -> Column:
+        before = F.substring(text, F.lit(1), at + F.length(w))
+        last = F.length(before) - F.length(F.element_at(F.split(F.reverse(before), p["back"], F.lit(2)), 1)) - F.length(p["phrase"])
+        return F.contains(before, p["phrase"]) & (last <= at) & (at + F.length(w) <= last + F.length(p["phrase"]))
+
+    def negated(text: Column, at: Column, w: Column) -> Column:
+        behind = F.exists(F.lit(list(negators)), lambda n: (at >= F.length(n)) & (F.substring(text, at - F.length(n) + 1, F.length(n)) == n))
+        return (F.length(w) <= negated_up_to) & behind
+
+    def free(text: Column, t: Column) -> Column:
+        ok = lambda at: ~F.exists(barred, lambda p: in_phrase(text, at, t["word"], p)) & (~negated(text, at, t["word"]) if negators else F.lit(True))
+        return F.exists(places_of(text, t["word"], overlapping=True, pattern=t["pattern"]), ok)
+
+    def kept(text: Column, la: Column) -> Column:
+        words = F.transform(F.filter(la["words"], lambda t: F.contains(text, t["word"]) & free(text, t)), lambda t: t["word"])
+        longest = let(words, lambda ws: F.filter(ws, lambda w: ~F.exists(ws, lambda o: (o != w) & F.contains(o, w))))
+        return F.struct(la["label"].alias("label"), longest.alias("words"))
 
-    def free(word: str) -> Column:
-        places = places_of(text, word, overlapping=True)
-
-        def ok(at: Column) -> Column:
-            good = F.lit(True)
-            for p in excluded:
-                before = F.substring(text, F.lit(1), at + len(word))
-                last = F.length(before) - F.length(F.element_at(F.split(F.reverse(before), quoted([p[::-1]]), 2), 1)) - len(p)
-                good &= ~(F.contains(before, F.lit(p)) & (last <= at) & (at + len(word) <= last + len(p)))
-            if len(word) <= negated_up_to:
-                for n in negators:
-                    good &= ~((at >= len(n)) & (F.substring(text, at - len(n) + 1, F.lit(len(n))) == n))
-            return good
-
-        return F.exists(places, ok)
-
-    out = []
-    for label, words in rules.items():
-        kept = F.array_compact(F.array(*[F.when(free(w), F.lit(w)) for w in by_length(words)]))
-        longest = F.filter(kept, lambda w: ~F.exists(kept, lambda o: (o != w) & F.contains(o, w)))
-        out.append(F.struct(F.lit(label).alias("label"), longest.alias("words")))
-    return F.filter(F.array(*out), lambda e: F.size(e["words"]) > 0)
+    return let(text_of(x), lambda text: F.filter(F.transform(labels, lambda la: kept(text, la)), lambda e: F.size(e["words"]) > 0))
 
 
 def merged_labels(rows: DataFrame, id_col: str, labels: str) -> DataFrame:

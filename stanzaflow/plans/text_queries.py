@@ -364,7 +364,7 @@ def _season_sql() -> str:
 @query(_season_sql())
 def season_detect(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", T.first_sentence("text").alias("title"))
-    return affect.detect_season(docs, L.SEASONS, "title", "text").withColumn("tied", F.when(F.col("season").isNull(), 0).otherwise(F.col("tied")))
+    return affect.detect_season(docs, L.SEASONS, "title", "text")
 
 
 @query(r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
