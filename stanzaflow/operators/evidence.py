@@ -101,6 +101,7 @@ def cross_reuse(rows: DataFrame, source_key: str, identity: str) -> DataFrame:
 
 def character_consensus(samples: DataFrame, group: str, text: str) -> DataFrame:
     """``group, consensus``: the majority character at each place of equally long samples, null without a majority everywhere."""
+    samples = samples.select(group, text)
     sizes = samples.groupBy(group).agg(F.count("*").alias("n"), F.min(F.length(text)).alias("low"), F.max(F.length(text)).alias("high"))
     chars = samples.join(sizes.filter("low = high and low > 0"), group).select(group, "n", "low", F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("pos", "c"))
     votes = chars.groupBy(group, "pos", "c").agg(F.count("*").alias("v"), F.max("n").alias("n"), F.max("low").alias("len"))
