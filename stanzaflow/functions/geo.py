@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import table_of
+
 EARTH_KM = 6371.0
 
 
@@ -58,6 +60,41 @@ def han_number(x) -> Column:
     return F.when(_c(x).rlike(f"^[{digits}元]?十?[{digits}元]?$") & (F.length(_c(x)) > 0), F.when(high == "", 0).otherwise(value(high)) * 10 + F.when(low == "", 0).otherwise(value(low)))
 
 
+# fixed values: bounds of a year, the longest reign number, and the longest reign that stands for a range
+FIRST_YEAR, LAST_YEAR, LONGEST_NUMBER, LONGEST_REIGN = 500, 2000, 40, 15
+
+
+def year_of(x, patterns: list[str], eras: dict[str, tuple[int, int]]) -> Column:
+    """``struct<low, high, precision>`` of the year a text speaks of, null if it names none.
+
+    In order: the first of the ``patterns`` (one group each) that gives a year within bounds; the only 3- or 4-digit year within bounds;
+    a reign and its year number; the first or last years of a reign; a reign short enough to be a range.
+    """
+    text = F.coalesce(_c(x).cast("string"), F.lit(""))
+    names = "|".join(sorted((f"\\Q{n}\\E" for n in eras), key=len, reverse=True))
+    table = table_of({n: {"low": a, "high": b} for n, (a, b) in eras.items()}, "map<string,struct<low:int,high:int>>")
+    found = lambda low, high, kind: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(kind).alias("precision"))
+    bounded = lambda y: y.between(FIRST_YEAR, LAST_YEAR)
+    steps = []
+    for pattern in patterns:
+        y = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+        steps.append(F.when(bounded(y), found(y, y, "approximate")))
+    years = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{3,4})(?!\d)"), F.lit(1)), lambda y: y.cast("int")), bounded))
+    steps.append(F.when(F.size(years) == 1, found(F.get(years, F.lit(0)), F.get(years, F.lit(0)), "approximate")))
+    if eras:
+        part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+        reign = lambda pattern: F.element_at(table, part(pattern, 1))
+        numbered, edge, span = rf"({names})\s*(元|[一二三四五六七八九十]{{1,3}})\s*[载載年]", rf"({names})\s*年?\s*(初|末)", rf"({names})\s*年?[间間]"
+        n = han_number(part(numbered, 2))
+        year = reign(numbered)["low"] + n - 1
+        steps.append(F.when(n.between(1, LONGEST_NUMBER) & (year <= reign(numbered)["high"] + 1), found(year, year, "era_year")))
+        low, high = reign(edge)["low"], reign(edge)["high"]
+        steps.append(F.when(part(edge, 2) == "初", found(low, low + 2, "era_early")).when(part(edge, 2) == "末", found(high - 2, high, "era_late")))
+        low, high = reign(span)["low"], reign(span)["high"]
+        steps.append(F.when(high - low <= LONGEST_REIGN, found(low, high, "era_range")))
+    return F.coalesce(*steps)
+
+
 def nominal_age(year, birth) -> Column:
     """Age counted from one at birth."""
     return _c(year) - _c(birth) + 1

@@ -132,3 +132,41 @@ def host_family(url, aliases: dict[str, str]) -> Column:
         return host
     table = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
     return F.coalesce(F.element_at(table, host), host)
+
+
+# fixed values: milliseconds by kind of character
+DELAYS = {"\n": 160, "。！？；": 230, "，、：": 115}
+DELAY = 38
+
+
+def reveal_delay(x) -> Column:
+    """How long a text takes to be shown character by character, in milliseconds."""
+    text = text_of(x)
+    total = F.length(text) * DELAY
+    for characters, delay in DELAYS.items():
+        total += (F.length(text) - F.length(F.translate(text, characters, ""))) * (delay - DELAY)
+    return total
+
+
+def resolve_key(x, keys: list[str], prefixes: list[str] = (), suffixes: list[str] = ()) -> Column:
+    """A name as a key of a dictionary: itself without a prefix and a suffix, else the longest key of two characters or more in it, else what is left of it."""
+    head = F.regexp_replace(text_of(x), "^(?:" + "|".join(f"\\Q{p}\\E" for p in sorted(prefixes, key=len, reverse=True)) + ")(?=.)", "") if prefixes else text_of(x)
+    name = strip_suffix(head, list(suffixes)) if suffixes else head
+    ordered = sorted((k for k in set(keys) if len(k) >= 2), key=lambda k: (-len(k), k))
+    inside = F.get(F.filter(F.lit(ordered), lambda k: F.contains(name, k)), F.lit(0)) if ordered else F.lit(None)
+    return F.when(name.isin(*keys), name).otherwise(F.coalesce(inside, name))
+
+
+def source_clause(x, marker: str, vetoes: list[str], low: int = 8, high: int = 156, ends: str = "；;") -> Column:
+    """The first clause behind a marker, without addresses and white space; null without a marker, with a vetoed word, or if it is too short; cut at ``high``."""
+    behind = F.regexp_extract(text_of(x), f"(?s)(?:{marker})[：:]?(.*)$", 1)
+    clause = F.element_at(F.split(F.regexp_replace(behind, r"https?://\S+", ""), f"[{ends}]", 2), 1)
+    clause = F.regexp_replace(F.regexp_replace(clause, r"(?U)\s+", " "), r"^[ ：，。,.:]+|[ ：，。,.:]+$", "")
+    bad = F.exists(F.lit([v.lower() for v in vetoes]), lambda v: F.contains(F.lower(clause), v)) if vetoes else F.lit(False)
+    return F.when((F.length(clause) >= low) & ~bad, F.left(clause, F.lit(high)))
+
+
+def hash_differs(declared, *parts) -> Column:
+    """Does a declared hash not fit the content?  A missing declaration doesn't differ."""
+    given = F.nullif(F.trim(text_of(declared)), F.lit(""))
+    return F.coalesce(given != content_hash(*parts), F.lit(False))

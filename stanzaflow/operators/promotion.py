@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import table_of
@@ -118,6 +119,33 @@ def authority_matches(local: DataFrame, records: DataFrame, local_id: str, recor
     return out.select(local_id, F.when(F.col("b.ties") == 1, F.col("b._r")).alias("record"), F.col("b._t").alias("total"), outcome.alias("outcome"))
 
 
+def catalog_matches(roster: DataFrame, records: DataFrame, owner: str, record: str) -> DataFrame:
+    """``owner, record, status, methods``: which catalog records name an owner, and how surely.
+
+    ``roster(owner, era, aliases)`` and ``records(record, eras, header, responsible, people, title)``: arrays of names, ``people`` of
+    ``struct<name, era>``.  A record of other eras is no match.  An alias in the header, among the responsible or among the people (of no other
+    era) is a strong method and makes a match; one inside the title of a record of known era alone leaves it ambiguous.  A match by
+    an alias that several owners share is ambiguous too.  Names meet by equality; of titles the parts are compared.
+    """
+    names = roster.select(owner, "era", F.explode(F.array_distinct("aliases")).alias("alias")).filter("alias <> ''")
+    shared = names.groupBy("alias").agg(F.countDistinct(owner).alias("_owners"))
+    n = F.length("title")
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda k: i + k - 1 <= n), lambda k: F.substring("title", i, k)))))
+    entry = lambda array, method: F.transform(array, lambda x: F.struct(x.alias("alias"), F.lit(None).cast("string").alias("of"), F.lit(method).alias("method")))
+    people = F.transform("people", lambda x: F.struct(x["name"].alias("alias"), F.nullif(x["era"], F.lit("")).alias("of"), F.lit("person").alias("method")))
+    none = F.array().cast("array<struct<alias:string,of:string,method:string>>")
+    known = F.size("eras") > 0
+    told = F.concat(*[F.coalesce(a, none) for a in (entry("header", "header"), entry("responsible", "responsible"), people, F.when(known, entry(pieces, "title")))])
+    cells = records.select(record, "eras", F.explode(F.array_distinct(told)).alias("c")).select(record, "eras", "c.*")
+    fits = ((F.size("eras") == 0) | F.array_contains("eras", F.col("era"))) & (F.col("of").isNull() | (F.col("of") == F.col("era")))
+    met = cells.join(names, "alias").filter(fits).join(shared, "alias")
+    strong = F.col("method") != "title"
+    found = met.groupBy(owner, record).agg(F.array_sort(F.collect_set("method")).alias("methods"), F.bool_or(strong).alias("_strong"), F.max(F.when(strong, F.col("_owners"))).alias("_shared"))
+    status = F.when(F.col("_strong") & (F.col("_shared") == 1), "matched").otherwise("ambiguous")
+    return found.select(owner, record, status.alias("status"), "methods")
+
+
 def link_works(works: DataFrame, poems: DataFrame, owner: str, title: str, source_id: str, author: str, grade: str, poem_id: str) -> DataFrame:
     """Adds ``poem, linked, grade`` to works: linked if the source's title is its own there, one local poem of the owner has it, and an author is named.
 
@@ -250,3 +278,42 @@ def resume_pages(wanted: DataFrame, done: DataFrame, scope: list[str], page: str
     whole = ok.groupBy(*scope).agg(F.count("*").alias("n"), F.max(page).alias("top"), F.array_sort(F.collect_list(page)).alias("pages"))  # pages of a scope
     run = F.aggregate("pages", F.lit(0).cast("bigint"), lambda acc, p: F.when(p == acc + 1, p.cast("bigint")).otherwise(acc))
     return wanted.join(whole.select(*scope, run.alias("_done")), scope, "left").filter(F.col(page) > F.coalesce("_done", F.lit(0))).drop("_done")
+
+
+def compare_terms(rates: DataFrame, word: str, left: str, right: str, requested: list[str] | None = None, k: int = 8) -> DataFrame:
+    """``word, left, right, delta, higher_in, place``: the requested words in their order, or the ``k`` that differ most; unknown words are an error."""
+    delta = F.round(F.col(right) - F.col(left), 6)
+    every = rates.select(word, left, right, delta.alias("delta"), F.when(delta > 0, right).when(delta < 0, left).otherwise("equal").alias("higher_in"))
+    if requested is None:
+        top = every.orderBy(F.desc(F.abs("delta")), word).limit(k)
+        return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.abs("delta")), word)))  # k rows
+    wanted = requested[:k]
+    unknown = set(wanted) - {r[0] for r in every.filter(F.col(word).isin(wanted)).select(word).collect()}  # k words at most
+    if unknown:
+        raise ValueError(f"unknown words: {sorted(unknown)}")
+    return every.filter(F.col(word).isin(wanted)).withColumn("place", F.array_position(F.lit(wanted), F.col(word)).cast("int"))
+
+
+def owner_catalog(owners: DataFrame, routes: DataFrame, owner: str, route: str) -> DataFrame:
+    """Owners with ``n_routes`` and ``available``."""
+    n = routes.groupBy(owner).agg(F.countDistinct(route).alias("n_routes"))
+    return owners.join(n, owner, "left").withColumn("n_routes", F.coalesce("n_routes", F.lit(0))).withColumn("available", F.col("n_routes") > 0)
+
+
+def playback_index(scenes: DataFrame, route: str, order: list, scene: str) -> DataFrame:
+    """``route, scene, step, is_last``: the scenes of a route in order, from 1."""
+    by = W.partitionBy(route)
+    step = F.row_number().over(by.orderBy(*order))
+    return scenes.select(route, scene, step.alias("step"), (step == F.count("*").over(by)).alias("is_last"))
+
+
+def sample_lines(cells: DataFrame, lines: DataFrame, item: str, label: str, order: str, text: str, low: int = 4, high: int = 30, k: int = 3) -> DataFrame:
+    """``item, label, order, text, place``: up to ``k`` lines for each cell, of each document the first of fitting length that holds the item.
+
+    ``cells(item, label)`` and ``lines(item, label, order, text, line_no)``, the lines in which the item was met.
+    """
+    from .stylometry import first_k
+
+    fit = lines.filter(F.length(text).between(low, high)).join(cells.select(item, label), [item, label], "left_semi")
+    first = fit.groupBy(item, label, order).agg(F.min_by(text, "line_no").alias(text))
+    return first_k(first, [item, label], [order], k)

@@ -108,6 +108,69 @@ def bm25_scan(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str
     return held.crossJoin(F.broadcast(stats)).select(id_col, F.round(score, 6).alias("score"))
 
 
+def _hits(rows: DataFrame, query: str, fields: list[str], id_col: str, equal_id: str | None = None, tokens: list[str] | None = None) -> DataFrame:
+    """``id, relevance`` of the rows that one of ``fields`` answers the query by, smaller is better.
+
+    From three characters on the query must stand in one field, and BM25 over the fields together ranks; one or two letters or
+    digits must be a token of ``tokens`` (the fields, if not given); else any field holds the query, or ``equal_id`` is it.
+    """
+    kind = route(query)
+    q = query.lower()
+    if not query:
+        return rows.select(id_col, F.lit(0.0).alias("relevance"))
+    if kind == "trigram":
+        whole = rows.select(id_col, F.concat_ws("\x1f", *[text_of(f) for f in fields]).alias("_all"))
+        return bm25_scan(whole, query, id_col, "_all").select(id_col, (-F.col("score")).alias("relevance"))
+    if kind == "short":
+        found = F.lit(False)
+        for f in tokens or fields:
+            found |= F.array_contains(short_tokens(f), q)
+    else:
+        found = F.col(equal_id).cast("string") == query if equal_id else F.lit(False)
+        for f in fields:
+            found |= F.contains(F.lower(text_of(f)), F.lit(q))
+    return rows.filter(found).select(id_col, F.lit(0.0).alias("relevance"))
+
+
+def find(docs: DataFrame, lines: DataFrame, query: str, scope: str = "all", equal: dict[str, str | None] | None = None, tags: DataFrame | None = None, tag: str | None = None, limit: int = 20, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of hits ``kind, doc_id, line_no, relevance, snippet`` and, as a table of one row, the ``total``.
+
+    ``docs(doc_id, title, poet, text, ...)`` and ``lines(doc_id, line_no, text)``.  The scope is ``doc``, ``line`` or ``all``; ``equal``
+    holds column values a document must have; ``tag`` is the tag or label of a row in ``tags(doc_id, line_no, tag, label)``, for a line
+    of that very line.  One or two letters or digits are looked up as tokens: of lines in lines, of titles, poets and lines in documents.
+    """
+    q = check_search(query, limit, offset, scope)
+    own = docs
+    for name, value in (equal or {}).items():
+        own = own if value is None else own.filter(F.col(name) == value)
+    wanted = None if tag is None else tags.filter((F.col("tag") == tag) | (F.col("label") == tag))
+    parts = []
+    if scope in ("all", "doc"):
+        rows = own if wanted is None else own.join(wanted.select("doc_id"), "doc_id", "left_semi")
+        hit = _hits(rows, q, ["title", "poet", "text"], "doc_id", "doc_id")
+        parts.append(rows.select("doc_id", F.col("text").alias("_content")).join(hit, "doc_id").select(F.lit("doc").alias("kind"), "doc_id", F.lit(None).cast("int").alias("line_no"), "relevance", "_content"))
+    if scope in ("all", "line"):
+        rows = lines.select("doc_id", "line_no", F.col("text").alias("line")).join(own.select("doc_id", "title", "poet"), "doc_id")
+        rows = rows if wanted is None else rows.join(wanted.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
+        rows = rows.withColumn("_id", F.struct("doc_id", "line_no"))
+        hit = _hits(rows, q, ["line", "title", "poet"], "_id", tokens=["line"]).withColumnRenamed("_id", "_hit")
+        found = rows.join(hit, F.col("_id") == F.col("_hit"))
+        parts.append(found.select(F.lit("line").alias("kind"), "doc_id", F.col("line_no").cast("int").alias("line_no"), "relevance", F.col("line").alias("_content")))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    total = every.agg(F.count("*").alias("total"))
+    first = page(every, ["relevance", "kind", "doc_id", F.coalesce("line_no", F.lit(0))], limit, offset)
+    return first.select("kind", "doc_id", "line_no", F.round("relevance", 6).alias("relevance"), snippet("_content", q).alias("snippet")), total
+
+
+def with_mentions(hits: DataFrame, mentions: DataFrame, label: str = "label") -> DataFrame:
+    """Adds ``labels`` to a page of hits: the distinct labels of a document, or of the very line, in one join."""
+    own = mentions.groupBy("doc_id", "line_no").agg(F.collect_set(label).alias("_l"))  # labels of a lexicon
+    whole = mentions.groupBy("doc_id").agg(F.collect_set(label).alias("_d"))
+    joined = hits.join(own.withColumnRenamed("line_no", "_n"), (hits["doc_id"] == own["doc_id"]) & (hits["line_no"] == F.col("_n")), "left").drop(own["doc_id"]).join(whole, "doc_id", "left")
+    found = F.when(F.col("line_no").isNotNull(), F.col("_l")).otherwise(F.col("_d"))
+    return joined.select(*hits.columns, F.array_sort(F.coalesce(found, F.array().cast("array<string>"))).alias("labels"))
+
+
 def facets(docs: DataFrame, equal: dict[str, str | None], tags: DataFrame | None = None, tag: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """Rows with the given column values, and with a tag in ``tags(id, tag, label)`` as its tag or label."""
     out = docs

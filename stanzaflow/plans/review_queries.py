@@ -207,3 +207,119 @@ def local_labels(spark, sf_dir):
     clauses = segment.split_clauses(_t(spark, sf_dir, "documents")).filter(F.contains("clause", F.lit("ontion")))
     labelled = clauses.select("doc_id", lexicon.context_labels("clause", rules, excluded=["out of"], negators=["e "]).alias("labels"))
     return lexicon.merged_labels(labelled, "doc_id", "labels").withColumn("words", F.array_join("words", ","))
+
+
+# ---------------------------------------------------------------- search in full, catalogs, comparisons
+
+_FIND = r"""d AS (SELECT doc_id, source AS title, lang AS poet, text FROM documents), l0 AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?;\n]*[.!?;]|[^.!?;\n]+'))) AS line, generate_subscripts(regexp_extract_all(text, '[^.!?;\n]*[.!?;]|[^.!?;\n]+'), 1) AS pos FROM documents),
+  l AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS line_no, line FROM l0 WHERE line <> '')"""
+
+
+def _searched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("poet"), "text")
+    return docs, segment.split_clauses(docs).select("doc_id", F.col("clause_no").alias("line_no"), F.col("clause").alias("text"))
+
+
+@query(rf"""WITH {_FIND}, h AS (SELECT 'doc' AS kind, doc_id, NULL::INTEGER AS line_no FROM d WHERE contains(lower(text), 'ontion an') OR contains(lower(title), 'ontion an') OR contains(lower(poet), 'ontion an') UNION ALL
+  SELECT 'line', l.doc_id, line_no FROM l JOIN d USING (doc_id) WHERE contains(lower(line), 'ontion an') OR contains(lower(title), 'ontion an') OR contains(lower(poet), 'ontion an')) SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(line_no) AS BIGINT) AS line_nos FROM h GROUP BY kind""")
+def search_find_phrase(spark, sf_dir):
+    docs, lines = _searched(spark, sf_dir)
+    doc = search._hits(docs, "ontion an", ["title", "poet", "text"], "doc_id").select(F.lit("doc").alias("kind"), "doc_id", F.lit(None).cast("int").alias("line_no"))
+    both = lines.withColumnRenamed("text", "line").join(docs.select("doc_id", "title", "poet"), "doc_id").withColumn("_id", F.struct("doc_id", "line_no"))
+    line = search._hits(both, "ontion an", ["line", "title", "poet"], "_id").select(F.lit("line").alias("kind"), "_id.doc_id", F.col("_id.line_no").cast("int").alias("line_no"))
+    return doc.unionByName(line).groupBy("kind").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.sum("line_no").alias("line_nos"))
+
+
+@query(rf"""WITH {_FIND}, f AS (SELECT DISTINCT doc_id FROM d WHERE title = 'src3'), h AS (SELECT 'doc' AS kind, doc_id, NULL::INTEGER AS line_no, text AS x FROM d WHERE title = 'src3' AND (contains(lower(text), 'e.') OR contains(lower(poet), 'e.')) UNION ALL SELECT 'line', doc_id, line_no, line FROM l JOIN f USING (doc_id) WHERE contains(lower(line), 'e.'))
+  SELECT kind, doc_id, line_no FROM h ORDER BY kind, doc_id, coalesce(line_no, 0) LIMIT 20 OFFSET 5""")
+def search_find_like(spark, sf_dir):
+    docs, lines = _searched(spark, sf_dir)
+    return search.find(docs, lines, "e.", "all", {"title": "src3"}, limit=20, offset=5)[0].select("kind", "doc_id", "line_no")
+
+
+@query(rf"""WITH {_FIND}, t AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')) AS w FROM l) SELECT CAST(count(*) AS BIGINT) AS total FROM (SELECT DISTINCT doc_id, line_no FROM t WHERE contains(w, 'qu'))""")
+def search_find_short_total(spark, sf_dir):
+    docs, lines = _searched(spark, sf_dir)
+    return search.find(docs, lines, "qu", "line")[1]
+
+
+@query("""WITH h AS (SELECT doc_id, toxic::VARCHAR AS a, quality::VARCHAR AS b FROM labels), m AS (SELECT doc_id, 't' || a AS label FROM h UNION SELECT doc_id, 'q' || b FROM h)
+  SELECT doc_id, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM m WHERE m.doc_id = d.doc_id), '') AS labels FROM documents d WHERE source = 'src3'""")
+def search_enrichment(spark, sf_dir):
+    hits = _t(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.lit(None).cast("int").alias("line_no"))
+    h = _t(spark, sf_dir, "labels")
+    m = h.select("doc_id", F.concat(F.lit("t"), "toxic").alias("label")).unionByName(h.select("doc_id", F.concat(F.lit("q"), "quality").alias("label"))).withColumn("line_no", F.lit(1))
+    return search.with_mentions(hits, m).select("doc_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query("""WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'tang' ELSE 'song' END AS era, 'a' || (c_custkey % 70) AS al1, 'b' || c_custkey AS al2 FROM customer), n AS (SELECT DISTINCT id, era, unnest([al1, al2]) AS alias FROM r), o AS (SELECT alias, count(DISTINCT id) AS owners FROM n GROUP BY alias),
+  c AS (SELECT s_suppkey AS rid, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'tang' ELSE 'song' END AS e, 'b' || (s_suppkey * 3) AS head, 'a' || (s_suppkey % 90) AS resp, 'b' || (s_suppkey * 5) AS pers, CASE WHEN s_suppkey % 4 = 0 THEN 'song' ELSE '' END AS pe, 'x b' || (s_suppkey * 7) AS title FROM supplier),
+  t AS (SELECT rid, e, head AS alias, '' AS pe, 'header' AS m FROM c UNION ALL SELECT rid, e, resp, '', 'responsible' FROM c UNION ALL SELECT rid, e, pers, pe, 'person' FROM c), z AS (SELECT * FROM t UNION ALL SELECT DISTINCT rid, e, n.alias, '', 'title' FROM c JOIN n ON contains(title, n.alias) WHERE e <> ''),
+  g AS (SELECT id, rid, string_agg(DISTINCT m, ',' ORDER BY m) AS methods, bool_or(m <> 'title') AS strong, max(CASE WHEN m <> 'title' THEN owners END) AS sh FROM z JOIN n USING (alias) JOIN o USING (alias) WHERE (e = '' OR e = era) AND (pe = '' OR pe = era) GROUP BY ALL)
+  SELECT id, rid, CASE WHEN strong AND sh = 1 THEN 'matched' ELSE 'ambiguous' END AS status, methods FROM g""")
+def catalog_matching(spark, sf_dir):
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    roster = _t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 2 == 0, "tang").otherwise("song").alias("era"), F.array(name("a", k % 70), name("b", k)).alias("aliases"))
+    eras = F.when(s % 3 == 0, F.array().cast("array<string>")).when(s % 3 == 1, F.array(F.lit("tang"))).otherwise(F.array(F.lit("song")))
+    person = F.struct(name("b", s * 5).alias("name"), F.when(s % 4 == 0, "song").otherwise("").alias("era"))
+    records = _t(spark, sf_dir, "supplier").select(s.alias("rid"), eras.alias("eras"), F.array(name("b", s * 3)).alias("header"), F.array(name("a", s % 90)).alias("responsible"), F.array(person).alias("people"), name("x b", s * 7).alias("title"))
+    return promotion.catalog_matches(roster, records, "id", "rid").withColumn("methods", F.array_join("methods", ","))
+
+
+@query("""WITH n AS (SELECT lang, sum(n_chars)::DOUBLE AS chars FROM documents GROUP BY lang), w(word) AS (VALUES ('that'), ('with'), ('from'), ('this'), ('nicht'), ('durch')), h AS (SELECT word, lang, sum((length(text) - length(replace(text, word, ''))) // length(word)) AS hits FROM documents, w WHERE lang IN ('en', 'de') GROUP BY ALL),
+  r AS (SELECT word, max(CASE WHEN lang = 'en' THEN round(hits * 10000.0::DOUBLE / chars, 6) END) AS en, max(CASE WHEN lang = 'de' THEN round(hits * 10000.0::DOUBLE / chars, 6) END) AS de FROM h JOIN n USING (lang) GROUP BY word)
+  SELECT word, en, de, round(de - en, 6) AS delta, CASE WHEN de > en THEN 'de' WHEN de < en THEN 'en' ELSE 'equal' END AS higher_in, CAST(list_position(['this', 'nicht', 'that'], word) AS INTEGER) AS place FROM r WHERE word IN ('this', 'nicht', 'that')""")
+def imagery_compare(spark, sf_dir):
+    words = ["that", "with", "from", "this", "nicht", "durch"]
+    docs = _t(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "de"))
+    hits = [((F.length("text") - F.length(F.replace("text", F.lit(w), F.lit("")))) / len(w)).cast("int") for w in words]
+    sums = docs.groupBy("lang").agg(F.sum("n_chars").alias("chars"), *[F.sum(h).alias(w) for w, h in zip(words, hits)])
+    rates = sums.select("lang", F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.round(F.col(w) * 10000.0 / F.col("chars"), 6).alias("rate")) for w in words])).alias("r"))
+    wide = rates.groupBy("r.word").agg(*[F.max(F.when(F.col("lang") == x, F.col("r.rate"))).alias(x) for x in ("en", "de")])
+    return promotion.compare_terms(wide, "word", "en", "de", ["this", "nicht", "that"])
+
+
+@query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS n_routes, count(DISTINCT o_orderkey) > 0 AS available FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+def owner_route_catalog(spark, sf_dir):
+    routes = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return promotion.owner_catalog(_t(spark, sf_dir, "customer").select("c_custkey"), routes, "c_custkey", "o_orderkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS INTEGER) AS step, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) = count(*) OVER (PARTITION BY l_orderkey) AS is_last FROM lineitem""")
+def scene_playback(spark, sf_dir):
+    return promotion.playback_index(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_shipdate", "l_linenumber"], "l_linenumber")
+
+
+@query(rf"""WITH {_FIND}, t(tag) AS (VALUES ('that'), ('with'), ('nicht')), m AS (SELECT tag, poet AS lang, l.doc_id, line, line_no FROM l JOIN d USING (doc_id) JOIN t ON contains(line, tag) WHERE length(line) BETWEEN 4 AND 30), f AS (SELECT tag, lang, doc_id, arg_min(line, line_no) AS line FROM m GROUP BY ALL)
+  SELECT tag, lang, doc_id, line, CAST(row_number() OVER (PARTITION BY tag, lang ORDER BY doc_id) AS INTEGER) AS place FROM f QUALIFY place <= 3""")
+def lift_sample_lines(spark, sf_dir):
+    docs, lines = _searched(spark, sf_dir)
+    met = lines.select("doc_id", "line_no", F.col("text").alias("line"), F.explode(lexicon.contained("text", ["that", "with", "nicht"])).alias("tag")).join(docs.select("doc_id", F.col("poet").alias("lang")), "doc_id")
+    cells = met.select("tag", "lang").distinct()
+    return promotion.sample_lines(cells, met, "tag", "lang", "doc_id", "line").select("tag", "lang", "doc_id", "line", "place")
+
+
+@query(r"""SELECT doc_id, CAST(length(text) * 38 + (length(text) - length(replace(text, chr(10), ''))) * 122 AS INTEGER) AS delay FROM documents""")
+def reveal_delays(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", T.reveal_delay("text").alias("delay"))
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Province ' ELSE '' END || 'Old ' || n_name || CASE s_suppkey % 3 WHEN 0 THEN ' City' ELSE '' END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), m AS (SELECT id, regexp_replace(regexp_replace(name, '^Province (.)', '\\1'), ' City$', '') AS name FROM n)
+  SELECT id, CASE WHEN contains(name, 'CHINA') THEN 'CHINA' WHEN contains(name, 'PERU') THEN 'PERU' WHEN contains(name, 'JAPAN') THEN 'JAPAN' ELSE name END AS key FROM m""")
+def place_key_resolution(spark, sf_dir):
+    n = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    name = F.concat(F.when(F.col("s_suppkey") % 4 == 0, "Province ").otherwise(""), F.lit("Old "), "n_name", F.when(F.col("s_suppkey") % 3 == 0, " City").otherwise(""))
+    return n.select(F.col("s_suppkey").alias("id"), T.resolve_key(name, ["CHINA", "PERU", "JAPAN"], ["Province "], [" City"]).alias("key"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256('x' || text) <> sha256(text) ELSE false END AS differs FROM documents""")
+def declared_hashes(spark, sf_dir):
+    declared = F.when(F.col("doc_id") % 3 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).when(F.col("doc_id") % 3 == 1, F.sha2("text", 256)).otherwise("")
+    return _t(spark, sf_dir, "documents").select("doc_id", T.hash_differs(declared, "text").alias("differs"))
+
+
+@query(r"""WITH u AS (SELECT page_id, url, html FROM pages) SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(url, '^https?://[^/]+/') THEN 'url_shape' END, CASE WHEN NOT contains(html, '<h1>') THEN 'title_visible' END, CASE WHEN NOT regexp_matches(html, '[0-9]{4}') THEN 'year_visible' END) AS errors FROM u""")
+def package_semantics(spark, sf_dir):
+    rules = {"url_shape": F.col("url").rlike("^https?://[^/]+/"), "title_visible": F.contains("html", F.lit("<h1>")), "year_visible": F.col("html").rlike("[0-9]{4}")}
+    return evidence.package_errors(_t(spark, sf_dir, "pages"), rules).select("page_id", F.array_join("errors", ",").alias("errors"))
