@@ -13,8 +13,21 @@ HOT_KEYS = 4096  # a key is hot if it holds more than this part of all rows, so
 HOT_ROWS = 512  # and no key with fewer rows is hot
 
 
+# rows and bytes of an Arrow batch on its way to a worker: whole texts make Spark's default of 10000 rows large
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "4m")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches where they stand at Spark's defaults; a size that the user has set stays."""
+    given = spark.sparkContext.getConf()
+    for key, (default, lower) in BATCHES.items():
+        if not given.contains(key) and (default is None or spark.conf.get(key, default) == default):
+            spark.conf.set(key, lower)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table; the path may be in any store Spark can read."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Stored
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20  # text of a shard; a longer document is a shard of its own
+SHARD_BYTES = 2 << 20  # text of a shard; a longer document is a shard of its own
 SAMPLE = 8  # every so many-th text position is kept with its suffix
 BLOCK_BYTES = 16 << 20  # benchmark text in one broadcast
 
