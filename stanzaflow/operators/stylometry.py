@@ -140,7 +140,7 @@ def headline(groups: DataFrame, group: str, docs: str, hits: str, sides: dict[st
     total = groups.agg(F.sum(hits).alias("_all"), *[F.sum(sum((F.col(f) for f in fams), F.lit(0))).alias(f"_{s}") for s, fams in sides.items()])  # one row
     fit = groups.filter((F.col(docs) >= least_docs) & (F.col(hits) >= least_hits)).crossJoin(F.broadcast(total))
     own = [F.struct(F.lit(s).alias("side"), (sum((F.col(f) for f in fams), F.lit(0)) / F.col(hits)).alias("share"), (F.col(f"_{s}") / F.col("_all")).alias("corpus_share")) for s, fams in sides.items()]
-    rows = fit.select(group, F.explode(F.array(*own)).alias("s")).select(group, "s.*").filter("corpus_share > 0")
+    rows = fit.select(group, F.explode(F.array(*own)).alias("_x")).select(group, "_x.*").filter("corpus_share > 0")
     ratio = F.round(F.col("share") / F.col("corpus_share"), 6)
     out = rows.select(group, "side", F.round("share", 6).alias("share"), F.round("corpus_share", 6).alias("corpus_share"), ratio.alias("ratio"))
     return out.orderBy(F.desc("ratio"), "side", group).limit(1)
