@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` applies them in order, each stage's rows written as Parquet and read again.
+
+Defined cases, for every stage: a null or empty text is no toxic text, no near duplicate and holds no benchmark passage, so
+its row passes the first three stages; rows without a doc_id pass too; a text of any length is taken whole; an empty table
+gives an empty one; extra columns, whatever their names, are kept.  Of rows equal in doc_id and text the near-duplicate stage
+keeps one, and rows that share a doc_id with other texts are decided on each by its own text; no other stage drops repeated
+rows.  Ties are settled by ids and hashes, as the operators tell.  The mixing stage deals the rows out in a global random order; the
+sharding stage puts copies of a text into one shard, and its slots are a random order within each shard.
 """
 
 from __future__ import annotations
