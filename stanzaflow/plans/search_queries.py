@@ -123,7 +123,16 @@ def html_titles(spark, sf_dir):
     return readers.html_blocks(_t(spark, sf_dir, "pages")).filter("tag = 'h1'").select("page_id", F.col("text").alias("title"))
 
 
-@query()
+_SECTIONS = r"""WITH c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'gis') AS h FROM pages),
+  x AS (SELECT page_id, regexp_replace(h, '(</?(?:h1|h2|h3|p|article|main|div|section|footer|aside|nav|ul|body)\b)', chr(1) || '\1', 'gi') AS x FROM c),
+  s AS (SELECT page_id, unnest(string_split(x, chr(1))) AS raw, generate_subscripts(string_split(x, chr(1)), 1) AS i FROM x),
+  b AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS block_no, lower(regexp_extract(raw, '^<([a-zA-Z0-9]+)', 1)) AS tag, regexp_replace(raw, '<[^>]*>', ' ', 'gs') AS t FROM s WHERE regexp_matches(raw, '^<(?:h1|h2|h3|p)\b[^>]*>', 'is')),
+  e AS (SELECT page_id, block_no, tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b),
+  h AS (SELECT *, last_value(CASE WHEN starts_with(tag, 'h') THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS heading FROM e WHERE length(text) >= 1)
+  SELECT page_id, block_no, heading, text FROM h WHERE tag = 'p' AND length(text) >= 8 QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY block_no) = 1"""
+
+
+@query(_SECTIONS)
 def html_sections(spark, sf_dir):
     return readers.titled_sections(readers.html_blocks(_t(spark, sf_dir, "pages")))
 
