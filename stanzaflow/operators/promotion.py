@@ -317,3 +317,63 @@ def sample_lines(cells: DataFrame, lines: DataFrame, item: str, label: str, orde
     fit = lines.filter(F.length(text).between(low, high)).join(cells.select(item, label), [item, label], "left_semi")
     first = fit.groupBy(item, label, order).agg(F.min_by(text, "line_no").alias(text))
     return first_k(first, [item, label], [order], k)
+
+
+def composed_id(parts: list, digest: bool = True) -> Column:
+    """An id over parts in order, nulls as empty and kept apart from their neighbours; long texts count by their own digest."""
+    cells = [F.sha2(F.coalesce(F.col(p).cast("string"), F.lit("")), 256) if digest else F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat_ws("\x1f", *cells), 256)
+
+
+def ranked_order(rows: DataFrame, column: str, ranks: list[str], then: list) -> DataFrame:
+    """``rows`` in the order of a list of values, values that aren't listed last, then by further columns."""
+    place = F.array_position(F.lit(ranks), F.col(column))
+    return rows.orderBy(F.when(place > 0, place).otherwise(F.lit(len(ranks) + 1)), column, *then)
+
+
+def normalised_evidence(candidates: DataFrame, key: str, order: list, defaults: dict[str, str]) -> DataFrame:
+    """Trimmed texts, empty ones replaced by their defaults, and of rows with one key the first in order."""
+    clean = [F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in candidates.columns]
+    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return candidates.withColumn("_n", place).filter("_n = 1").select(*clean)
+
+
+def apply_reviews(records: DataFrame, reviews: DataFrame, key: str, state: str, moves: dict[str, list[str]], note: str) -> DataFrame:
+    """Adds to records the reviewed ``state`` and ``note`` where the move from the old state is allowed, and ``refused`` where it isn't.
+
+    ``moves`` lists the states that may follow each.  A review of an unknown record is left out; an empty note keeps the old one.
+    """
+    side = reviews.select(key, F.col(state).alias("_state"), F.col(note).alias("_note"))
+    both = records.join(side, key, "left")
+    allowed = F.array_contains(F.coalesce(F.element_at(table_of(moves, "map<string,array<string>>"), F.col(state)), F.array().cast("array<string>")), F.col("_state"))
+    asked, ok = F.col("_state").isNotNull(), F.coalesce(allowed, F.lit(False))
+    kept = [c for c in records.columns if c not in (state, note)]
+    new_note = F.when(ok, F.coalesce(F.nullif(F.trim("_note"), F.lit("")), F.col(note))).otherwise(F.col(note))
+    return both.select(*kept, F.when(ok, F.col("_state")).otherwise(F.col(state)).alias(state), new_note.alias(note), (asked & ~ok).alias("refused"))
+
+
+def terrain(hits: DataFrame, period: str, sentiment: str, scale: str) -> DataFrame:
+    """``period, n, sentiment, scale``: the mean sentiment and scale of a period's imagery."""
+    return hits.groupBy(period).agg(F.count("*").alias("n"), F.round(F.avg(sentiment), 6).alias("sentiment"), F.round(F.avg(scale), 6).alias("scale"))
+
+
+def route_legs(nodes: DataFrame, route: str, order: str, node: str, precise: Column, chosen: DataFrame | None = None) -> DataFrame:
+    """``route, from_id, to_id, leg``: legs between the nodes of a route that are precise enough, of the chosen scenes only if they are given."""
+    fit = nodes.filter(precise)
+    fit = fit if chosen is None else fit.join(chosen.select(route, node), [route, node], "left_semi")
+    by = W.partitionBy(route).orderBy(order, node)
+    legs = fit.select(route, F.col(node).alias("from_id"), F.lead(node).over(by).alias("to_id"), F.row_number().over(by).alias("leg"))
+    return legs.filter("to_id is not null")
+
+
+def near_length_decoys(items: DataFrame, group: str, item: str, size: str, seed: str, k: int = 3) -> DataFrame:
+    """``item, decoy, place``: for each item the ``k`` others of its group and length class that a hash puts behind it, wrapping round.
+
+    The items of a class stand in hash order; an item's decoys are the ones that follow, found by their places, so no pairs are made.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")))
+    by = W.partitionBy(group, size)
+    placed = items.select(group, size, item, (F.row_number().over(by.orderBy(h, item)) - 1).alias("_p"), F.count("*").over(by).alias("_c"))
+    wanted = placed.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k)))).filter("place < _c").withColumn("_q", F.pmod(F.col("_p") + F.col("place"), F.col("_c")))
+    other = placed.select(group, size, F.col(item).alias("decoy"), F.col("_p").alias("_q"))
+    return wanted.join(other, [group, size, "_q"]).select(item, "decoy", "place")

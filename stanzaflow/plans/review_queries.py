@@ -323,3 +323,50 @@ def declared_hashes(spark, sf_dir):
 def package_semantics(spark, sf_dir):
     rules = {"url_shape": F.col("url").rlike("^https?://[^/]+/"), "title_visible": F.contains("html", F.lit("<h1>")), "year_visible": F.col("html").rlike("[0-9]{4}")}
     return evidence.package_errors(_t(spark, sf_dir, "pages"), rules).select("page_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, sha256(sha256(l_orderkey::VARCHAR) || chr(31) || sha256(l_linenumber::VARCHAR) || chr(31) || sha256(l_returnflag)) AS id FROM lineitem""")
+def composed_ids(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", promotion.composed_id(["l_orderkey", "l_linenumber", "l_returnflag"]).alias("id"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderstatus, o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_orderkey FROM r WHERE n <= 40""")
+def ranked_sort(spark, sf_dir):
+    return promotion.ranked_order(_t(spark, sf_dir, "orders"), "o_orderstatus", ["P", "F"], [F.desc("o_totalprice"), "o_orderkey"]).limit(40).select("o_orderkey")
+
+
+@query("""SELECT l_partkey, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, coalesce(nullif(trim(arg_min(CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE l_returnflag END, (l_orderkey, l_linenumber))), ''), 'D') AS grade FROM lineitem GROUP BY 1""")
+def evidence_normalisation(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(F.col("l_returnflag")).alias("grade"))
+    return promotion.normalised_evidence(rows, "l_partkey", ["l_orderkey", "l_linenumber"], {"grade": "D"}).drop("l_linenumber")
+
+
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderstatus AS st, 'old' AS note FROM orders), v AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'X' END AS s2, CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'new' END AS n2 FROM orders WHERE o_orderkey % 2 = 0),
+  j AS (SELECT r.*, s2, n2, coalesce((st = 'O' AND s2 IN ('F', 'P')) OR (st = 'P' AND s2 = 'F'), false) AS ok FROM r LEFT JOIN v USING (k)) SELECT k, CASE WHEN ok THEN s2 ELSE st END AS st, CASE WHEN ok THEN coalesce(nullif(trim(n2), ''), note) ELSE note END AS note, s2 IS NOT NULL AND NOT ok AS refused FROM j""")
+def review_moves(spark, sf_dir):
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    records = o.select(k.alias("k"), F.col("o_orderstatus").alias("st"), F.lit("old").alias("note"))
+    reviews = o.filter("o_orderkey % 2 = 0").select(k.alias("k"), F.when(k % 3 == 0, "F").when(k % 3 == 1, "O").otherwise("X").alias("st"), F.when(k % 4 == 0, " ").otherwise("new").alias("note"))
+    return promotion.apply_reviews(records, reviews, "k", "st", {"O": ["F", "P"], "P": ["F"]}, "note")
+
+
+@query(f"""WITH e AS (SELECT source, unnest(regexp_extract_all(text, '({"|".join(lexicon.by_length(L.NUMBERS))})')) AS w FROM documents), v(w, s, z) AS (VALUES {", ".join(f"('{w}', {(-1.0) ** i}::DOUBLE, {1 + i % 5}::DOUBLE)" for i, w in enumerate(sorted(L.NUMBERS)))})
+  SELECT source, count(*) AS n, round(avg(s), 6) AS sentiment, round(avg(z), 6) AS scale FROM e JOIN v USING (w) GROUP BY source""")
+def spirit_terrain(spark, sf_dir):
+    table = F.create_map(*[v for i, w in enumerate(sorted(L.NUMBERS)) for v in (F.lit(w), F.struct(F.lit((-1.0) ** i).alias("s"), F.lit(float(1 + i % 5)).alias("z")))])
+    hits = _t(spark, sf_dir, "documents").select("source", F.explode(lexicon.leftmost_matches("text", L.NUMBERS)).alias("w")).withColumn("v", table[F.col("w")])
+    return promotion.terrain(hits.select("source", "v.s", "v.z"), "source", "s", "z")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS r, l_linenumber AS o, l_partkey AS node FROM lineitem WHERE l_discount <= 0.05 AND l_linenumber % 4 <> 3), x AS (SELECT r, node AS from_id, lead(node) OVER (PARTITION BY r ORDER BY o, node) AS to_id, row_number() OVER (PARTITION BY r ORDER BY o, node) AS leg FROM n)
+  SELECT r, from_id, to_id, CAST(leg AS INTEGER) AS leg FROM x WHERE to_id IS NOT NULL""")
+def route_legs(spark, sf_dir):
+    nodes = _t(spark, sf_dir, "lineitem").filter("l_linenumber % 4 <> 3").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").alias("o"), F.col("l_partkey").alias("node"), "l_discount")
+    return promotion.route_legs(nodes, "r", "o", "node", F.col("l_discount") <= 0.05)
+
+
+@query("""WITH p AS (SELECT p_partkey AS i, p_brand AS g, p_size // 10 AS z, row_number() OVER (PARTITION BY p_brand, p_size // 10 ORDER BY md5('decoy:' || p_partkey), p_partkey) - 1 AS p, count(*) OVER (PARTITION BY p_brand, p_size // 10) AS c FROM part)
+  SELECT a.i, b.i AS decoy, CAST(k AS INTEGER) AS place FROM p a, (SELECT unnest([1, 2, 3]) AS k), p b WHERE k < a.c AND b.g = a.g AND b.z = a.z AND b.p = (a.p + k) % a.c""")
+def decoy_picks(spark, sf_dir):
+    items = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("g"), F.floor(F.col("p_size") / 10).alias("z"))
+    return promotion.near_length_decoys(items, "g", "i", "z", "decoy")
