@@ -18,6 +18,10 @@ from ..functions.arrays import running_sums
 from ..functions.text import LATIN_SENTENCE_END, content_hash, text_of
 
 
+#: Unicode's white space, a fixed value.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ends: str = LATIN_SENTENCE_END) -> DataFrame:
     """``id, line_no, stanza_no, text, start_offset, end_offset, line_hash`` of each non-blank line.
 
@@ -28,9 +32,9 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     pattern = f"([^{ends}\r\n]*[{ends}]|[^{ends}\r\n]*(?:\r\n|\r|\n)|[^{ends}\r\n]+)"
     cut = docs.select(F.col(id_col), F.regexp_extract_all(text_of(text_col), F.lit(pattern), F.lit(1)).alias("_raw"))
-    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     placed = cut.withColumn("_at", running_sums(F.transform("_raw", lambda x: F.length(x))))
-    pieces = F.zip_with("_raw", "_at", lambda x, at: F.struct(trimmed(x).alias("line"), (at + F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))).alias("start")))
+    blank = F.lit(WHITE_SPACE)
+    pieces = F.zip_with("_raw", "_at", lambda x, at: F.struct(F.btrim(x, blank).alias("line"), (at + F.length(x) - F.length(F.ltrim(x, blank))).alias("start")))
     placed = placed.select(id_col, pieces.alias("_p"))
     placed = placed.select(id_col, "_p", running_sums(F.transform("_p", lambda p: (p["line"] == "").cast("int"))).alias("_blanks"))
     kept = F.filter(F.arrays_zip("_p", "_blanks"), lambda p: p["_p"]["line"] != "")
