@@ -10,7 +10,7 @@ Profiles are learned from at most ``SAMPLE_DOCS`` documents of each language (a
 those with the smallest hash of their id).  Prediction reads the text alone.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; without any labelled
-text all are ``und``; ties go to the language first in order of name; n-grams with equal counts are
+text all are ``und``, and a language without n-grams is never predicted; ties go to the language first in order of name; n-grams with equal counts are
 ordered by their code points; the length of a text isn't limited; repeated rows are predicted each, and rows that share a
 doc_id are learned from or held out together; a row without a doc_id isn't held out; an empty table gives an empty
 result; extra columns aren't read, whatever their names.
@@ -105,7 +105,7 @@ class Profiles:
     """Ranks of all profiles in one table, to compare a document with all languages at once."""
 
     def __init__(self, profiles: dict[str, np.ndarray], size: int = PROFILE):
-        self.size, self.langs = size, sorted(profiles)
+        self.size, self.langs = size, sorted(lang for lang, p in profiles.items() if len(p))
         self.grams = np.unique(np.concatenate([np.zeros(0, np.int64), *profiles.values()]))
         self.place = np.full((len(self.langs), len(self.grams)), -1, np.int64)
         for k, lang in enumerate(self.langs):
@@ -113,7 +113,7 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = top(*ngrams(text), self.size)
-        if not len(own) or not self.langs:
+        if not len(own) or not len(self.grams):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         place = np.where(self.grams[at] == own, self.place[:, at], -1)

@@ -161,10 +161,10 @@ def test_out_of_place_distance(learned, text):
     text_of = lambda g: "".join(chr((int(g) >> s) & 0x1FFFFF) for s in (42, 21, 0) if (int(g) >> s) & 0x1FFFFF)
     table = langid.Profiles({f"l{k}": n for k, n in enumerate(names)}, size)
     got = table.predict(text)
-    if not any(c.isalpha() for c in text):
+    if not any(c.isalpha() for c in text) or not any(map(len, names)):
         assert got == ("und", 0.0)
     else:
-        want = plain_distance(text, {f"l{k}": [text_of(g) for g in n] for k, n in enumerate(names)}, size)
+        want = plain_distance(text, {f"l{k}": [text_of(g) for g in n] for k, n in enumerate(names) if len(n)}, size)
         assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-12
 
 
