@@ -224,10 +224,8 @@ def shards_of_groups(got, quota):
     return [(len(set(v)), -(-len(v) // quota)) for v in groups.values() if len(v) > 1]
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
 @pytest.mark.parametrize("copies", ["pairs", "nearly a shard", "over a shard", "many sizes"])
-def test_shards_cut_no_group_that_fits(spark, monkeypatch, few, copies):
-    monkeypatch.setattr(sharding, "FEW", few, raising=False)
+def test_shards_cut_no_group_that_fits(spark, copies):
     texts = {
         "pairs": [f"p{i // 2}" for i in range(3200)],
         "nearly a shard": [f"b{i // 78}" for i in range(3120)] + [f"s{i}" for i in range(80)],
@@ -240,8 +238,7 @@ def test_shards_cut_no_group_that_fits(spark, monkeypatch, few, copies):
     assert all(there == fewest for there, fewest in shards_of_groups(got, 80))
 
 
-def test_shards_settle_many_small_groups_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "FEW", 50, raising=False)
+def test_shards_settle_many_small_groups_in_rounds(spark):
     texts = [f"p{i // 2}" for i in range(6000)] + [f"t{i // 3}" for i in range(6000)]
     got = sharding.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert sorted((x["shard"], x["slot"]) for x in got) == [(t, k) for t in range(40) for k in range(300)]
@@ -280,26 +277,87 @@ def test_cut_edges_against_a_plain_deal(spark):
     assert sum(got[i] != got[j] for i, j in pairs) == 0 and sum(dealt[i] != dealt[j] for i, j in pairs) > 0.9 * len(pairs)
 
 
-def plain_round(votes, room):
-    """The target of each group as the rule tells it: most members among the shards with room for all."""
-    out = {}
-    for grp, shards in votes.items():
-        size = sum(shards.values())
-        fit = [t for t, x in enumerate(room) if x >= size]
-        best = max((shards.get(t, 0) for t in fit), default=0)
-        out[grp] = {t for t in fit if shards.get(t, 0) == best} if best else set(fit)
-    return out
-
-
-def test_a_round_asks_for_what_the_rule_says(spark):
-    r = random.Random(2)
-    votes = {f"g{i}": {t: r.randint(1, 4) for t in r.sample(range(6), r.randint(1, 4))} for i in range(80)}
-    room = [3, 9, 0, 20, 7, 2]
-    rows = [(g, sum(v.values()), [(n, t) for t, n in v.items()]) for g, v in votes.items()]
-    df = spark.createDataFrame(rows, "grp string, size bigint, votes array<struct<n:bigint,shard:int>>")
-    want = plain_round(votes, room)
-    for x in sharding._round(df, room, 0).collect():
-        assert x["target"] in want[x["grp"]] if want[x["grp"]] else x["target"] is None
+def spark_hash(*values):
+    """Spark's xxhash64 of strings and ints."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(4, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_propagation(votes, quotas, large=16, buckets=1024):
+    """The rounds told in plain loops: label by group, and pieces of groups that are spread."""
+    room, labels, spread, r = list(quotas), {}, {}, 0
+    size = {g: sum(v.values()) for g, v in votes.items()}
+    borders = [max(quotas) // (1 << k) for k in range((large - 1).bit_length() + 1)]
+    kind = {g: sum(n <= b for b in borders) for g, n in size.items() if n > 1}
+    for k in sorted(set(kind.values())):
+        waiting, left = [g for g in kind if kind[g] == k], []
+        while True:
+            asked = {}
+            for g in waiting:
+                fits = [t for t, x in enumerate(room) if x >= size[g]]
+                voted = [(n, spark_hash(g, t), t) for t, n in votes[g].items() if t in fits]
+                if not fits:
+                    left.append(g)
+                else:
+                    asked.setdefault(max(voted)[2] if voted else fits[spark_hash(g, r) % len(fits)], []).append(g)
+            waiting, now = [], list(room)
+            for t, groups in asked.items():
+                wanted = sum(size[g] for g in groups)
+                share = min(1.0, 1.25 * now[t] / wanted) if wanted > now[t] else 1.0
+                by_bucket = {}
+                for g in groups:
+                    by_bucket.setdefault(math.floor(spark_hash(g, r, "accept") % (1 << 32) / float(1 << 32) / share * buckets), []).append(g)
+                full = False
+                for b in sorted(by_bucket):
+                    full = full or (wanted > now[t] and (b >= buckets or sum(size[g] for g in by_bucket[b]) > room[t]))
+                    for g in by_bucket[b]:
+                        if full:
+                            waiting.append(g)
+                        else:
+                            labels[g] = t
+                            room[t] -= size[g]
+            r += 1
+            if not waiting:
+                break
+        for g in sorted(left, key=lambda g: (-size[g], g)):
+            rest, spread[g] = size[g], []
+            while rest:
+                fits = [t for t, x in enumerate(room) if x >= rest]
+                t = min(fits, key=lambda t: (room[t], -votes[g].get(t, 0), t)) if fits else max(range(len(room)), key=lambda t: (room[t], votes[g].get(t, 0), -t))
+                spread[g].append((t, min(rest, room[t])))
+                room[t] -= spread[g][-1][1]
+                rest -= spread[g][-1][1]
+    return labels, spread
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_place_groups_as_the_plain_rounds_do(spark, seed):
+    r = random.Random(seed)
+    shards = r.choice([3, 6, 9])
+    votes = {f"g{i}": {t: r.randint(1, r.choice([1, 4, 30])) for t in r.sample(range(shards), r.randint(1, 3))} for i in range(150)}
+    total = sum(sum(v.values()) for v in votes.values()) + r.choice([0, 5, 200])
+    quotas = [total // shards + (t < total % shards) for t in range(shards)]
+    held = spark.createDataFrame([(g, t, n) for g, v in votes.items() for t, n in v.items()], "grp string, shard int, n bigint")
+    large, small, spread = sharding.propagate(held, quotas)
+    labels, pieces = plain_propagation(votes, quotas)
+    got = {x["grp"]: x["label"] for x in large.unionByName(small).collect()}
+    assert got == labels and spread == pieces and len(got) + len(spread) == sum(sum(v.values()) > 1 for v in votes.values())
+    assert large.count() <= 16 * 2 * shards
+
+
+def test_propagation_runs_on_every_table(spark):
+    """The groups of a small table go through the rounds, and hardly any is spread."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n = docs.count()
+    start = F.pmod(F.xxhash64("doc_id"), F.lit(40)).cast("int")
+    held = sharding.describe(docs).groupBy("grp", start.alias("shard")).agg(F.count("*").alias("n"))
+    large, small, spread = sharding.propagate(held, [n // 40 + (t < n % 40) for t in range(40)])
+    groups = held.groupBy("grp").agg(F.sum("n").alias("size")).filter("size > 1").count()
+    assert large.count() + small.count() == groups - len(spread) > 20 and len(spread) <= 2
 
 
 def toxic_rows():
