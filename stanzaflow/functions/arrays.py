@@ -15,26 +15,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def running_sums(values) -> Column:
-    """For each entry of an array of whole numbers the sum of the entries before it, as ``array<int>``.
+def running(values, kind: str, zero, op) -> Column:
+    """For each entry of an array the entries before it put together by ``op``, which must be associative with ``zero`` as its neutral element.
 
-    The array is summed up in slices, and within each slice, so that long arrays aren't copied once for each entry.
+    The array is put together in slices, and within each slice, so that long arrays aren't copied once for each entry.
     """
-    values = F.col(values) if isinstance(values, str) else values
+    values, zero = F.col(values) if isinstance(values, str) else values, F.lit(zero).cast(kind)
 
     def slices(v: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SLICE).cast("int"))
-        return F.when(F.size(v) > 0, F.transform(starts, lambda k: F.slice(v, k * SLICE + 1, F.lit(SLICE)))).otherwise(F.array().cast("array<array<int>>"))
+        return F.when(F.size(v) > 0, F.transform(starts, lambda k: F.slice(v, k * SLICE + 1, F.lit(SLICE)))).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
     def before(entries: Column, start: Column) -> Column:
-        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(entries, state, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        state = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(entries, state, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda s: F.aggregate(s, zero, op))
+        return F.flatten(F.zip_with(parts, before(totals, zero), before))
 
-    def summed(parts: Column) -> Column:
-        totals = F.transform(parts, lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x))
-        return F.flatten(F.zip_with(parts, before(totals, F.lit(0)), before))
+    return let(values.cast(f"array<{kind}>"), lambda v: let(slices(v), whole))
 
-    return let(values.cast("array<int>"), lambda v: let(slices(v), summed))
+
+def running_sums(values) -> Column:
+    """For each entry of an array of whole numbers the sum of the entries before it, as ``array<int>``."""
+    return running(values, "int", 0, lambda a, x: a + x)
 
 
 def literal(word: str) -> str:

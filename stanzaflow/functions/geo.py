@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import table_of
+from .arrays import let, table_of
 
 EARTH_KM = 6371.0
 
@@ -51,13 +51,14 @@ def era_year(name, number, eras: dict[str, tuple[int, int]]) -> Column:
 
 
 def han_number(x) -> Column:
-    """A numeral below one hundred in Chinese digits, ``元`` as 1."""
+    """A numeral below one hundred in Chinese digits, ``元`` as 1, ``廿`` as 20 and ``卅`` as 30; null for what is no such numeral."""
     digits = "一二三四五六七八九"
-    text = F.regexp_replace(F.regexp_replace(_c(x), "元", "一"), "^十", "一十")
-    tens = F.when(F.contains(text, F.lit("十")), F.split(text, "十")).otherwise(F.array(F.lit(""), text))
-    value = lambda part: F.instr(F.lit(digits), part)
-    high, low = F.element_at(tens, 1), F.element_at(tens, 2)
-    return F.when(_c(x).rlike(f"^[{digits}元]?十?[{digits}元]?$") & (F.length(_c(x)) > 0), F.when(high == "", 0).otherwise(value(high)) * 10 + F.when(low == "", 0).otherwise(value(low)))
+    text = _c(x)
+    for short, long in (("元", "一"), ("廿", "二十"), ("卅", "三十"), ("^十", "一十")):
+        text = F.regexp_replace(text, short, long)
+    value = lambda pattern: F.instr(F.lit(digits), F.regexp_extract(text, pattern, 1))
+    number = F.when(F.contains(text, F.lit("十")), value("^(.)十")).otherwise(0) * 10 + F.when(text.rlike(f"[{digits}]$"), value("(.)$")).otherwise(0)
+    return F.when(text.rlike(f"^(?:[{digits}]十)?[{digits}]?$") & (text != ""), number)
 
 
 # fixed values: bounds of a year, the longest reign number, and the longest reign that stands for a range
@@ -82,16 +83,27 @@ def year_of(x, patterns: list[str], eras: dict[str, tuple[int, int]]) -> Column:
     years = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{3,4})(?!\d)"), F.lit(1)), lambda y: y.cast("int")), bounded))
     steps.append(F.when(F.size(years) == 1, found(F.get(years, F.lit(0)), F.get(years, F.lit(0)), "approximate")))
     if eras:
-        part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-        reign = lambda pattern: F.element_at(table, part(pattern, 1))
-        numbered, edge, span = rf"({names})\s*(元|[一二三四五六七八九十]{{1,3}})\s*[载載年]", rf"({names})\s*年?\s*(初|末)", rf"({names})\s*年?[间間]"
-        n = han_number(part(numbered, 2))
-        year = reign(numbered)["low"] + n - 1
-        steps.append(F.when(n.between(1, LONGEST_NUMBER) & (year <= reign(numbered)["high"] + 1), found(year, year, "era_year")))
-        low, high = reign(edge)["low"], reign(edge)["high"]
-        steps.append(F.when(part(edge, 2) == "初", found(low, low + 2, "era_early")).when(part(edge, 2) == "末", found(high - 2, high, "era_late")))
-        low, high = reign(span)["low"], reign(span)["high"]
-        steps.append(F.when(high - low <= LONGEST_REIGN, found(low, high, "era_range")))
+        # mentions of a reign with what stands behind it: a numbered year, the first or last years, or all of its years
+        tail = "[元一二三四五六七八九十廿卅]+\\s*[年載载]|年?\\s*[初末间間]"
+        mentions = F.regexp_extract_all(text, F.lit(f"((?:{names})\\s*(?:{tail}))"), F.lit(1))
+        name = lambda m: F.regexp_extract(m, f"^({names})", 1)
+        told = F.transform(mentions, lambda m: F.struct(F.element_at(table, name(m)).alias("reign"), F.regexp_replace(m, f"^(?:{names})\\s*", "").alias("tail")))
+        first = lambda pattern: F.get(F.filter(told, lambda t: t["tail"].rlike(pattern)), F.lit(0))
+
+        def of_number(t: Column) -> Column:
+            n = han_number(F.regexp_replace(t["tail"], "\\s*[年載载]$", ""))
+            year = t["reign"]["low"] + n - 1
+            return F.when(n.between(1, LONGEST_NUMBER) & (year <= t["reign"]["high"] + 1), found(year, year, "era_year"))
+
+        def of_edge(t: Column) -> Column:
+            low, high = t["reign"]["low"], t["reign"]["high"]
+            return F.when(F.endswith(t["tail"], F.lit("初")), found(low, low + 2, "era_early")).when(F.endswith(t["tail"], F.lit("末")), found(high - 2, high, "era_late"))
+
+        def of_span(t: Column) -> Column:
+            low, high = t["reign"]["low"], t["reign"]["high"]
+            return F.when(high - low <= LONGEST_REIGN, found(low, high, "era_range"))
+
+        steps += [let(first("^[^年初末间間]"), of_number), let(first("[初末]$"), of_edge), let(first("[间間]$"), of_span)]
     return F.coalesce(*steps)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import literal
+
 UNIT = "\x1f"  # between the parts of a hashed identity
 CJK_SENTENCE_END = "。！？!?；;"
 LATIN_SENTENCE_END = ".!?;"
@@ -58,7 +60,8 @@ def snippet(x, query: str, radius: int = 54) -> Column:
     Runs of white space count as one blank.
     """
     text = F.trim(F.regexp_replace(text_of(x), r"(?U)\s+", " "))
-    at = F.instr(F.lower(text), F.lit(query.lower()))
+    gap = F.regexp_extract(text, f"(?isu)^(.*?){literal(query)}", 1)  # sought in the text itself: lower case may have another length
+    at = F.when(text.rlike(f"(?isu){literal(query)}"), F.length(gap) + 1).otherwise(F.lit(0))
     start = F.greatest(at - 1 - radius, F.lit(0))
     end = F.least(F.when(at > 0, at - 1 + len(query) + radius).otherwise(F.lit(2 * radius)), F.length(text))
     body = F.substring(text, start + 1, end - start)
@@ -107,8 +110,8 @@ def short_tokens(x) -> Column:
 
 
 def trigrams(x) -> Column:
-    """All 3-grams of a text in lower case, with repeats: one pass of a pattern that matches nothing and looks ahead."""
-    return F.regexp_extract_all(F.lower(text_of(x)), F.lit("(?s)(?=(...))"), F.lit(1))
+    """All 3-grams of a text in lower case, in order, with repeats: one pass of a pattern that takes a character and looks ahead."""
+    return F.regexp_extract_all(F.lower(text_of(x)), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def first_matching(x, rules: list[tuple[str, str]], default: str | None = None) -> Column:

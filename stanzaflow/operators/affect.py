@@ -117,13 +117,12 @@ def emotion_profile(scores: DataFrame, dimensions: list[tuple[str, float, float,
 
 def label_distribution(profiles: DataFrame, owner: str) -> DataFrame:
     """``kind, owner, label, n``: documents by primary label, by owner and primary label (both without undecided ones), and by confidence."""
-    decided = profiles.filter("primary is not null")
     none = F.lit(None).cast("string")
-    return (
-        decided.groupBy(F.lit("label").alias("kind"), none.alias(owner), F.col("primary").alias("label")).agg(F.count("*").alias("n"))
-        .unionByName(decided.groupBy(F.lit("owner").alias("kind"), F.col(owner).cast("string").alias(owner), F.col("primary").alias("label")).agg(F.count("*").alias("n")))
-        .unionByName(profiles.groupBy(F.lit("confidence").alias("kind"), none.alias(owner), F.col("confidence_label").alias("label")).agg(F.count("*").alias("n")))
-    )
+    row = lambda kind, of, label: F.struct(F.lit(kind).alias("kind"), of.alias(owner), label.alias("label"))
+    decided = lambda x: F.when(F.col("primary").isNotNull(), x)
+    cells = [decided(row("label", none, F.col("primary"))), decided(row("owner", F.col(owner).cast("string"), F.col("primary"))), row("confidence", none, F.col("confidence_label"))]
+    # the profile is worked out once for its three counters
+    return profiles.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.kind", f"c.{owner}", "c.label").agg(F.count("*").alias("n"))
 
 
 def percent_of(value, signed: bool = True) -> Column:

@@ -43,9 +43,13 @@ def ordered_rules(claims: DataFrame, key: str, family: str, year: str, single: l
 
 
 def publishable(claims: DataFrame, key: str, value: str, source: str, grade: str) -> DataFrame:
-    """Grades A and B always, C only where two sources give an equal value."""
-    sources = F.size(F.collect_set(source).over(W.partitionBy(key, value)))
-    return claims.withColumn("publish", F.col(grade).isin("A", "B") | ((F.col(grade) == "C") & (sources >= 2)))
+    """Grades A and B always, C only where two sources give an equal value; a value that isn't known is equal to none.
+
+    Values with two sources are summed up by key and value, and only they are joined to the claims.
+    """
+    shared = claims.filter(F.col(value).isNotNull()).groupBy(key, value).agg((F.min(source) < F.max(source)).alias("_shared")).filter("_shared")
+    grades = F.col(grade).isin("A", "B") | ((F.col(grade) == "C") & F.coalesce("_shared", F.lit(False)))
+    return claims.join(shared, [key, value], "left").select(*claims.columns, grades.alias("publish"))
 
 
 def unique_winner(candidates: DataFrame, key: str, candidate: str, score: Column) -> DataFrame:
@@ -109,3 +113,58 @@ def character_consensus(samples: DataFrame, group: str, text: str) -> DataFrame:
     joined = won.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("chars"), F.max("len").alias("len"))
     text_ = F.when(F.size("chars") == F.col("len"), F.array_join(F.transform("chars", lambda x: x["c"]), ""))
     return samples.select(group).distinct().join(joined.select(group, text_.alias("consensus")), group, "left")
+
+
+def _path(url: Column) -> Column:
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
+
+
+def semantic_errors(packages: DataFrame, years: list[str], places: list[str], direct: dict[str, str], barred: tuple[str, ...] = ("/search", "/author/", "/authors/", "/login"), suffixes: str = "省市县区州府郡镇乡村山寺亭楼阁台园") -> DataFrame:
+    """Adds ``errors``: the publication rules that a fact package breaks, stricter than its schema, as a sorted array of names.
+
+    ``packages`` have ``evidence``, an array of ``struct<evidence_id, excerpt, supports, grade, url>``, ``context_facts``, an array of ``struct<text,
+    evidence_ids>``, and the columns ``years`` and ``places``.  The rules:
+
+    * ``date_visible``: every year stands in an excerpt of grade A or B that supports the date; an unknown year stands nowhere;
+    * ``place_visible``: of some place its name, or a part of two characters or more between ``suffixes``, stands in such an excerpt on the place;
+    * ``direct_page``: evidence on date or place comes from no page with a ``barred`` path;
+    * ``page_shape``: if its host holds a key of ``direct``, path and query fit that pattern;
+    * ``identity_grade``: evidence that supports nothing is graded C or D;
+    * ``context_support``: every context fact names evidence on a life event or the historical context.
+    """
+    strong = lambda e: e["grade"].isin("A", "B")
+    told = lambda e, what: F.coalesce(F.array_contains(e["supports"], F.lit(what)), F.lit(False))
+    excerpts = lambda what: F.array_join(F.transform(F.filter("evidence", lambda e: strong(e) & told(e, what)), lambda e: F.coalesce(e["excerpt"], F.lit(""))), "\n")
+    dates, found = excerpts("date"), excerpts("place")
+    chronology = F.filter("evidence", lambda e: told(e, "date") | told(e, "place"))
+    all_years = F.lit(True)
+    for y in years:
+        all_years &= F.coalesce(F.contains(dates, F.col(y).cast("string")), F.lit(False))
+
+    def visible(name: str) -> Column:
+        label = F.trim(F.col(name))
+        parts = F.filter(F.split(label, f"[{suffixes}]+"), lambda p: F.length(p) >= 2)
+        return F.coalesce((label != "") & (F.contains(found, label) | F.exists(parts, lambda p: F.contains(found, p))), F.lit(False))
+
+    some_place = F.lit(False)
+    for p in places:
+        some_place |= visible(p)
+
+    def shaped(e: Column) -> Column:
+        host = F.lower(F.coalesce(F.try_parse_url(e["url"], F.lit("HOST")), F.lit("")))
+        whole = F.concat_ws("?", _path(e["url"]), F.try_parse_url(e["url"], F.lit("QUERY")))
+        ok = F.lit(True)
+        for fragment, pattern in direct.items():
+            ok &= ~F.contains(host, F.lit(fragment)) | whole.rlike(pattern)
+        return ok
+
+    supported = F.transform(F.filter("evidence", lambda e: told(e, "historical_context") | told(e, "life_event")), lambda e: e["evidence_id"])
+    rules = {
+        "context_support": ~F.exists("context_facts", lambda f: ~F.arrays_overlap(F.coalesce(f["evidence_ids"], F.array().cast("array<string>")), supported)),
+        "date_visible": all_years,
+        "direct_page": ~F.exists(chronology, lambda e: _path(e["url"]).rlike("|".join(f"\\Q{b}\\E" for b in barred))),
+        "identity_grade": ~F.exists("evidence", lambda e: strong(e) & (F.coalesce(F.size(e["supports"]), F.lit(0)) < 1)),
+        "page_shape": ~F.exists(chronology, lambda e: ~shaped(e)),
+        "place_visible": some_place,
+    }
+    return package_errors(packages, rules)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, KM_PER_DEGREE, haversine_km, overlaps
+from .order import carried
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str, width: int) -> DataFrame:
@@ -40,43 +41,83 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str
 def nearest(left: DataFrame, right: DataFrame, key: str, left_id: str, left_value: str, right_value: str, right_id: str, width: int | None = None) -> DataFrame:
     """For each left row the right row of its key whose value is nearest; ties go to the smallest right value's id.
 
-    The candidates are the last right row that isn't behind and the first that isn't before, found by running values over
-    the union of both sides: no pairs are made.  Only ids of right rows with the same value are compared with each other.
-    With ``width``, rows further off are no candidates.
+    The candidates are the last right row that isn't behind and the first that isn't before: values carried over the union of both
+    sides in rising and in falling order, so no pairs are made and a key of any size is spread over many tasks.  With ``width``, rows
+    further off are no candidates; rows without a key or value have no nearest one.
     """
-    best = right.groupBy(key, F.col(right_value).alias("_t")).agg(F.min(right_id).alias("_id"))
-    both = left.select(key, left_id, F.col(left_value).alias("_t"), F.lit(1).alias("_side")).unionByName(
+    best = right.filter(F.col(key).isNotNull() & F.col(right_value).isNotNull()).groupBy(key, F.col(right_value).alias("_t")).agg(F.min(right_id).alias("_id"))
+    both = left.filter(F.col(key).isNotNull() & F.col(left_value).isNotNull()).select(key, left_id, F.col(left_value).alias("_t"), F.lit(1).alias("_side")).unionByName(
         best.select(key, "_t", F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    up = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(key).orderBy(F.desc("_t"), "_side").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("_a", F.last("_v", ignorenulls=True).over(up)).withColumn("_b", F.last("_v", ignorenulls=True).over(down)).filter("_side = 1")
+    up = carried(both, [key], ["_t", "_side"], {"_a": F.col("_v")})
+    found = carried(up, [key], [F.desc("_t"), F.asc("_side")], {"_b": F.col("_v")}).filter("_side = 1")
     entry = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_t")).alias("distance"), F.col(f"{c}.id").alias("id")))
     one = found.select(left_id, F.array_min(F.array_compact(F.array(entry("_a"), entry("_b")))).alias("_n"))
     out = one.filter("_n is not null").select(left_id, F.col("_n.id").alias(right_id), F.col("_n.distance").alias("distance"))
     return out if width is None else out.filter(F.col("distance") <= width)
 
 
+def _blocks(low: Column, high: Column, levels: int) -> Column:
+    """The dyadic blocks ``struct<level, block>`` that make up the whole numbers from ``low`` to ``high``, two of a level at most."""
+    start = F.struct(low.alias("lo"), (high + 1).alias("hi"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        go = lo < hi
+        odd_lo, odd_hi = go & (lo % 2 == 1), go & (hi % 2 == 1) & ~((lo % 2 == 1) & (lo + 1 >= hi))
+        block = lambda b: F.struct(level.cast("int").alias("level"), b.alias("block"))
+        out = F.when(odd_lo, F.array_append(acc["out"], block(lo))).otherwise(acc["out"])
+        out = F.when(odd_hi, F.array_append(out, block(hi - 1))).otherwise(out)
+        up = lambda x: F.shiftright(x, 1)
+        return F.struct(up(F.when(odd_lo, lo + 1).otherwise(lo)).alias("lo"), up(hi).alias("hi"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step)["out"]
+
+
 def nearest_interval(rows: DataFrame, spans: DataFrame, key: str, row_id: str, value: str, span: tuple[str, str], span_id: str) -> DataFrame:
     """For each row the interval of its key that holds its value, else the one least far off; ties go to the smallest id.
 
-    ``row_id, span_id, inside, distance``.  Intervals are a gazetteer, of which a key has few.
+    ``row_id, span_id, inside, distance``.  Values and ends are whole numbers; intervals are closed, and those without an end or with ends the
+    wrong way round count for nothing.  Which interval holds a value changes at borders only.  Each border is looked up among the intervals cut into
+    blocks whose lengths are powers of two (a border lies in one block of each length, so equal blocks are joined, not intervals), and the
+    rows get the last border before them, the last end before them and the first start behind them as values carried in order.
     """
-    pairs = rows.join(spans, key)
-    inside = F.col(value).between(F.col(span[0]), F.col(span[1]))
-    off = F.greatest(F.col(span[0]) - F.col(value), F.col(value) - F.col(span[1]), F.lit(0))
-    best = pairs.groupBy(row_id).agg(F.min(F.struct((~inside).alias("outside"), off.alias("distance"), F.col(span_id).alias("id"))).alias("b"))
-    return best.select(row_id, F.col("b.id").alias(span_id), (~F.col("b.outside")).alias("inside"), "b.distance")
+    own = spans.select(F.col(key).alias("_k"), F.col(span[0]).cast("bigint").alias("_s"), F.col(span[1]).cast("bigint").alias("_e"), F.col(span_id).alias("_id")).filter("_k is not null and _s <= _e")
+    range_ = own.agg(F.min("_s").alias("low"), F.max("_e").alias("high")).first()
+    low = range_["low"] or 0
+    levels = max(1, ((range_["high"] or 0) + 2 - low).bit_length())
+    cut = own.select("_k", "_id", F.explode(_blocks(F.col("_s") - low, F.col("_e") - low, levels)).alias("b")).groupBy("_k", "b.level", "b.block").agg(F.min("_id").alias("_id"))
+    borders = own.select("_k", F.explode(F.array(F.col("_s"), F.col("_e") + 1)).alias("_t")).distinct()
+    looked = borders.select("_k", "_t", F.posexplode(F.sequence(F.lit(0), F.lit(levels))).alias("level", "_l")).select("_k", "_t", "level", F.expr("shiftright(_t - {0}, level)".format(low)).alias("block"))
+    held = looked.join(cut, ["_k", "level", "block"], "left").groupBy("_k", "_t").agg(F.min("_id").alias("_inside"))
+    ends = own.groupBy("_k", (F.col("_e") + 1).alias("_t")).agg(F.min("_id").alias("_end"))
+    starts = own.groupBy("_k", F.col("_s").alias("_t")).agg(F.min("_id").alias("_start"))
+    marks = held.join(ends, ["_k", "_t"], "left").join(starts, ["_k", "_t"], "left")
+    marks = marks.select(
+        "_k", "_t", F.lit(0).alias("_side"), F.struct(F.col("_inside").alias("id")).alias("_in"), F.when(F.col("_end").isNotNull(), F.struct((F.col("_t") - 1).alias("t"), F.col("_end").alias("id"))).alias("_before"),
+        F.when(F.col("_start").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_start").alias("id"))).alias("_behind"),
+    )
+    points = rows.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("_k"), F.col(value).cast("bigint").alias("_t"), F.lit(1).alias("_side"), F.col(row_id).alias("_row"))
+    both = points.unionByName(marks, allowMissingColumns=True)
+    up = carried(both, ["_k"], ["_t", "_side"], {"_now": F.col("_in"), "_last": F.col("_before")})
+    found = carried(up, ["_k"], [F.desc("_t"), F.asc("_side")], {"_next": F.col("_behind")}).filter("_side = 1")
+    off = lambda c, d: F.when(F.col(c).isNotNull(), F.struct(F.lit(True).alias("outside"), d.alias("distance"), F.col(f"{c}.id").alias("id")))
+    inside = F.when(F.col("_now.id").isNotNull(), F.struct(F.lit(False).alias("outside"), F.lit(0).cast("bigint").alias("distance"), F.col("_now.id").alias("id")))
+    best = F.array_min(F.array_compact(F.array(inside, off("_last", F.col("_t") - F.col("_last.t")), off("_next", F.col("_next.t") - F.col("_t")))))
+    out = found.select(F.col("_row").alias(row_id), best.alias("b")).filter("b is not null")
+    return out.select(row_id, F.col("b.id").alias(span_id), (~F.col("b.outside")).alias("inside"), "b.distance")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
-    """For each left row the latest right row of its key that isn't later: a union and a running last value, no range join."""
-    mark = F.struct(*[F.col(v) for v in values]).alias("_v")
-    a = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1))
-    b = right.select(key, F.col(right_time).alias("_t"), mark, F.lit(0).alias("_side"))
-    order = W.partitionBy(key).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_v", ignorenulls=True).over(order))
-    return both.filter("_side = 1").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    """For each left row the latest right row of its key that isn't later: a union and a value carried on in order, no range join.
+
+    Of several right rows of one time the greatest values count.  A key of any size is spread over many tasks.
+    """
+    mark = F.struct(*[F.col(v) for v in values])
+    latest = right.groupBy(key, F.col(right_time).alias("_t")).agg(F.max(mark).alias("_v")).withColumn("_side", F.lit(0))
+    both = left.withColumn("_t", F.col(left_time)).withColumn("_side", F.lit(1)).unionByName(latest, allowMissingColumns=True)
+    told = carried(both, [key], ["_t", "_side"], {"_last": F.col("_v")})
+    return told.filter("_side = 1").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 def within_km(points: DataFrame, id_col: str, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -144,7 +185,18 @@ def first_available(requests: DataFrame, sources: list[DataFrame], keys: list[st
     return requests.join(best, keys, "left").select(*requests.columns, "_b.source_no", *[F.col(f"_b.{v}").alias(v) for v in values])
 
 
-def adjacent_pairs(rows: DataFrame, group: str, order: list, id_col: str) -> DataFrame:
-    """``group, from, to``: each row with the next one of its group."""
+def adjacent_pairs(rows: DataFrame, group: str, order: list, id_col: str, documented: DataFrame | None = None) -> DataFrame:
+    """``group, from_id, to_id``: each row with the next one of its group, without pairs that ``documented(group, from_id, to_id)`` tells of already."""
     nxt = F.lead(id_col).over(W.partitionBy(group).orderBy(*order))
-    return rows.withColumn("to_id", nxt).filter("to_id is not null").select(group, F.col(id_col).alias("from_id"), "to_id")
+    pairs = rows.withColumn("to_id", nxt).filter("to_id is not null").select(group, F.col(id_col).alias("from_id"), "to_id")
+    return pairs if documented is None else pairs.join(documented, [group, "from_id", "to_id"], "left_anti")
+
+
+def last_lookup(rows: DataFrame, others: DataFrame, keys: list[str], order: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Each row with the ``values`` of the last row of ``others`` that has its keys, and the rows that have none.
+
+    ``order`` is the total order in which a later row replaces an earlier one; keys are compared by equality, unknown ones fit nothing.
+    """
+    last = others.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_v"))
+    found = rows.join(last, keys, "left")
+    return found.filter("_v is not null").select(*rows.columns, *[F.col(f"_v.{v}").alias(v) for v in values]), found.filter("_v is null").select(*rows.columns)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, literal, places_of, running_sums, table_of
+from ..functions.arrays import let, literal, places_of, running, running_sums, table_of
 from ..functions.text import text_of
 
 MASK = "\x00"
@@ -145,22 +145,17 @@ def _candidates(text: Column, terms: Column, excluded: list[str], negators: list
 def _without_overlap(candidates: Column) -> Column:
     """``array<struct<start, term, weight>>``: the candidates taken one by one, the longest first, then the heaviest, then the leftmost.
 
-    Candidates by place fall into runs that overlap none of another run; only within a run do they have to be compared.
+    Candidates by place fall into runs that overlap none of another run; only within a run do they have to be compared.  A run begins
+    where a candidate starts behind the ends of all before it, so the runs of a long text are cut in time that grows with their number.
     """
-    kind = "array<struct<start:int,shorter:int,lighter:double,term:string>>"
     none = F.array().cast("array<struct<start:int,term:string,weight:double>>")
 
-    def gather(acc: Column, c: Column) -> Column:
-        end = c["start"] - c["shorter"]
-        joins = c["start"] < acc["end"]
-        return F.struct(
-            F.when(joins, acc["done"]).otherwise(F.array_append(acc["done"], acc["run"])).alias("done"),
-            F.when(joins, F.array_append(acc["run"], c)).otherwise(F.array(c)).alias("run"),
-            F.greatest(acc["end"], end).alias("end"),
-        )
-
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("run"), F.lit(-1).alias("end"))
-    runs = F.aggregate(candidates, start, gather, lambda acc: F.array_append(acc["done"], acc["run"]))
+    def in_runs(c: Column) -> Column:
+        ends = running(F.transform(c, lambda x: x["start"] - x["shorter"]), "int", -1, lambda a, x: F.greatest(a, x))
+        borders = let(ends, lambda e: F.array_compact(F.transform(c, lambda x, i: F.when(x["start"] >= F.get(e, i), i))))
+        return let(borders, lambda bs: F.transform(bs, lambda at, k: F.slice(c, at + 1, F.coalesce(F.get(bs, k + 1), F.size(c)) - at)))
+
+    runs = let(candidates, in_runs)
     hit = lambda c: F.struct(c["start"].alias("start"), c["term"].alias("term"), (-c["lighter"]).alias("weight"))
 
     def take(taken: Column, c: Column) -> Column:

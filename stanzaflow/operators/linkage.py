@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import interval_join
+from .order import numbered
 from .stylometry import first_k
 
 
@@ -68,22 +69,17 @@ def quoted_evidence(claims: DataFrame, docs: DataFrame, key: str, quote: str, te
     return joined.withColumn("literal", ok).drop(text)
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds ``_n``, the place of each row from 0 in a total order: one range sort, and the row counts of its partitions."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return ranged.join(F.broadcast(before), "_part").withColumn("_n", F.col("_before") + F.col("_seq")).drop("_part", "_seq", "_before")
-
-
 def interleave(main: DataFrame, second: DataFrame, order: str, every: int = 6) -> DataFrame:
-    """``slot`` for the rows of both lists: after every ``every - 1`` rows of the first comes one of the second, then what is left."""
+    """``slot`` for the rows of both lists: after every ``every - 1`` rows of the first comes one of the second, then what is left.
+
+    ``order`` is a total order of each list; rows may have any other columns, the same in both lists.
+    """
     step = every - 1
     sizes = main.agg(F.count("*").alias("_main")).crossJoin(second.agg(F.count("*").alias("_second")))  # one row
     slot_a = F.col("_n") + F.least(F.floor(F.col("_n") / step), F.col("_second"))
     slot_b = F.when(F.col("_n") < F.floor(F.col("_main") / step), (F.col("_n") + 1) * every - 1).otherwise(F.col("_main") + F.col("_n"))
-    a = numbered(main, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_a.cast("int"))
-    b = numbered(second, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_b.cast("int"))
+    a = numbered(main, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_a.cast("bigint"))
+    b = numbered(second, order).crossJoin(F.broadcast(sizes)).withColumn("slot", slot_b.cast("bigint"))
     return a.unionByName(b).drop("_n", "_main", "_second")
 
 

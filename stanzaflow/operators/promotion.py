@@ -11,6 +11,7 @@ from ..functions.geo import overlaps
 from .evidence import character_consensus
 from .joins import band_join, cluster_diameter
 from .linkage import overlap_years
+from .transitions import transitions
 
 TOLERANCE = 1  # years, fixed value
 CLUSTER_KM = 300.0  # fixed value
@@ -35,8 +36,10 @@ def coordinate_reasons(candidates: DataFrame, addresses: DataFrame, key: str, na
     """Adds ``reason`` to candidates looked up by an address id: null if its coordinates are accepted, else why not, the first that holds.
 
     ``missing`` (no such address), ``name`` (another name), ``null`` (no coordinates), ``sentinel`` (0, 0), ``range`` (outside the
-    globe or not finite), ``years`` (the closed year intervals don't meet; 0 and null are open ends).
+    globe or not finite), ``years`` (the closed year intervals don't meet; 0 and null are open ends).  Of several address rows with
+    one id the smallest counts (by name, coordinates and years, nulls first), so a candidate stays one row.
     """
+    addresses = addresses.groupBy(key).agg(F.min(F.struct(own_name, lon, lat, *own_years)).alias("_a")).select(key, "_a.*")
     side = addresses.select(F.col(key), F.lit(True).alias("_found"), F.col(own_name).alias("_name"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), *[F.nullif(F.col(y), F.lit(0)).alias(f"_y{k}") for k, y in enumerate(own_years)])
     both = candidates.join(side, key, "left")
     inside = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90) & ~F.isnan("lon") & ~F.isnan("lat")
@@ -53,10 +56,16 @@ def coordinate_reasons(candidates: DataFrame, addresses: DataFrame, key: str, na
 
 
 def reference_errors(child: DataFrame, parent: DataFrame, ref: str, key: str, owner: str, parent_owner: str) -> DataFrame:
-    """``orphans, other_owner, repeated``: references without a row, to a row of another owner, and rows referred to more than once; one row."""
-    side = parent.select(F.col(key).alias("_k"), F.col(parent_owner).alias("_o")).distinct()
-    met = child.join(side, F.col(ref) == F.col("_k"), "left")
-    flags = met.agg(F.count_if(F.col("_k").isNull()).alias("orphans"), F.count_if(F.col("_k").isNotNull() & (F.col(owner) != F.col("_o"))).alias("other_owner"))
+    """``orphans, other_owner, repeated``: references without a row, to a row of another owner, and rows referred to more than once; one row.
+
+    A parent id may stand several times: a reference is at fault only if none of its owners fits.  An owner that isn't known, on
+    either side, is no fault.
+    """
+    keys = parent.groupBy(F.col(key).alias("_k")).agg(F.count_if(F.col(parent_owner).isNull()).alias("_unknown"))
+    owners = parent.select(F.col(key).alias("_k2"), F.col(parent_owner).alias("_o")).filter("_o is not null").distinct()
+    met = child.join(keys, F.col(ref) == F.col("_k"), "left").join(owners, (F.col(ref) == F.col("_k2")) & (F.col(owner) == F.col("_o")), "left")
+    other = F.col("_k").isNotNull() & F.col(owner).isNotNull() & (F.col("_unknown") == 0) & F.col("_k2").isNull()
+    flags = met.agg(F.count_if(F.col("_k").isNull()).alias("orphans"), F.count_if(other).alias("other_owner"))
     repeated = child.groupBy(ref).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
     return flags.crossJoin(repeated)  # one row each
 
@@ -94,6 +103,18 @@ def date_score(birth: tuple[str, str], own_birth: tuple[str, str], death: tuple[
     return F.when(b.isNull() & d.isNull(), 0).when(apart, -90).otherwise(40 + F.least(met, F.lit(20)))
 
 
+def _lengths(names: DataFrame, name: str) -> list[int]:
+    """The lengths that names have: a part of any other length can't be a name.  One row for each comes to the driver."""
+    return sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])
+
+
+def _parts(text: str, lengths: list[int]) -> Column:
+    """The distinct parts of a text that are as long as some name."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(F.array().cast("array<string>"), *[of(k) for k in lengths]))))
+
+
 def authority_matches(local: DataFrame, records: DataFrame, local_id: str, record_id: str, families: dict[str, list[str]], shortest: int = 2) -> DataFrame:
     """``local_id, record, total, outcome``: the credible record with the best score, if it is alone there.
 
@@ -103,9 +124,8 @@ def authority_matches(local: DataFrame, records: DataFrame, local_id: str, recor
     best ones, or none that is credible) or ``not_found``.
     """
     own = records.withColumn("_rid", F.col(record_id))
-    n = F.length("r_name")
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: (k >= shortest) & (i + k - 1 <= n)), lambda k: F.substring("r_name", i, k))))
+    lengths = [k for k in _lengths(local, "name") if k >= shortest]
+    parts = _parts("r_name", lengths)
     keys = F.array_distinct(F.concat(F.array("r_name"), F.coalesce("aliases", F.array().cast("array<string>")), parts))
     met = local.join(own.withColumn("name", F.explode(keys)), "name")
     method = F.coalesce(name_method("name", "r_name"), F.when(F.array_contains("aliases", F.col("name")), "record_alias"), F.when(F.contains("r_name", F.col("name")), "substring"))
@@ -129,9 +149,7 @@ def catalog_matches(roster: DataFrame, records: DataFrame, owner: str, record: s
     """
     names = roster.select(owner, "era", F.explode(F.array_distinct("aliases")).alias("alias")).filter("alias <> ''")
     shared = names.groupBy("alias").agg(F.countDistinct(owner).alias("_owners"))
-    n = F.length("title")
-    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    pieces = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda k: i + k - 1 <= n), lambda k: F.substring("title", i, k)))))
+    pieces = _parts("title", _lengths(names, "alias"))
     entry = lambda array, method: F.transform(array, lambda x: F.struct(x.alias("alias"), F.lit(None).cast("string").alias("of"), F.lit(method).alias("method")))
     people = F.transform("people", lambda x: F.struct(x["name"].alias("alias"), F.nullif(x["era"], F.lit("")).alias("of"), F.lit("person").alias("method")))
     none = F.array().cast("array<struct<alias:string,of:string,method:string>>")
@@ -338,18 +356,24 @@ def normalised_evidence(candidates: DataFrame, key: str, order: list, defaults:
     return candidates.withColumn("_n", place).filter("_n = 1").select(*clean)
 
 
-def apply_reviews(records: DataFrame, reviews: DataFrame, key: str, state: str, moves: dict[str, list[str]], note: str) -> DataFrame:
-    """Adds to records the reviewed ``state`` and ``note`` where the move from the old state is allowed, and ``refused`` where it isn't.
+def apply_reviews(records: DataFrame, reviews: DataFrame, key: str, state: str, moves: dict[str, list[str]], note: str, order: list[str] | None = None) -> DataFrame:
+    """Adds to records the reviewed ``state`` and ``note`` where the move from the old state is allowed, and ``refused`` where a review isn't.
 
-    ``moves`` lists the states that may follow each.  A review of an unknown record is left out; an empty note keeps the old one.
+    ``moves`` lists the states that may follow each.  Several reviews of a record are applied one after another in ``order`` (by state and note if
+    none is given); the note is that of the last review that moved the record and has one, else the old one.  A review
+    of an unknown record is left out.  A record stays one row.
     """
-    side = reviews.select(key, F.col(state).alias("_state"), F.col(note).alias("_note"))
-    both = records.join(side, key, "left")
-    allowed = F.array_contains(F.coalesce(F.element_at(table_of(moves, "map<string,array<string>>"), F.col(state)), F.array().cast("array<string>")), F.col("_state"))
-    asked, ok = F.col("_state").isNotNull(), F.coalesce(allowed, F.lit(False))
+    order = order or [state, note]
+    asked = reviews.withColumn("_order", F.struct(*order)).select(key, F.col(state).alias("_asked"), F.col(note).alias("_note"), "_order")
+    history = transitions(records.select(key, state), asked, key, state, "_asked", ["_order"], moves)
+    moved = F.col("refused").isNull()
+    said = F.when(moved, F.nullif(F.trim("_note"), F.lit("")))
+    last = history.groupBy(key).agg(
+        F.max_by(F.when(moved, F.col("after")), F.when(moved, F.col("_order"))).alias("_state"), F.max_by(said, F.when(said.isNotNull(), F.col("_order"))).alias("_said"), F.max(F.col("refused").isNotNull()).alias("_refused")
+    )
     kept = [c for c in records.columns if c not in (state, note)]
-    new_note = F.when(ok, F.coalesce(F.nullif(F.trim("_note"), F.lit("")), F.col(note))).otherwise(F.col(note))
-    return both.select(*kept, F.when(ok, F.col("_state")).otherwise(F.col(state)).alias(state), new_note.alias(note), (asked & ~ok).alias("refused"))
+    both = records.join(last, key, "left")
+    return both.select(*kept, F.coalesce("_state", state).alias(state), F.coalesce("_said", note).alias(note), F.coalesce("_refused", F.lit(False)).alias("refused"))
 
 
 def terrain(hits: DataFrame, period: str, sentiment: str, scale: str) -> DataFrame:
@@ -366,6 +390,30 @@ def route_legs(nodes: DataFrame, route: str, order: str, node: str, precise: Col
     return legs.filter("to_id is not null")
 
 
+def assembled_routes(nodes: DataFrame, legs: DataFrame, segments: DataFrame, route: str, node: str, transport: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """The legs of routes told in full, and the counts of each route.
+
+    ``segments(route, from_id, to_id, note)`` are documented ways between two nodes, in either direction; of several on one leg the forward one counts, then the first by
+    note.  Legs get its ``note``, ``direction`` (``forward``, ``reversed``, or null without a segment), and ``mode`` and ``basis``: the label of
+    the first pattern of ``transport`` that the note fits, and the words that fit it.  Segments between other nodes are left out.
+    Counts are ``route, n_nodes, n_legs, n_documented, n_by_mode`` (a map).
+    """
+    ways = segments.select(route, "from_id", "to_id", "note", F.lit("forward").alias("direction")).unionByName(segments.select(route, F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "note", F.lit("reversed").alias("direction")))
+    best = ways.groupBy(route, "from_id", "to_id").agg(F.min(F.struct("direction", "note")).alias("_w"))
+    told = legs.join(best, [route, "from_id", "to_id"], "left").withColumn("note", F.col("_w.note")).withColumn("direction", F.col("_w.direction")).drop("_w")
+    mode = basis = None
+    for label, pattern in transport:
+        fits = F.col("note").rlike(pattern)
+        word = F.regexp_extract("note", f"({pattern})", 1)
+        mode, basis = (F.when(fits, label), F.when(fits, word)) if mode is None else (mode.when(fits, label), basis.when(fits, word))
+    told = told.withColumn("mode", mode.otherwise(F.when(F.col("direction").isNotNull(), "unknown"))).withColumn("basis", basis)
+    by_mode = told.groupBy(route, "mode").agg(F.count("*").alias("n"), F.count("direction").alias("d")).groupBy(route).agg(
+        F.sum("n").alias("n_legs"), F.sum("d").alias("n_documented"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("mode").isNotNull(), F.struct("mode", "n"))))).alias("n_by_mode")
+    )  # a row for each mode at most
+    counts = nodes.groupBy(route).agg(F.countDistinct(node).alias("n_nodes")).join(by_mode, route, "left").na.fill(0, ["n_legs", "n_documented"])
+    return told, counts.withColumn("n_by_mode", F.coalesce("n_by_mode", F.create_map().cast("map<string,bigint>")))
+
+
 def near_length_decoys(items: DataFrame, group: str, item: str, size: str, seed: str, k: int = 3) -> DataFrame:
     """``item, decoy, place``: for each item the ``k`` others of its group and length class that a hash puts behind it, wrapping round.
 

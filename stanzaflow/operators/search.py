@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import short_tokens, snippet, text_of, trigrams
 
 K1, B = 1.2, 0.75
@@ -162,13 +163,18 @@ def find(docs: DataFrame, lines: DataFrame, query: str, scope: str = "all", equa
     return first.select("kind", "doc_id", "line_no", F.round("relevance", 6).alias("relevance"), snippet("_content", q).alias("snippet")), total
 
 
-def with_mentions(hits: DataFrame, mentions: DataFrame, label: str = "label") -> DataFrame:
-    """Adds ``labels`` to a page of hits: the distinct labels of a document, or of the very line, in one join."""
-    own = mentions.groupBy("doc_id", "line_no").agg(F.collect_set(label).alias("_l"))  # labels of a lexicon
-    whole = mentions.groupBy("doc_id").agg(F.collect_set(label).alias("_d"))
-    joined = hits.join(own.withColumnRenamed("line_no", "_n"), (hits["doc_id"] == own["doc_id"]) & (hits["line_no"] == F.col("_n")), "left").drop(own["doc_id"]).join(whole, "doc_id", "left")
-    found = F.when(F.col("line_no").isNotNull(), F.col("_l")).otherwise(F.col("_d"))
-    return joined.select(*hits.columns, F.array_sort(F.coalesce(found, F.array().cast("array<string>"))).alias("labels"))
+def with_mentions(hits: DataFrame, mentions: DataFrame, label: str = "label", method: str | None = None) -> DataFrame:
+    """Adds ``labels`` to a page of hits: the distinct labels of a document, or of the very line, and with ``method`` the ``methods`` they were found by.
+
+    Mentions are summed up by line and by document and joined to the page once each.
+    """
+    cells = {"labels": label} | ({"methods": method} if method else {})
+    sets = lambda tag: [F.collect_set(c).alias(f"_{tag}_{name}") for name, c in cells.items()]  # noqa: E731 - labels of a lexicon
+    own = mentions.groupBy("doc_id", "line_no").agg(*sets("l")).withColumnRenamed("line_no", "_n").withColumnRenamed("doc_id", "_d")
+    whole = mentions.groupBy("doc_id").agg(*sets("d"))
+    joined = hits.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_n")), "left").join(whole, "doc_id", "left")
+    found = [F.when(F.col("line_no").isNotNull(), F.col(f"_l_{n}")).otherwise(F.col(f"_d_{n}")) for n in cells]
+    return joined.select(*hits.columns, *[F.array_sort(F.coalesce(f, F.array().cast("array<string>"))).alias(n) for f, n in zip(found, cells)])
 
 
 def facets(docs: DataFrame, equal: dict[str, str | None], tags: DataFrame | None = None, tag: str | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -193,19 +199,32 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """A vector of length one, null if it is zero or not finite."""
+    """A vector of length one, null if it is zero or not finite; its length is worked out once."""
+    whole = lambda norm: F.when((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), F.transform(v, lambda x: x.cast("double") / norm))
+    return let(F.sqrt(dot(v, v)), whole)
+
+
+def cosine(v: Column, q: Column) -> Column:
+    """Cosine with a unit vector ``q``, null for vectors without a direction."""
     norm = F.sqrt(dot(v, v))
-    return F.when((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), F.transform(v, lambda x: x.cast("double") / norm))
+    return F.when((norm > 0) & ~F.isnan(norm) & (norm < float("inf")), dot(v, q) / norm)
+
 
+def vector_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding", where: Column | None = None, tags: DataFrame | None = None, offset: int = 0) -> DataFrame:
+    """``id, score, relevance, place``: exact cosine over all rows that fit; each task keeps its own best before they meet.
 
-def vector_top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``id, score, relevance, place``: exact cosine over all rows; each task keeps its own best k before they meet."""
+    ``where`` is a condition on the metadata columns; it is applied before anything is scored and reaches the files.  ``tags(id)`` keeps the ids that
+    stand in it.  ``offset`` skips the best so many; places count on from there.
+    """
     norm = sum(x * x for x in query) ** 0.5
-    q = F.array(*[F.lit(x / norm) for x in query])
-    score = F.round(dot(unit(F.col(vec_col)), q), 6)
-    best = vectors.select(id_col, score.alias("score")).filter("score is not null").orderBy(F.desc("score"), id_col).limit(k)
+    if not query or not norm or norm != norm or norm == float("inf"):
+        raise ValueError("the query vector must be finite and not zero")
+    rows = vectors if where is None else vectors.filter(where)
+    rows = rows if tags is None else rows.join(tags.select(id_col), id_col, "left_semi")
+    score = F.round(cosine(F.col(vec_col), F.array(*[F.lit(x / norm) for x in query])), 6)
+    best = rows.select(id_col, score.alias("score")).filter("score is not null").orderBy(F.desc("score"), id_col).offset(offset).limit(k)
     relevance = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("score") + 1) / 2)), 6)
-    return best.select(id_col, "score", relevance.alias("relevance"), F.row_number().over(W.orderBy(F.desc("score"), id_col)).alias("place"))  # k rows
+    return best.select(id_col, "score", relevance.alias("relevance"), (F.row_number().over(W.orderBy(F.desc("score"), id_col)) + offset).alias("place"))  # k rows
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], id_col: str, place_col: str = "place", k: int = RRF) -> DataFrame:

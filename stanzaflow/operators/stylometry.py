@@ -161,3 +161,36 @@ def top_expressions(matches: DataFrame, group: str, size: str, word: str, line:
     """The ``k`` largest expressions of a group, each line once, with its largest word."""
     best = matches.groupBy(group, line).agg(F.max(F.struct(F.col(size).alias("size"), F.col(word).alias("word"))).alias("b"))
     return first_k(best.select(group, line, "b.size", "b.word"), group, [F.desc("size"), "word", line], k)
+
+
+def weighted_density(matches: DataFrame, sizes: DataFrame, group: str, category: str, intensity: str, chars: str, pair: tuple[str, str]) -> DataFrame:
+    """``group, hits, weight, density, n_first, n_second, ratio``: hits by intensity for each 100 characters, and how the two categories of ``pair`` compare.
+
+    ``matches(group, category, intensity)`` have a row for each hit, ``sizes(group, chars)`` a row or more for each group; a group without
+    hits has density 0.  The ratio is null where the second category is never met.
+    """
+    own = matches.groupBy(group).agg(
+        F.count("*").alias("hits"), F.sum(intensity).alias("weight"), F.count_if(F.col(category) == pair[0]).alias("n_first"), F.count_if(F.col(category) == pair[1]).alias("n_second")
+    )
+    total = sizes.groupBy(group).agg(F.sum(chars).alias("_chars")).join(own, group, "left").na.fill(0, ["hits", "weight", "n_first", "n_second"])
+    density = F.round(F.col("weight") * 100.0 / F.nullif(F.col("_chars"), F.lit(0)), 6)
+    return total.select(group, "hits", "weight", density.alias("density"), "n_first", "n_second", F.round(F.col("n_first") / F.nullif(F.col("n_second"), F.lit(0)), 6).alias("ratio"))
+
+
+def capped_picks(candidates: DataFrame, item: str, group: str, order: list, cap: int, target: int, topped_up: Column, least: int) -> DataFrame:
+    """``candidates`` with ``pass``: 1 for the first ``target`` in order with at most ``cap`` of a group, 2 for those that top up.
+
+    If fewer than ``least`` of the first picks are ``topped_up`` ones, further such candidates follow in the same order, as far as their groups have room.
+    ``order`` is total.  Nothing but the first picks' counts comes to the driver.
+    """
+    ranked = candidates.withColumn("_g", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    first = ranked.filter(F.col("_g") <= cap).orderBy(*order).limit(target)
+    picked = first.groupBy(group).agg(F.count("*").alias("_n"), F.count_if(topped_up).alias("_top"))  # as many rows as picks at most
+    missing = least - (picked.agg(F.sum("_top")).first()[0] or 0)
+    out = first.withColumn("pass", F.lit(1))
+    if missing > 0:
+        rest = ranked.filter(topped_up).join(first.select(item), item, "left_anti").join(picked.select(group, "_n"), group, "left")
+        place = F.row_number().over(W.partitionBy(group).orderBy(*order))
+        more = rest.withColumn("_p", place).filter(F.col("_p") <= cap - F.coalesce("_n", F.lit(0))).orderBy(*order).limit(missing)
+        out = out.unionByName(more.drop("_n", "_p").withColumn("pass", F.lit(2)))
+    return out.drop("_g")

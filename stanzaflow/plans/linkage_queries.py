@@ -70,10 +70,12 @@ def title_variant_join(spark, sf_dir):
     return linkage.variant_join(rows, "id", "p_name", forms, works, "w", "k")
 
 
-@query("""SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN '' WHEN d.doc_id % 3 = 1 THEN left(text, 20) ELSE 'zzz ' || left(text, 9) END AS quote, d.doc_id % 3 = 1 AS literal FROM documents d""")
+@query("""WITH q AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN substring(text, CAST(length(text) // 2 + 1 AS BIGINT), 60) WHEN 2 THEN right(text, 12) ELSE reverse(right(text, 40)) END AS quote FROM documents)
+  SELECT doc_id, quote, contains(text, quote) AND length(trim(quote)) > 0 AS literal FROM q""")
 def quoted_evidence_check(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    quote = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.left("text", F.lit(20))).otherwise(F.concat(F.lit("zzz "), F.left("text", F.lit(9))))
+    """Quotes from the middle and the end of each text, empty ones, and ones that were turned round."""
+    docs, m = _t(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    quote = F.when(m == 0, "").when(m == 1, F.expr("substring(text, length(text) div 2 + 1, 60)")).when(m == 2, F.right("text", F.lit(12))).otherwise(F.reverse(F.right("text", F.lit(40))))
     return linkage.quoted_evidence(docs.select("doc_id", quote.alias("quote")), docs, "doc_id", "quote", "text")
 
 
@@ -154,8 +156,18 @@ def magnitude_mean(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS n, n_nationkey AS id FROM nation), s AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS n, 100 + r_regionkey AS id FROM region)
-  SELECT id, CAST(n + least(n // 5, 5) AS INTEGER) AS slot FROM m UNION ALL SELECT id, CAST(CASE WHEN n < 5 THEN (n + 1) * 6 - 1 ELSE 25 + n END AS INTEGER) FROM s""")
+  SELECT id, CAST(n + least(n // 5, 5) AS BIGINT) AS slot FROM m UNION ALL SELECT id, CAST(CASE WHEN n < 5 THEN (n + 1) * 6 - 1 ELSE 25 + n END AS BIGINT) FROM s""")
 def interleave_every_sixth(spark, sf_dir):
     a = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
     b = _t(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).alias("id"))
     return linkage.interleave(a, b, "id")
+
+
+@query("""WITH m AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE lang <> 'en'),
+  k AS (SELECT (SELECT count(*) FROM m) AS a, (SELECT count(*) FROM s) AS b)
+  SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(n + least(n // 5, b) AS BIGINT) AS slot FROM m, k UNION ALL SELECT doc_id, CAST(length(text) AS BIGINT), CAST(CASE WHEN n < a // 5 THEN (n + 1) * 6 - 1 ELSE a + n END AS BIGINT) FROM s, k""")
+def interleaved_documents(spark, sf_dir):
+    """One document of another language after every five English ones, whole texts and all."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    slots = linkage.interleave(docs.filter("lang = 'en'").drop("lang"), docs.filter("lang <> 'en'").drop("lang"), "doc_id")
+    return slots.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "slot")

@@ -106,26 +106,26 @@ def identity_resolution(spark, sf_dir):
     return promotion.resolve_identities(part.select("p_partkey", F.col("p_brand").alias("k")), ids, ["k"], "identity", settled).drop("k")
 
 
-@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents), x AS (SELECT doc_id, 'i' || doc_id AS i1, CASE WHEN doc_id % 7 = 0 THEN 'i' || doc_id ELSE '' END AS i2, lang AS o1, CASE WHEN doc_id % 5 = 0 THEN 'zz' ELSE lang END AS o2, left(text, 12) AS t1, CASE doc_id % 3 WHEN 0 THEN left(text, 12) WHEN 1 THEN left(text, 8) ELSE 'q' END AS t2, left(text, 30) AS f1, CASE WHEN doc_id % 2 = 0 THEN left(text, 30) ELSE 'other' END AS f2 FROM d),
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents), x AS (SELECT doc_id, 'i' || doc_id AS i1, CASE WHEN doc_id % 7 = 0 THEN 'i' || doc_id ELSE '' END AS i2, lang AS o1, CASE WHEN doc_id % 5 = 0 THEN 'zz' ELSE lang END AS o2, text AS t1, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substring(text, 5) ELSE 'q' END AS t2, lower(text) AS f1, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE 'other' END AS f2 FROM d),
   y AS (SELECT doc_id, trim(i1) AS i1, trim(i2) AS i2, trim(o1) AS o1, trim(o2) AS o2, trim(t1) AS t1, trim(t2) AS t2, trim(f1) AS f1, trim(f2) AS f2 FROM x)
   SELECT doc_id, CASE WHEN i2 <> '' AND i1 = i2 AND o1 <> '' AND o1 = o2 THEN 1.0::DOUBLE WHEN o1 = o2 AND t1 <> '' AND t1 = t2 THEN 0.95 WHEN o1 = o2 AND t1 <> '' AND t2 <> '' AND (contains(t1, t2) OR contains(t2, t1)) AND f1 <> '' AND f1 = f2 THEN 0.9 ELSE 0.0 END AS score FROM y""")
 def source_match_scores(spark, sf_dir):
     d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     x = _t(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("i"), d).alias("i1"), F.when(d % 7 == 0, F.concat(F.lit("i"), d)).otherwise("").alias("i2"), F.col("lang").alias("o1"), F.when(d % 5 == 0, "zz").otherwise(F.col("lang")).alias("o2"),
-        F.left(text, F.lit(12)).alias("t1"), F.when(d % 3 == 0, F.left(text, F.lit(12))).when(d % 3 == 1, F.left(text, F.lit(8))).otherwise("q").alias("t2"), F.left(text, F.lit(30)).alias("f1"), F.when(d % 2 == 0, F.left(text, F.lit(30))).otherwise("other").alias("f2"),
+        text.alias("t1"), F.when(d % 3 == 0, text).when(d % 3 == 1, F.expr("substring(coalesce(text, ''), 5)")).otherwise("q").alias("t2"), F.lower(text).alias("f1"), F.when(d % 2 == 0, F.lower(text)).otherwise("other").alias("f2"),
     )
     return x.select("doc_id", promotion.source_match_score(("i1", "i2"), ("o1", "o2"), ("t1", "t2"), ("f1", "f2")).alias("score"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'open' ELSE 'verified' END AS st, 't' || (c_custkey % 50) AS title, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE 'because' END AS why FROM customer WHERE c_custkey % 6 <> 5), p AS (SELECT o_custkey AS k, 't' || (o_custkey % 49) AS title FROM orders WHERE o_orderkey % 9 = 0),
+@query("""WITH s AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'open' ELSE 'verified' END AS st, 't' || (c_custkey % 50) AS title, CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE 'because' END AS why FROM customer WHERE c_custkey % 6 <> 5), p AS (SELECT o_orderkey // 3 AS k, 't' || (o_orderkey // 3 % 49) AS title FROM orders),
   m AS (SELECT k, count(*) AS n, min(title) AS pt FROM p GROUP BY k), j AS (SELECT coalesce(s.k, m.k) AS k, s.k IS NOT NULL AS has, st, title, why, coalesce(n, 0) AS n, pt FROM s FULL JOIN m ON s.k = m.k),
   e AS (SELECT k, concat_ws(',', CASE WHEN NOT has THEN 'unassigned' END, CASE WHEN has AND st NOT IN ('verified', 'hold') THEN 'state' END, CASE WHEN has AND trim(why) = '' THEN 'reason' END, CASE WHEN has AND st = 'verified' AND n <> 1 THEN 'not_one_package' END, CASE WHEN has AND st = 'verified' AND n = 1 AND title <> pt THEN 'other_identity' END, CASE WHEN has AND st = 'hold' AND n > 0 THEN 'package_on_hold' END) AS errors FROM j)
   SELECT k, errors FROM e WHERE errors <> ''""")
 def status_reconciliation(spark, sf_dir):
     k = F.col("c_custkey")
     s = _t(spark, sf_dir, "customer").filter("c_custkey % 6 <> 5").select(k.alias("k"), F.when(k % 4 == 0, "hold").when(k % 4 == 1, "open").otherwise("verified").alias("st"), F.concat(F.lit("t"), (k % 50).cast("string")).alias("title"), F.when(k % 11 == 0, " ").otherwise("because").alias("why"))
-    p = _t(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("k"), F.concat(F.lit("t"), (F.col("o_custkey") % 49).cast("string")).alias("title"))
+    p = _t(spark, sf_dir, "orders").select(F.expr("o_orderkey div 3").alias("k")).select("k", F.concat(F.lit("t"), (F.col("k") % 49).cast("string")).alias("title"))
     return promotion.status_errors(s, p, "k", "st", ["title"], "why").withColumn("errors", F.array_join("errors", ","))
 
 
@@ -244,9 +244,9 @@ def search_find_short_total(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT doc_id, toxic::VARCHAR AS a, quality::VARCHAR AS b FROM labels), m AS (SELECT doc_id, 't' || a AS label FROM h UNION SELECT doc_id, 'q' || b FROM h)
-  SELECT doc_id, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM m WHERE m.doc_id = d.doc_id), '') AS labels FROM documents d WHERE source = 'src3'""")
+  SELECT doc_id, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM m WHERE m.doc_id = d.doc_id), '') AS labels FROM documents d""")
 def search_enrichment(spark, sf_dir):
-    hits = _t(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.lit(None).cast("int").alias("line_no"))
+    hits = _t(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("int").alias("line_no"))
     h = _t(spark, sf_dir, "labels")
     m = h.select("doc_id", F.concat(F.lit("t"), "toxic").alias("label")).unionByName(h.select("doc_id", F.concat(F.lit("q"), "quality").alias("label"))).withColumn("line_no", F.lit(1))
     return search.with_mentions(hits, m).select("doc_id", F.array_join("labels", ",").alias("labels"))
@@ -319,10 +319,30 @@ def declared_hashes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.hash_differs(declared, "text").alias("differs"))
 
 
-@query(r"""WITH u AS (SELECT page_id, url, html FROM pages) SELECT page_id, concat_ws(',', CASE WHEN NOT regexp_matches(url, '^https?://[^/]+/') THEN 'url_shape' END, CASE WHEN NOT contains(html, '<h1>') THEN 'title_visible' END, CASE WHEN NOT regexp_matches(html, '[0-9]{4}') THEN 'year_visible' END) AS errors FROM u""")
+_EVIDENCE = """e AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber || '' AS id, 'in ' || year(l_shipdate) || ' at port' || l_suppkey % 4 AS excerpt, l_linenumber % 5 NOT IN (0, 3) AS d, l_linenumber % 5 IN (2, 3) AS p, l_linenumber % 5 = 4 AS c,
+    CASE WHEN l_returnflag = 'N' THEN 'C' ELSE 'B' END AS grade, 'https://' || CASE WHEN l_suppkey % 2 = 0 THEN 'www.poems.example' ELSE 'other.example' END || CASE WHEN l_quantity > 48 THEN '/search' WHEN l_quantity > 45 THEN '/list' ELSE '/work/' || l_partkey END AS url FROM lineitem)"""
+
+
+@query(f"""WITH {_EVIDENCE}, g AS (SELECT k, string_agg(excerpt, chr(10)) FILTER (WHERE d AND grade = 'B') AS dates, string_agg(excerpt, chr(10)) FILTER (WHERE p AND grade = 'B') AS places, bool_or((d OR p) AND contains(url, '/search')) AS barred,
+    bool_or((d OR p) AND contains(url, 'poems.example') AND NOT regexp_matches(url, '/work/[0-9]+$')) AS shape, bool_or(grade = 'B' AND NOT d AND NOT p AND NOT c) AS bare, bool_or(c AND n = 4) AS fact, min(n) AS first FROM e GROUP BY k)
+  SELECT o_orderkey, concat_ws(',', CASE WHEN NOT coalesce(fact, false) THEN 'context_support' END, CASE WHEN NOT coalesce(contains(dates, year(o_orderdate)::VARCHAR), false) THEN 'date_visible' END, CASE WHEN coalesce(barred, false) THEN 'direct_page' END,
+    CASE WHEN coalesce(bare, false) THEN 'identity_grade' END, CASE WHEN coalesce(shape, false) THEN 'page_shape' END, CASE WHEN NOT coalesce(contains(places, 'port' || o_orderkey % 4), false) THEN 'place_visible' END) AS errors FROM orders LEFT JOIN g ON k = o_orderkey""")
 def package_semantics(spark, sf_dir):
-    rules = {"url_shape": F.col("url").rlike("^https?://[^/]+/"), "title_visible": F.contains("html", F.lit("<h1>")), "year_visible": F.col("html").rlike("[0-9]{4}")}
-    return evidence.package_errors(_t(spark, sf_dir, "pages"), rules).select("page_id", F.array_join("errors", ",").alias("errors"))
+    """Orders as fact packages whose lines are the evidence: year and place of the order must be visible in it, pages direct and of their host's shape."""
+    m, li = F.col("l_linenumber") % 5, _t(spark, sf_dir, "lineitem")
+    supports = F.array_compact(F.array(F.when(~m.isin(0, 3), "date"), F.when(m.isin(2, 3), "place"), F.when(m == 4, "life_event")))
+    host = F.when(F.col("l_suppkey") % 2 == 0, "www.poems.example").otherwise("other.example")
+    path = F.when(F.col("l_quantity") > 48, "/search").when(F.col("l_quantity") > 45, "/list").otherwise(F.concat(F.lit("/work/"), F.col("l_partkey").cast("string")))
+    cell = F.struct(
+        F.col("l_linenumber").cast("string").alias("evidence_id"), F.concat(F.lit("in "), F.year("l_shipdate"), F.lit(" at port"), F.col("l_suppkey") % 4).alias("excerpt"), supports.alias("supports"),
+        F.when(F.col("l_returnflag") == "N", "C").otherwise("B").alias("grade"), F.concat(F.lit("https://"), host, path).alias("url"),
+    )
+    evidence_of = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(cell)).alias("evidence"))
+    fact = F.array(F.struct(F.lit("told").alias("text"), F.array(F.lit("4")).alias("evidence_ids")))
+    rows = _t(spark, sf_dir, "orders").join(evidence_of, "o_orderkey", "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(evidence_of.schema["evidence"].dataType)))
+    rows = rows.select("o_orderkey", "evidence", fact.alias("context_facts"), F.year("o_orderdate").alias("year_start"), F.concat(F.lit("port"), F.col("o_orderkey") % 4).alias("place"))
+    found = evidence.semantic_errors(rows, ["year_start"], ["place"], {"poems.example": "^/work/[0-9]+$"})
+    return found.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, sha256(sha256(l_orderkey::VARCHAR) || chr(31) || sha256(l_linenumber::VARCHAR) || chr(31) || sha256(l_returnflag)) AS id FROM lineitem""")
@@ -350,12 +370,23 @@ def review_moves(spark, sf_dir):
     return promotion.apply_reviews(records, reviews, "k", "st", {"O": ["F", "P"], "P": ["F"]}, "note")
 
 
-@query(f"""WITH e AS (SELECT source, unnest(regexp_extract_all(text, '({"|".join(lexicon.by_length(L.NUMBERS))})')) AS w FROM documents), v(w, s, z) AS (VALUES {", ".join(f"('{w}', {(-1.0) ** i}::DOUBLE, {1 + i % 5}::DOUBLE)" for i, w in enumerate(sorted(L.NUMBERS)))})
-  SELECT source, count(*) AS n, round(avg(s), 6) AS sentiment, round(avg(z), 6) AS scale FROM e JOIN v USING (w) GROUP BY source""")
+_SPIRIT = {t: (dict((d[0], d[1:]) for d in L.DIMENSIONS)[label][0], 1 + round(4 * dict((d[0], d[1:]) for d in L.DIMENSIONS)[label][1])) for label, ts in L.EMOTIONS.items() for t, _ in ts}
+_PERIODS = [("youth", 1990, 1995), ("journeys", 1996, 1996), ("court", 1997, 1998), ("exile", 1999, 1999), ("age", 2000, 2030)]
+
+
+@query(f"""WITH p(period, low, high) AS (VALUES {", ".join(str(p) for p in _PERIODS)}), w AS (SELECT doc_id, text, year(o_orderdate) AS y FROM documents JOIN orders ON o_orderkey = doc_id),
+  e AS (SELECT y, unnest(regexp_extract_all(text, '({"|".join(lexicon.by_length(_SPIRIT))})')) AS t FROM w), v(t, s, z) AS (VALUES {", ".join(f"('{t}', {s}::DOUBLE, {z}::DOUBLE)" for t, (s, z) in sorted(_SPIRIT.items()))})
+  SELECT period, count(*) AS n, round(avg(s), 6) AS sentiment, round(avg(z), 6) AS scale FROM e JOIN v USING (t) JOIN p ON y BETWEEN low AND high GROUP BY period""")
 def spirit_terrain(spark, sf_dir):
-    table = F.create_map(*[v for i, w in enumerate(sorted(L.NUMBERS)) for v in (F.lit(w), F.struct(F.lit((-1.0) ** i).alias("s"), F.lit(float(1 + i % 5)).alias("z")))])
-    hits = _t(spark, sf_dir, "documents").select("source", F.explode(lexicon.leftmost_matches("text", L.NUMBERS)).alias("w")).withColumn("v", table[F.col("w")])
-    return promotion.terrain(hits.select("source", "v.s", "v.z"), "source", "s", "z")
+    """Works in the year of the order of their number, in five periods of years; sentiment and scale are those of the terms' labels."""
+    table = F.create_map(*[v for t, (s, z) in sorted(_SPIRIT.items()) for v in (F.lit(t), F.struct(F.lit(float(s)).alias("s"), F.lit(float(z)).alias("z")))])
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("y"))
+    period = None
+    for name, low, high in _PERIODS:
+        fits = F.col("y").between(low, high)
+        period = F.when(fits, name) if period is None else period.when(fits, name)
+    hits = _t(spark, sf_dir, "documents").join(o, "doc_id").select(period.alias("period"), F.explode(lexicon.leftmost_matches("text", list(_SPIRIT))).alias("t")).withColumn("v", table[F.col("t")])
+    return promotion.terrain(hits.filter("period is not null").select("period", "v.s", "v.z"), "period", "s", "z")
 
 
 @query("""WITH n AS (SELECT l_orderkey AS r, l_linenumber AS o, l_partkey AS node FROM lineitem WHERE l_discount <= 0.05 AND l_linenumber % 4 <> 3), x AS (SELECT r, node AS from_id, lead(node) OVER (PARTITION BY r ORDER BY o, node) AS to_id, row_number() OVER (PARTITION BY r ORDER BY o, node) AS leg FROM n)

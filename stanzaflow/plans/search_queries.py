@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
+from ..operators.stored_index import StoredIndex
 from ..sources import readers, writers
+from ..sources.scratch import shared_folder
 from ..streaming import quota
 
 QUERIES: dict = {}
@@ -164,10 +168,14 @@ def mention_merge(spark, sf_dir):
     return out.withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ",")).withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query("""WITH e AS (SELECT unnest(['The', 'AND', 'of']) AS selected), g AS (SELECT 1 AS term_id, 'the' AS form UNION ALL SELECT 1, 'der' UNION ALL SELECT 2, 'and') SELECT selected, term_id FROM e LEFT JOIN g ON lower(selected) = lower(form)""")
+@query("""WITH e AS (SELECT item_id, list_distinct(list_filter(string_split(text, ' '), lambda w: w <> '')) AS ws FROM benchmark), w AS (SELECT item_id, unnest(ws) AS selected FROM e), g(term_id, form) AS (VALUES (1, 'the'), (1, 'der'), (2, 'And'), (3, 'tion'))
+  SELECT item_id, selected, CAST(term_id AS INTEGER) AS term_id FROM w LEFT JOIN g ON lower(selected) = lower(form)""")
 def selection_gloss(spark, sf_dir):
-    entries = spark.createDataFrame([(1, ["the", "der"]), (2, ["And"])], "term_id int, forms array<string>")
-    return search.gloss(spark.createDataFrame([("The",), ("AND",), ("of",)], "selected string"), entries).select("selected", "term_id")
+    """Every word of the benchmark texts as a selection, with the entry whose form it is."""
+    entries = spark.createDataFrame([(1, ["the", "der"]), (2, ["And"]), (3, ["tion"])], "term_id int, forms array<string>")
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
+    selected = _t(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("selected"))
+    return search.gloss(selected, entries).select("item_id", "selected", "term_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -190,3 +198,15 @@ def manifest_hash(spark, sf_dir):
     row = T.content_hash("doc_id", "text")
     sums = writers.digest_sums(_t(spark, sf_dir, "documents").select(row.alias("h")), F.col("h"))
     return sums.select("n", *[F.col(f"s{i}").cast("string").alias(f"s{i}") for i in range(4)])
+
+
+@query(f"WITH {_TRI} SELECT * FROM bm")
+def search_stored_index(spark, sf_dir):
+    """An index that was added to in parts, with documents replaced, deleted and added again, answers as a scan does."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    index = StoredIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", 16)
+    odd = F.col("doc_id") % 2 == 1
+    index.add(docs.select("doc_id", F.when(odd, F.concat(F.lit("replaced with the "), "text")).otherwise(F.col("text")).alias("text")))
+    index.delete(docs.filter("doc_id % 3 = 0"))
+    index.add(docs.filter(odd | (F.col("doc_id") % 3 == 0)))
+    return index.search(PHRASE)

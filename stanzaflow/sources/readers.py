@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
+
 BOM = "﻿"
 
 
@@ -72,30 +74,72 @@ def titled_sections(blocks: DataFrame, id_col: str = "page_id", least: int = 8)
 
 
 def outline_records(lines: DataFrame, file_col: str, line_no: str, text_col: str) -> DataFrame:
-    """``file, heading, line_no, text``: lines of an outline file under the heading (``** ...``) last seen."""
+    """``file, heading, line_no, text``: lines of an outline file under the heading (``** ...``) last seen; ``operators.outline`` keeps all levels."""
     heading = F.last(F.when(F.col(text_col).rlike(r"^\*+ "), F.regexp_replace(text_col, r"^\*+ ", "")), ignorenulls=True)
     seen = lines.withColumn("heading", heading.over(W.partitionBy(file_col).orderBy(line_no)))
     return seen.filter(~F.col(text_col).rlike(r"^\*+ ") & (F.trim(text_col) != "")).select(file_col, "heading", line_no, F.col(text_col).alias("text"))
 
 
-def payload_tree(payloads: DataFrame, id_col: str, json_col: str, marker: str, depth: int = 6) -> DataFrame:
-    """``id, path, value`` of the scalars below a JSON text, down to ``depth`` levels, and ``block``: the nearest member above that has ``marker``.
+def _kind(v: Column) -> Column:
+    """``object``, ``array`` or ``scalar``."""
+    kind = F.schema_of_variant(v)
+    return F.when(F.startswith(kind, F.lit("OBJECT")), "object").when(F.startswith(kind, F.lit("ARRAY")), "array").otherwise("scalar")
+
+
+def _opened(rows: DataFrame, v: str) -> DataFrame:
+    """Each row beside the members of its variant, ``pos, key, value``; scalars have none."""
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(v).outer()))
+
 
-    Each level is one explode; objects and arrays are opened, texts that aren't JSON give none.
+def payload_tree(payloads: DataFrame, id_col: str, json_col: str, marker: str) -> DataFrame:
+    """``id, path, value`` of all scalars below a JSON text, however deep, and ``block``: the nearest member above that has ``marker``.
+
+    Each level opens what is left of the level above with ``variant_explode``, beside its row, and is stored; the walk ends at the level that
+    has nothing left to open.  Texts that aren't JSON give none; a null member is a scalar without a value.
     """
     level = payloads.select(F.col(id_col), F.lit("$").alias("path"), F.try_parse_json(F.col(json_col)).alias("v"), F.lit(None).cast("string").alias("block")).filter("v is not null")
     out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        opened = level.withColumn("kind", kind).withColumn("block", F.coalesce(F.try_variant_get("v", f"$.{marker}", "string"), "block"))
-        leaf = opened.filter(~F.col("kind").startswith("OBJECT") & ~F.col("kind").startswith("ARRAY")).select(id_col, "path", F.try_variant_get("v", "$", "string").alias("value"), "block")
+    while True:
+        seen = stored(level.withColumn("kind", _kind(F.col("v"))).withColumn("block", F.coalesce(F.try_variant_get("v", f"$.{marker}", "string"), "block")), "payload-level")
+        leaf = seen.filter("kind = 'scalar'").select(id_col, "path", F.try_variant_get("v", "$", "string").alias("value"), "block")
         out = leaf if out is None else out.unionByName(leaf)
-        members = F.try_variant_get("v", "$", "map<string,variant>")
-        entries = F.try_variant_get("v", "$", "array<variant>")
-        objects = opened.filter(F.col("kind").startswith("OBJECT")).select(id_col, "path", "block", F.explode(members).alias("k", "v")).select(id_col, F.concat_ws(".", "path", "k").alias("path"), "v", "block")
-        arrays = opened.filter(F.col("kind").startswith("ARRAY")).select(id_col, "path", "block", F.posexplode(entries).alias("i", "v")).select(id_col, F.concat("path", F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "v", "block")
-        level = objects.unionByName(arrays)
-    return out
+        more = seen.filter("kind <> 'scalar'")
+        if more.isEmpty():
+            return out
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = _opened(more, "v").select(id_col, F.concat("path", step).alias("path"), F.col("value").alias("v"), "block")
+
+
+_PERSON = ["$.Package.PersonAuthority.PersonInfo.Person", "$.Package.PersonAuthority.Person", "$.Package.PersonInfo.Person", "$.Package.Person", "$.PersonAuthority.PersonInfo.Person", "$.PersonAuthority.Person", "$.PersonInfo.Person", "$.Person"]
+
+
+def person_records(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``id, person_id, name, index_year, person`` of the JSON texts that hold a person, at any of the places where one is wrapped.
+
+    Id and name are taken from the record, or from its basic data.  ``person`` is the variant that ``person_lists`` opens; other texts give none.
+    """
+    v = F.try_parse_json(F.col(json_col))
+    held = F.filter(F.transform(F.lit(_PERSON), lambda p: F.try_variant_get("_v", p, "variant")), lambda x: _kind(x) == "object")
+    text = lambda path: F.nullif(F.trim(F.try_variant_get("person", path, "string")), F.lit(""))
+    rows = payloads.select(F.col(id_col), v.alias("_v")).filter("_v is not null").select(id_col, F.get(held, F.lit(0)).alias("person")).filter("person is not null")
+    return rows.select(
+        id_col, F.coalesce(text("$.id"), text("$.c_personid"), text("$.BasicInfo.PersonId")).alias("person_id"), F.coalesce(text("$.Name"), text("$.BasicInfo.ChName")).alias("name"),
+        text("$.BasicInfo.IndexYear").alias("index_year"), "person",
+    )
+
+
+def person_lists(people: DataFrame, id_col: str, holder: str, member: str, fields: dict[str, str]) -> DataFrame:
+    """``id, place`` and the ``fields`` of each entry of a list in person records, e.g. ``PersonAddresses`` with ``Address``.
+
+    A list of one is often written as the entry itself; entries that aren't objects are left out.  ``fields`` gives each column its member name;
+    values are texts, empty ones null.
+    """
+    path = f"$.{holder}.{member}"
+    rows = people.select(F.col(id_col), F.try_variant_get("person", path, "variant").alias("_l")).filter("_l is not null")
+    many = _opened(rows.filter(_kind(F.col("_l")) == "array"), "_l").select(id_col, F.col("pos").alias("place"), F.col("value").alias("_e"))
+    entries = rows.filter(_kind(F.col("_l")) == "object").select(id_col, F.lit(0).alias("place"), F.col("_l").alias("_e")).unionByName(many)
+    kept = entries.filter(_kind(F.col("_e")) == "object")
+    return kept.select(id_col, "place", *[F.nullif(F.trim(F.try_variant_get("_e", f"$.{m}", "string")), F.lit("")).alias(c) for c, m in fields.items()])
 
 
 def payload_events(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LIMIT = 20
 SPAN_S = 60.0
@@ -36,34 +36,70 @@ def quota_decisions(calls: DataFrame, client: str = "user_id", event: str = "eve
 
     kind_c, kind_e = (calls.schema[c].dataType.simpleString() for c in (client, event))
     t = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    order = W.partitionBy(client).orderBy("_t", event)
-    timed = calls.select(F.col(client), F.col(event), t.alias("_t"))
-    fresh = F.coalesce((F.col("_t") - F.lag("_t").over(order) >= span).cast("int"), F.lit(1))
+    order = W.partitionBy(client).orderBy("seconds", event)
+    timed = calls.select(F.col(client), F.col(event), t.alias("seconds"))
+    fresh = F.coalesce((F.col("seconds") - F.lag("seconds").over(order) >= span).cast("int"), F.lit(1))
     pieces = timed.withColumn("_new", fresh).withColumn("_piece", F.sum("_new").over(order))
 
     def decided(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", event])
-        pdf["allowed"] = accept(pdf["_t"].tolist(), [], limit, span)[0]
+        pdf = pdf.sort_values(["seconds", event])
+        pdf["allowed"] = accept(pdf["seconds"].tolist(), [], limit, span)[0]
         return pdf[[client, event, "allowed"]]
 
     return pieces.groupBy(client, "_piece").applyInPandas(decided, f"{client} {kind_c}, {event} {kind_e}, allowed boolean")
 
 
-def quota_stream(calls: DataFrame, client: str = "user_id", event: str = "event_id", ts: str = "ts", limit: int = LIMIT, span: float = SPAN_S) -> DataFrame:
-    """The same over a stream: the state of a client is the times of its accepted calls within the span."""
-    kind_c, kind_e = (calls.schema[c].dataType.simpleString() for c in (client, event))
+def rocksdb_state(spark) -> None:
+    """State with lists and timers needs Spark's RocksDB store; a store that the user has chosen stays."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(key, "HDFSBacked"):
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Quota(StatefulProcessor):
+    """A client's state is the list of the times of its accepted calls; a timer forgets it once the last of them no longer counts."""
+
+    def __init__(self, client: str, event: str, limit: int, span: float):
+        self.client, self.event, self.limit, self.span = client, event, limit, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("accepted", "t double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows)).sort_values(["seconds", self.event])
+        ok, kept = accept(calls["seconds"].tolist(), [x[0] for x in self.times.get()], self.limit, self.span)
+        self._remember(kept)
+        yield pd.DataFrame({self.client: calls[self.client].to_numpy(), self.event: calls[self.event].to_numpy(), "allowed": ok})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        self._remember([x[0] for x in self.times.get() if x[0] > now - self.span])
+        return iter(())
 
-    def decided(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["_t", event])
-        ok, kept = accept(rows["_t"].tolist(), kept, limit, span)
-        state.update((kept,))
-        yield pd.DataFrame({client: rows[client].to_numpy(), event: rows[event].to_numpy(), "allowed": ok})
-
-    timed = calls.select(F.col(client), F.col(event), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    return timed.groupBy(client).applyInPandasWithState(
-        decided, f"{client} {kind_c}, {event} {kind_e}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    def _remember(self, kept: list[float]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if not kept:
+            self.times.clear()
+            return
+        self.times.put([(t,) for t in kept])
+        self.handle.registerTimer(int((max(kept) + self.span) * 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(calls: DataFrame, client: str = "user_id", event: str = "event_id", ts: str = "ts", limit: int = LIMIT, span: float = SPAN_S, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, with a list of times as the state of a client.
+
+    Calls may come ``late`` by event time; later ones are dropped, as Spark drops them.  Once the watermark has passed the last accepted call by
+    the span a timer clears the client's state, so clients that stay away cost nothing.
+    """
+    rocksdb_state(calls.sparkSession)
+    kind_c, kind_e = (calls.schema[c].dataType.simpleString() for c in (client, event))
+    timed = calls.withWatermark(ts, late).select(F.col(client), F.col(event), F.col(ts), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("seconds"))
+    return timed.groupBy(client).transformWithStateInPandas(_Quota(client, event, limit, span), f"{client} {kind_c}, {event} {kind_e}, allowed boolean", "append", "eventTime")
 
 
 def first_by_key(stream: DataFrame, keys: list[str], ts: str | None = None, late: str = "1 hour") -> DataFrame:

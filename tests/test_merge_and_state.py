@@ -81,7 +81,7 @@ def test_quota_pieces_equal_the_whole(spark):
 def test_quota_stream_keeps_state(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    for n, seconds in enumerate(([0, 1, 2], [3, 61, 62])):
+    for n, seconds in enumerate(([1000, 1001, 1002], [1003, 1061, 1062])):
         (src / f"{n}.json").write_text("\n".join(json.dumps({"user_id": 1, "event_id": n * 10 + i, "s": s}) for i, s in enumerate(seconds)))
         time.sleep(0.05)
     calls = spark.readStream.schema("user_id int, event_id int, s long").option("maxFilesPerTrigger", 1).json(str(src)).withColumn("ts", F.timestamp_seconds("s"))
