@@ -327,20 +327,27 @@ def test_clients_that_stay_away_are_forgotten(spark, tmp_path):
     src.mkdir()
     schema = "user_id int, event_id int, s long"
 
-    def run(name):
+    def run():
+        got = {}
         calls = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src)).withColumn("ts", F.timestamp_seconds("s"))
-        q = quota.quota_stream(calls, limit=2, late="0 seconds").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        keep = lambda df, _: got.update({r["event_id"]: r["allowed"] for r in df.collect()})
+        q = quota.quota_stream(calls, limit=2, late="0 seconds").writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
-        rows = [p["numRowsTotal"] for p in (q.lastProgress or {}).get("stateOperators", [])]
-        return {r["event_id"]: r["allowed"] for r in spark.table(name).collect()}, rows
+        kept = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+        return got, kept[-1]
 
     feed(src, 0, [{"user_id": 1, "event_id": i, "s": 1000 + s} for i, s in enumerate([0, 1, 2])])
-    assert run("first")[0] == {0: True, 1: True, 2: False}
+    assert run()[0] == {0: True, 1: True, 2: False}
     feed(src, 1, [{"user_id": 1, "event_id": 10, "s": 1030}, {"user_id": 2, "event_id": 11, "s": 1031}])  # the state is that of the checkpoint
-    assert run("second")[0] == {10: False, 11: True}
+    got, full = run()
+    assert got == {10: False, 11: True}
     feed(src, 2, [{"user_id": 2, "event_id": 20, "s": 1500}])
     feed(src, 3, [{"user_id": 1, "event_id": 30, "s": 1501}, {"user_id": 1, "event_id": 31, "s": 1502}])
-    assert run("third")[0] == {20: True, 30: True, 31: True}
+    got, left = run()
+    assert got == {20: True, 30: True, 31: True}
+    feed(src, 4, [{"user_id": 3, "event_id": 40, "s": 9000}])
+    feed(src, 5, [{"user_id": 3, "event_id": 41, "s": 9001}])
+    assert run()[1] < left  # the clients that stay away are forgotten
 
 
 def test_jobs_go_on_after_a_restart(spark, tmp_path):
@@ -348,10 +355,12 @@ def test_jobs_go_on_after_a_restart(spark, tmp_path):
     src.mkdir()
 
     def run(name):
+        got = {}
         events = spark.readStream.schema("job_id int, event_id int, kind string, input_hash string").json(str(src))
-        q = jobs.job_stream(events, name).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        keep = lambda df, _: got.update({r["event_id"]: (r["status"], r["attempts"], r["refused"]) for r in df.collect()})
+        q = jobs.job_stream(events, name).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
-        return {r["event_id"]: (r["status"], r["attempts"], r["refused"]) for r in spark.table(name).collect()}
+        return got
 
     row = lambda e, kind, h="h", j=1: {"job_id": j, "event_id": e, "kind": kind, "input_hash": h}
     feed(src, 0, [row(1, "start"), row(2, "submit"), row(3, "start"), row(4, "start"), row(5, "submit", j=2), row(6, "start", j=2), row(7, "done", j=2)])
