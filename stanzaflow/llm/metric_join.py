@@ -201,10 +201,13 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         folded.df.join(degree, "rep", "left")
         .join(comp, F.col("rep") == F.col("node"), "left")
         .select(
-            F.col("label").alias("_label"), F.col("vec").alias("_vec"),
-            (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "first").alias("component"),
+            "label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "first").alias("component"),
         )
     )
-    whole = rows.df.join(found, (F.col("label") == F.col("_label")) & (F.col("vec") == F.col("_vec")) & F.col("vec_id").isNotNull(), "left")
+    # one vector may stand in very many rows
+    copies = folded.df.select("label", "vec", "weight")
+    told = join_hot(good, found, ["label", "vec"], "vec_id", copies, rows.df.count(), "weight").select("vec_id", "links", "component")
+    alone = rows.df.filter("vec is null or vec_id is null").select("vec_id", F.lit(None).cast("bigint").alias("links"), F.lit(None).cast("bigint").alias("component"))
+    whole = told.unionByName(alone)
     component = F.coalesce("component", "vec_id")
     return whole.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

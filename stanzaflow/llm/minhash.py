@@ -289,7 +289,7 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, bool]:
     found = Stored(sketch(docs), "sketches")
     nonempty = found.df.filter("fingerprint is not null and doc_id is not null")
     repeated = bool(found.df.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1))
-    classes = nonempty.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = nonempty.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("size"))
     if repeated:  # the smallest id doesn't tell classes apart: they are numbered in its order
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ordered = classes.repartitionByRange(parts, "first", "fingerprint").sortWithinPartitions("first", "fingerprint")
@@ -326,8 +326,12 @@ def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, bool]:
     if repeated:
         comp = comp.join(rows.df.select(F.col("rep").alias("component"), "first"), "component").select("node", F.col("first").alias("component"))
     own = rows.df.select("fingerprint", "rep", "first").join(comp, F.col("rep") == F.col("node"), "left")
-    own = own.select(F.col("fingerprint").alias("_print"), F.coalesce("component", "first").alias("_component"))
-    whole = found.df.join(own, (F.col("fingerprint") == F.col("_print")) & F.col("doc_id").isNotNull(), "left")
+    own = own.select("fingerprint", F.coalesce("component", "first").alias("_component"))
+    # a large group of exact copies shares one fingerprint
+    copies = rows.df.select("fingerprint", "size")
+    told = join_hot(nonempty.select("doc_id", "content", "n_shingles", "fingerprint"), own, ["fingerprint"], "doc_id", copies, found.df.count()).drop("fingerprint")
+    alone = found.df.filter("fingerprint is null or doc_id is null").select("doc_id", "content", "n_shingles", F.lit(None).cast("bigint").alias("_component"))
+    whole = told.unionByName(alone)
     component = F.coalesce("_component", "doc_id")
     return whole.select("doc_id", "content", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), repeated
 
