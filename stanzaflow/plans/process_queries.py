@@ -244,11 +244,11 @@ def intensity_density(spark, sf_dir):
     return stylometry.weighted_density(hits, docs.select("source", F.col("n_chars").cast("double").alias("n")), "source", "c", "x", "n", ("single", "hundred"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS g, l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS to_id FROM lineitem) SELECT g, from_id, to_id FROM a WHERE to_id IS NOT NULL AND NOT (from_id % 3 = 0 AND to_id % 2 = 0)""")
+@query("""WITH a AS (SELECT l_orderkey AS g, l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS to_id FROM lineitem) SELECT g, from_id, to_id FROM a WHERE to_id IS NOT NULL AND NOT (from_id % 3 = 0 AND to_id % 2 = 0)""")
 def undocumented_transitions(spark, sf_dir):
     rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_shipdate", "l_linenumber", F.col("l_partkey").alias("id"))
-    every = joins.adjacent_pairs(rows, "g", ["l_shipdate", "l_linenumber"], "id")
-    return joins.adjacent_pairs(rows, "g", ["l_shipdate", "l_linenumber"], "id", every.filter("from_id % 3 = 0 AND to_id % 2 = 0"))
+    every = joins.adjacent_pairs(rows, "g", ["l_shipdate", "l_linenumber", "id"], "id")
+    return joins.adjacent_pairs(rows, "g", ["l_shipdate", "l_linenumber", "id"], "id", every.filter("from_id % 3 = 0 AND to_id % 2 = 0"))
 
 
 @query("""WITH l AS (SELECT user_id AS k, arg_max(event_id, (ts, event_id)) AS last_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY 1) SELECT c_custkey, last_id, kind FROM customer LEFT JOIN l ON k = c_custkey""")
