@@ -297,10 +297,10 @@ def hits_with_methods(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT list_transform(embedding::DOUBLE[], lambda x: x) AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q WHERE label IN (1, 2, 3) AND vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-  r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM s) SELECT vec_id, score, round((score + 1) / 2, 6) AS relevance, CAST(place AS INTEGER) AS place FROM r WHERE place BETWEEN 6 AND 15""")
+  r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS place FROM s) SELECT vec_id, score, CAST(place AS INTEGER) AS place FROM r WHERE place BETWEEN 6 AND 15""")
 def vector_filtered_page(spark, sf_dir):
     """The second page of the best vectors of some labels whose documents are of quality; both filters hold before anything is scored."""
     e = _t(spark, sf_dir, "embeddings")
     query_vector = [float(x) for x in e.filter("vec_id = 0").select("embedding").first()[0]]
     tags = _t(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
-    return search.vector_top_k(e, query_vector, 10, where=F.col("label").isin(1, 2, 3), tags=tags, offset=5)
+    return search.vector_top_k(e, query_vector, 10, where=F.col("label").isin(1, 2, 3), tags=tags, offset=5).drop("relevance")

@@ -26,6 +26,8 @@ def value(spark, expr, x):
         ("725至730之间", None),
         ("開元十三年春", (725, 725, "era_year")),
         ("開元元年", (713, 713, "era_year")),
+        ("開元廿三年春", (735, 735, "era_year")),
+        ("天寶卅年", None),
         ("開元四十年", None),
         ("天寶初年", (742, 744, "era_early")),
         ("天寶初", (742, 744, "era_early")),
