@@ -23,8 +23,10 @@ def running(values, kind: str, zero, op) -> Column:
     values, zero = F.col(values) if isinstance(values, str) else values, F.lit(zero).cast(kind)
 
     def slices(v: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SLICE).cast("int"))
-        return F.when(F.size(v) > 0, F.transform(starts, lambda k: F.slice(v, k * SLICE + 1, F.lit(SLICE)))).otherwise(F.array().cast(f"array<array<{kind}>>"))
+        width = F.least(F.lit(SLICE), F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(v))).cast("int")))  # appending copies, so short arrays are cut finer
+        starts = lambda w: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int"))
+        cut = lambda w: F.transform(starts(w), lambda k: F.slice(v, k * w + 1, w))
+        return F.when(F.size(v) > 0, let(width, cut)).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
     def before(entries: Column, start: Column) -> Column:
         state = F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
