@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import table_of
 from .joins import interval_join
 from .order import numbered
 from .stylometry import first_k
@@ -53,6 +54,39 @@ def link_scores(local: DataFrame, other: DataFrame, name: str, score: Column, cr
     return out.select(local_id, F.when(F.col("b.ties") == 1, F.col("b._o")).alias("match"), F.col("b._s").alias("score"), state.alias("state"))
 
 
+def identity_audit(local: DataFrame, people: DataFrame, overrides: dict[str, int] | None = None, fixed: dict[str, list[int]] | None = None) -> DataFrame:
+    """``name, person, score, reason, n_winners``: which person of an authority file a local name is, if exactly one scores best.
+
+    ``local(name, low, high)`` are names with the years of their era, ``people(person, primary, aliases, low, high, years)`` persons with their names, the years of their
+    own era (one end may be missing) and the years that are known of them.  Score: 100 if the eras overlap, 10 for each known year within the era,
+    3 for the primary name, 1 for an alias; a person with neither overlap nor year is no candidate.  ``overrides`` bind a name to a person that bears it, ``fixed``
+    names stay ambiguous.  ``reason``: ``unique_highest_score``, ``top_score_tie``, ``no_era_match``, ``override``, ``override_missing`` or ``fixed_homonyms``.
+    """
+    forms = people.select("person", F.explode(F.array_distinct(F.concat(F.array("primary"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"), "primary", "aliases", F.coalesce("low", "high").alias("_s"), F.coalesce("high", "low").alias("_e"), "years")
+    met = local.join(forms, "name")
+    overlap = F.coalesce((F.col("_s") <= F.col("high")) & (F.col("_e") >= F.col("low")), F.lit(False)).cast("int")
+    dated = F.size(F.filter(F.coalesce("years", F.array().cast("array<int>")), lambda y: y.between(F.col("low"), F.col("high"))))
+    score = 100 * overlap + 10 * dated + 3 * (F.col("name") == F.col("primary")).cast("int") + F.coalesce(F.array_contains("aliases", F.col("name")).cast("int"), F.lit(0))
+    scored = met.select("name", "person", score.alias("_score"), ((overlap > 0) | (dated > 0)).alias("_fit"))
+    tops = scored.filter("_fit").groupBy("name", "_score").agg(F.count("*").alias("n"), F.min("person").alias("p")).groupBy("name").agg(F.max(F.struct("_score", "n", "p")).alias("b"))
+    bound = F.element_at(table_of(overrides or {}, "map<string,bigint>"), F.col("name"))
+    bears = scored.withColumn("_bound", bound).filter(F.col("person") == F.col("_bound")).groupBy("name").agg(F.max("_score").alias("_bound_score"))
+    out = local.select("name").distinct().withColumn("_bound", bound).join(tops, "name", "left").join(bears, "name", "left")
+    stays = F.col("name").isin(list(fixed or {})) if fixed else F.lit(False)
+    reason = (
+        F.when(stays, "fixed_homonyms")
+        .when(F.col("_bound").isNotNull() & F.col("_bound_score").isNotNull(), "override")
+        .when(F.col("_bound").isNotNull(), "override_missing")
+        .when(F.col("b").isNull(), "no_era_match")
+        .when(F.col("b.n") > 1, "top_score_tie")
+        .otherwise("unique_highest_score")
+    )
+    told = out.withColumn("reason", reason)
+    person = F.when(F.col("reason") == "override", F.col("_bound")).when(F.col("reason") == "unique_highest_score", F.col("b.p").cast("bigint"))
+    points = F.when(F.col("reason") == "override", F.col("_bound_score")).when(F.col("reason").isin("unique_highest_score", "top_score_tie"), F.col("b._score"))
+    return told.select("name", person.alias("person"), points.alias("score"), "reason", F.when(F.col("reason") == "top_score_tie", F.col("b.n")).otherwise(F.when(person.isNotNull(), 1).otherwise(0)).cast("bigint").alias("n_winners"))
+
+
 def variant_join(rows: DataFrame, row_id: str, title: str, variants: dict[str, Column], works: DataFrame, work_id: str, key: str) -> DataFrame:
     """``row_id, n_works, work, state``: works whose key equals a variant of the title; several works are ambiguous."""
     forms = rows.select(row_id, F.explode(F.array_distinct(F.array(*variants.values()))).alias("_k")).filter("_k <> ''")

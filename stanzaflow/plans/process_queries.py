@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import chronicle, collection, glossary, joins, lexicon, outline, packages, promotion, search, segment, stylometry
+from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, promotion, registry, search, segment, stylometry
 from ..operators import transitions as state
 from ..operators.glossary import Entry
 from ..sources import markup, readers
@@ -304,3 +304,60 @@ def vector_filtered_page(spark, sf_dir):
     query_vector = [float(x) for x in e.filter("vec_id = 0").select("embedding").first()[0]]
     tags = _t(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("vec_id"))
     return search.vector_top_k(e, query_vector, 10, where=F.col("label").isin(1, 2, 3), tags=tags, offset=5).drop("relevance")
+
+
+_PROBE = """k AS (SELECT c_custkey AS k, 'c' || c_custkey AS owner, CASE WHEN c_custkey % 2 = 0 THEN 'tang' ELSE 'song' END AS era, CASE WHEN c_custkey % 6 = 0 THEN c_custkey * 10 END AS seed FROM customer),
+  i AS (SELECT *, CASE WHEN k % 5 <> 4 AND k % 8 <> 3 THEN k * 10 + CASE WHEN k % 12 = 0 THEN 1 ELSE 0 END END AS a, CASE WHEN k % 5 <> 4 AND k % 3 <> 0 AND k > 0 THEN CASE WHEN k % 7 = 0 THEN k * 10 + 5 ELSE k * 10 END END AS b FROM k),
+  p AS (SELECT *, list_distinct(list_filter([a, b], lambda x: x IS NOT NULL)) AS ids, k % 9 = 0 AND k % 5 <> 4 AS nothing FROM i),
+  r AS (SELECT *, CASE WHEN len(ids) > 1 THEN 'identity_ambiguous' WHEN len(ids) = 1 AND nothing THEN 'needs_disambiguation' WHEN seed IS NOT NULL THEN 'audited_seed' WHEN len(ids) = 1 THEN 'probe_unique' ELSE 'name_query' END AS status FROM p),
+  reg AS (SELECT k, owner, era, status, CASE WHEN status = 'identity_ambiguous' THEN NULL WHEN status = 'needs_disambiguation' THEN ids[1] ELSE coalesce(seed, ids[1]) END AS author_id, array_to_string(list_sort(ids), ',') AS candidates, CASE WHEN status IN ('identity_ambiguous', 'needs_disambiguation') THEN seed END AS stale FROM r)"""
+
+
+def _registry(spark, sf_dir) -> DataFrame:
+    k, text = F.col("c_custkey"), lambda x: x.cast("string")
+    era, other = F.when(k % 2 == 0, "tang").otherwise("song"), F.when(k % 2 == 0, "song").otherwise("tang")
+    owner = F.concat(F.lit("c"), text(k))
+    c = _t(spark, sf_dir, "customer")
+    owners = c.select(owner.alias("owner"), era.alias("era"), F.when(k % 6 == 0, k * 10).alias("seed_id"))
+    ids = F.array(F.when(k % 8 == 3, "bad").otherwise(text(k * 10 + F.when(k % 12 == 0, 1).otherwise(0))), text(F.when(k % 7 == 0, k * 10 + 5).otherwise(k * 10)), F.lit("77"))
+    probes = c.filter("c_custkey % 5 <> 4").select(
+        owner.alias("owner"), F.lit(1).alias("probe_no"), F.array(owner, F.concat(owner, F.lit(" ")), F.lit("someone")).alias("names"), ids.alias("ids"), F.array(era, F.when(k % 3 == 0, other).otherwise(era), era).alias("source_eras"),
+        F.when(k % 9 == 0, 0).otherwise(20).alias("page_size"), F.lit(0).alias("n_records"),
+    )
+    return registry.probed(owners, probes, {"tang": ["tang"], "song": ["song"]})
+
+
+@query(f"WITH {_PROBE} SELECT owner, status, CAST(author_id AS BIGINT) AS author_id, candidates, coalesce(stale::VARCHAR, '') AS stale FROM reg")
+def registry_probes(spark, sf_dir):
+    ids = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x.cast("string")), ",")
+    return _registry(spark, sf_dir).select("owner", "status", "author_id", ids("candidate_ids").alias("candidates"), ids("stale_ids").alias("stale"))
+
+
+@query(f"""WITH {_PROBE}, f AS (SELECT 'c' || o_custkey AS owner, o_orderkey AS n, o_custkey * 10 + CASE WHEN o_orderkey % 11 = 0 THEN 3 ELSE 0 END AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'song' ELSE 'tang' END AS e, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 't' || o_orderkey END AS seen FROM orders),
+  g AS (SELECT f.*, status, author_id FROM f JOIN reg USING (owner) WHERE seen <> '' AND e = era AND id > 0), w AS (SELECT *, coalesce(author_id, first_value(id) OVER (PARTITION BY owner ORDER BY n)) AS own FROM g),
+  x AS (SELECT owner, any_value(own) AS own, arg_max(seen, n) FILTER (WHERE id = own) AS seen, arg_max(id, n) FILTER (WHERE id <> own) AS other FROM w GROUP BY owner)
+  SELECT owner, CASE WHEN status IN ('identity_ambiguous', 'needs_disambiguation', 'audited_seed') OR seen IS NULL THEN status ELSE 'discovered' END AS status, CAST(CASE WHEN status IN ('identity_ambiguous', 'needs_disambiguation') OR seen IS NULL THEN author_id ELSE own END AS BIGINT) AS author_id,
+    CASE WHEN status NOT IN ('identity_ambiguous', 'needs_disambiguation') THEN seen END AS verified_at, CAST(CASE WHEN status NOT IN ('identity_ambiguous', 'needs_disambiguation') THEN other END AS BIGINT) AS discovery_conflict FROM reg LEFT JOIN x USING (owner)""")
+def registry_discoveries(spark, sf_dir):
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    owner = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    found = o.select(owner.alias("owner"), k.alias("n"), (F.col("o_custkey") * 10 + F.when(k % 11 == 0, 3).otherwise(0)).alias("author_id"), owner.alias("verified_name"), F.when(k % 5 == 0, "song").otherwise("tang").alias("verified_era"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("verified_at"))
+    return registry.discovered(_registry(spark, sf_dir), found).select("owner", "status", "author_id", "verified_at", "discovery_conflict")
+
+
+@query("""WITH l AS (SELECT 'n' || n_nationkey AS name, 600 + n_regionkey * 100 AS low, 720 + n_regionkey * 100 AS high FROM nation), p AS (SELECT s_suppkey AS person, 'n' || s_nationkey AS pri, 'n' || (s_suppkey * 7 % 25) AS alias, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 500 + s_suppkey * 13 % 700 END AS s, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 520 + s_suppkey * 13 % 700 END AS e, [500 + s_suppkey * 29 % 600, 520 + s_suppkey * 17 % 650] AS ys FROM supplier),
+  m AS (SELECT name, person, CAST(coalesce(coalesce(s, e) <= high AND coalesce(e, s) >= low, false) AS INTEGER) AS o, len(list_filter(ys, lambda y: y BETWEEN low AND high)) AS d, CAST(name = pri AS INTEGER) AS a, CAST(name = alias AS INTEGER) AS b FROM l JOIN p ON name = pri OR name = alias),
+  z AS (SELECT name, person, 100 * o + 10 * d + 3 * a + b AS sc, o > 0 OR d > 0 AS fit FROM m), t AS (SELECT name, sc, count(*) AS n, min(person) AS p FROM z WHERE fit GROUP BY ALL), best AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY sc DESC) = 1),
+  ov AS (SELECT 'n3' AS name, min(person) AS bound FROM p WHERE pri = 'n3'), q AS (SELECT l.name, sc, n, p, bound, (SELECT max(z.sc) FROM z WHERE z.name = l.name AND z.person = bound) AS bsc FROM l LEFT JOIN best USING (name) LEFT JOIN ov USING (name)),
+  w AS (SELECT *, CASE WHEN name = 'n5' THEN 'fixed_homonyms' WHEN bound IS NOT NULL THEN 'override' WHEN sc IS NULL THEN 'no_era_match' WHEN n > 1 THEN 'top_score_tie' ELSE 'unique_highest_score' END AS reason FROM q)
+  SELECT name, reason, CAST(CASE reason WHEN 'override' THEN bound WHEN 'unique_highest_score' THEN p END AS BIGINT) AS person, CAST(CASE WHEN reason = 'override' THEN bsc WHEN reason IN ('unique_highest_score', 'top_score_tie') THEN sc END AS INTEGER) AS score FROM w""")
+def identity_audit(spark, sf_dir):
+    """Names of an era against persons with names, aliases, an own era and known years; one name bound by hand, one that stays ambiguous."""
+    local = _t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), (600 + F.col("n_regionkey") * 100).alias("low"), (720 + F.col("n_regionkey") * 100).alias("high"))
+    s, sup = F.col("s_suppkey"), _t(spark, sf_dir, "supplier")
+    years = F.array((500 + s * 29 % 600).cast("int"), (520 + s * 17 % 650).cast("int"))
+    people = sup.select(
+        s.alias("person"), F.concat(F.lit("n"), "s_nationkey").alias("primary"), F.array(F.concat(F.lit("n"), s * 7 % 25)).alias("aliases"), F.when(s % 4 != 0, 500 + s * 13 % 700).cast("int").alias("low"), F.when(s % 6 != 0, 520 + s * 13 % 700).cast("int").alias("high"), years.alias("years")
+    )
+    bound = sup.filter("s_nationkey = 3").agg(F.min("s_suppkey")).first()[0]
+    return linkage.identity_audit(local, people, {"n3": bound} if bound is not None else {}, {"n5": []}).drop("n_winners")

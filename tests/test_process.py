@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, search
+from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, registry, search
 from stanzaflow.operators import transitions as state
 from stanzaflow.operators.glossary import Entry
 from stanzaflow.operators.order import carried, numbered
@@ -369,3 +369,28 @@ def test_jobs_go_on_after_a_restart(spark, tmp_path):
     assert run("run_b") == {11: ("pending", 1, True), 12: ("running", 2, False), 13: ("failed", 2, False), 14: ("running", 3, False), 15: ("completed", 1, False), 16: ("pending", 0, False)}
     table = spark.createDataFrame([(1, "running", "a"), (2, "running", "b"), (3, "failed", "a")], "id int, status string, run string")
     assert [r["status"] for r in jobs.reset_running(table, stale=F.col("run") != "b").orderBy("id").collect()] == ["pending", "running", "failed"]
+
+
+def test_registry_keeps_what_was_verified(spark):
+    kind = "owner string, era string, status string, author_id bigint, candidate_ids array<bigint>, stale_ids array<bigint>, conflict_ids array<bigint>, verified boolean, verified_at string, discovery_conflict bigint"
+    row = lambda o, st, i=None, ok=False, stale=(): (o, "tang", st, i, [], list(stale), [], ok, "t0" if ok else None, None)
+    fresh = [row("a", "name_query"), row("b", "name_query"), row("c", "identity_ambiguous"), row("d", "probe_unique", 4), row("e", "probe_unique", 5), row("f", "audited_seed", 6), row("g", "audited_seed", 7), row("h", "name_query")]
+    old = [row("a", "discovered", 1, True, [9]), row("b", "discovered", 2), row("c", "audited_seed", 3, True), row("d", "discovered", 4, True), row("e", "discovered", 55, True), row("f", "discovered", 6, True), row("g", "discovered", 77)]
+    got = {r["owner"]: tuple(r[c] for c in ("status", "author_id", "stale_ids", "verified", "discovery_conflict")) for r in registry.preserved(spark.createDataFrame(fresh, kind), spark.createDataFrame(old, kind)).collect()}
+    assert got == {
+        "a": ("discovered", 1, [9], True, None), "b": ("name_query", None, [2], False, None), "c": ("identity_ambiguous", None, [3], False, None), "d": ("discovered", 4, [], True, None),
+        "e": ("probe_unique", 5, [55], False, 55), "f": ("audited_seed", 6, [], True, None), "g": ("audited_seed", 7, [77], False, None), "h": ("name_query", None, [], False, None),
+    }
+    found = [("h", 1, 8, "h", "tang", "t1"), ("h", 2, 88, "h", "tang", "t2"), ("h", 3, 8, "h", "tang", "t3"), ("c", 1, 3, "c", "tang", "t1"), ("b", 1, 2, "other", "tang", "t1"), ("a", 1, 1, "a", "song", "t1"), ("g", 1, 7, "g", "tang", "")]
+    now = registry.discovered(spark.createDataFrame(fresh, kind), spark.createDataFrame(found, "owner string, n int, author_id bigint, verified_name string, verified_era string, verified_at string"))
+    got = {r["owner"]: tuple(r[c] for c in ("status", "author_id", "stale_ids", "verified_at", "discovery_conflict")) for r in now.collect()}
+    assert got["h"] == ("discovered", 8, [], "t3", 88) and got["c"] == ("identity_ambiguous", None, [3], None, None) and got["a"][:2] == ("name_query", None) and got["b"][1] is None and got["g"][3] is None
+
+
+def test_picks_are_topped_up(spark):
+    rows = [(i, "g" if i < 6 else f"h{i}", 100 - i, i % 4 == 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "i int, g string, q int, easy boolean")
+    from stanzaflow.operators import stylometry
+
+    got = stylometry.capped_picks(df, "i", "g", [F.desc("q"), "i"], 2, 3, F.col("easy"), 2)
+    assert sorted((r["i"], r["pass"]) for r in got.collect()) == [(0, 1), (1, 1), (6, 1), (7, 2), (11, 2)]  # 3 is easy, but its group is full
