@@ -107,7 +107,8 @@ def first_by_hash(rows: DataFrame, group: str, n: int, by: str = "doc_id") -> Da
     """At most ``n`` rows of each group, those with the smallest hashes of ``by`` in each of ``SAMPLE_PARTS`` parts, as ``by, group``.
 
     Groups are counted first, and only rows whose hash is small enough to be among one and a half times as many go on,
-    so no task gets more than that of a group, however large it is.
+    so no task gets more than that of a group, however large it is, as long as ids don't repeat: rows of one id share their hash, and stand
+    in one part together.
     """
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))  # a row for each group: classes or languages
     share = F.least(F.lit(1.0), F.lit(1.5 * n) / F.col("_n"))

@@ -16,8 +16,8 @@ Defined cases: null and empty pages give an empty text; pages without markup are
 and unclosed markup is read as browsers do in the usual cases, in time linear in the page; attributes may be
 malformed or repeated, a quote that is never closed is an ordinary character, and a tag that is open at the end
 of the page is dropped; scripts, styles, forms' controls, comments of the markup and head elements never give text; equal
-pages and repeated rows give equal texts; ids may be null; pages of any length are read whole; an empty table
-gives an empty result; extra columns aren't read.
+pages and repeated rows give equal texts; ids may be null; pages of any length are read whole; a subtree whose odds sum up to exactly
+0 is left out; an empty table gives an empty result; extra columns, whatever their names, aren't read, so none can clash with an output.
 """
 
 from __future__ import annotations

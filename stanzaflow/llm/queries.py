@@ -11,55 +11,68 @@ from .common import table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and rejection of every document; trained on a bounded sample of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, from the whole html."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text under the 32k pieces, and whether there are more than 4096."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4096)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document at 85 per cent of shared five-word shingles, and whether it stays."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector at a cosine of 0.98 within its label."""
     return metric_join.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document that the sources' target weights ask for, in a global random order."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by its most frequent n-grams, learned from those that aren't held out."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark item's windows, and which items those are."""
     return decontam.contamination_digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and checksums of every document as read back from the coded files."""
     return token_output.token_files(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of equal counts."""
     return sharding.assign_shards(table(spark, sf_dir, "documents")).drop("grp")
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, form and digests of every document's fill-in-the-middle example."""
     return infill.with_digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
     return licenses.license_digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 

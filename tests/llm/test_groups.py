@@ -1,6 +1,7 @@
 """Near duplicates, embeddings, mixing, sharding, toxicity, HTML and the pipeline against plain versions."""
 
 import math
+import pathlib
 import random
 import re
 
@@ -518,7 +519,10 @@ def test_pipeline_stages(spark, sf_dir):
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1")
     first = p.STAGES[0][1](spark, docs, sf_dir)
     assert first.join(toxic, "doc_id").count() == 0 and sizes[0] >= 0.8 * docs.count()
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("stage-*"))
     assert sizes[4] == sizes[3] and p.run(spark, sf_dir).count() == sizes[4]
+    assert [f.name.split("-")[1] for f in set(shared.glob("stage-*")) - before] == ["sharding"]  # only the result is left of the stages
 
 
 def test_pipeline_drops_pairs_from_80_per_cent(spark, docs_of, sf_dir):
