@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage's rows are deleted once the next one's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = Stored(stage(spark, docs, sf_dir), f"stage-{name}").df
+        now = Stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return docs
