@@ -299,7 +299,10 @@ def resume_pages(wanted: DataFrame, done: DataFrame, scope: list[str], page: str
 
 
 def compare_terms(rates: DataFrame, word: str, left: str, right: str, requested: list[str] | None = None, k: int = 8) -> DataFrame:
-    """``word, left, right, delta, higher_in, place``: the requested words in their order, or the ``k`` that differ most; unknown words are an error."""
+    """``word, left, right, delta, higher_in, place``: the requested words in their order, or the ``k`` that differ most; unknown words are an error.
+
+    Of the requested words the first ``k`` are answered, which is the feature's own limit; the others aren't looked up.
+    """
     delta = F.round(F.col(right) - F.col(left), 6)
     every = rates.select(word, left, right, delta.alias("delta"), F.when(delta > 0, right).when(delta < 0, left).otherwise("equal").alias("higher_in"))
     if requested is None:
