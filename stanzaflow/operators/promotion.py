@@ -298,20 +298,26 @@ def resume_pages(wanted: DataFrame, done: DataFrame, scope: list[str], page: str
     return wanted.join(whole.select(*scope, run.alias("_done")), scope, "left").filter(F.col(page) > F.coalesce("_done", F.lit(0))).drop("_done")
 
 
-def compare_terms(rates: DataFrame, word: str, left: str, right: str, requested: list[str] | None = None, k: int = 8) -> DataFrame:
+def compare_terms(rates: DataFrame, word: str, left: str, right: str, requested: list[str] | None = None, k: int = 8, chapters: DataFrame | None = None, chapter: str | None = None) -> DataFrame:
     """``word, left, right, delta, higher_in, place``: the requested words in their order, or the ``k`` that differ most; unknown words are an error.
 
-    Of the requested words the first ``k`` are answered, which is the feature's own limit; the others aren't looked up.
+    Of the requested words the first ``k`` are answered, which is the feature's own limit; the others are only checked.  With a ``chapter``, which must be one
+    of ``chapters(chapter, word, rank)``, the word's ``chapter_rank`` there is told too, null if it has none.
     """
     delta = F.round(F.col(right) - F.col(left), 6)
     every = rates.select(word, left, right, delta.alias("delta"), F.when(delta > 0, right).when(delta < 0, left).otherwise("equal").alias("higher_in"))
+    if chapter is not None:
+        own = chapters.filter(F.col("chapter") == chapter)
+        if not own.take(1):
+            raise ValueError(f"unknown chapter: {chapter}")
+        every = every.join(own.groupBy(word).agg(F.min("rank").alias("chapter_rank")), word, "left")
     if requested is None:
         top = every.orderBy(F.desc(F.abs("delta")), word).limit(k)
         return top.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.abs("delta")), word)))  # k rows
-    wanted = requested[:k]
-    unknown = set(wanted) - {r[0] for r in every.filter(F.col(word).isin(wanted)).select(word).collect()}  # k words at most
+    unknown = set(requested) - {r[0] for r in every.filter(F.col(word).isin(requested)).select(word).collect()}  # no more than were asked for
     if unknown:
         raise ValueError(f"unknown words: {sorted(unknown)}")
+    wanted = list(dict.fromkeys(requested))[:k]
     return every.filter(F.col(word).isin(wanted)).withColumn("place", F.array_position(F.lit(wanted), F.col(word)).cast("int"))
 
 

@@ -118,3 +118,29 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield whole.assign(chunk_no=whole.groupby(level=0).cumcount().astype("int32"))[[id_col, "chunk_no", "chunk"]]
 
     return docs.select(id_col, text_col).mapInPandas(chunked, f"{id_col} {kind}, chunk_no int, chunk string")
+
+
+def display_picks(clauses: DataFrame, aliases: list[str], imagery: list[str], id_col: str = "doc_id", no_col: str = "clause_no", text_col: str = "clause", owner: str | None = None, k: int = 3, least: int = 2, strict: tuple[int, int] = (3, 44), relaxed: tuple[int, int] = (2, 60)) -> DataFrame:
+    """``id, clause_no, clause, score, place``: the clauses of each document that are worth showing, ``k`` at most.
+
+    A clause scores 3 if an alias is one of its windows of three characters, or of the shorter ones at its end, 2 for each alias and 1 for each word of
+    ``imagery`` it holds; of equal ones the later counts.  Clauses are of a ``strict`` length and don't name the ``owner`` (a column).  A
+    document with fewer than ``least`` is filled up with its first clauses of the ``relaxed`` length whose text isn't picked yet; these have
+    no score.
+    """
+    text, n = F.col(text_col), F.length(text_col)
+    names = sorted(set(aliases))
+    window = F.lit(False)
+    for a in names:
+        window |= F.contains(text, F.lit(a)) if len(a) == 3 else F.endswith(text, F.lit(a)) if len(a) < 3 else F.lit(False)
+    met = lambda words: sum((F.contains(text, F.lit(w)).cast("int") for w in sorted(set(words))), F.lit(0))
+    rows = clauses if owner is None else clauses.filter((F.coalesce(owner, F.lit("")) == "") | ~F.contains(text, F.col(owner)))
+    rows = rows.select(F.col(id_col), F.col(no_col), text)
+    scored = rows.filter(n.between(*strict)).withColumn("score", F.when(window, 3).otherwise(0) + 2 * met(names) + met(imagery))
+    place = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("score"), F.desc(no_col)))
+    first = scored.withColumn("place", place).filter(F.col("place") <= k)
+    have = first.groupBy(id_col).agg(F.count("*").alias("_have"), F.collect_set(text_col).alias("_texts"))  # k texts at most
+    short = rows.filter(n.between(*relaxed)).groupBy(id_col, text_col).agg(F.min(no_col).alias(no_col)).join(have, id_col, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    short = short.filter((F.col("_have") < least) & ~F.coalesce(F.array_contains("_texts", text), F.lit(False)))
+    more = short.withColumn("place", F.col("_have") + F.row_number().over(W.partitionBy(id_col).orderBy(no_col))).filter(F.col("place") <= least)
+    return first.unionByName(more.select(id_col, no_col, text_col, F.lit(None).cast("int").alias("score"), F.col("place").cast("int").alias("place")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, promotion, registry, search, segment, stylometry
+from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, places, promotion, registry, search, segment, stylometry
 from ..operators import transitions as state
 from ..operators.glossary import Entry
 from ..sources import markup, readers
@@ -361,3 +361,49 @@ def identity_audit(spark, sf_dir):
     )
     bound = sup.filter("s_nationkey = 3").agg(F.min("s_suppkey")).first()[0]
     return linkage.identity_audit(local, people, {"n3": bound} if bound is not None else {}, {"n5": []}).drop("n_winners")
+
+
+_ALIASES, _IMAGERY = ["the", "en", "der", "ontion", "de"], ["tion", "eau", "schaft", "ing"]
+_SCORE = "CASE WHEN contains(c, 'the') OR contains(c, 'der') OR ends_with(c, 'en') OR ends_with(c, 'de') THEN 3 ELSE 0 END + " + " + ".join([f"2 * contains(c, '{a}')::INTEGER" for a in _ALIASES] + [f"contains(c, '{w}')::INTEGER" for w in _IMAGERY])
+
+
+@query(rf"""WITH r AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '[^.!?;\n]*[.!?;]|[^.!?;\n]+'))) AS c, generate_subscripts(regexp_extract_all(text, '[^.!?;\n]*[.!?;]|[^.!?;\n]+'), 1) AS i FROM documents),
+  k AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM r WHERE c <> ''), s AS (SELECT *, {_SCORE} AS score FROM k WHERE length(c) BETWEEN 3 AND 44),
+  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC) AS place FROM s QUALIFY place <= 3), h AS (SELECT doc_id, count(*) AS have FROM f GROUP BY doc_id),
+  m AS (SELECT k.doc_id, k.c, min(k.n) AS n FROM k WHERE length(k.c) BETWEEN 2 AND 60 AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = k.doc_id AND f.c = k.c) GROUP BY ALL),
+  p AS (SELECT m.*, coalesce(have, 0) + row_number() OVER (PARTITION BY m.doc_id ORDER BY n) AS place FROM m LEFT JOIN h USING (doc_id) WHERE coalesce(have, 0) < 2 QUALIFY place <= 2)
+  SELECT doc_id, CAST(n AS INTEGER) AS clause_no, c AS clause, CAST(score AS INTEGER) AS score, CAST(place AS INTEGER) AS place FROM f UNION ALL SELECT doc_id, CAST(n AS INTEGER), c, NULL, CAST(place AS INTEGER) FROM p""")
+def display_picks(spark, sf_dir):
+    """The clauses of every document that are worth showing, filled up where there are too few."""
+    return segment.display_picks(segment.split_clauses(_t(spark, sf_dir, "documents")), _ALIASES, _IMAGERY)
+
+
+_PLACES = {"ontion": "p1", "schaft": "p2", "ción": "p3", "eau": "p4", "elle": "p4", "x": "p9"}
+_SIGNS = {"spring": "th", "summer": "re", "autumn": "es", "winter": "en"}
+_VALUES = {"tion": 0.5, "ing": 0.2, "ent": -0.4, "ier": 0.1, "der": -0.2, "und": 0.0, "ado": 0.3, "ing ": 0.7, "the ": -0.1, "an": 0.9, "en": -0.8, "re": 0.4, "er": 0.6}
+
+
+def _place_sql() -> str:
+    named = [(a, p) for a, p in _PLACES.items() if len(a) >= 2]
+    words = ", ".join(f"{{'w': '{w}', 'v': {v}::DOUBLE}}" for w, v in _VALUES.items())
+    signs = ", ".join(f"{{'s': '{s}', 'k': {i}, 'n': (length(text) - length(replace(text, '{w}', ''))) // {len(w)}}}" for i, (s, w) in enumerate(_SIGNS.items()))
+    return f"""WITH d AS (SELECT doc_id, source, text, lang AS label, (n_chars % 21 - 10) / 10.0::DOUBLE AS valence, list_filter([{words}], lambda e: contains(text, e.w))[1:10] AS ws, [{signs}] AS ss FROM documents),
+  a(alias, place) AS (VALUES {", ".join(str(x) for x in named)}), m AS (SELECT DISTINCT doc_id, place FROM d JOIN a ON contains(text, alias)), t AS (SELECT * FROM m JOIN d USING (doc_id)),
+  s AS (SELECT place, count(*) AS mentions_n, count(DISTINCT source) AS owners_n, round(avg(CASE WHEN len(ws) > 0 THEN valence END), 3) AS mean_valence FROM t GROUP BY place),
+  l AS (SELECT place, label, row_number() OVER (PARTITION BY place ORDER BY count(*) DESC, label) AS r FROM t GROUP BY place, label), z0 AS (SELECT place, unnest(ss) AS x FROM t), z AS (SELECT place, x.s AS season, row_number() OVER (PARTITION BY place ORDER BY sum(x.n) DESC, x.k) AS r FROM z0 GROUP BY place, x.s, x.k HAVING sum(x.n) > 0),
+  i0 AS (SELECT place, unnest(ws) AS e FROM t), i AS (SELECT place, e.w AS w, count(*) AS n, round(avg(e.v), 3) AS v FROM i0 GROUP BY place, e.w), j AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY n DESC, w) AS r FROM i QUALIFY r <= 8), top AS (SELECT place, string_agg(w || ':' || n, ',' ORDER BY r) AS imagery FROM j GROUP BY place),
+  c AS (SELECT 'p' || s_suppkey % 6 AS place, count(*) AS composed_n, min((s_suppkey % 50 + 80)::DOUBLE) AS lon FROM supplier WHERE s_suppkey % 3 <> 2 AND s_suppkey % 5 <> 0 GROUP BY 1)
+  SELECT place, coalesce(c.lon, CASE WHEN place <> 'p2' THEN 100.5::DOUBLE END) AS lon, coalesce(composed_n, 0) AS composed_n, coalesce(mentions_n, 0) AS mentions_n, coalesce(owners_n, 0) AS owners_n, round(coalesce(composed_n, 0)::DOUBLE / (coalesce(composed_n, 0) + coalesce(mentions_n, 0)), 4) AS locality, mean_valence, label AS modal_label, season AS top_season, coalesce(imagery, '') AS imagery
+  FROM c FULL JOIN s USING (place) LEFT JOIN (SELECT place, label FROM l WHERE r = 1) USING (place) LEFT JOIN (SELECT place, season FROM z WHERE r = 1) USING (place) LEFT JOIN top USING (place) WHERE coalesce(c.lon, CASE WHEN place IN ('p1', 'p3', 'p4') THEN 100.5 END) IS NOT NULL"""
+
+
+@query(_place_sql())
+def place_archives(spark, sf_dir):
+    """Places named in all documents and placed works of suppliers, with imagery, mood, season and locality."""
+    docs = _t(spark, sf_dir, "documents").select("source", "text", F.col("lang").alias("label"), ((F.col("n_chars") % 21 - 10) / 10.0).alias("valence"))
+    s = F.col("s_suppkey")
+    works = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), s % 6).alias("place"), F.when(s % 5 != 0, (s % 50 + 80).cast("double")).alias("lon"), F.lit(30.0).alias("lat"), F.when(s % 3 == 0, "A").when(s % 3 == 1, "B").otherwise("C").alias("grade"))
+    gazetteer = spark.createDataFrame([("p1", 100.5, 30.0), ("p2", None, 30.0), ("p3", 100.5, 31.0), ("p4", 100.5, 32.0)], "place string, lon double, lat double")
+    met = places.mentions(docs, _PLACES, _VALUES, _SIGNS, keep=["source", "label", "valence"])
+    found = places.archives(met, works, gazetteer, "source", "valence", "label", list(_SIGNS))
+    return found.withColumn("imagery", F.array_join(F.transform("imagery", lambda e: F.concat_ws(":", e["word"], e["n"])), ",")).drop("lat")

@@ -106,6 +106,10 @@ def test_comparisons_reject_unknown_words(spark):
     assert {r["w"]: r["higher_in"] for r in promotion.compare_terms(rates, "w", "l", "r", ["c", "a"]).collect()} == {"c": "equal", "a": "r"}
     with pytest.raises(ValueError):
         promotion.compare_terms(rates, "w", "l", "r", ["zz"])
+    chapters = spark.createDataFrame([("one", "a", 3), ("one", "a", 2), ("two", "b", 1)], "chapter string, w string, rank int")
+    assert {r["w"]: r["chapter_rank"] for r in promotion.compare_terms(rates, "w", "l", "r", ["b", "a"], chapters=chapters, chapter="one").collect()} == {"a": 2, "b": None}
+    with pytest.raises(ValueError):
+        promotion.compare_terms(rates, "w", "l", "r", ["a"], chapters=chapters, chapter="three")
 
 
 def test_resume_stops_at_the_first_gap(spark):
