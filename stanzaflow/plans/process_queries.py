@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, places, promotion, registry, search, segment, stylometry
+from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, places, promotion, registry, report, search, segment, stylometry
 from ..operators import transitions as state
 from ..operators.glossary import Entry
 from ..sources import markup, readers
@@ -407,3 +407,37 @@ def place_archives(spark, sf_dir):
     met = places.mentions(docs, _PLACES, _VALUES, _SIGNS, keep=["source", "label", "valence"])
     found = places.archives(met, works, gazetteer, "source", "valence", "label", list(_SIGNS))
     return found.withColumn("imagery", F.array_join(F.transform("imagery", lambda e: F.concat_ws(":", e["word"], e["n"])), ",")).drop("lat")
+
+
+@query("""WITH r AS (SELECT c_custkey AS k FROM customer), c AS (SELECT o_custkey AS k, o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'event' ELSE 'work' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 'unlinked' WHEN 1 THEN 'ambiguous' ELSE 'linked' END AS link, year(o_orderdate) AS y, 'n' || o_orderkey % 5 AS place, o_orderpriority AS src FROM orders),
+  w AS (SELECT o_custkey AS k, year(o_orderdate) AS a, year(o_orderdate) + 1 AS b, 'n' || o_orderkey % 4 AS wp FROM orders WHERE o_orderkey % 10 = 0), v AS (SELECT * FROM c WHERE kind = 'work' AND link = 'linked'),
+  g AS (SELECT v.k, v.id, bool_or(coalesce(y BETWEEN a AND b, false)) AS inside, bool_or(coalesce(y BETWEEN a AND b AND place <> wp, false)) AS other FROM v LEFT JOIN w ON w.k = v.k GROUP BY ALL)
+  SELECT k AS c_custkey, (SELECT count(*) FROM w WHERE w.k = r.k) AS reviewed_nodes, (SELECT count(*) FROM c WHERE c.k = r.k AND y < 1998) AS chronology_rows, (SELECT count(*) FROM c WHERE c.k = r.k AND kind = 'event') AS new_events,
+    (SELECT count(*) FROM v WHERE v.k = r.k) AS linked_works, (SELECT count(*) FROM c WHERE c.k = r.k AND kind = 'work' AND link = 'unlinked') AS unlinked_works, (SELECT count(*) FROM c WHERE c.k = r.k AND kind = 'work' AND link = 'ambiguous') AS ambiguous_works,
+    (SELECT count(*) FROM c WHERE c.k = r.k AND (kind = 'event' OR link = 'linked')) AS reviewable, (SELECT count(*) FROM g WHERE g.k = r.k AND other) AS conflicts, (SELECT count(*) FROM g WHERE g.k = r.k AND NOT inside) AS gaps,
+    coalesce((SELECT string_agg(src || ':' || n, ',' ORDER BY src) FROM (SELECT src, count(*) AS n FROM c WHERE c.k = r.k GROUP BY src)), '') AS sources FROM r""")
+def journey_reports(spark, sf_dir):
+    """Orders as candidates of their customers: what can be reviewed, what conflicts with reviewed windows, where windows are missing."""
+    o, k = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), F.col("o_orderkey")
+    year, link = F.year("o_orderdate"), F.when(k % 4 == 0, "unlinked").when(k % 4 == 1, "ambiguous").otherwise("linked")
+    candidates = o.select("c_custkey", k.alias("id"), F.when(k % 3 == 0, "event").otherwise("work").alias("kind"), link.alias("link"), year.alias("year"), F.concat(F.lit("n"), k % 5).alias("place"), F.col("o_orderpriority").alias("source"))
+    windows = o.filter("o_orderkey % 10 = 0").select("c_custkey", year.alias("win_start"), (year + 1).alias("win_end"), F.concat(F.lit("n"), k % 4).alias("win_place"))
+    told = report.journey_report(_t(spark, sf_dir, "customer"), "c_custkey", windows, candidates.filter("year < 1998"), windows, candidates)
+    return told.withColumn("sources", F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat_ws(":", e["key"], e["value"])), ","))
+
+
+@query("""SELECT o_orderkey, 'By checked sources ' || o_orderstatus || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' about ' ELSE ' in ' END || year(o_orderdate) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '-' || (year(o_orderdate) + 1) END || ' at old n' || o_custkey % 9 || ', now ' || CASE WHEN o_custkey % 2 = 0 THEN 'r1 n' ELSE 'r1n' END || o_custkey % 9 || '.' AS sentence FROM orders""")
+def fact_sentences(spark, sf_dir):
+    o, k, c = _t(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    rows = o.select(
+        "o_orderkey", F.concat("o_orderstatus", k).alias("title"), F.year("o_orderdate").alias("a"), (F.year("o_orderdate") + F.when(k % 3 == 0, 0).otherwise(1)).alias("b"), (k % 2 == 0).alias("approx"),
+        F.concat(F.lit("old n"), c % 9).alias("h"), F.lit("r1").alias("p"), F.when(c % 2 == 0, F.concat(F.lit("r1 n"), c % 9)).otherwise(F.concat(F.lit("n"), c % 9)).alias("m"),
+    )
+    words = {"sentence": "By checked sources {title}{verb}{years} at {historical}, now {modern}.", "exact": " in ", "about": " about ", "between": "-"}
+    return rows.select("o_orderkey", report.fact_sentence("title", "a", "b", "approx", "h", "p", "m", words).alias("sentence"))
+
+
+@query("""SELECT event_type, count(*) AS calls, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, CAST(sum(CASE WHEN value > 10 THEN user_id ELSE 0 END) AS BIGINT) AS used FROM events GROUP BY event_type""")
+def usage_sums(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.when(F.col("value") > 10, F.col("user_id")).alias("used"))
+    return report.usage_sums(e, "event_type", ["k", "used"])

@@ -73,6 +73,20 @@ def titled_sections(blocks: DataFrame, id_col: str = "page_id", least: int = 8)
     return paragraphs.groupBy(id_col, "text").agg(F.min(F.struct("block_no", "heading")).alias("f")).select(id_col, F.col("f.block_no").alias("block_no"), F.col("f.heading").alias("heading"), "text")
 
 
+def guarded_sections(pages: DataFrame, wanted: str, headings: list[str], id_col: str = "page_id", html_col: str = "html", least: int = 8) -> DataFrame:
+    """``id, heading, excerpt``: the paragraphs under one of ``headings``, of pages whose title or first heading holds the ``wanted`` one.
+
+    ``wanted`` is a column; where it is empty every page counts.  A page that is about something else gives nothing, whatever it holds.
+    """
+    title = F.regexp_extract(F.coalesce(html_col, F.lit("")), r"(?is)<title\b[^>]*>(.*?)</title", 1)
+    first = F.regexp_extract(F.coalesce(html_col, F.lit("")), r"(?is)<h1\b[^>]*>(.*?)</h1", 1)
+    holds = lambda x: F.contains(F.regexp_replace(x, r"(?s)<[^>]*>", " "), F.col(wanted))
+    about = pages.filter((F.coalesce(wanted, F.lit("")) == "") | holds(title) | holds(first))
+    sections = titled_sections(html_blocks(about, id_col, html_col), id_col, 1).filter(F.col("heading").isin(headings))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda p: p["text"]), " ")
+    return sections.groupBy(id_col, "heading").agg(joined.alias("excerpt")).filter(F.length("excerpt") >= least)
+
+
 def outline_records(lines: DataFrame, file_col: str, line_no: str, text_col: str) -> DataFrame:
     """``file, heading, line_no, text``: lines of an outline file under the heading (``** ...``) last seen; ``operators.outline`` keeps all levels."""
     heading = F.last(F.when(F.col(text_col).rlike(r"^\*+ "), F.regexp_replace(text_col, r"^\*+ ", "")), ignorenulls=True)

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, registry, search
+from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, registry, report, search
 from stanzaflow.operators import transitions as state
 from stanzaflow.operators.glossary import Entry
 from stanzaflow.operators.order import carried, numbered
@@ -394,3 +394,16 @@ def test_picks_are_topped_up(spark):
 
     got = stylometry.capped_picks(df, "i", "g", [F.desc("q"), "i"], 2, 3, F.col("easy"), 2)
     assert sorted((r["i"], r["pass"]) for r in got.collect()) == [(0, 1), (1, 1), (6, 1), (7, 2), (11, 2)]  # 3 is easy, but its group is full
+
+
+def test_pages_about_something_else_give_nothing(spark):
+    page = lambda title, h1: f"<title>{title}</title><h1>{h1} <i>x</i></h1><h2>Background</h2><p>one two three</p><p>four</p><h2>Other</h2><p>not this one</p>"
+    df = spark.createDataFrame([(1, page("A Poem - site", "z"), "A Poem"), (2, page("t", "A Poem"), "A Poem"), (3, page("t", "z"), "A Poem"), (4, page("t", "z"), ""), (5, None, "A Poem")], "page_id int, html string, want string")
+    got = readers.guarded_sections(df, "want", ["Background"])
+    assert sorted(tuple(r) for r in got.collect()) == [(i, "Background", "one two three four") for i in (1, 2, 4)]
+
+
+def test_rows_split_in_a_fixed_order(spark):
+    rows = [("b", "s2", "work", 1), ("a", "s1", "work", 2), ("z", "s1", "work", 0), ("a", "s2", None, 3), ("a", "s1", "event", 4), ("b", "s1", "work", 9)]
+    works, events = report.split_in_order(spark.createDataFrame(rows, "p string, s string, k string, n int"), "k", "work", {"p": ["b", "a"], "s": ["s1", "s2"]}, ["n"])
+    assert [r["n"] for r in works.collect()] == [9, 1, 2, 0] and [r["n"] for r in events.collect()] == [4, 3]
