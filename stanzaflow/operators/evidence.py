@@ -119,7 +119,12 @@ def _path(url: Column) -> Column:
     return F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
 
 
-def semantic_errors(packages: DataFrame, years: list[str], places: list[str], direct: dict[str, str], barred: tuple[str, ...] = ("/search", "/author/", "/authors/", "/login"), suffixes: str = "省市县区州府郡镇乡村山寺亭楼阁台园") -> DataFrame:
+# fixed values: paths that lead to no single work, and the kinds of places a name may end with
+BARRED = ("/search", "/author/", "/authors/", "/login")
+SUFFIXES = "省市县区州府郡镇乡村山寺亭楼阁台园"
+
+
+def semantic_errors(packages: DataFrame, years: list[str], places: list[str], direct: dict[str, str], barred: tuple[str, ...] = BARRED, suffixes: str = SUFFIXES) -> DataFrame:
     """Adds ``errors``: the publication rules that a fact package breaks, stricter than its schema, as a sorted array of names.
 
     ``packages`` have ``evidence``, an array of ``struct<evidence_id, excerpt, supports, grade, url>``, ``context_facts``, an array of ``struct<text,

@@ -120,7 +120,11 @@ def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInPandas(chunked, f"{id_col} {kind}, chunk_no int, chunk string")
 
 
-def display_picks(clauses: DataFrame, aliases: list[str], imagery: list[str], id_col: str = "doc_id", no_col: str = "clause_no", text_col: str = "clause", owner: str | None = None, k: int = 3, least: int = 2, strict: tuple[int, int] = (3, 44), relaxed: tuple[int, int] = (2, 60)) -> DataFrame:
+# fixed values: lengths of clauses that are shown, and of those that fill up
+STRICT, RELAXED = (3, 44), (2, 60)
+
+
+def display_picks(clauses: DataFrame, aliases: list[str], imagery: list[str], id_col: str = "doc_id", no_col: str = "clause_no", text_col: str = "clause", owner: str | None = None, k: int = 3, least: int = 2, strict: tuple[int, int] = STRICT, relaxed: tuple[int, int] = RELAXED) -> DataFrame:
     """``id, clause_no, clause, score, place``: the clauses of each document that are worth showing, ``k`` at most.
 
     A clause scores 3 if an alias is one of its windows of three characters, or of the shorter ones at its end, 2 for each alias and 1 for each word of

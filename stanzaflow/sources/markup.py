@@ -14,6 +14,10 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values: marks of the pages these walks were made for
+BLOCK, LABEL, ANCHOR, BEGIN, END = "div.detail", "div.label1", "ViewDetail", "beginYear", "endYear"
+ITEM, LINK = "div.poemTitle.showDetail", "Query.aspx"
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -123,7 +127,7 @@ def year_rows_of(html: str | None, block: str, label: str, anchor: str, begin: s
                 years = _bounds(href, begin, end)
 
 
-def year_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", block: str = "div.detail", label: str = "div.label1", anchor: str = "ViewDetail", begin: str = "beginYear", end: str = "endYear", left_out: str = "") -> DataFrame:
+def year_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", block: str = BLOCK, label: str = LABEL, anchor: str = ANCHOR, begin: str = BEGIN, end: str = END, left_out: str = "") -> DataFrame:
     """``id, block_no, label_id, row_index, begin, end, text, event_hash``: year rows of the blocks of each page.
 
     A fold over siblings: a block counts only if the element right before it is its label, and the label's link gives both years.  The
@@ -171,7 +175,7 @@ def entries_of(html: str | None, item: str, link: str, author: str, time: str) -
         number += 1
 
 
-def list_entries(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", item: str = "div.poemTitle.showDetail", link: str = "Query.aspx", author: str = "span.author", time: str = "span.time") -> DataFrame:
+def list_entries(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", item: str = ITEM, link: str = LINK, author: str = "span.author", time: str = "span.time") -> DataFrame:
     """``id, entry_no, parent_no, depth, href, title, author, time, raw`` of the items of a page's lists.
 
     Items may be nested: each has its own link, author and time, not those of the items inside it, and names the item around it.

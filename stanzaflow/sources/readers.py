@@ -124,6 +124,7 @@ def payload_tree(payloads: DataFrame, id_col: str, json_col: str, marker: str) -
         level = _opened(more, "v").select(id_col, F.concat("path", step).alias("path"), F.col("value").alias("v"), "block")
 
 
+# fixed values: where a payload may hold its person
 _PERSON = ["$.Package.PersonAuthority.PersonInfo.Person", "$.Package.PersonAuthority.Person", "$.Package.PersonInfo.Person", "$.Package.Person", "$.PersonAuthority.PersonInfo.Person", "$.PersonAuthority.Person", "$.PersonInfo.Person", "$.Person"]
 
 
