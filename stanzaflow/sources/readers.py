@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import let
 from .scratch import stored
 
 BOM = "﻿"
@@ -133,10 +134,11 @@ def person_records(payloads: DataFrame, id_col: str, json_col: str) -> DataFrame
 
     Id and name are taken from the record, or from its basic data.  ``person`` is the variant that ``person_lists`` opens; other texts give none.
     """
-    v = F.try_parse_json(F.col(json_col))
-    held = F.filter(F.transform(F.lit(_PERSON), lambda p: F.try_variant_get("_v", p, "variant")), lambda x: _kind(x) == "object")
+    members = lambda x: F.try_variant_get(x, "$", "map<string,variant>")  # noqa: E731  # null for what isn't an object
+    held = lambda v: F.filter(F.array(*[F.try_variant_get(v, p, "variant") for p in _PERSON]), lambda x: members(x).isNotNull())
     text = lambda path: F.nullif(F.trim(F.try_variant_get("person", path, "string")), F.lit(""))
-    rows = payloads.select(F.col(id_col), v.alias("_v")).filter("_v is not null").select(id_col, F.get(held, F.lit(0)).alias("person")).filter("person is not null")
+    # the text is parsed once for all the places
+    rows = payloads.select(F.col(id_col), let(F.try_parse_json(F.col(json_col)), lambda v: F.get(held(v), F.lit(0))).alias("person")).filter("person is not null")
     return rows.select(
         id_col, F.coalesce(text("$.id"), text("$.c_personid"), text("$.BasicInfo.PersonId")).alias("person_id"), F.coalesce(text("$.Name"), text("$.BasicInfo.ChName")).alias("name"),
         text("$.BasicInfo.IndexYear").alias("index_year"), "person",
@@ -150,9 +152,9 @@ def person_lists(people: DataFrame, id_col: str, holder: str, member: str, field
     values are texts, empty ones null.
     """
     path = f"$.{holder}.{member}"
-    rows = people.select(F.col(id_col), F.try_variant_get("person", path, "variant").alias("_l")).filter("_l is not null")
-    many = _opened(rows.filter(_kind(F.col("_l")) == "array"), "_l").select(id_col, F.col("pos").alias("place"), F.col("value").alias("_e"))
-    entries = rows.filter(_kind(F.col("_l")) == "object").select(id_col, F.lit(0).alias("place"), F.col("_l").alias("_e")).unionByName(many)
+    rows = people.select(F.col(id_col), F.try_variant_get("person", path, "variant").alias("_l"), F.try_variant_get("person", path, "array<variant>").alias("_many")).filter("_l is not null")
+    # one list either way: a union of both ways has more partitions than the join behind it is planned for
+    entries = rows.select(F.col(id_col), F.posexplode(F.when(_kind(F.col("_l")) == "object", F.array("_l")).otherwise(F.col("_many"))).alias("place", "_e"))
     kept = entries.filter(_kind(F.col("_e")) == "object")
     return kept.select(id_col, "place", *[F.nullif(F.trim(F.try_variant_get("_e", f"$.{m}", "string")), F.lit("")).alias(c) for c, m in fields.items()])
 

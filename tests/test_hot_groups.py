@@ -23,3 +23,13 @@ def test_authority_matches_of_one_name(spark):
     records = rows.select(F.col("id").alias("rid"), F.col("name").alias("r_name"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("id") == 7, F.array(F.lit("tang"))).otherwise(F.array(F.lit("ming"))).alias("eras"), F.lit(699).alias("born_low"), F.lit(702).alias("born_high"), F.lit(750).alias("died_low"), F.lit(760).alias("died_high"))
     got, took = _timed(promotion.authority_matches(local, records, "id", "rid", {}).groupBy("record", "outcome").count())
     assert [tuple(r) for r in got] == [(7, "matched", N)] and took < LIMIT
+
+
+def test_lists_of_persons_meet_their_persons(spark, tmp_path):
+    """As many partitions as rows ask for: the list of one and the list of many are one table, so the join has one number of them."""
+    one, two = '{"Person":{"id":"1","A":{"B":{"n":"x"}}}}', '{"Person":{"id":"2","A":{"B":[{"n":"y"},3,{"n":"z"}]}}}'
+    df = spark.createDataFrame([(1, one), (2, two), (3, '{"Person":{"id":"3","A":{"B":"text"}}}'), (4, '{"Person":[1]}')], "i int, j string").repartition(3, "i")
+    people = readers.person_records(df, "i", "j")
+    lists = readers.person_lists(people, "i", "A", "B", {"name": "n"})
+    assert "Union" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in people.select("i", "person_id").join(lists, "i").collect()) == [(1, "1", 0, "x"), (2, "2", 0, "y"), (2, "2", 2, "z")]
