@@ -33,3 +33,10 @@ def test_lists_of_persons_meet_their_persons(spark, tmp_path):
     lists = readers.person_lists(people, "i", "A", "B", {"name": "n"})
     assert "Union" not in lists._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(r) for r in people.select("i", "person_id").join(lists, "i").collect()) == [(1, "1", 0, "x"), (2, "2", 0, "y"), (2, "2", 2, "z")]
+
+
+def test_variant_join_of_one_title(spark):
+    rows = spark.range(N).select("id", F.lit("red bolt").alias("t"))
+    works = spark.range(N).select(F.col("id").alias("w"), F.lit("red bolt").alias("k")).unionByName(spark.createDataFrame([(1, "red"), (1, "red bolt"), (N, "red")], "w bigint, k string"))
+    got, took = _timed(linkage.variant_join(rows, "id", "t", {"whole": F.col("t"), "first": F.substring_index("t", " ", 1)}, works, "w", "k").groupBy("n_works", "state").count())
+    assert [tuple(r) for r in got] == [(N + 1, "ambiguous", N)] and took < LIMIT
