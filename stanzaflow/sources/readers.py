@@ -51,8 +51,11 @@ def unwrap_jsonp(x) -> Column:
     return F.when(F.try_parse_json(kept).isNotNull(), F.trim(kept))
 
 
-def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tags: tuple[str, ...] = ("h1", "h2", "h3", "p"), least: int = 1) -> DataFrame:
-    """``id, block_no, tag, text`` of well-formed block elements by regular expression, markup and entities of the common kind resolved.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", tags: tuple[str, ...] = ("h1", "h2", "h3", "p"), least: int = 1, entities: dict[str, str] = ENTITIES) -> DataFrame:
+    """``id, block_no, tag, text`` of well-formed block elements by regular expression, markup and ``entities`` (those of the common kind) resolved.
 
     For pages written by one template; for any page the extraction in the training-data operators decides by trees.
     """
@@ -61,7 +64,7 @@ def html_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     found = F.regexp_extract_all(clean, F.lit(rf"(?is)<(?:{names})\b[^>]*>.*?(?=</?(?:{names}|article|main|div|section|footer|aside|nav|ul|body)\b|\z)"), F.lit(0))
     rows = pages.select(F.col(id_col), F.posexplode(found).alias("block_no", "raw"))
     text = F.regexp_replace("raw", r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in entities.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     out = rows.select(id_col, "block_no", F.lower(F.regexp_extract("raw", r"(?i)^<([a-z0-9]+)", 1)).alias("tag"), F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"))
     return out.filter(F.length("text") >= least)

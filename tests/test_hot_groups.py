@@ -40,3 +40,8 @@ def test_variant_join_of_one_title(spark):
     works = spark.range(N).select(F.col("id").alias("w"), F.lit("red bolt").alias("k")).unionByName(spark.createDataFrame([(1, "red"), (1, "red bolt"), (N, "red")], "w bigint, k string"))
     got, took = _timed(linkage.variant_join(rows, "id", "t", {"whole": F.col("t"), "first": F.substring_index("t", " ", 1)}, works, "w", "k").groupBy("n_works", "state").count())
     assert [tuple(r) for r in got] == [(N + 1, "ambiguous", N)] and took < LIMIT
+
+
+def test_titles_keep_what_their_sql_keeps(spark, tmp_path):
+    spark.createDataFrame([(1, "<html><h1>a &amp; b = &quot;c&quot;\n&lt;</h1></html>")], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in search_queries.html_titles(spark, str(tmp_path)).collect()] == [(1, "a & b = &quot;c&quot; &lt;")]
