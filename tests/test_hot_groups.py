@@ -45,3 +45,15 @@ def test_variant_join_of_one_title(spark):
 def test_titles_keep_what_their_sql_keeps(spark, tmp_path):
     spark.createDataFrame([(1, "<html><h1>a &amp; b = &quot;c&quot;\n&lt;</h1></html>")], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in search_queries.html_titles(spark, str(tmp_path)).collect()] == [(1, "a & b = &quot;c&quot; &lt;")]
+
+
+def test_evidence_of_one_number_goes_by_its_place_in_the_table(spark, tmp_path):
+    """Spark reads the largest file first; the first row of the table still counts."""
+    schema = "l_partkey bigint, l_orderkey bigint, l_linenumber int, l_returnflag string"
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, rows in (("a", [(1, 5, 1, "R")]), ("b", [(1, 5, 1, "N")] + [(p, p, 1, f"N{p}") for p in range(2, 5000)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
+    got = review_queries.evidence_normalisation(spark, str(tmp_path)).filter("l_partkey = 1").collect()
+    assert [tuple(r) for r in got] == [(1, 5, "R")]
