@@ -57,3 +57,11 @@ def test_evidence_of_one_number_goes_by_its_place_in_the_table(spark, tmp_path):
         next((tmp_path / name).glob("*.parquet")).rename(folder / f"{name}.parquet")
     got = review_queries.evidence_normalisation(spark, str(tmp_path)).filter("l_partkey = 1").collect()
     assert [tuple(r) for r in got] == [(1, 5, "R")]
+
+
+def test_link_scores_of_one_name(spark):
+    local = spark.range(N).select("id", F.lit("wang").alias("name"), F.lit(1900).alias("lo"), F.lit(1940).alias("hi"))
+    other = spark.range(N).select(F.col("id").alias("oid"), F.lit("wang").alias("name"), F.lit(1930).alias("lo2"), F.when(F.col("id") == 5, 1941).otherwise(1935).alias("hi2"))
+    years = linkage.overlap_years("lo", "hi", "lo2", "hi2")
+    got, took = _timed(linkage.link_scores(local, other, "name", years, years > 0, "id", "oid", (("lo", "hi"), ("lo2", "hi2"))).groupBy("match", "score", "state").count())
+    assert [tuple(r) for r in got] == [(5, 11, "matched", N)] and took < LIMIT
