@@ -125,7 +125,7 @@ def within_km(points: DataFrame, id_col: str, km: float, lon: str = "lon", lat:
 
     The globe is cut into latitude bands as high as the distance, and each band into cells at least as wide as
     the distance is anywhere in the band or its neighbours (next to a pole a band is one cell).  A point meets the
-    points of its own and the neighbouring cells only, by an equality join.
+    points of its own and the neighbouring cells only, by an equality join.  Points of one place meet the others as one.
     """
     step = km / KM_PER_DEGREE
     last = int(180 // step)
@@ -138,14 +138,18 @@ def within_km(points: DataFrame, id_col: str, km: float, lon: str = "lon", lat:
     def cell(x, band):
         return F.least(F.floor((x + 180) / (F.lit(360.0) / n_cells(band))).cast("int"), n_cells(band) - 1)
 
-    band = F.floor((F.col(lat) + 90) / step).cast("int")
-    here = points.select(F.col(id_col), F.col(lon).alias("_x"), F.col(lat).alias("_y"), band.alias("_band"))
-    right = here.select(F.col(id_col).alias("_other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), "_band", cell(F.col("_x"), F.col("_band")).alias("_cell"))
-    bands = here.withColumn("_band", F.explode(F.sequence(F.greatest(F.col("_band") - 1, F.lit(0)), F.least(F.col("_band") + 1, F.lit(last)))))
+    band = F.floor((F.col("_y") + 90) / step).cast("int")
+    own = points.select(F.col(id_col), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
+    here = own.groupBy("_x", "_y").agg(F.count(id_col).alias("_n")).withColumn("_band", band)
+    right = here.select(F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), "_n", "_band", cell(F.col("_x"), F.col("_band")).alias("_cell"))
+    bands = here.drop("_n").withColumn("_band", F.explode(F.sequence(F.greatest(F.col("_band") - 1, F.lit(0)), F.least(F.col("_band") + 1, F.lit(last)))))
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(F.col("_x"), F.col("_band")) + d, n_cells(F.col("_band")))))
     left = bands.withColumn("_cell", F.explode(around))
-    near = left.join(right, ["_band", "_cell"]).filter((F.col(id_col) != F.col("_other")) & (haversine_km("_x", "_y", "_ox", "_oy") <= km))
-    counts = near.groupBy(id_col).agg(F.count("*").alias("n_near"))
+    near = left.join(right, ["_band", "_cell"]).filter(haversine_km("_x", "_y", "_ox", "_oy") <= km).groupBy("_x", "_y").agg(F.sum("_n").alias("_n"))
+    # every row of a place finds the same ones; rows of the point itself don't count
+    found = own.join(near, ["_x", "_y"]).groupBy(id_col).agg(F.sum("_n").alias("_n"))
+    same = own.join(own.select(id_col, F.col("_x").alias("_ox"), F.col("_y").alias("_oy")), id_col).filter(haversine_km("_x", "_y", "_ox", "_oy") <= km).groupBy(id_col).agg(F.count("*").alias("_own"))
+    counts = found.join(same, id_col).select(id_col, (F.col("_n") - F.col("_own")).alias("n_near"))
     return points.select(id_col).join(counts, id_col, "left").select(id_col, F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"))
 
 

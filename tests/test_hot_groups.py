@@ -65,3 +65,14 @@ def test_link_scores_of_one_name(spark):
     years = linkage.overlap_years("lo", "hi", "lo2", "hi2")
     got, took = _timed(linkage.link_scores(local, other, "name", years, years > 0, "id", "oid", (("lo", "hi"), ("lo2", "hi2"))).groupBy("match", "score", "state").count())
     assert [tuple(r) for r in got] == [(5, 11, "matched", N)] and took < LIMIT
+
+
+def test_points_of_one_place(spark):
+    points = spark.range(N).select("id", F.lit(10.0).alias("lon"), F.lit(50.0).alias("lat")).unionByName(spark.createDataFrame([(N, 10.1, 50.0), (N + 1, 90.0, 0.0)], "id bigint, lon double, lat double"))
+    got, took = _timed(joins.within_km(points, "id", 500).groupBy("n_near").count().orderBy("n_near"))
+    assert [tuple(r) for r in got] == [(0, 1), (N, N + 1)] and took < LIMIT
+
+
+def test_repeated_ids_are_not_near_themselves(spark):
+    points = spark.createDataFrame([(1, 10.0, 50.0), (1, 10.1, 50.0), (2, 10.0, 50.0)], "id int, lon double, lat double")
+    assert sorted(tuple(r) for r in joins.within_km(points, "id", 500).collect()) == [(1, 2), (1, 2), (2, 2)]
