@@ -76,3 +76,19 @@ def test_points_of_one_place(spark):
 def test_repeated_ids_are_not_near_themselves(spark):
     points = spark.createDataFrame([(1, 10.0, 50.0), (1, 10.1, 50.0), (2, 10.0, 50.0)], "id int, lon double, lat double")
     assert sorted(tuple(r) for r in joins.within_km(points, "id", 500).collect()) == [(1, 2), (1, 2), (2, 2)]
+
+
+def test_same_place_works_inside_and_behind_the_pool(spark):
+    works = [(0, w, (w * 5) % 7) for w in range(9)] + [(1, 1, 0)]
+    got = sorted(tuple(r) for r in promotion.same_place_works(spark.createDataFrame(works, "k int, w int, q int"), "k", "w", "w", ["q"], cap=4, k=2).collect())
+    want = []
+    for k, w, _ in works:
+        first = [x for x in works if x[0] == k and x[1] != w][:4]
+        want += [(k, w, x[1], n + 1) for n, x in enumerate(sorted(first, key=lambda x: (x[2], x[1]))[:2])]
+    assert got == sorted(want)
+
+
+def test_same_place_works_of_one_place(spark):
+    mentions = spark.range(1_000_000).select(F.lit(0).alias("k"), F.col("id").alias("w"), (F.col("id") % 7).alias("q"))
+    got, took = _timed(promotion.same_place_works(mentions, "k", "w", "w", ["q"]).agg(F.count("*"), F.sum("place")))
+    assert tuple(got[0]) == (3_000_000, 6_000_000) and took < 30
