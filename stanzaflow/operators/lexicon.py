@@ -14,10 +14,13 @@ documents are scanned once, without a join.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, literal, places_of, running, running_sums, table_of
+from ..functions.arrays import let, literal, places_of, table_of
 from ..functions.text import text_of
 
 MASK = "\x00"
@@ -69,24 +72,26 @@ def leftmost_matches(x, words) -> Column:
 def leftmost_spans(docs: DataFrame, words, id_col: str = "doc_id", text_col: str = "text", context: int | None = None) -> DataFrame:
     """``id, match_no, word, start_offset, end_offset`` of the left-to-right matches.
 
-    The gaps between matches and the matches alternate, so running lengths give the offsets.  With ``context`` the columns
-    ``left`` and ``right`` hold so many characters on both sides.
+    With ``context`` the columns ``left`` and ``right`` hold so many characters on both sides.
     """
-    text = text_of(text_col)
-    found = F.regexp_extract_all(text, F.lit(f"({quoted(words)})"), F.lit(1))
-    gaps = F.split(text, f"(?:{quoted(words)})", -1)
-    cut = docs.filter(text.rlike(quoted(words))).select(F.col(id_col), text.alias("_text"), found.alias("_found"), gaps.alias("_gaps"))
-    at = running_sums(F.transform("_found", lambda w, i: F.length(F.get("_gaps", i)) + F.length(w)))
-    cut = cut.select(id_col, "_text", "_found", F.zip_with(at, F.slice("_gaps", F.lit(1), F.size("_found")), lambda a, g: a + F.length(g)).alias("_at"))
-
-    def span(w: Column, a: Column) -> Column:
-        sides = []
-        if context is not None:
-            first = F.greatest(a - context, F.lit(0))
-            sides = [F.substring("_text", first + 1, a - first).alias("left"), F.substring("_text", a + F.length(w) + 1, F.lit(context)).alias("right")]
-        return F.struct(w.alias("word"), a.alias("start_offset"), (a + F.length(w)).alias("end_offset"), *sides)
-
-    rows = cut.select(id_col, F.posexplode(F.zip_with("_found", "_at", span)).alias("_n", "s"))
+    pattern = "|".join(map(re.escape, by_length(words)))
+    sides = [] if context is None else ["left", "right"]
+    kind = pa.list_(pa.struct([("word", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), *[(c, pa.string()) for c in sides]]))
+
+    @F.arrow_udf("array<struct<word:string,start_offset:int,end_offset:int" + "".join(f",{c}:string" for c in sides) + ">>")
+    def found(texts: pa.Array) -> pa.Array:
+        fits = re.compile(pattern)
+
+        def spans(text: str) -> list[tuple]:
+            out = []
+            for m in fits.finditer(text):
+                a, b = m.span()
+                out.append((m.group(), a, b) if context is None else (m.group(), a, b, text[max(a - context, 0) : a], text[b : b + context]))
+            return out
+
+        return pa.array([spans(t.as_py()) for t in texts], type=kind)
+
+    rows = docs.select(F.col(id_col), F.posexplode(found(text_of(text_col))).alias("_n", "s"))
     return rows.select(id_col, (F.col("_n") + 1).alias("match_no"), "s.*")
 
 
@@ -108,65 +113,33 @@ def longest_contained(x, words) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, 1))
 
 
-def _candidates(text: Column, terms: Column, excluded: list[str], negators: list[str]) -> Column:
-    """The occurrences of one label's ``terms`` that nothing blocks, by place, as ``struct<start, shorter, lighter, term>``.
+def _accepted(text: str, terms: list[tuple[str, float]], excluded: list[str], negators: tuple[str, ...]) -> list[tuple]:
+    """One label's hits in a text, ``start, term, weight`` by place: its free occurrences taken one by one, the longest first, then the heaviest, then the leftmost.
 
     An occurrence is blocked right behind a negator, and where an excluded phrase covers it; of each phrase only the first one
-    near the occurrence is looked at.  What is near is cut out of the text once for each occurrence.
+    near the occurrence is looked at.
     """
-    reach = max(map(len, [*excluded, *negators]), default=0)
-
-    def found(t: Column) -> Column:
-        return F.transform(places_of(text, t["term"], pattern=t["pattern"]), lambda at: F.struct(at.alias("start"), (-F.length(t["term"])).alias("shorter"), (-t["weight"]).alias("lighter"), t["term"].alias("term")))
-
-    def covered(near: Column, before: Column, n: Column, p: Column) -> Column:
-        # places within ``near``, where the occurrence starts at ``before``
-        first = F.greatest(before - F.length(p), F.lit(0))
-        at = F.instr(F.substring(near, first + 1, before + n + F.length(p) - first), p)
-        return (at > 0) & (first + at - 1 <= before) & (before + n <= first + at - 1 + F.length(p))
-
-    def free(c: Column, phrases: Column) -> Column:
-        before = F.least(c["start"], F.lit(reach))
-        near = F.substring(text, c["start"] - before + 1, before - c["shorter"] + reach)
-
-        def judged(x: Column) -> Column:
-            bad = F.exists(phrases, lambda p: covered(x, before, -c["shorter"], p))
-            return ~(bad | F.exists(F.lit(negators), lambda n: F.endswith(F.substring(x, F.lit(1), before), n))) if negators else ~bad
-
-        return let(near, judged)
-
-    every = F.flatten(F.transform(F.filter(terms, lambda t: F.contains(text, t["term"])), found))
-    if excluded or negators:
-        phrases = F.filter(F.lit(excluded), lambda p: F.contains(text, p)) if excluded else F.array().cast("array<string>")
-        every = let(phrases, lambda ps: F.filter(every, lambda c: free(c, ps)))
-    return F.array_sort(every)
-
-
-def _without_overlap(candidates: Column) -> Column:
-    """``array<struct<start, term, weight>>``: the candidates taken one by one, the longest first, then the heaviest, then the leftmost.
-
-    Candidates by place fall into runs that overlap none of another run; only within a run do they have to be compared.  A run begins
-    where a candidate starts behind the ends of all before it, so the runs of a long text are cut in time that grows with their number.
-    """
-    none = F.array().cast("array<struct<start:int,term:string,weight:double>>")
-
-    def in_runs(c: Column) -> Column:
-        ends = running(F.transform(c, lambda x: x["start"] - x["shorter"]), "int", -1, lambda a, x: F.greatest(a, x))
-        borders = let(ends, lambda e: F.array_compact(F.transform(c, lambda x, i: F.when(x["start"] >= F.get(e, i), i))))
-        return let(borders, lambda bs: F.transform(bs, lambda at, k: F.slice(c, at + 1, F.coalesce(F.get(bs, k + 1), F.size(c)) - at)))
-
-    runs = let(candidates, in_runs)
-    hit = lambda c: F.struct(c["start"].alias("start"), c["term"].alias("term"), (-c["lighter"]).alias("weight"))
-
-    def take(taken: Column, c: Column) -> Column:
-        clash = F.exists(taken, lambda t: (t["start"] < c["start"] - c["shorter"]) & (c["start"] < t["start"] + F.length(t["term"])))
-        return F.when(clash, taken).otherwise(F.array_append(taken, hit(c)))
-
-    def settled(run: Column) -> Column:
-        ranked = F.array_sort(F.transform(run, lambda c: F.struct(c["shorter"].alias("shorter"), c["lighter"].alias("lighter"), c["start"].alias("start"), c["term"].alias("term"))))
-        return F.when(F.size(run) <= 1, F.transform(run, hit)).otherwise(F.aggregate(ranked, none, take))
-
-    return F.array_sort(F.flatten(F.transform(runs, settled)))
+    ranked = []
+    for term, weight in terms:
+        n, start = len(term), text.find(term)
+        while start >= 0:
+            end = start + n
+            if not text.endswith(negators, 0, start):
+                for p in excluded:
+                    at = text.find(p, max(start - len(p), 0), end + len(p))
+                    if 0 <= at <= start and end <= at + len(p):
+                        break
+                else:
+                    ranked.append((-n, -weight, start, term))
+            start = text.find(term, end)
+    ranked.sort()
+    used, taken = bytearray(len(text)), []
+    for shorter, lighter, start, term in ranked:
+        end = start - shorter
+        if used.find(1, start, end) < 0:
+            used[start:end] = b"\x01" * -shorter
+            taken.append((start, term, -lighter))
+    return sorted(taken)
 
 
 def accepted_by_label(x, labelled_terms: dict[str, list[tuple[str, float]]], excluded=(), negators=(), single=None) -> Column:
@@ -175,16 +148,24 @@ def accepted_by_label(x, labelled_terms: dict[str, list[tuple[str, float]]], exc
     A term of one character counts only if it is in ``single`` (if given).  Candidates are taken one by one, the longest first,
     then the heaviest, then the leftmost, if they overlap none of the label taken before.
     """
-    rows = [
-        {"label": label, "terms": [{"term": t, "weight": float(w), "pattern": literal(t)} for t, w in terms if len(t) > 1 or single is None or t in single]}
-        for label, terms in labelled_terms.items()
-    ]
-    labels = table_of(rows, "array<struct<label:string,terms:array<struct<term:string,weight:double,pattern:string>>>>")
-
-    def hits(text: Column) -> Column:
-        return F.transform(labels, lambda la: F.struct(la["label"].alias("label"), _without_overlap(_candidates(text, la["terms"], list(excluded), list(negators))).alias("hits")))
-
-    return let(text_of(x), hits)
+    rows = [(label, [(t, float(w)) for t, w in terms if t and (len(t) > 1 or single is None or t in single)]) for label, terms in labelled_terms.items()]
+    phrases, before = list(excluded), tuple(negators)
+
+    @F.arrow_udf("array<struct<label:string,hits:array<struct<start:int,term:string,weight:double>>>>")
+    def found(texts: pa.Array) -> pa.Array:
+        hits, ends = [], [0]
+        for text in texts.to_pylist():
+            near = [p for p in phrases if p in text]
+            for _, terms in rows:
+                hits += _accepted(text, terms, near, before)
+                ends.append(len(hits))
+        cells = [pa.array(c, type=t) for c, t in zip(zip(*hits) if hits else ([], [], []), (pa.int32(), pa.string(), pa.float64()))]
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cells, ["start", "term", "weight"]))
+        labels = pa.array([label for label, _ in rows] * len(texts), pa.string())
+        borders = pa.array(range(0, len(labels) + 1, len(rows)) if rows else [0] * (len(texts) + 1), pa.int32())
+        return pa.ListArray.from_arrays(borders, pa.StructArray.from_arrays([labels, listed], ["label", "hits"]))
+
+    return found(text_of(x))
 
 
 def accepted_hits(x, terms: list[tuple[str, float]], excluded=(), negators=(), single=None) -> Column:
@@ -193,7 +174,7 @@ def accepted_hits(x, terms: list[tuple[str, float]], excluded=(), negators=(), s
 
 
 def interval_matches(docs: DataFrame, labelled_terms: dict[str, list[tuple[str, float]]], id_col: str = "doc_id", text_col: str = "text", excluded=(), negators=(), single=None) -> DataFrame:
-    """``id, label, term, weight, start`` for each accepted hit of each label; built-in functions only, no shuffle."""
+    """``id, label, term, weight, start`` for each accepted hit of each label; no shuffle."""
     found = docs.select(F.col(id_col), F.explode(accepted_by_label(text_col, labelled_terms, excluded, negators, single)).alias("l"))
     return found.select(id_col, "l.label", F.explode("l.hits").alias("h")).select(id_col, "label", "h.term", "h.weight", "h.start")
 
