@@ -15,6 +15,11 @@ from ..sources.scratch import stored
 _SEQ_BITS = (1 << 33) - 1  # of Spark's increasing ids, the place of a row within its partition
 
 
+def parts_for(rows: DataFrame, each: int = 1 << 19) -> int:
+    """How many partitions keep a task at about ``each`` rows, the session's number at least; the rows are counted for it."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))
+
+
 def in_order(rows: DataFrame, order: list, parts: int | None = None) -> DataFrame:
     """``rows`` with ``_part`` and ``_seq``: partitions that follow one another in the order, and places from 0 within each.
 
