@@ -92,3 +92,35 @@ def test_same_place_works_of_one_place(spark):
     mentions = spark.range(1_000_000).select(F.lit(0).alias("k"), F.col("id").alias("w"), (F.col("id") % 7).alias("q"))
     got, took = _timed(promotion.same_place_works(mentions, "k", "w", "w", ["q"]).agg(F.count("*"), F.sum("place")))
     assert tuple(got[0]) == (3_000_000, 6_000_000) and took < 30
+
+
+def test_catalog_matches_of_common_aliases(spark):
+    """A few kinds of owners and records make all pairs of a common alias; those that meet by a rare alias too are told once."""
+    roster = [(i, "tang" if i % 3 else "song", ["wang", f"b{i}"] + ["li"] * (i % 2)) for i in range(90)] + [(5, "song", ["wang"]), (None, "tang", ["wang", "x1"])]
+    records = [(j, [[], ["tang"], ["song"]][j % 3], [f"b{j}"], ["wang"] if j % 4 else ["li", "zhao"], [("wang", "song")] if j % 5 == 0 else [], f"of b{2 * j}") for j in range(80)] + [(7, ["song"], [], ["li"], [("x1", "")], None), (None, [], ["b3"], ["wang"], [], "t")]
+    own = spark.createDataFrame(roster, "id int, era string, aliases array<string>")
+    rec = spark.createDataFrame(records, "rid int, eras array<string>, header array<string>, responsible array<string>, people array<struct<name:string,era:string>>, title string")
+    owners: dict = {}
+    for i, _, names in roster:
+        for a in names:
+            owners.setdefault(a, set()).update({i} - {None})
+    want: dict = {}
+    for j, eras, header, responsible, people, title in records:
+        named = [(a, None, "header") for a in header] + [(a, None, "responsible") for a in responsible] + [(a, e or None, "person") for a, e in people] + [(a, None, "title") for a in owners if eras and title and a in title]
+        for i, era, names in roster:
+            for a, of, method in named:
+                if a in names and (not eras or era in eras) and of in (None, era):
+                    want.setdefault((i, j), set()).add((method, len(owners[a])))
+    told = {p: ("matched" if max((n for m, n in ms if m != "title"), default=0) == 1 else "ambiguous", sorted({m for m, _ in ms})) for p, ms in want.items()}
+    got = promotion.catalog_matches(own, rec, "id", "rid").collect()
+    assert len(got) == len(told) and {(r["id"], r["rid"]): (r["status"], r["methods"]) for r in got} == told
+    assert {r["methods"] for r in promotion.catalog_matches(own, rec, "id", "rid", "+").collect()} == {"+".join(m) for _, m in told.values()}
+
+
+def test_pairs_of_a_common_alias_are_not_grouped(spark):
+    n = 6000
+    own = spark.range(n).select("id", F.lit("tang").alias("era"), F.array(F.lit("wang")).alias("aliases"))
+    rec = spark.range(n).select(F.col("id").alias("rid"), F.array(F.lit("tang")).alias("eras"), F.array(F.lit("wang")).alias("header"), F.array().cast("array<string>").alias("responsible"), F.array().cast("array<struct<name:string,era:string>>").alias("people"), F.lit("").alias("title"))
+    got, took = _timed(promotion.catalog_matches(own, rec, "id", "rid", ",").groupBy("status", "methods").agg(F.count("*"), F.sum("id"), F.sum("rid")))
+    each = n * n * (n - 1) // 2
+    assert [tuple(r) for r in got] == [("ambiguous", "header", n * n, each, each)] and took < 30
