@@ -1,8 +1,9 @@
 """A full-text index that is kept: trigram postings in buckets, added to and deleted from, and searched without the texts.
 
-Each batch of documents is a segment: postings ``token, doc_id, positions``, partitioned by a hash bucket of the token and sorted by token
-within, and ``doc_id, length``.  A search reads the buckets of its trigrams only, and of those the row groups that can hold
-them.  Positions tell whether the trigrams stand one behind another, so a literal query is verified without its texts.
+Each batch of documents is a segment: ``doc_id, length``, and postings ``token, ids, ends, positions``, partitioned by a hash bucket of the token
+and sorted by token within.  A row of them tells of a block of documents: the positions of all, and where those of each end.  Blocks are
+made where the texts lie, so positions are never shuffled: an added text is, once.  A search reads the buckets of its
+trigrams only, and of those the row groups that can hold them.  Positions tell whether the trigrams stand one behind another, so a literal query is verified without its texts.
 
 A document that is deleted or added anew gets a mark (``doc_id, upto``): postings of segments up to that number no longer count.
 Segments, marks and the number and length of the documents that count are pinned together by one row of a manifest (``sources.snapshot``), so
@@ -11,20 +12,66 @@ readers see one state, and a writer that fails changes nothing.  ``compact`` mak
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from ..functions.text import trigrams
+from ..functions.text import text_of
 from ..sources.snapshot import Snapshot, current, publish_set
 from .search import K1, B, query_trigrams, trigram_length
 
 BUCKETS = 64
+TASK_CHARS = 1 << 25  # of the texts of a task: it sorts their postings in memory
+BLOCK_CHARS = 1 << 20  # of the documents of a block, more if one document has more
 
 
 def bucket_of(token, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _block(ids: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
+    """``token, ids, ends, positions`` of some documents, by token, document and place."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(place + 3 <= lengths[doc])
+    gram = code[at] << 42 | code[at + 1] << 21 | code[at + 2]  # a code point has 21 bits
+    order = np.argsort(gram, kind="stable")
+    gram, at = gram[order], at[order]
+    doc, place = doc[at], place[at].astype(np.int32)
+    token = np.flatnonzero(np.diff(gram, prepend=-1))  # the first place of each token, and of each document of a token
+    entry = np.flatnonzero((np.diff(gram, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    first = np.searchsorted(entry, token)
+    base = np.repeat(token, np.diff(np.append(first, len(entry))))
+    ends = (np.append(entry[1:], len(gram))[: len(entry)] - base).astype(np.int32)
+    by_entry, by_place = (pa.array(np.append(x, n).astype(np.int32)) for x, n in ((first, len(entry)), (token, len(gram))))
+    of = pa.concat_arrays(ids).take(pa.array(doc[entry]))
+    tokens = [chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF) for g in gram[token].tolist()]
+    columns = [pa.array(tokens, pa.string()), pa.ListArray.from_arrays(by_entry, of), pa.ListArray.from_arrays(by_entry, pa.array(ends)), pa.ListArray.from_arrays(by_place, pa.array(place))]
+    return pa.RecordBatch.from_arrays(columns, ["token", "ids", "ends", "positions"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for n, text in enumerate(batch.column(1).to_pylist()):
+            if len(text) < 3:
+                continue
+            ids.append(batch.column(0).slice(n, 1))
+            texts.append(text)
+            held += len(text)
+            if held >= BLOCK_CHARS:
+                yield _block(ids, texts)
+                ids, texts, held = [], [], 0
+    if texts:
+        yield _block(ids, texts)
+
+
 class StoredIndex:
     """An index in a folder that all executors share."""
 
@@ -56,12 +103,16 @@ class StoredIndex:
         """Add documents; one that is there already is replaced.  Of several rows with one id the first by text counts; rows without an id don't."""
         state = self._state()
         number = max(self._segments(state), default=0) + 1
-        texts = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(text_col).alias("text"))
+        texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        most = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n").alias("n"), F.sum("chars").alias("chars")).first()
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-int(most["chars"] or 0) // TASK_CHARS))
+        dealt = texts.repartition(tasks, "doc_id")
+        if (most["n"] or 0) > 1:
+            texts = dealt = dealt.groupBy("doc_id").agg(F.min("text").alias("text"))
         slim = texts.select("doc_id", trigram_length("text").cast("bigint").alias("length"))
-        grams = texts.select("doc_id", F.posexplode(trigrams("text")).alias("pos", "token"))
-        postings = grams.groupBy("token", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        bucket = bucket_of("token", self.buckets)
-        postings = postings.withColumn("bucket", bucket).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "token", "doc_id")
+        kind = S.StructType().add("token", "string").add("ids", S.ArrayType(texts.schema["doc_id"].dataType)).add("ends", S.ArrayType(S.IntegerType())).add("positions", S.ArrayType(S.IntegerType()))
+        postings = dealt.select("doc_id", F.lower(text_of("text")).alias("text")).mapInArrow(_blocks, kind)
+        postings = postings.withColumn("bucket", bucket_of("token", self.buckets)).sortWithinPartitions("bucket", "token")
         new = {f"docs_{number}": slim, f"postings_{number}": postings}
         if state.number:  # what is replaced
             marks = slim.join(self._docs(state).select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(number - 1).alias("upto"))
@@ -82,8 +133,9 @@ class StoredIndex:
         if not state.number:
             return
         number = max(self._segments(state)) + 1
-        postings = self._postings(state).drop("segment").withColumn("bucket", bucket_of("token", self.buckets))
-        postings = postings.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "token", "doc_id")
+        one = F.array("doc_id").alias("ids"), F.array(F.size("positions")).alias("ends")
+        postings = self._postings(state).select("token", *one, "positions", bucket_of("token", self.buckets).alias("bucket"), "doc_id")
+        postings = postings.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "token", "doc_id").drop("doc_id")
         self._publish({f"docs_{number}": self._docs(state).drop("segment"), f"postings_{number}": postings}, {f"postings_{number}": ["bucket"]}, keep=[])
 
     def _publish(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]], keep: list[str] | None = None) -> None:
@@ -101,7 +153,9 @@ class StoredIndex:
             if tokens is not None:
                 buckets = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "t string").select(bucket_of("t", self.buckets)).collect()})  # a query's trigrams
                 rows = rows.filter(F.col("bucket").isin(buckets) & F.col("token").isin(tokens))
-            rows = rows.select("token", "doc_id", "positions", F.lit(s).alias("segment"))
+            start = lambda n: F.when(n > 0, F.get("ends", n - 1)).otherwise(0)
+            own = F.transform("ids", lambda i, n: F.struct(i.alias("doc_id"), F.slice("positions", start(n) + 1, F.get("ends", n) - start(n)).alias("positions")))
+            rows = rows.select("token", F.explode(own).alias("_p")).select("token", "_p.doc_id", "_p.positions", F.lit(s).alias("segment"))
             whole = rows if whole is None else whole.unionByName(rows)
         return self._live(state, whole)
 

@@ -4,10 +4,11 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, registry, report, search
+from stanzaflow.operators import chronicle, collection, evidence, glossary, joins, linkage, outline, packages, promotion, registry, report, search, stored_index
 from stanzaflow.operators import transitions as state
 from stanzaflow.operators.glossary import Entry
 from stanzaflow.operators.order import carried, numbered
@@ -187,6 +188,23 @@ def test_a_stored_index_answers_as_a_scan_does(spark, tmp_path):
         index.search("mo")
 
 
+def test_postings_are_made_where_the_texts_lie(spark, tmp_path):
+    """A row of the postings tells of a block of documents; no position is shuffled, and of one id the first text counts."""
+    r = random.Random(5)
+    texts = {i: "".join(r.choice("abc 月\U0001f600") for _ in range(r.randint(0, 40))) for i in range(400)} | {7: "abcab"}
+    index = StoredIndex(spark, str(tmp_path / "index"), 4)
+    index.add(spark.createDataFrame([*texts.items(), (7, "~~~~"), (None, "aaa")], "doc_id int, text string"))
+    want = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 2):
+            want.setdefault((t[k : k + 3], i), []).append(k)
+    assert {(x["token"], x["doc_id"]): x["positions"] for x in index._postings(index._state()).collect()} == want
+    kept = index._state().read("postings_1")
+    assert kept.count() <= 4 * len({t for t, _ in want}) < len(want)
+    blocks = list(stored_index._blocks(iter([pa.record_batch({"doc_id": [1, 2, 3], "text": ["a" * stored_index.BLOCK_CHARS, "aaa", "ab"]})] * 2)))
+    assert [(b.num_rows, b.column("ids").to_pylist(), b.column("ends").to_pylist()) for b in blocks] == [(1, [[1]], [[stored_index.BLOCK_CHARS - 2]]), (1, [[2, 1]], [[1, stored_index.BLOCK_CHARS - 1]]), (1, [[2]], [[1]])]
+
+
 DETAIL = """<div><div class='label1'><a href="ViewDetail?beginYear=725&amp;endYear=726">x</a></div><!-- c -->
  <div class='detail' id='d1'>first &amp; <b>bold</b><div class='inlineComment'>left out</div>
  <a href='/ViewDetail?beginYear=730&endYear=731'>730</a> second <a href='ViewDetail?beginYear=740&endYear='>740</a> lost <i>too</i>
