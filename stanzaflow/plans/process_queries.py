@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import chronicle, collection, glossary, joins, lexicon, linkage, outline, packages, places, promotion, registry, report, search, segment, stylometry
 from ..operators import transitions as state
 from ..operators.glossary import Entry
+from ..operators.order import parts_for
 from ..sources import markup, readers
 from . import lexicons as L
 
@@ -80,12 +81,13 @@ def marker_year_rows(spark, sf_dir):
     link = href(F.when(F.col("l_quantity") <= 40, F.concat(F.lit("&beginYear="), year)).otherwise(F.lit("&beginYear=")), F.concat(F.lit("&endYear="), year + 1))
     item = F.concat(F.lit(" item "), F.lit("<b>"), F.col("l_partkey").cast("string"), F.lit("</b> &amp; co\n"))
     cell = F.when(F.col("l_returnflag") == "R", link).otherwise(item).alias("cell")
-    body = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cell))), lambda x: x["cell"]), "").alias("body"))
+    parts = parts_for(o, 1 << 16)  # reading a page costs more than its bytes tell
+    body = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", cell).repartition(parts, "o_orderkey").groupBy("o_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "cell"))), lambda x: x["cell"]), "").alias("body"))
     k, y = F.col("o_orderkey"), F.year("o_orderdate")
     label = F.concat(F.lit("<div class='label1 x'>"), href(F.concat(F.lit("&beginYear="), y), F.when(k % 7 != 0, F.concat(F.lit("&endYear="), y)).otherwise(F.lit(""))), F.lit("</div>\n"))
     noise = F.when(k % 5 == 0, "<div class='noise'>-</div>").otherwise("<!-- none -->")
     html = F.concat(F.lit("<html><body>"), label, noise, F.lit("<div class='detail' id='o"), k.cast("string"), F.lit("'>"), F.coalesce("body", F.lit("")), F.lit("</div></body></html>"))
-    pages = o.join(body, "o_orderkey", "left").select("o_orderkey", html.alias("html"))
+    pages = o.select("o_orderkey", "o_orderdate").repartition(parts, "o_orderkey").join(body, "o_orderkey", "left").select("o_orderkey", html.alias("html"))
     return markup.year_rows(pages, "o_orderkey").drop("block_no")
 
 

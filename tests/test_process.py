@@ -13,6 +13,7 @@ from stanzaflow.operators import transitions as state
 from stanzaflow.operators.glossary import Entry
 from stanzaflow.operators.order import carried, numbered
 from stanzaflow.operators.stored_index import StoredIndex
+from stanzaflow.plans import process_queries
 from stanzaflow.sources import markup, readers, snapshot
 from stanzaflow.streaming import jobs, quota
 
@@ -214,6 +215,35 @@ DETAIL = """<div><div class='label1'><a href="ViewDetail?beginYear=725&amp;endYe
  <div class='label1'><a href="ViewDetail?beginYear=3&endYear=4"></a></div> text <div class='detail x' id='d4'>  <p>last<p>words</div></div>"""
 
 
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    def told(node):
+        return node if isinstance(node, str) else (node.name, node.attrs, [told(c) for c in node.children])
+
+    def parsed(page):
+        tree = markup._Tree()
+        tree.feed(page)
+        tree.close()
+        return tree.root
+
+    r = random.Random(6)
+    plain = ["<div class='detail x' id=\"d1\">", "</div>", "<p>", "</p>", "<br>", "<b>", "</b>", " a &amp; b\n", "&notit; &#x41 &lt", "&amp;amp;", "<!-- a - b -->", "<a href='V?x=1&beginYear=3&copy=4&amp;y'>", "</a>", "<!---->", "</br>", "<a href='a' href=\"b\">"]
+    other = ["<br/>", "<", "&", "<B>", "<script>", "</script>", "<!-->", "<a b>", "<a c=d>", "<!doctype html>", "</ div>", "<title>", "\x00", "\r\n", "<a b='x'c='y'>", "<p\x0bq='1'>", "<!-- a -- b -->"]
+    n_plain = 0
+    for n in range(4000):
+        page = "".join(r.choice(plain + other * (n % 2)) for _ in range(r.randint(0, 12)))
+        fast = markup._plain_tree(page)
+        n_plain += fast is not None
+        assert fast is None or told(fast) == told(parsed(page)), page
+    assert n_plain > 1900
+
+
+def test_pages_of_orders_are_dealt_by_their_number(spark, sf_dir):
+    """A page costs more than its bytes tell: adaptive execution must not put all of them into one task."""
+    df = process_queries.marker_year_rows(spark, sf_dir)
+    df.collect()
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
 def test_year_rows_between_siblings(spark):
     df = spark.createDataFrame([(1, DETAIL), (2, None), (3, "<div class='detail'>alone</div>")], "page_id int, html string")
     got = [tuple(x)[2:7] for x in markup.year_rows(df, left_out="div.inlineComment").orderBy("page_id", "row_index").collect()]
